@@ -6,8 +6,11 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from edgelens import schemas as S
+from edgelens.functions import numeric as N
 from edgelens.functions import timetext as T
 from edgelens.operators.windows import WINDOW_DAYS
+from edgelens.sources import results
 
 # Start of the second pull; response status by event type.
 PULL_1, PULL_2 = "2024-01-01T00:00:00Z", "2024-01-16T00:00:00Z"
@@ -34,10 +37,15 @@ def _events(spark: SparkSession, sf: str, window_only: bool) -> DataFrame:
         # A superset of the rolling window that the scan can skip by; the exact
         # filter on bucket text follows.
         events = events.where(F.col("ts") >= as_of(spark, sf, WINDOW_DAYS + 1))
+    return with_k(events)
+
+
+def with_k(events: DataFrame) -> DataFrame:
+    """The number in the event properties as a column, batch or stream."""
     return events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
-def _places(spark: SparkSession, sf: str) -> DataFrame:
+def places(spark: SparkSession, sf: str) -> DataFrame:
     """Customer to nation; the join strategy is left to the size statistics."""
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
     return (
@@ -55,70 +63,88 @@ def _seq(bucket: Column, nation: Column) -> Column:
     return (hour * 100 + nation).cast("bigint")
 
 
-def _measures(n: str) -> list[Column]:
-    return [F.sum(c).alias(c) for c in ("request_count", "bytes_total", "threats")] + [
-        F.count(F.lit(1)).alias(n)
+COUNTERS = ["request_count", "bytes_total", "threats"]
+
+
+def event_counters() -> list[Column]:
+    """Counters one event adds to its hour."""
+    errors = F.when(F.col("event_type") == "error", F.floor(F.col("value") / 4)).otherwise(0)
+    return [
+        F.floor("value").alias("request_count"),
+        (F.col("k") * 1000).alias("bytes_total"),
+        errors.cast("bigint").alias("threats"),
     ]
 
 
-def hourly_from_events(
-    events: DataFrame, places: DataFrame, collected_at: Column
-) -> DataFrame:
+def event_sums() -> dict[str, Column]:
+    return {c: F.sum(counter) for c, counter in zip(COUNTERS, event_counters())}
+
+
+def country() -> Column:
+    """Nation name; one nation stands for an unknown country."""
+    return F.when(F.col("n_name") != "NATION_0", F.col("n_name"))
+
+
+def hourly_from_events(events: DataFrame, customers: DataFrame, collected_at: Column) -> DataFrame:
     """Hourly rows of an events frame.
 
     Events first combine per hour and user. A user with a large part of all
     events is then at most one row per hour when the join shuffles, and distinct
     visitors become a plain count.
     """
+    sums = [F.sum(c).alias(c) for c in COUNTERS]
     per_user = (
-        events.select(
-            T.iso_hour(F.col("ts")).alias("bucket"),
-            "user_id",
-            F.floor("value").alias("request_count"),
-            (F.col("k") * 1000).alias("bytes_total"),
-            F.when(F.col("event_type") == "error", F.floor(F.col("value") / 4))
-            .otherwise(0)
-            .alias("threats"),
-        )
+        events.select(T.iso_hour(F.col("ts")).alias("bucket"), "user_id", *event_counters())
         .groupBy("bucket", "user_id")
-        .agg(*_measures("events"))
+        .agg(*sums)
     )
-    nation = F.col("n_nationkey")
     return (
-        per_user.join(places, "user_id")
+        per_user.join(customers, "user_id")
         .groupBy("bucket", "n_nationkey", "n_name")
-        .agg(*_measures("unique_visitors"))
+        .agg(*sums, F.count(F.lit(1)).alias("unique_visitors"))
         .select(
             collected_at.alias("collected_at"),
             "bucket",
-            F.when(F.col("n_name") != "NATION_0", F.col("n_name")).alias("country"),
+            country().alias("country"),
             F.lit("").alias("http_method"),
             F.lit(0).alias("status_code"),
             F.lit("").alias("content_type"),
-            "request_count",
-            "bytes_total",
-            "threats",
+            *COUNTERS,
             "unique_visitors",
-            _seq(F.col("bucket"), nation).alias("ingest_seq"),
+            _seq(F.col("bucket"), F.col("n_nationkey")).alias("ingest_seq"),
         )
     )
 
 
+def as_hourly_rows(hours: DataFrame) -> DataFrame:
+    """Hourly sums with the columns an upsert expects, the write order apart."""
+    return hours.select(
+        F.lit(PULL_2).alias("collected_at"),
+        "bucket",
+        "country",
+        F.lit("").alias("http_method"),
+        F.lit(0).alias("status_code"),
+        F.lit("").alias("content_type"),
+        *COUNTERS,
+        F.lit(0).cast("bigint").alias("unique_visitors"),
+    )
+
+
 def hourly_traffic(spark: SparkSession, sf: str, window_only: bool = False) -> DataFrame:
     return hourly_from_events(
-        _events(spark, sf, window_only), _places(spark, sf), T.iso_second(as_of(spark, sf))
+        _events(spark, sf, window_only), places(spark, sf), T.iso_second(as_of(spark, sf))
     )
 
 
 def hourly_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Two overlapping pulls: even events early on, all events from the 14th later."""
-    events, places = _events(spark, sf, False), _places(spark, sf)
+    events, customers = _events(spark, sf, False), places(spark, sf)
     start = datetime(2024, 1, 14)
     first = events.where(F.col("event_id") % 2 == 0)
     second = events.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     return (
-        hourly_from_events(first, places, F.lit(PULL_2)),
-        hourly_from_events(second, places, F.lit("2024-01-31T00:00:00Z")),
+        hourly_from_events(first, customers, F.lit(PULL_2)),
+        hourly_from_events(second, customers, F.lit("2024-01-31T00:00:00Z")),
     )
 
 
@@ -150,43 +176,47 @@ def _method(user: Column) -> Column:
     return F.get(names, (user % 4).cast("int"))
 
 
-def firewall_events(
-    spark: SparkSession, sf: str, window_only: bool = False, places: bool = True
-) -> DataFrame:
-    """One row per event.
-
-    ``places=False`` leaves out country and source, and with them the join: each
-    event has exactly one customer, so the rows are the same.
-    """
-    events = _events(spark, sf, window_only)
+def firewall_rows(events: DataFrame, *more: Column) -> DataFrame:
+    """Event rows from an events frame, batch or stream."""
     user, k = F.col("user_id"), F.col("k").cast("string")
-    placed = []
-    if places:
-        events = events.join(_places(spark, sf), "user_id")
-        placed = [F.col("n_name").alias("country"), F.col("c_mktsegment").alias("source")]
+
+    def numbered(prefix: str, n: Column) -> Column:
+        return F.concat(F.lit(prefix), n.cast("string"))
+
+    high, low = F.floor(user / 256), user % 256
     return events.select(
-        T.iso_second(as_of(spark, sf)).alias("collected_at"),
         T.iso_second(F.col("ts")).alias("event_datetime"),
         F.col("event_type").alias("action"),
-        F.concat(
-            F.lit("10.0."),
-            F.floor(user / 256).cast("string"),
-            F.lit("."),
-            (user % 256).cast("string"),
-        ).alias("client_ip"),
-        F.concat(F.lit("host-"), (user % 3).cast("string")).alias("host"),
+        F.concat(numbered("10.0.", high), numbered(".", low)).alias("client_ip"),
+        numbered("host-", user % 3).alias("host"),
         _method(user).alias("http_method"),
-        F.concat(F.lit("/k/"), k).alias("request_path"),
-        F.concat(F.lit("ua-"), (user % 40).cast("string")).alias("user_agent"),
-        F.concat(F.lit("r"), (F.col("k") % 10).cast("string")).alias("rule_id"),
+        numbered("/k/", k).alias("request_path"),
+        numbered("ua-", user % 40).alias("user_agent"),
+        numbered("r", F.col("k") % 10).alias("rule_id"),
         F.when(F.col("event_id") % 100 == 0, "")
-        .otherwise(F.concat(F.lit("ray-"), F.col("event_id").cast("string")))
+        .otherwise(numbered("ray-", F.col("event_id")))
         .alias("ray_name"),
         F.col("event_id").alias("ingest_seq"),
-        *placed,
+        *more,
     )
 
 
+def firewall_events(
+    spark: SparkSession, sf: str, window_only: bool = False, placed: bool = True
+) -> DataFrame:
+    """One row per event.
+
+    ``placed=False`` leaves out country and source, and with them the join: each
+    event has exactly one customer, so the rows are the same.
+    """
+    events = _events(spark, sf, window_only)
+    more = [T.iso_second(as_of(spark, sf)).alias("collected_at")]
+    if placed:
+        events = events.join(places(spark, sf), "user_id")
+        more += [F.col("n_name").alias("country"), F.col("c_mktsegment").alias("source")]
+    return firewall_rows(events, *more)
+
+
 def firewall_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Events before the 16th, and events from the 14th on marked ``late``."""
     fe = firewall_events(spark, sf)
@@ -214,7 +244,7 @@ def request_details(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return (
-        per_user.join(_places(spark, sf).select("user_id", "n_name"), "user_id")
+        per_user.join(places(spark, sf).select("user_id", "n_name"), "user_id")
         .groupBy(
             "bucket",
             F.col("n_name").alias("country"),
@@ -244,3 +274,161 @@ def clustered(ht: DataFrame) -> DataFrame:
         .otherwise(F.least(F.lit(4), F.call_function("div", F.col("request_count"), F.lit(45))))
         .cast("int"),
     )
+
+
+# --- feed responses --------------------------------------------------------
+
+
+def _response(feed: str, entry: Column) -> Column:
+    """One response document around one feed entry, as JSON text."""
+    zone = F.struct(F.array(entry).alias(feed))
+    viewer = F.struct(F.array(zone).alias("zones"))
+    return F.to_json(F.struct(F.struct(viewer.alias("viewer")).alias("data"))).alias("payload")
+
+
+def hourly_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """A response per hour; the 05:00 hours come without countries.
+
+    The list of an hour holds one entry per country of the hourly table.
+    """
+    country = F.struct(
+        F.col("country").alias("clientCountryName"),
+        F.col("request_count").alias("requests"),
+        "threats",
+        F.col("bytes_total").alias("bytes"),
+    )
+    hours = hourly_traffic(spark, sf).groupBy("bucket").agg(
+        F.sum("request_count").alias("requests"),
+        F.sum("bytes_total").alias("bytes"),
+        F.sum("threats").alias("threats"),
+        F.sum("unique_visitors").alias("uniques"),
+        F.collect_list(country).alias("countries"),
+    )
+    emptied = F.filter("countries", lambda c: ~F.col("bucket").endswith("T05:00:00Z"))
+    entry = F.struct(
+        F.struct(F.col("bucket").alias("datetime")).alias("dimensions"),
+        F.struct("requests", "bytes", "threats", emptied.alias("countryMap")).alias("sum"),
+        F.struct("uniques").alias("uniq"),
+    )
+    return hours.select("bucket", _response(S.HOURLY_FEED, entry))
+
+
+def firewall_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """A response per event; every fiftieth event lacks its user agent."""
+    agent = F.when(F.col("ingest_seq") % 50 != 0, F.col("user_agent"))
+    entry = F.struct(
+        "action",
+        F.col("client_ip").alias("clientIP"),
+        F.col("country").alias("clientCountryName"),
+        F.col("host").alias("clientRequestHTTPHost"),
+        F.col("http_method").alias("clientRequestHTTPMethodName"),
+        F.col("request_path").alias("clientRequestPath"),
+        F.col("event_datetime").alias("datetime"),
+        agent.alias("userAgent"),
+        F.col("rule_id").alias("ruleId"),
+        "source",
+        F.col("ray_name").alias("rayName"),
+    )
+    return firewall_events(spark, sf).select(_response(S.FIREWALL_FEED, entry))
+
+
+def details_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """A response per group with the start of its pull; path 4 has no status."""
+    entry = F.struct(
+        F.col("request_count").alias("count"),
+        F.struct(
+            F.col("country").alias("clientCountryName"),
+            F.col("http_method").alias("clientRequestHTTPMethodName"),
+            F.when(F.col("path") != "/k/4", F.col("status_code")).alias("edgeResponseStatus"),
+            F.col("path").alias("clientRequestPath"),
+        ).alias("dimensions"),
+    )
+    start = F.concat(F.substring("bucket", 1, 13), F.lit(":17:42Z")).alias("window_start")
+    return request_details(spark, sf).select(start, _response(S.DETAILS_FEED, entry))
+
+
+# --- result log ------------------------------------------------------------
+
+
+def result_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Three runs of headline documents per model, six hours apart, each over the
+    data up to its run time."""
+    now = as_of(spark, sf)
+    steps = [F.make_dt_interval(F.lit(0), F.lit(h)) for h in (12, 6, 0)]
+    runs = F.array(
+        *(F.struct(F.lit(i).alias("seq"), T.iso_second(now - s).alias("run_at")) for i, s in enumerate(steps))
+    )
+    placed = F.col("country").isNotNull()
+    traffic = (
+        hourly_traffic(spark, sf)
+        .withColumn("run", F.explode(runs))
+        .where(F.col("bucket") <= F.col("run.run_at"))
+        .groupBy("run")
+        .agg(
+            F.count(F.lit(1)).alias("data_rows"),
+            F.min("bucket").alias("earliest_data"),
+            F.max("bucket").alias("latest_data"),
+            F.sum("request_count").alias("total_requests"),
+            F.sum("bytes_total").alias("total_bytes"),
+            F.sum("threats").alias("total_threats"),
+            F.countDistinct("country").alias("unique_countries"),
+            F.countDistinct("bucket").alias("buckets"),
+            F.count_if(placed).alias("placed_rows"),
+            F.sum(F.when(placed, F.col("request_count"))).alias("placed_requests"),
+        )
+    )
+    actions = (
+        firewall_events(spark, sf, placed=False)
+        .withColumn("run", F.explode(runs))
+        .where(F.col("event_datetime") <= F.col("run.run_at"))
+        .groupBy("run", "action")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("run")
+        .agg(
+            F.sum("n").alias("total_events"),
+            F.transform(
+                F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("down"), "action", "n"))),
+                lambda a: F.struct(a["action"], a["n"]),
+            ).alias("ordered"),
+        )
+    )
+    c = F.col
+    documents = {
+        "summary": {
+            name: c(name)
+            for name in S.SUMMARY_DOC.fieldNames()
+            if name != "firewall_events"
+        }
+        | {"firewall_events": c("total_events")},
+        "geo_analysis": {
+            "total_countries": c("unique_countries"),
+            "total_requests": c("placed_requests"),
+        },
+        "firewall_analysis": {
+            "total_events": c("total_events"),
+            "by_action": F.map_from_entries("ordered"),
+        },
+        "kmeans_traffic": {
+            "n_clusters": N.cluster_count(c("placed_rows")),
+            "total_rows_analyzed": c("placed_rows"),
+        },
+        "isolation_forest": {
+            "total_buckets_analyzed": c("buckets"),
+            "contamination_rate": N.contamination(c("buckets")),
+        },
+    }
+    rows = F.array(
+        *(
+            F.struct(
+                F.lit(model).alias("model_name"),
+                F.lit(S.RESULTS[model][0]).alias("result_type"),
+                results.document_json(model, fields).alias("result_json"),
+            )
+            for model, fields in documents.items()
+        )
+    )
+    return (
+        traffic.join(actions, "run")
+        .select("run", F.explode(rows).alias("doc"))
+        .select("run.run_at", "doc.*", c("run.seq").cast("bigint").alias("ingest_seq"))
+    )

@@ -188,43 +188,46 @@ def _named(p: Column, used: Column, q: Column) -> Column:
     )
 
 
+def _from_the_busiest(profiled: DataFrame) -> Column:
+    """All profiles as one array, by mean requests down, then cluster."""
+    rest = [c for c in profiled.columns if c != "cluster"]
+    keyed = F.struct((-F.col("avg_requests")).alias("_down"), "cluster", *rest)
+    return F.array_sort(F.collect_list(keyed))
+
+
+def in_order(profiled: DataFrame) -> DataFrame:
+    """Profiles with their rank; there is one row per cluster, six at most."""
+    listed = profiled.agg(_from_the_busiest(profiled).alias("p"))
+    return listed.select(F.posexplode("p").alias("rank", "p")).select(
+        "rank", *(F.col(f"p.{c}").alias(c) for c in profiled.columns)
+    )
+
+
 def label(profiled: DataFrame, cut: Column) -> DataFrame:
     """Name the profiles from the busiest down, each base name once.
 
     ``cut`` holds the naming quantiles. The fold is sequential by nature and runs
-    over one row per cluster, six at most.
+    over the array of profiles.
     """
-    fields = profiled.columns
-    ordered = F.array_sort(
-        F.collect_list(F.struct((-F.col("avg_requests")).alias("_down"), *_cluster_first(fields)))
-    )
-    empty_names = F.array().cast("array<string>")
+    no_names = F.array().cast("array<string>")
 
     def step(state: Column, p: Column) -> Column:
-        base = _named(p, state["used"], p["q"])
-        first = F.coalesce(F.get(p["top_countries"], F.lit(0))["country"], F.lit("Unknown"))
-        name = F.when(
-            F.array_contains(state["used"], base), F.concat(base, F.lit(" ("), first, F.lit(")"))
-        ).otherwise(base)
+        base = _named(p, state["used"], p["cut"])
+        main = F.coalesce(F.get(p["top_countries"], F.lit(0))["country"], F.lit("Unknown"))
+        taken = F.array_contains(state["used"], base)
+        name = F.when(taken, F.concat(base, F.lit(" ("), main, F.lit(")"))).otherwise(base)
         return F.struct(
             F.array_append(state["used"], base).alias("used"),
             F.array_append(state["labels"], name).alias("labels"),
         )
 
-    start = F.struct(empty_names.alias("used"), empty_names.alias("labels"))
-    listed = profiled.agg(ordered.alias("p")).withColumn("q", cut)
-    with_q = F.transform("p", lambda p: p.withField("q", F.col("q")))
-    folded = listed.select(
-        "p", F.aggregate(with_q, start, step, lambda s: s["labels"]).alias("labels")
+    start = F.struct(no_names.alias("used"), no_names.alias("labels"))
+    listed = profiled.agg(_from_the_busiest(profiled).alias("p")).withColumn("cut", cut)
+    with_cut = F.transform("p", lambda p: p.withField("cut", F.col("cut")))
+    named = listed.select("p", F.aggregate(with_cut, start, step, lambda s: s["labels"]).alias("label"))
+    return named.select(F.posexplode(F.arrays_zip("p", "label")).alias("rank", "r")).select(
+        "rank", *(F.col(f"r.p.{c}").alias(c) for c in profiled.columns), "r.label"
     )
-    return (
-        folded.select(F.posexplode(F.arrays_zip("p", "labels")).alias("rank", "r"))
-        .select("rank", *(F.col(f"r.p.{c}").alias(c) for c in fields), F.col("r.labels").alias("label"))
-    )
-
-
-def _cluster_first(fields: list[str]) -> list[str]:
-    return ["cluster", *(c for c in fields if c != "cluster")]
 
 
 def labelled_profiles(assigned: DataFrame, weight: str | None = None) -> DataFrame:

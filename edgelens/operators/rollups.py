@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from edgelens.functions import numeric as N
+from edgelens.functions import timetext as T
 from edgelens.session import checkpoint
 
 TOP_COUNTRIES = 50
@@ -101,6 +102,30 @@ def baseline(hours: DataFrame) -> DataFrame:
     )
 
 
+def sliding_totals(ht: DataFrame, days: int = 7, step_hours: int = 6) -> DataFrame:
+    """Totals of every ``days`` window that starts on a ``step_hours`` mark.
+
+    Rows first combine per step; only those few steps fan out to their windows.
+    """
+    start = F.to_timestamp_ntz("bucket", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    step = F.window(start, f"{step_hours} hours")
+    slots = (
+        ht.groupBy(step.alias("step"))
+        .agg(F.sum("request_count").alias("requests"), F.sum("threats").alias("threats"))
+        .select(F.col("step.start").alias("at"), "requests", "threats")
+    )
+    return (
+        slots.groupBy(F.window("at", f"{days} days", f"{step_hours} hours").alias("w"))
+        .agg(F.sum("requests").alias("total_requests"), F.sum("threats").alias("total_threats"))
+        .select(
+            T.iso_second(F.col("w.start")).alias("window_start"),
+            T.iso_second(F.col("w.end")).alias("window_end"),
+            "total_requests",
+            "total_threats",
+        )
+    )
+
+
 def exact_quantiles(
     df: DataFrame, column: str, probabilities: list[float], weight: str | None = None
 ) -> DataFrame:

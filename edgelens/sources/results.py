@@ -9,16 +9,20 @@ from edgelens.schemas import ML_RESULTS, RESULTS
 LOG_COLUMNS = ML_RESULTS.fieldNames()
 
 
-def to_log(document: DataFrame, model: str, run_at: Column | str, seq: int = 0) -> DataFrame:
+def document_json(model: str, fields: dict[str, Column]) -> Column:
+    """JSON text of a document; fields that are not given are null."""
+    schema = RESULTS[model][1]
+    typed = (fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema)
+    return F.to_json(F.struct(*typed), {"ignoreNullFields": "false"})
+
+
+def to_log(document: DataFrame, model: str, run_at: str, seq: int = 0) -> DataFrame:
     """A typed document as a log row."""
-    result_type, schema = RESULTS[model]
-    run_at = F.lit(run_at) if isinstance(run_at, str) else run_at
-    typed = F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
     return document.select(
-        run_at.alias("run_at"),
+        F.lit(run_at).alias("run_at"),
         F.lit(model).alias("model_name"),
-        F.lit(result_type).alias("result_type"),
-        F.to_json(typed, {"ignoreNullFields": "false"}).alias("result_json"),
+        F.lit(RESULTS[model][0]).alias("result_type"),
+        document_json(model, {c: F.col(c) for c in document.columns}).alias("result_json"),
         F.lit(seq).cast("bigint").alias("ingest_seq"),
     )
 

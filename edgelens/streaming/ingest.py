@@ -21,10 +21,12 @@ LATENESS = "25 hours"
 
 
 def stream_files(
-    spark: SparkSession, path: str, schema: StructType, pattern: str | None = None, files: int = 1000
+    spark: SparkSession, path: str, schema: StructType, pattern: str | None = None, files: int | None = None
 ) -> DataFrame:
-    """Parquet files as a stream, at most ``files`` new ones per batch."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    """Parquet files as a stream: all new ones in one batch, or ``files`` at a time."""
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.parquet(path)
@@ -72,7 +74,7 @@ def hourly_rollup(events: DataFrame, keys: list[str], measures: dict[str, Column
     )
 
 
-def final_hours(events: DataFrame, keys: list[str], measures: dict[str, Column]) -> DataFrame:
+def settled_hours(events: DataFrame, keys: list[str], measures: dict[str, Column]) -> DataFrame:
     """The same with late events bounded: hours past the lateness are settled."""
     return hourly_rollup(events.withWatermark("ts", LATENESS), keys, measures)
 
