@@ -42,7 +42,7 @@ def _events(spark: SparkSession, sf: str, window_only: bool) -> DataFrame:
 
 def with_k(events: DataFrame) -> DataFrame:
     """The number in the event properties as a column, batch or stream."""
-    return events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    return events.withColumn("k", F.regexp_extract("props", r'"k"\s*:\s*(\d+)', 1).cast("bigint"))
 
 
 def places(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,12 +55,10 @@ def places(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _seq(bucket: Column, nation: Column) -> Column:
+def _seq(day: Column, hour: Column, nation: Column) -> Column:
     """Order number of an hourly row: by hour, then nation."""
-    hour = F.datediff(F.substring(bucket, 1, 10), F.lit("2000-01-01")) * 24 + F.substring(
-        bucket, 12, 2
-    ).cast("int")
-    return (hour * 100 + nation).cast("bigint")
+    hours = F.datediff(day, F.lit("2000-01-01")) * 24 + hour
+    return (hours * 100 + nation).cast("bigint")
 
 
 COUNTERS = ["request_count", "bytes_total", "threats"]
@@ -94,14 +92,15 @@ def hourly_from_events(events: DataFrame, customers: DataFrame, collected_at: Co
     """
     sums = [F.sum(c).alias(c) for c in COUNTERS]
     per_user = (
-        events.select(T.iso_hour(F.col("ts")).alias("bucket"), "user_id", *event_counters())
-        .groupBy("bucket", "user_id")
+        events.select(*T.day_and_hour(F.col("ts")), "user_id", *event_counters())
+        .groupBy("day", "hour", "user_id")
         .agg(*sums)
     )
     return (
         per_user.join(customers, "user_id")
-        .groupBy("bucket", "n_nationkey", "n_name")
+        .groupBy("day", "hour", "n_nationkey", "n_name")
         .agg(*sums, F.count(F.lit(1)).alias("unique_visitors"))
+        .withColumn("bucket", T.iso_from(F.col("day"), F.col("hour")))
         .select(
             collected_at.alias("collected_at"),
             "bucket",
@@ -111,7 +110,7 @@ def hourly_from_events(events: DataFrame, customers: DataFrame, collected_at: Co
             F.lit("").alias("content_type"),
             *COUNTERS,
             "unique_visitors",
-            _seq(F.col("bucket"), F.col("n_nationkey")).alias("ingest_seq"),
+            _seq(F.col("day"), F.col("hour"), F.col("n_nationkey")).alias("ingest_seq"),
         )
     )
 
@@ -148,6 +147,39 @@ def hourly_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def hourly_from_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """A larger hourly table: shipments per day and supplier nation.
+
+    Lines join first here: without distinct visitors, one aggregation after the
+    join is all there is. A supplier with a large part of all lines is split by
+    the runtime skew join where the join shuffles.
+    """
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    suppliers = (
+        table(spark, sf, "supplier")
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .select("s_suppkey", "n_nationkey", "n_name")
+    )
+    returned = F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_quantity") / 8)).otherwise(0)
+    return (
+        table(spark, sf, "lineitem")
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy(F.col("l_shipdate").alias("day"), "n_nationkey", "n_name")
+        .agg(
+            F.sum(F.col("l_quantity").cast("bigint")).alias("request_count"),
+            F.sum(F.floor(F.col("l_extendedprice") * 100)).alias("bytes_total"),
+            F.sum(returned).alias("threats"),
+        )
+        .select(
+            T.iso_second(F.col("day")).alias("bucket"),
+            F.col("n_name").alias("country"),
+            F.lit("").alias("http_method"),
+            F.lit(0).alias("status_code"),
+            *COUNTERS,
+        )
+    )
+
+
 def dirty_hourly(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly rows plus a later copy of the 03:00 hours with NULL method and status.
 

@@ -74,9 +74,15 @@ rd AS (SELECT CASE WHEN second < '2024-01-16T00:00:00Z' THEN '2024-01-01T00:00:0
   FROM ev JOIN places ON user_id = c_custkey GROUP BY ALL)"""
 )
 
-GEO = (
-    HT
-    + """,
+LARGE = """
+ht AS (SELECT strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS bucket, n_name AS country,
+              CAST(sum(l_quantity) AS BIGINT) AS request_count,
+              CAST(sum(floor(l_extendedprice * 100)) AS BIGINT) AS bytes_total,
+              CAST(sum(CASE WHEN l_returnflag = 'R' THEN floor(l_quantity / 8) ELSE 0 END) AS BIGINT) AS threats
+       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+       GROUP BY l_shipdate, n_name)"""
+
+GEO_TAIL = """,
 c AS (SELECT country, CAST(sum(request_count) AS BIGINT) AS requests,
              CAST(sum(bytes_total) AS BIGINT) AS bytes, CAST(sum(threats) AS BIGINT) AS threats
       FROM ht WHERE country IS NOT NULL GROUP BY country),
@@ -88,7 +94,7 @@ geo AS (SELECT country, requests, bytes, threats,
          / 10000 AS threat_pct,
        total_countries, total_requests
   FROM c, t ORDER BY requests DESC, country LIMIT 50)"""
-)
+GEO = HT + GEO_TAIL
 
 DIRTY = (
     HT
@@ -99,9 +105,7 @@ dirty AS (SELECT * FROM ht UNION ALL
   FROM ht WHERE bucket LIKE '%T03:00:00Z')"""
 )
 
-PERSONAS = (
-    HT
-    + """,
+PERSONA_TAIL = """,
 cl AS (SELECT *, CAST(CASE WHEN threats * 5 > request_count THEN 5
                            ELSE least(4, request_count // 45) END AS INT) AS cluster
        FROM ht WHERE country IS NOT NULL),
@@ -116,7 +120,7 @@ tops AS (SELECT cluster, CAST(place AS INT) AS place, country, n AS count FROM (
            SELECT cluster, country, n, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, country) AS place
            FROM (SELECT cluster, country, count(*) AS n FROM cl GROUP BY cluster, country))
          WHERE place <= 3)"""
-)
+PERSONAS = HT + PERSONA_TAIL
 
 LABELS = (
     PERSONAS
@@ -211,6 +215,11 @@ def _counts(column: str, alias: str, limit: int | None = None) -> str:
     )
 
 
+ROLLUP = """SELECT bucket, CAST(sum(request_count) AS BIGINT) AS total_requests,
+  CAST(sum(bytes_total) AS BIGINT) AS total_bytes, CAST(sum(threats) AS BIGINT) AS total_threats,
+  count(DISTINCT country) AS unique_countries FROM ht GROUP BY bucket"""
+QUANTILES = """SELECT quantile_cont(request_count, 0.25) AS q25, quantile_cont(request_count, 0.5) AS q50,
+  quantile_cont(request_count, 0.9) AS q90 FROM ht WHERE country IS NOT NULL"""
 SUMMARY = """SELECT count(*) AS data_rows, min(bucket) AS earliest_data, max(bucket) AS latest_data,
   CAST(coalesce(sum(request_count), 0) AS BIGINT) AS total_requests,
   CAST(coalesce(sum(bytes_total), 0) AS BIGINT) AS total_bytes,
@@ -298,12 +307,11 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'geo_analysis', count(DISTINCT country), CAST(coalesce(sum(request_count), 0) AS BIGINT) FROM late
         UNION ALL SELECT 'hours', count(DISTINCT bucket), CAST(coalesce(sum(request_count), 0) AS BIGINT) FROM late""",
     ),
-    "rollup_by_bucket": _with(
-        HT,
-        """SELECT bucket, CAST(sum(request_count) AS BIGINT) AS total_requests,
-          CAST(sum(bytes_total) AS BIGINT) AS total_bytes, CAST(sum(threats) AS BIGINT) AS total_threats,
-          count(DISTINCT country) AS unique_countries FROM ht GROUP BY bucket""",
-    ),
+    "rollup_by_bucket": _with(HT, ROLLUP),
+    "large_rollup_by_bucket": _with(LARGE, ROLLUP),
+    "large_geo_country_distribution": _with(LARGE + GEO_TAIL, "SELECT * FROM geo"),
+    "large_request_quantiles": _with(LARGE, QUANTILES),
+    "large_persona_profiles": _with(LARGE + PERSONA_TAIL, "SELECT * FROM ranked"),
     "geo_country_distribution": _with(GEO, "SELECT * FROM geo"),
     "series_country_top10": _with(
         GEO, "SELECT country, requests, pct FROM geo ORDER BY requests DESC, country LIMIT 10"
@@ -331,11 +339,7 @@ ORACLE: dict[str, str] = {
           {DISPLAY.format("strptime(latest_data, " + ISO + ")")} AS data_through,
           {DISPLAY.format("strptime(earliest_data, " + ISO + ")")} AS data_from FROM s""",
     ),
-    "request_quantiles": _with(
-        HT,
-        """SELECT quantile_cont(request_count, 0.25) AS q25, quantile_cont(request_count, 0.5) AS q50,
-          quantile_cont(request_count, 0.9) AS q90 FROM ht WHERE country IS NOT NULL""",
-    ),
+    "request_quantiles": _with(HT, QUANTILES),
     "anomaly_features": _with(HOURS, "SELECT * FROM hours"),
     "anomaly_baseline": _with(
         HOURS,

@@ -306,6 +306,31 @@ def rolling_window_7d_by_6h(spark, sf):
     return rollups.sliding_totals(M.hourly_traffic(spark, sf))
 
 
+# The same operators over the larger hourly table.
+
+
+@query
+def large_rollup_by_bucket(spark, sf):
+    return rollups.by_bucket(M.hourly_from_lineitem(spark, sf))
+
+
+@query
+def large_geo_country_distribution(spark, sf):
+    return rollups.country_distribution(M.hourly_from_lineitem(spark, sf))
+
+
+@query
+def large_request_quantiles(spark, sf):
+    rows = features.cluster_input(M.hourly_from_lineitem(spark, sf))
+    return rollups.exact_quantiles(rows, "request_count", personas.NAMING_QUANTILES)
+
+
+@query
+def large_persona_profiles(spark, sf):
+    rows = M.clustered(M.hourly_from_lineitem(spark, sf))
+    return personas.in_order(personas.profiles(personas.measures(rows))).drop("top_countries")
+
+
 # --- event breakdown -------------------------------------------------------
 
 

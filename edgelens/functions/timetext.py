@@ -29,6 +29,16 @@ def iso_hour(ts: Column) -> Column:
     return F.concat(F.substring(s, 1, 10), F.lit("T"), F.substring(s, 12, 2), F.lit(":00:00Z"))
 
 
+def day_and_hour(ts: Column) -> list[Column]:
+    """Date and hour as plain numbers: grouping keys that need no text per row."""
+    return [F.to_date(ts).alias("day"), F.hour(ts).alias("hour")]
+
+
+def iso_from(day: Column, hour: Column) -> Column:
+    """Bucket text of a date and hour."""
+    return F.concat(day.cast("string"), F.lit("T"), F.lpad(hour.cast("string"), 2, "0"), F.lit(":00:00Z"))
+
+
 def hour_of_iso(text: Column) -> Column:
     """Truncate ISO text to its hour."""
     return F.concat(F.substring(text, 1, 13), F.lit(":00:00Z"))

@@ -97,10 +97,8 @@ class Store:
         )
         return self.spark.read.schema(_with_date(schema)).parquet(path).select("dt").distinct()
 
-    def _complete(self, run_id: str, written: list[tuple[str, DataFrame, bool]]) -> None:
+    def _complete(self, run_id: str, seq: int, written: list[tuple[str, DataFrame, bool]]) -> None:
         """Publish a run: one file, written last."""
-        newest = self.manifest().agg(F.max("seq")).first()[0]
-        seq = 0 if newest is None else newest + 1
         entries = [
             dates.select(
                 F.lit(table).alias("table"),
@@ -114,8 +112,12 @@ class Store:
         listing = reduce(DataFrame.unionByName, entries).coalesce(1)
         listing.write.mode("append").parquet(f"{self.root}/completed")
 
-    def _is_complete(self, run_id: str) -> bool:
-        return not self.manifest().where(F.col("run_id") == run_id).isEmpty()
+    def _next(self, run_id: str) -> int | None:
+        """Sequence number for a run; None when the run is already complete."""
+        newest, seen = (
+            self.manifest().agg(F.max("seq"), F.count_if(F.col("run_id") == run_id)).first()
+        )
+        return None if seen else 0 if newest is None else newest + 1
 
     def load(
         self,
@@ -128,23 +130,25 @@ class Store:
 
         A run that is already complete is skipped, so a repeated call is safe.
         """
-        if self._is_complete(run_id):
+        seq = self._next(run_id)
+        if seq is None:
             return False
+        hourly, firewall, details = (
+            None if feed is None else checkpoint(feed) for feed in (hourly, firewall, details)
+        )
         written = []
-        if hourly is not None:
-            batch = checkpoint(hourly)
-            dates = batch.select(T.date_of_iso(F.col("bucket")).alias("dt")).distinct()
+        if hourly is not None and not hourly.isEmpty():
+            dates = hourly.select(T.date_of_iso(F.col("bucket")).alias("dt")).distinct()
             stored = self.read("hourly_traffic", dates=dates).drop("dt")
-            merged = maintain.upsert_hourly(stored, batch)
+            merged = maintain.upsert_hourly(stored, hourly)
             written.append(("hourly_traffic", self._stage("hourly_traffic", run_id, merged), True))
-        if firewall is not None:
-            batch = checkpoint(firewall)
-            fresh = maintain.new_events(self.read("firewall_events"), batch)
+        if firewall is not None and not firewall.isEmpty():
+            fresh = maintain.new_events(self.read("firewall_events"), firewall)
             written.append(("firewall_events", self._stage("firewall_events", run_id, fresh), False))
-        if details is not None:
+        if details is not None and not details.isEmpty():
             written.append(("request_details", self._stage("request_details", run_id, details), False))
         if written:
-            self._complete(run_id, written)
+            self._complete(run_id, seq, written)
         return bool(written)
 
     def repair_hourly(self, run_id: str) -> bool:
@@ -159,12 +163,14 @@ class Store:
         if bad.isEmpty():
             return False
         rows = maintain.repair(self.read("hourly_traffic", dates=bad).drop("dt"))
-        self._complete(
-            run_id, [("hourly_traffic", self._stage("hourly_traffic", run_id, rows), True)]
-        )
+        self._replace("hourly_traffic", run_id, rows)
         return True
 
     def compact(self, table: str, run_id: str, since: str | None = None) -> None:
         """Rewrite the dates of a table as one base each."""
-        rows = self.read(table, since=since).drop("dt")
-        self._complete(run_id, [(table, self._stage(table, run_id, rows), True)])
+        self._replace(table, run_id, self.read(table, since=since).drop("dt"))
+
+    def _replace(self, table: str, run_id: str, rows: DataFrame) -> None:
+        seq = self._next(run_id)
+        if seq is not None:
+            self._complete(run_id, seq, [(table, self._stage(table, run_id, rows), True)])
