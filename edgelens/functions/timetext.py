@@ -49,6 +49,14 @@ def date_of_iso(text: Column) -> Column:
     return F.substring(text, 1, 10)
 
 
+def partition_date(text: Column) -> Column:
+    """Date a row is stored under; text that is no date goes to ``undated``.
+
+    ``undated`` sorts after every date, so no date filter skips it.
+    """
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), date_of_iso(text)).otherwise("undated")
+
+
 def instant(as_of: datetime | str | Column) -> Column:
     """``as_of`` as a zone-free timestamp column."""
     if isinstance(as_of, Column):

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from edgelens.functions import numeric as N
@@ -112,11 +113,21 @@ def fit(ht: DataFrame, min_rows: int = MIN_ROWS) -> Personas | None:
     together = max(1, min(PARALLEL_RESTARTS, POINTS_CACHED // distinct))
     with ThreadPoolExecutor(together) as pool:
         runs = list(pool.map(inheritable_thread_target(spark)(run), range(SEED, SEED + RESTARTS)))
-    cost, _, best = min(runs, key=lambda r: r[:2])
-    assigned = best.transform(data).select(
-        *key, F.col("weight").cast("bigint").alias("weight"), F.col("prediction").alias("cluster")
+    best = min(runs, key=lambda r: r[:2])[2]
+    centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in best.clusterCenters()))
+    gaps = F.zip_with(
+        vector_to_array("features"), F.get(centres, F.col("prediction")), lambda x, c: (x - c) * (x - c)
     )
-    return Personas(checkpoint(assigned), k, int(rows), float(cost))
+    assigned = checkpoint(
+        best.transform(data).select(
+            *key,
+            F.col("weight").cast("bigint").alias("weight"),
+            F.col("prediction").alias("cluster"),
+            F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b).alias("gap"),
+        )
+    )
+    inertia = assigned.agg(F.sum(F.col("gap") * F.col("weight"))).first()[0]
+    return Personas(assigned.drop("gap"), k, int(rows), float(inertia))
 
 
 def measures(assigned: DataFrame, weight: str | None = None) -> DataFrame:

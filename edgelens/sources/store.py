@@ -89,7 +89,7 @@ class Store:
         path = f"{self.root}/{table}/run_id={run_id}"
         (
             rows.select(*schema.fieldNames())
-            .withColumn("dt", T.date_of_iso(F.col(column)))
+            .withColumn("dt", T.partition_date(F.col(column)))
             .hint("rebalance", "dt")
             .write.mode("overwrite")
             .partitionBy("dt")
@@ -138,7 +138,7 @@ class Store:
         )
         written = []
         if hourly is not None and not hourly.isEmpty():
-            dates = hourly.select(T.date_of_iso(F.col("bucket")).alias("dt")).distinct()
+            dates = hourly.select(T.partition_date(F.col("bucket")).alias("dt")).distinct()
             stored = self.read("hourly_traffic", dates=dates).drop("dt")
             merged = maintain.upsert_hourly(stored, hourly)
             written.append(("hourly_traffic", self._stage("hourly_traffic", run_id, merged), True))
@@ -156,7 +156,7 @@ class Store:
         ht = self.read("hourly_traffic")
         bad = checkpoint(
             maintain.duplicate_keys(ht)
-            .select(T.date_of_iso(F.col("bucket")).alias("dt"))
+            .select(T.partition_date(F.col("bucket")).alias("dt"))
             .unionByName(maintain.null_dims(ht).select("dt"))
             .distinct()
         )
