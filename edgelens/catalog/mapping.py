@@ -21,22 +21,26 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def as_of(spark: SparkSession, sf: str, days_back: int = 0) -> Column:
-    """Newest event time, minus whole days, as a scalar subquery.
+def as_of(spark: SparkSession, sf: str) -> str:
+    """Newest event time. A run gets it as a parameter; here the data gives it.
 
-    The subtraction is inside the subquery, so a comparison with it reaches the
-    Parquet scan as a plain literal.
+    It is a plain value, so filters made from it reach the Parquet scan.
     """
-    step = F.make_dt_interval(F.lit(days_back))
-    return table(spark, sf, "events").agg(F.max("ts") - step).scalar()
+    return table(spark, sf, "events").agg(F.max("ts").cast("string")).first()[0]
 
 
-def _events(spark: SparkSession, sf: str, window_only: bool) -> DataFrame:
+def stamp(spark: SparkSession, sf: str) -> Column:
+    """The same as the text that marks loaded rows, worked out only where it is read."""
+    return table(spark, sf, "events").agg(T.iso_second(F.max("ts"))).scalar()
+
+
+def _events(spark: SparkSession, sf: str, since: str | None = None) -> DataFrame:
     events = table(spark, sf, "events")
-    if window_only:
+    if since is not None:
         # A superset of the rolling window that the scan can skip by; the exact
         # filter on bucket text follows.
-        events = events.where(F.col("ts") >= as_of(spark, sf, WINDOW_DAYS + 1))
+        day_more = F.make_dt_interval(F.lit(WINDOW_DAYS + 1))
+        events = events.where(F.col("ts") >= T.instant(since) - day_more)
     return with_k(events)
 
 
@@ -129,15 +133,14 @@ def as_hourly_rows(hours: DataFrame) -> DataFrame:
     )
 
 
-def hourly_traffic(spark: SparkSession, sf: str, window_only: bool = False) -> DataFrame:
-    return hourly_from_events(
-        _events(spark, sf, window_only), places(spark, sf), T.iso_second(as_of(spark, sf))
-    )
+def hourly_traffic(spark: SparkSession, sf: str, since: str | None = None) -> DataFrame:
+    """The hourly table; with ``since``, at least the rolling window before it."""
+    return hourly_from_events(_events(spark, sf, since), places(spark, sf), stamp(spark, sf))
 
 
 def hourly_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Two overlapping pulls: even events early on, all events from the 14th later."""
-    events, customers = _events(spark, sf, False), places(spark, sf)
+    events, customers = _events(spark, sf), places(spark, sf)
     start = datetime(2024, 1, 14)
     first = events.where(F.col("event_id") % 2 == 0)
     second = events.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
@@ -234,15 +237,15 @@ def firewall_rows(events: DataFrame, *more: Column) -> DataFrame:
 
 
 def firewall_events(
-    spark: SparkSession, sf: str, window_only: bool = False, placed: bool = True
+    spark: SparkSession, sf: str, since: str | None = None, placed: bool = True
 ) -> DataFrame:
-    """One row per event.
+    """One row per event; with ``since``, at least the rolling window before it.
 
     ``placed=False`` leaves out country and source, and with them the join: each
     event has exactly one customer, so the rows are the same.
     """
-    events = _events(spark, sf, window_only)
-    more = [T.iso_second(as_of(spark, sf)).alias("collected_at")]
+    events = _events(spark, sf, since)
+    more = [stamp(spark, sf).alias("collected_at")]
     if placed:
         events = events.join(places(spark, sf), "user_id")
         more += [F.col("n_name").alias("country"), F.col("c_mktsegment").alias("source")]
@@ -263,7 +266,7 @@ def firewall_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
 
 def request_details(spark: SparkSession, sf: str) -> DataFrame:
     """Grouped counts of two pulls; the bucket is the start of the pull."""
-    events = _events(spark, sf, False)
+    events = _events(spark, sf)
     cases = F.coalesce(*(F.when(F.col("event_type") == t, s) for t, s in STATUS.items()))
     per_user = (
         events.select(
@@ -385,7 +388,7 @@ def details_payload(spark: SparkSession, sf: str) -> DataFrame:
 def result_log(spark: SparkSession, sf: str) -> DataFrame:
     """Three runs of headline documents per model, six hours apart, each over the
     data up to its run time."""
-    now = as_of(spark, sf)
+    now = T.instant(as_of(spark, sf))
     steps = [F.make_dt_interval(F.lit(0), F.lit(h)) for h in (12, 6, 0)]
     runs = F.array(
         *(F.struct(F.lit(i).alias("seq"), T.iso_second(now - s).alias("run_at")) for i, s in enumerate(steps))

@@ -478,7 +478,9 @@ ORACLE: dict[str, str] = {
         FROM fe""",
     ),
     "stream_hourly_rollup": _with(EVENTS, HOURLY_SUMS),
-    "stream_upsert": _with(EVENTS, HOURLY_SUMS),
+    "stream_upsert": _with(
+        EVENTS, f"SELECT * REPLACE (coalesce(country, 'Unknown') AS country) FROM ({HOURLY_SUMS})"
+    ),
     "stream_dedupe": _with(
         FE_BATCHES, "SELECT collected_at, event_datetime, action, ray_name FROM firsts"
     ),

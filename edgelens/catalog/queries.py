@@ -31,13 +31,13 @@ def query(fn: Query) -> Query:
 
 
 def _recent_hourly(spark: SparkSession, sf: str) -> DataFrame:
-    ht = M.hourly_traffic(spark, sf, window_only=True)
-    return windows.rolling_window(ht, "bucket", M.as_of(spark, sf))
+    now = M.as_of(spark, sf)
+    return windows.rolling_window(M.hourly_traffic(spark, sf, now), "bucket", now)
 
 
 def _recent_firewall(spark: SparkSession, sf: str, placed: bool = True) -> DataFrame:
-    fe = M.firewall_events(spark, sf, window_only=True, placed=placed)
-    return windows.rolling_window(fe, "event_datetime", M.as_of(spark, sf))
+    now = M.as_of(spark, sf)
+    return windows.rolling_window(M.firewall_events(spark, sf, now, placed), "event_datetime", now)
 
 
 def _clustered(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,9 +167,10 @@ def view_missing_defaults(spark, sf):
 
 @query
 def filter_open_interval(spark, sf):
-    fe = M.firewall_events(spark, sf, window_only=True, placed=False)
+    now = M.as_of(spark, sf)
+    fe = M.firewall_events(spark, sf, now, placed=False)
     kept = windows.open_interval(
-        fe, "event_datetime", M.as_of(spark, sf), hours_back=25, cap=feeds.FIREWALL_MAX_HOURS
+        fe, "event_datetime", now, hours_back=25, cap=feeds.FIREWALL_MAX_HOURS
     )
     return kept.select("event_datetime", "ray_name", "action", "client_ip")
 

@@ -63,6 +63,11 @@ def thousands(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Fixed-point text, rounded half-even on the exact binary value."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
+
+
 def severity(threat_ratio: Column, avg_requests: Column) -> Column:
     """Icon class of a persona card."""
     return (

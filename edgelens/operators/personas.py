@@ -26,7 +26,7 @@ FEATURES = ["country_code", "request_count", "bytes_total", "threats"]
 NAMING_QUANTILES = [0.25, 0.5, 0.9]
 TOP_COUNTRIES = 3
 
-POINTS_PER_TASK, POINTS_CACHED, PARALLEL_RESTARTS = 1_000_000, 20_000_000, 5
+POINTS_PER_TASK, POINTS_CACHED = 1_000_000, 20_000_000
 
 
 @dataclass
@@ -110,7 +110,7 @@ def fit(ht: DataFrame, min_rows: int = MIN_ROWS) -> Personas | None:
         return model.summary.trainingCost, seed, model
 
     # Each run caches the points for itself; large inputs run one after the other.
-    together = max(1, min(PARALLEL_RESTARTS, POINTS_CACHED // distinct))
+    together = max(1, min(RESTARTS, POINTS_CACHED // distinct))
     with ThreadPoolExecutor(together) as pool:
         runs = list(pool.map(inheritable_thread_target(spark)(run), range(SEED, SEED + RESTARTS)))
     best = min(runs, key=lambda r: r[:2])[2]

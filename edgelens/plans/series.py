@@ -56,7 +56,7 @@ def persona_cards(labelled: DataFrame) -> DataFrame:
         "label",
         N.severity(F.col("threat_ratio"), F.col("avg_requests")).alias("icon"),
         "size",
-        F.format_string("%.1f", "avg_requests").alias("avg_requests"),
+        N.fixed(F.col("avg_requests"), 1).alias("avg_requests"),
         "total_threats",
         F.array_join(names, ", ").alias("countries"),
     )
@@ -78,10 +78,10 @@ def anomaly_table(anomalies: DataFrame) -> DataFrame:
         "bucket",
         T.display(F.col("bucket")).alias("time_bucket"),
         N.thousands(F.col("total_requests")).alias("requests"),
-        F.format_string("%.1f MB", N.megabytes(F.col("total_bytes"))).alias("bandwidth"),
+        F.concat(N.fixed(N.megabytes(F.col("total_bytes")), 1), F.lit(" MB")).alias("bandwidth"),
         F.col("total_threats").alias("threats"),
         F.col("unique_countries").alias("countries"),
-        F.format_string("%.4f", "anomaly_score").alias("score"),
+        N.fixed(F.col("anomaly_score"), 4).alias("score"),
     )
 
 

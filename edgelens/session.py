@@ -59,3 +59,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, free of its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder. Unlike a checkpoint it has a known
+    size, which lets Catalyst choose the join strategy for it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types
 from edgelens import schemas as S
 from edgelens.functions import timetext as T
 from edgelens.operators import maintain
-from edgelens.session import checkpoint
+from edgelens.session import checkpoint, written
 
 # Table -> (schema, column that gives the date).
 TABLES = {
@@ -97,7 +97,7 @@ class Store:
         )
         return self.spark.read.schema(_with_date(schema)).parquet(path).select("dt").distinct()
 
-    def _complete(self, run_id: str, seq: int, written: list[tuple[str, DataFrame, bool]]) -> None:
+    def _complete(self, run_id: str, seq: int, done: list[tuple[str, DataFrame, bool]]) -> None:
         """Publish a run: one file, written last."""
         entries = [
             dates.select(
@@ -107,7 +107,7 @@ class Store:
                 F.lit(seq).cast("bigint").alias("seq"),
                 F.lit(is_base).alias("is_base"),
             )
-            for table, dates, is_base in written
+            for table, dates, is_base in done
         ]
         listing = reduce(DataFrame.unionByName, entries).coalesce(1)
         listing.write.mode("append").parquet(f"{self.root}/completed")
@@ -134,22 +134,22 @@ class Store:
         if seq is None:
             return False
         hourly, firewall, details = (
-            None if feed is None else checkpoint(feed) for feed in (hourly, firewall, details)
+            None if feed is None else written(feed, "batch") for feed in (hourly, firewall, details)
         )
-        written = []
+        done = []
         if hourly is not None and not hourly.isEmpty():
             dates = hourly.select(T.partition_date(F.col("bucket")).alias("dt")).distinct()
             stored = self.read("hourly_traffic", dates=dates).drop("dt")
             merged = maintain.upsert_hourly(stored, hourly)
-            written.append(("hourly_traffic", self._stage("hourly_traffic", run_id, merged), True))
+            done.append(("hourly_traffic", self._stage("hourly_traffic", run_id, merged), True))
         if firewall is not None and not firewall.isEmpty():
             fresh = maintain.new_events(self.read("firewall_events"), firewall)
-            written.append(("firewall_events", self._stage("firewall_events", run_id, fresh), False))
+            done.append(("firewall_events", self._stage("firewall_events", run_id, fresh), False))
         if details is not None and not details.isEmpty():
-            written.append(("request_details", self._stage("request_details", run_id, details), False))
-        if written:
-            self._complete(run_id, seq, written)
-        return bool(written)
+            done.append(("request_details", self._stage("request_details", run_id, details), False))
+        if done:
+            self._complete(run_id, seq, done)
+        return bool(done)
 
     def repair_hourly(self, run_id: str) -> bool:
         """Repair the dates that hold duplicate keys or NULL dimensions."""

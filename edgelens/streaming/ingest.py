@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from edgelens.functions import timetext as T
+from edgelens.operators.maintain import fill_null_dims
 from edgelens.sources.store import Store
 
 # Fixed value: hours may change this long after they end.
@@ -101,12 +102,14 @@ def write_totals(stream: DataFrame, checkpoint: str, path: str) -> str:
 def upsert_hours(stream: DataFrame, checkpoint: str, store: Store, run: str, mode: str = "update") -> None:
     """Overwrite the hours a batch changed (last write wins).
 
-    Rows without a write order of their own take the batch number.
+    Update mode sends running totals that must replace the ones before, so their
+    key may hold no NULL, and the batch number orders them. Append mode sends
+    pulled rows as they are.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        if "ingest_seq" not in batch.columns:
-            batch = batch.withColumn("ingest_seq", F.lit(number).cast("bigint"))
+        if mode == "update":
+            batch = fill_null_dims(batch).withColumn("ingest_seq", F.lit(number).cast("bigint"))
         store.load(f"{run}-{number:08d}", hourly=batch)
 
     run_available(stream, checkpoint, write, mode)

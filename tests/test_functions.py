@@ -88,3 +88,9 @@ def test_presentation_numbers(spark):
     assert one(spark, N.severity(F.lit(0.1), F.lit(100.5))) == "green"
     assert one(spark, N.severity(F.lit(0.1), F.lit(100.0))) == "blue"
     assert one(spark, N.ratio(F.lit(5), F.lit(0))) == 5.0
+
+
+@pytest.mark.parametrize("x", [25.15, 1.25, 0.05, 249.25, 1234567.06, -0.04375, 0.0])
+def test_fixed_point_text_rounds_like_printf(spark, x):
+    assert one(spark, N.fixed(F.lit(x), 1)) == "%.1f" % x
+    assert one(spark, N.fixed(F.lit(x), 4)) == "%.4f" % x

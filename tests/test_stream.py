@@ -55,12 +55,12 @@ def as_hours(frame):
 
 def test_changed_hours_overwrite_the_table(spark, landing, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
-    first = [r for r in FIRST if r[1]]
-    for part in (first, SECOND):
+    for part in (FIRST, SECOND, [("2024-01-01 11:30:00", None, 32)]):
         land(at(spark, *part), landing)
         ingest.upsert_hours(as_hours(hours(spark, landing, settled=True)), str(tmp_path / "cp"), store, "h")
     assert rows_of(store.read("hourly_traffic"), "bucket", "country", "request_count") == [
         ("2024-01-01T10:00:00Z", "US", 11),
+        ("2024-01-01T11:00:00Z", "Unknown", 36),
         ("2024-01-02T09:00:00Z", "DE", 16),
     ]
 
