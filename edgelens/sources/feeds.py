@@ -1,8 +1,9 @@
 """Nested feed responses flattened to table rows.
 
 Every function takes a frame with one response document per row in a text
-column and returns rows of one table. A response that lacks the feed, holds no
-zone or does not parse gives no rows. All steps are map-side: no shuffle.
+column and returns rows of one table, numbered in the order they were read. A
+response that lacks the feed, holds no zone or does not parse gives no rows. All
+steps are map-side: no shuffle. A stream is flattened batch by batch.
 """
 
 from __future__ import annotations
@@ -24,13 +25,9 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "payload")
 
 
-def stream_landing(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+def stream_landing(spark: SparkSession, path: str) -> DataFrame:
     """The same as an unbounded frame: files appear, rows follow."""
-    return (
-        spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
-        .text(path)
-        .withColumnRenamed("value", "payload")
-    )
+    return spark.readStream.text(path).withColumnRenamed("value", "payload")
 
 
 def _entries(landed: DataFrame, feed: str, keep: list[str]) -> DataFrame:
@@ -38,12 +35,15 @@ def _entries(landed: DataFrame, feed: str, keep: list[str]) -> DataFrame:
     doc = F.from_json("payload", S.payload_schema(feed))
     zones = doc.getField("data").getField("viewer").getField("zones")
     return landed.select(
-        F.monotonically_increasing_id().alias("line_no"),
         *keep,
         F.explode(F.get(zones, F.lit(0)).getField(feed)).alias("entry"),
     )
 
 
+def _read_order() -> Column:
+    return F.monotonically_increasing_id().alias("ingest_seq")
+
+
 def _stamp(as_of: datetime | str | Column) -> Column:
     return T.iso_second(T.instant(as_of)).alias("collected_at")
 
@@ -56,7 +56,6 @@ def flatten_hourly(landed: DataFrame, as_of: datetime | str | Column) -> DataFra
     """
     groups = _entries(landed, S.HOURLY_FEED, [])
     per_country = groups.select(
-        "line_no",
         F.col("entry.dimensions.datetime").alias("bucket"),
         F.col("entry.sum").alias("total"),
         F.col("entry.uniq.uniques").alias("uniques"),
@@ -80,7 +79,7 @@ def flatten_hourly(landed: DataFrame, as_of: datetime | str | Column) -> DataFra
         pick("bytes", "bytes").alias("bytes_total"),
         pick("threats", "threats").alias("threats"),
         F.when(no_countries, F.col("uniques")).otherwise(F.lit(0)).cast("bigint").alias("unique_visitors"),
-        F.col("line_no").alias("ingest_seq"),
+        _read_order(),
     )
 
 
@@ -103,7 +102,7 @@ def flatten_firewall(landed: DataFrame, as_of: datetime | str | Column) -> DataF
         _or_empty("ruleId", "rule_id"),
         _or_empty("source", "source"),
         F.col("entry.rayName").alias("ray_name"),
-        F.col("line_no").alias("ingest_seq"),
+        _read_order(),
     )
 
 
@@ -122,5 +121,5 @@ def flatten_details(
         F.col("entry.dimensions.edgeResponseStatus").alias("status_code"),
         _or_empty("dimensions.clientRequestPath", "path"),
         F.col("entry.count").alias("request_count"),
-        F.col("line_no").alias("ingest_seq"),
+        _read_order(),
     )

@@ -9,12 +9,14 @@ its own output.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from edgelens.functions import timetext as T
 from edgelens.operators.maintain import fill_null_dims
+from edgelens.sources import feeds
 from edgelens.sources.store import Store
 
 # Fixed value: hours may change this long after they end.
@@ -122,3 +124,25 @@ def insert_new_events(stream: DataFrame, checkpoint: str, store: Store, run: str
         store.load(f"{run}-{number:08d}", firewall=batch)
 
     run_available(stream, checkpoint, write)
+
+
+def load_landed(
+    store: Store, landing: str, checkpoint: str, as_of: datetime | str, details_from: Column, run: str
+) -> None:
+    """Load what landed since the last call, feed by feed, under the table rules.
+
+    Each feed keeps its own place, so feeds may arrive at different times;
+    ``jobs.collect`` is the form that loads the three of a pull together.
+    """
+    flatten = {
+        "hourly": lambda rows: feeds.flatten_hourly(rows, as_of),
+        "firewall": lambda rows: feeds.flatten_firewall(rows, as_of),
+        "details": lambda rows: feeds.flatten_details(rows, as_of, details_from),
+    }
+    for feed, rows_of in flatten.items():
+
+        def write(batch: DataFrame, number: int) -> None:
+            store.load(f"{run}-{feed}-{number:08d}", **{feed: rows_of(batch)})
+
+        landed = feeds.stream_landing(store.spark, f"{landing}/{feed}")
+        run_available(landed, f"{checkpoint}/{feed}", write)

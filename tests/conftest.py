@@ -15,7 +15,7 @@ TESTDATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark(tmp_path_factory):
     session = build_session(
         "tests",
-        "local[8]",
+        "local[8,4]",  # tasks are retried, as on a cluster
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "6g",

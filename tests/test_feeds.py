@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from edgelens import schemas as S
+from edgelens.operators.maintain import last_write_wins
 from edgelens.sources import feeds
 
 AS_OF = "2024-01-31T00:00:00Z"
@@ -98,3 +99,11 @@ def test_details_bucket_is_the_hour_the_window_starts(spark):
         ("2024-01-30T01:00:00Z", "", "", None, "", 2),
         ("2024-01-30T01:00:00Z", "US", "", 404, "/a", 3),
     ]
+
+
+def test_later_rows_of_a_response_win(spark):
+    doc = response(S.HOURLY_FEED, group("h1", [country("US", 1), country("DE", 5), country("US", 2)]), group("h1", [country("DE", 6)]))
+    rows = feeds.flatten_hourly(landed(spark, doc, response(S.HOURLY_FEED, group("h2", [country("US", 9)]))), AS_OF)
+    assert rows_of(last_write_wins(rows), "bucket", "country", "request_count") == [
+        ("h1", "DE", 6), ("h1", "US", 2), ("h2", "US", 9),
+    ]

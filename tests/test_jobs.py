@@ -53,7 +53,7 @@ def make_landing(folder):
                 S.FIREWALL_FEED,
                 [
                     {"action": rng.choice(["block", "challenge"]), "datetime": hours[i % len(hours)], "clientCountryName": "US",
-                     "clientRequestPath": f"/p{i % 20}", "userAgent": f"ua{i % 12}", "source": "waf", "rayName": f"r{i // 2}"}
+                     "clientRequestPath": f"/p{i % 40}", "userAgent": f"ua{i % 24}", "source": "waf", "rayName": f"r{i // 2}"}
                     for i in range(300)
                 ],
             )

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,33 @@ def test_append_reads_each_file_once(spark, landing, tmp_path):
         stream = ingest.stream_files(spark, landing, at(spark, *FIRST).schema, files=1)
         ingest.append_rows(stream, str(tmp_path / "cp"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_landed_responses_load_as_they_arrive(spark, tmp_path):
+    def respond(feed, name, entry):
+        folder = tmp_path / "landing" / name
+        folder.mkdir(parents=True, exist_ok=True)
+        text = json.dumps({"data": {"viewer": {"zones": [{feed: [entry]}]}}})
+        (folder / f"{len(list(folder.iterdir()))}.json").write_text(text + "\n")
+
+    def hour(n):
+        return {
+            "dimensions": {"datetime": "2024-01-01T00:00:00Z"},
+            "sum": {"requests": n, "bytes": 1, "threats": 0, "countryMap": []},
+            "uniq": {"uniques": 1},
+        }
+
+    store = Store(spark, str(tmp_path / "store"))
+    for n, as_of in ((5, "2024-01-01T06:00:00Z"), (7, "2024-01-01T12:00:00Z")):
+        respond(S.HOURLY_FEED, "hourly", hour(n))
+        respond(S.FIREWALL_FEED, "firewall", {"datetime": "2024-01-01T01:00:00Z", "rayName": "a", "action": str(n)})
+        respond(S.DETAILS_FEED, "details", {"count": n, "dimensions": {}})
+        start = F.lit("2023-12-31T07:30:00Z")
+        ingest.load_landed(store, str(tmp_path / "landing"), str(tmp_path / "cp"), as_of, start, "pull")
+    assert rows_of(store.read("hourly_traffic"), "collected_at", "country", "request_count") == [
+        ("2024-01-01T12:00:00Z", "Unknown", 7)
+    ]
+    assert rows_of(store.read("firewall_events"), "action") == [("5",)]
+    assert rows_of(store.read("request_details"), "bucket", "request_count") == [
+        ("2023-12-31T07:00:00Z", 5), ("2023-12-31T07:00:00Z", 7),
+    ]
