@@ -49,14 +49,19 @@ def with_k(events: DataFrame) -> DataFrame:
     return events.withColumn("k", F.regexp_extract("props", r'"k"\s*:\s*(\d+)', 1).cast("bigint"))
 
 
+def nations(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").select("n_nationkey", "n_name")
+
+
+def customers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment"
+    )
+
+
 def places(spark: SparkSession, sf: str) -> DataFrame:
     """Customer to nation; the join strategy is left to the size statistics."""
-    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    return (
-        table(spark, sf, "customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(F.col("c_custkey").alias("user_id"), "c_mktsegment", "n_nationkey", "n_name")
-    )
+    return customers(spark, sf).join(nations(spark, sf), "n_nationkey")
 
 
 def _seq(day: Column, hour: Column, nation: Column) -> Column:
@@ -87,12 +92,15 @@ def country() -> Column:
     return F.when(F.col("n_name") != "NATION_0", F.col("n_name"))
 
 
-def hourly_from_events(events: DataFrame, customers: DataFrame, collected_at: Column) -> DataFrame:
+def hourly_from_events(
+    events: DataFrame, users: DataFrame, names: DataFrame, collected_at: Column
+) -> DataFrame:
     """Hourly rows of an events frame.
 
     Events first combine per hour and user. A user with a large part of all
     events is then at most one row per hour when the join shuffles, and distinct
-    visitors become a plain count.
+    visitors become a plain count. Grouping is on numbers alone; nation names
+    come last, to the grouped rows.
     """
     sums = [F.sum(c).alias(c) for c in COUNTERS]
     per_user = (
@@ -101,9 +109,10 @@ def hourly_from_events(events: DataFrame, customers: DataFrame, collected_at: Co
         .agg(*sums)
     )
     return (
-        per_user.join(customers, "user_id")
-        .groupBy("day", "hour", "n_nationkey", "n_name")
+        per_user.join(users, "user_id")
+        .groupBy("day", "hour", "n_nationkey")
         .agg(*sums, F.count(F.lit(1)).alias("unique_visitors"))
+        .join(names, "n_nationkey")
         .withColumn("bucket", T.iso_from(F.col("day"), F.col("hour")))
         .select(
             collected_at.alias("collected_at"),
@@ -135,18 +144,19 @@ def as_hourly_rows(hours: DataFrame) -> DataFrame:
 
 def hourly_traffic(spark: SparkSession, sf: str, since: str | None = None) -> DataFrame:
     """The hourly table; with ``since``, at least the rolling window before it."""
-    return hourly_from_events(_events(spark, sf, since), places(spark, sf), stamp(spark, sf))
+    users, names = customers(spark, sf), nations(spark, sf)
+    return hourly_from_events(_events(spark, sf, since), users, names, stamp(spark, sf))
 
 
 def hourly_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Two overlapping pulls: even events early on, all events from the 14th later."""
-    events, customers = _events(spark, sf), places(spark, sf)
+    events, users, names = _events(spark, sf), customers(spark, sf), nations(spark, sf)
     start = datetime(2024, 1, 14)
     first = events.where(F.col("event_id") % 2 == 0)
     second = events.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     return (
-        hourly_from_events(first, customers, F.lit(PULL_2)),
-        hourly_from_events(second, customers, F.lit("2024-01-31T00:00:00Z")),
+        hourly_from_events(first, users, names, F.lit(PULL_2)),
+        hourly_from_events(second, users, names, F.lit("2024-01-31T00:00:00Z")),
     )
 
 
@@ -157,22 +167,20 @@ def hourly_from_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     join is all there is. A supplier with a large part of all lines is split by
     the runtime skew join where the join shuffles.
     """
-    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    suppliers = (
-        table(spark, sf, "supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", "n_nationkey", "n_name")
+    suppliers = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey")
     )
     returned = F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_quantity") / 8)).otherwise(0)
     return (
         table(spark, sf, "lineitem")
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(F.col("l_shipdate").alias("day"), "n_nationkey", "n_name")
+        .join(suppliers, "l_suppkey")
+        .groupBy(F.col("l_shipdate").alias("day"), "n_nationkey")
         .agg(
             F.sum(F.col("l_quantity").cast("bigint")).alias("request_count"),
             F.sum(F.floor(F.col("l_extendedprice") * 100)).alias("bytes_total"),
             F.sum(returned).alias("threats"),
         )
+        .join(nations(spark, sf), "n_nationkey")
         .select(
             T.iso_second(F.col("day")).alias("bucket"),
             F.col("n_name").alias("country"),
@@ -279,19 +287,16 @@ def request_details(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return (
-        per_user.join(places(spark, sf).select("user_id", "n_name"), "user_id")
+        per_user.join(customers(spark, sf), "user_id")
         .groupBy(
-            "bucket",
-            F.col("n_name").alias("country"),
-            _method(F.col("user_id")).alias("http_method"),
-            "status_code",
-            "path",
+            "bucket", "n_nationkey", _method(F.col("user_id")).alias("http_method"), "status_code", "path"
         )
         .agg(F.sum("n").alias("request_count"))
+        .join(nations(spark, sf), "n_nationkey")
         .select(
             F.lit(PULL_2).alias("collected_at"),
             "bucket",
-            "country",
+            F.col("n_name").alias("country"),
             "http_method",
             "status_code",
             "path",

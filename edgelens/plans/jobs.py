@@ -10,41 +10,54 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from edgelens.functions import timetext as T
 from edgelens.operators import rollups
-from edgelens.operators.windows import MIN_ROWS, WINDOW_DAYS, rolling_window
+from edgelens.operators.windows import MIN_ROWS, WINDOW_DAYS, cap_rows, open_interval, rolling_window
 from edgelens.plans import documents, series
-from edgelens.session import checkpoint, shared_folder
+from edgelens.session import checkpoint
 from edgelens.sources import feeds, results
 from edgelens.sources.store import Store
 
-LANDING = {"hourly": "hourly", "firewall": "firewall", "details": "details"}
-
 
 def _text(spark: SparkSession, column: Column) -> str:
     return spark.range(1).select(column).first()[0]
 
 
 def collect(
-    store: Store, landing: str, as_of: datetime | str, run_id: str, details_hours: int = 25
+    store: Store,
+    landing: str,
+    as_of: datetime | str,
+    run_id: str,
+    hours_back: int | None = None,
+    details_hours: int = 25,
+    cap: int | None = None,
 ) -> bool:
-    """Flatten the landed responses of one pull and load them, all or nothing."""
-    spark = store.spark
-    shared_folder(spark)
+    """Flatten the landed responses of one pull and load them, all or nothing.
+
+    Everything landed is loaded, unless ``hours_back`` asks for the hours strictly
+    before ``as_of`` (events reach back a day at most) or ``cap`` for the first
+    rows of each feed: the oldest hours and events, the largest request groups.
+    """
     store.repair_hourly(f"{run_id}-repair")
-    hours = min(details_hours, feeds.DETAILS_MAX_HOURS)
 
     def landed(feed: str) -> DataFrame | None:
-        path = f"{landing}/{LANDING[feed]}"
-        return feeds.read_landing(spark, path) if store._exists(path) else None
-
-    hourly, firewall, details = (landed(f) for f in LANDING)
-    return store.load(
-        run_id,
-        hourly=None if hourly is None else feeds.flatten_hourly(hourly, as_of),
-        firewall=None if firewall is None else feeds.flatten_firewall(firewall, as_of),
-        details=None
-        if details is None
-        else feeds.flatten_details(details, as_of, T.cutoff(as_of, hours=hours)),
-    )
+        path = f"{landing}/{feed}"
+        return feeds.read_landing(store.spark, path) if store.exists(path) else None
+
+    def recent(rows: DataFrame, time: str, longest: int | None = None) -> DataFrame:
+        if hours_back is not None:
+            rows = open_interval(rows, time, as_of, hours_back, longest)
+        return cap_rows(rows, cap, F.asc(time), F.asc("ingest_seq"))
+
+    hourly, firewall, details = (landed(feed) for feed in ("hourly", "firewall", "details"))
+    if hourly is not None:
+        hourly = recent(feeds.flatten_hourly(hourly, as_of), "bucket")
+    if firewall is not None:
+        firewall = feeds.flatten_firewall(firewall, as_of)
+        firewall = recent(firewall, "event_datetime", feeds.FIREWALL_MAX_HOURS)
+    if details is not None:
+        start = T.cutoff(as_of, hours=min(details_hours, feeds.DETAILS_MAX_HOURS))
+        details = feeds.flatten_details(details, as_of, start)
+        details = cap_rows(details, cap, F.desc("request_count"), F.asc("ingest_seq"))
+    return store.load(run_id, hourly=hourly, firewall=firewall, details=details)
 
 
 def analyze(
@@ -56,7 +69,6 @@ def analyze(
     its own, so one that fails does not take the others along.
     """
     spark = store.spark
-    shared_folder(spark)
     run_at = _text(spark, T.cutoff(as_of))
     since = _text(spark, T.date_of_iso(T.cutoff(as_of, days=WINDOW_DAYS)))
     store.repair_hourly(f"repair-{run_at.replace(':', '')}")

@@ -37,7 +37,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
+    def exists(self, path: str) -> bool:
         hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         conf = self.spark._jsc.hadoopConfiguration()
         return hadoop_path.getFileSystem(conf).exists(hadoop_path)
@@ -46,7 +46,7 @@ class Store:
 
     def manifest(self) -> DataFrame:
         path = f"{self.root}/completed"
-        if not self._exists(path):
+        if not self.exists(path):
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(path)
 
@@ -152,14 +152,14 @@ class Store:
         return bool(done)
 
     def repair_hourly(self, run_id: str) -> bool:
-        """Repair the dates that hold duplicate keys or NULL dimensions."""
-        ht = self.read("hourly_traffic")
-        bad = checkpoint(
-            maintain.duplicate_keys(ht)
-            .select(T.partition_date(F.col("bucket")).alias("dt"))
-            .unionByName(maintain.null_dims(ht).select("dt"))
-            .distinct()
-        )
+        """Repair the dates that hold NULL dimensions.
+
+        Whole keys are unique in this table, so keys that collide once NULL reads
+        as the default always involve a row with a NULL. That makes the search a
+        plain filter which Parquet statistics answer for clean files.
+        """
+        nulls = maintain.null_dims(self.read("hourly_traffic"))
+        bad = checkpoint(nulls.select("dt").distinct())
         if bad.isEmpty():
             return False
         rows = maintain.repair(self.read("hourly_traffic", dates=bad).drop("dt"))

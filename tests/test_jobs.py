@@ -173,3 +173,18 @@ def test_map_order_survives_json(spark):
     assert list(json.loads(log.first().result_json)["by_action"]) == ["c", "b", "a"]
     again = results.parsed(log, "firewall_analysis").select(F.posexplode("by_action"))
     assert [r.key for r in again.orderBy("pos").collect()] == ["c", "b", "a"]
+
+
+def test_a_pull_can_be_bounded(spark, tmp_path):
+    make_landing(str(tmp_path / "landing"))
+    store = Store(spark, str(tmp_path / "store"))
+    as_of = "2024-01-08T12:00:00Z"
+    jobs.collect(store, str(tmp_path / "landing"), as_of, "r1", hours_back=25)
+    hours = store.read("hourly_traffic").agg(F.min("bucket"), F.max("bucket")).first()
+    assert tuple(hours) == ("2024-01-07T12:00:00Z", "2024-01-08T11:00:00Z")
+    events = store.read("firewall_events").agg(F.min("event_datetime")).first()[0]
+    assert events >= "2024-01-07T13:00:00Z"
+    capped = Store(spark, str(tmp_path / "capped"))
+    jobs.collect(capped, str(tmp_path / "landing"), as_of, "r1", cap=10)
+    assert capped.read("hourly_traffic").count() == 10
+    assert capped.read("hourly_traffic").agg(F.max("bucket")).first()[0] == "2024-01-01T02:00:00Z"
