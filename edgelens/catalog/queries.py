@@ -415,7 +415,7 @@ CODED = ["country_code", "request_count", "bytes_total", "threats"]
 
 def _coded(spark: SparkSession, sf: str) -> DataFrame:
     rows = features.cluster_input(M.hourly_traffic(spark, sf))
-    return rows.join(features.category_codes(rows, "country", "country_code"), "country")
+    return features.with_codes(rows, "country", "country_code")
 
 
 @query

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from edgelens.session import written
+
 
 def cluster_input(ht: DataFrame) -> DataFrame:
     """Rows to cluster: all history with a country, counters without NULL."""
@@ -16,13 +18,21 @@ def cluster_input(ht: DataFrame) -> DataFrame:
 def category_codes(df: DataFrame, column: str, code: str) -> DataFrame:
     """Distinct values with their 0-based place in sorted order.
 
-    The ranking runs over distinct values only; callers join it back and leave
-    the join strategy to the size statistics.
+    The ranking runs over distinct values only.
     """
     values = df.where(F.col(column).isNotNull()).select(column).distinct()
     return values.withColumn(code, F.row_number().over(Window.orderBy(column)) - 1)
 
 
+def with_codes(df: DataFrame, column: str, code: str) -> DataFrame:
+    """Rows with the code of their category.
+
+    The codes are written first. Their size is then known, so Catalyst can see
+    whether it may broadcast them and leave the rows where they are.
+    """
+    return df.join(written(category_codes(df, column, code), "codes"), column)
+
+
 def spread(df: DataFrame, columns: list[str]) -> Column:
     """Mean and population deviation of each column, one scalar subquery."""
     return df.agg(

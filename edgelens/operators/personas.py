@@ -16,11 +16,12 @@ from edgelens.functions import numeric as N
 from edgelens.operators import features as X
 from edgelens.operators.rollups import exact_quantiles
 from edgelens.operators.windows import MIN_ROWS
-from edgelens.session import checkpoint
+from edgelens.session import checkpoint, written
 
 # Restarts, seed, iteration limit of the fit; it has settled when the
 # squared moves of all centres, in units of the feature variance, add up to this.
 RESTARTS, SEED, MAX_ITER, SETTLED = 10, 42, 300, 1e-4
+KEY = ["country", "request_count", "bytes_total", "threats"]
 FEATURES = ["country_code", "request_count", "bytes_total", "threats"]
 # Quantiles that the naming rules compare with.
 NAMING_QUANTILES = [0.25, 0.5, 0.9]
@@ -40,63 +41,51 @@ class Personas:
 
 
 def _points(ht: DataFrame) -> DataFrame:
-    """Equal rows collapsed to one weighted point, with its standard scores.
+    """Equal rows collapsed to one weighted point.
 
     K-Means over weighted points has the same objective as over the rows, and
     all later sums work from the points, so the table is read once for the fit.
     """
-    return X.cluster_input(ht).groupBy("country", "request_count", "bytes_total", "threats").agg(
-        F.count(F.lit(1)).alias("weight")
-    )
+    return X.cluster_input(ht).groupBy(*KEY).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def _scaled(points: DataFrame) -> DataFrame:
-    codes = X.category_codes(points, "country", "country_code")
-    coded = points.join(codes, "country")
-    w = F.col("weight")
-    mean = coded.agg(
-        F.struct(*(F.try_divide(F.sum(F.col(c) * w), F.sum(w)).alias(f"{c}_mean") for c in FEATURES))
-    ).scalar()
-    centred = coded.select("*", *((F.col(c) - mean.getField(f"{c}_mean")).alias(f"{c}_d") for c in FEATURES))
-    std = centred.agg(
-        F.struct(
-            *(
-                F.sqrt(F.try_divide(F.sum(F.col(f"{c}_d") * F.col(f"{c}_d") * w), F.sum(w))).alias(f"{c}_std")
-                for c in FEATURES
-            )
-        )
-    ).scalar()
+    """Points with the standard score of each feature, weights counted as rows.
+
+    Means come first and deviations from them second, which keeps the digits
+    that a sum of squares would lose; each is one row of four numbers.
+    """
+    coded = X.with_codes(points, "country", "country_code")
+    total = F.sum("weight")
+    means = coded.agg(*(F.sum(F.col(c) * F.col("weight")) / total for c in FEATURES)).first()
+    gaps = [F.col(c) - F.lit(float(m)) for c, m in zip(FEATURES, means)]
+    stds = coded.agg(*(F.sqrt(F.sum(g * g * F.col("weight")) / total) for g in gaps)).first()
     scores = [
-        F.when(std.getField(f"{c}_std") > 0, F.col(f"{c}_d") / std.getField(f"{c}_std"))
-        .otherwise(0.0)
-        .alias(f"{c}_z")
-        for c in FEATURES
+        (g / F.lit(float(s)) if s > 0 else F.lit(0.0)).alias(f"{c}_z")
+        for c, g, s in zip(FEATURES, gaps, stds)
     ]
-    return centred.select(
-        "country", "request_count", "bytes_total", "threats", F.col("weight").cast("double").alias("weight"), *scores
-    )
+    return coded.select(*KEY, F.col("weight").cast("double").alias("weight"), *scores)
 
 
 def fit(ht: DataFrame, min_rows: int = MIN_ROWS) -> Personas | None:
     """Best of ten K-Means runs; nothing below ``min_rows`` rows.
 
-    Points are checkpointed to the shared folder, so a lost executor costs a
-    re-read and not a rebuild. They are laid out by hash into a number of parts
+    Points are kept in the shared folder, so a lost executor costs a re-read and
+    not a rebuild. They are laid out by hash into a number of parts
     that depends on their count alone and sorted within each, which makes the
     choice of start centres the same for any shuffle setting.
     """
     spark = ht.sparkSession
-    points = checkpoint(_points(ht))
+    points = written(_points(ht), "points")
     rows, distinct = points.agg(F.sum("weight"), F.count(F.lit(1))).first()
     if not rows or rows < min_rows:
         return None
-    key = ["country", "request_count", "bytes_total", "threats"]
     data = checkpoint(
         VectorAssembler(inputCols=[f"{c}_z" for c in FEATURES], outputCol="features")
         .transform(_scaled(points))
-        .select(*key, "weight", "features")
-        .repartition(-(-distinct // POINTS_PER_TASK), *key)
-        .sortWithinPartitions(*key)
+        .select(*KEY, "weight", "features")
+        .repartition(-(-distinct // POINTS_PER_TASK), *KEY)
+        .sortWithinPartitions(*KEY)
     )
     k = min(max(2, rows // 20), 6)
     # Spark bounds the move of each single centre.
@@ -120,7 +109,7 @@ def fit(ht: DataFrame, min_rows: int = MIN_ROWS) -> Personas | None:
     )
     assigned = checkpoint(
         best.transform(data).select(
-            *key,
+            *KEY,
             F.col("weight").cast("bigint").alias("weight"),
             F.col("prediction").alias("cluster"),
             F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b).alias("gap"),
@@ -144,8 +133,8 @@ def measures(assigned: DataFrame, weight: str | None = None) -> DataFrame:
     )
 
 
-def _added(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "requests", "bytes", "threats")))
+def _added(rows: DataFrame, *KEYs: str) -> DataFrame:
+    return rows.groupBy(*KEYs).agg(*(F.sum(c).alias(c) for c in ("n", "requests", "bytes", "threats")))
 
 
 def profiles(rows: DataFrame) -> DataFrame:

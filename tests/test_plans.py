@@ -128,7 +128,8 @@ def test_hot_key_survives(spark, events):
     assert kept.where("ray_name = ''").first().ingest_seq == 1
 
 
-def test_codes_join_follows_size(spark, hourly):
+def test_codes_leave_the_rows_where_they_are(spark, hourly):
     rows = features.cluster_input(hourly(("b", "US", 1), ("b", "DE", 2)))
-    joined = rows.join(features.category_codes(rows, "country", "code"), "country")
-    assert "ResolvedHint" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    coded = features.with_codes(rows, "country", "code")
+    assert "BroadcastHashJoin" in plan(coded) and "Exchange hashpartitioning" not in plan(coded)
+    assert sorted((r.country, r.code) for r in coded.collect()) == [("DE", 0), ("US", 1)]
