@@ -142,7 +142,7 @@ def scalar_json_roundtrip(spark, sf):
             for m, (_, schema) in S.RESULTS.items()
         )
     )
-    doc = F.from_json("result_json", S._struct(("by_action", S.COUNT_MAP), ("inertia", S.D)))
+    doc = F.from_json("result_json", "by_action map<string, bigint>, inertia double")
     names = F.coalesce(F.map_keys(doc["by_action"]), F.array().cast("array<string>"))
     return log.select(
         "run_at",
