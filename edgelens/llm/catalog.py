@@ -5,14 +5,37 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from edgelens.llm import token_counts
+from edgelens.llm import decontaminate, mixing, sharding, simhash, token_counts
 from edgelens.llm.common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {"op9_token_counts": op9_token_counts}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_sharding": op3_sharding,
+    "op5_decontaminate": op5_decontaminate,
+    "op8_mixing": op8_mixing,
+    "op9_token_counts": op9_token_counts,
+}
 ORACLE: dict[str, str] = {}
