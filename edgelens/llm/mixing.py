@@ -8,8 +8,9 @@ times: the whole part for certain, the rest is an inclusion probability.
 Samples are balanced on documents and words. The flight moves three probabilities at a
 time along the one direction that changes neither total, until one of them is 0 or 1;
 so at most two of a cell stay open. Cells of at most about ``CELL`` documents fly side by
-side, what they leave open flies on in fewer cells, and when a source is down to one
-cell the last two documents land where its words come nearest the target.
+side, and what they leave open flies on in fewer cells. When a source is down to one
+cell, ``LANDING`` documents of all lengths wait; with the two left open they are the
+landing problem, settled so that the totals come nearest to what they should be.
 
 Sizes are words (runs outside ASCII blanks); null text has none. Random choices hang on
 hashes of the documents, so reruns and other partitionings agree. Rows that agree in
@@ -20,6 +21,7 @@ gives no rows.
 from __future__ import annotations
 
 import random
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -32,6 +34,10 @@ SHARE = 1.5
 MOST = 2.0
 CELL = 4096
 SEED = 17
+# Documents of all lengths that a source's last cell leaves to the landing, and the
+# weight of words against documents there.
+LANDING = 12
+WORDS_FIRST = 8.0
 # Probabilities this near to 0 or 1 are there.
 NEAR = 1e-9
 
@@ -88,33 +94,36 @@ def flight(sizes: list[float], chances: list[float], draw: random.Random) -> lis
     return chances
 
 
-def land(sizes: list[float], chances: list[float], missing: float) -> list[float]:
-    """Settle the open ones so that the words come nearest to their expectation."""
-    spots = [i for i, p in enumerate(chances) if 0.0 < p < 1.0]
-    wanted = sum(sizes[i] * chances[i] for i in spots) + missing
-    docs = sum(chances[i] for i in spots)
-
-    def miss(choice: int) -> tuple[float, float]:
-        picked = [i for at, i in enumerate(spots) if choice >> at & 1]
-        return abs(sum(sizes[i] for i in picked) - wanted), abs(len(picked) - docs)
+def land(sizes: list[float], chances: list[float]) -> list[float]:
+    """Settle the open ones, near to what they are expected to give.
 
-    best = min(range(1 << len(spots)), key=miss)
+    All choices are weighed: the miss in words, in average documents, counts
+    ``WORDS_FIRST`` times the miss in documents.
+    """
+    spots = [i for i, p in enumerate(chances) if 0.0 < p < 1.0]
+    size, chance = np.array([sizes[i] for i in spots]), np.array([chances[i] for i in spots])
+    choice = np.arange(1 << len(spots))[:, None] >> np.arange(len(spots)) & 1
+    words = np.abs(choice @ size - chance @ size) / max(float(np.mean(sizes)), 1.0)
+    docs = np.abs(choice.sum(axis=1) - chance.sum())
+    best = choice[int(np.argmin(WORDS_FIRST * words + docs))]
     out = list(chances)
-    for at, i in enumerate(spots):
-        out[i] = float(best >> at & 1)
+    for i, taken in zip(spots, best.tolist(), strict=True):
+        out[i] = float(taken)
     return out
 
 
 def _fly(batch: pd.DataFrame) -> pd.DataFrame:
-    # Long documents fly first, so that short ones stay open for the landing.
+    # Long documents fly first, so that short ones stay open.
     batch = batch.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], ignore_index=True)
-    first = batch.iloc[0]
+    first, n = batch.iloc[0], len(batch)
     draw = random.Random(f"{SEED} {first['place']} {first['cell']} {first['level']}")
-    sizes = batch["size"].astype(float).tolist()
-    chances = flight(sizes, batch["chance"].tolist(), draw)
-    if first["last"]:
-        chances = land(sizes, chances, 0.0)
-    batch["chance"] = chances
+    sizes, chances = batch["size"].astype(float).tolist(), batch["chance"].tolist()
+    waiting = set(range(0, n, -(-n // LANDING))) if first["last"] else set()
+    flying = [i for i in range(n) if i not in waiting]
+    moved = flight([sizes[i] for i in flying], [chances[i] for i in flying], draw)
+    for i, p in zip(flying, moved, strict=True):
+        chances[i] = p
+    batch["chance"] = land(sizes, chances) if first["last"] else chances
     return batch
 
 
