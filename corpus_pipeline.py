@@ -1,6 +1,64 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+A stage takes all rows its predecessor kept and returns rows with the columns of
+``documents``; the last one returns the shards. Every stage handles nulls in any
+column, empty and long texts, repeated rows, empty tables and further columns as its
+operator in ``edgelens.llm`` states.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from edgelens.llm import decontaminate, mixing, quality, sharding, simhash
+from edgelens.llm.common import table
+from edgelens.session import written
+
+# Two stages fit models or tables, so their results are not SQL; the tests compare
+# every stage with a brute-force version on a small fixture.
 ORACLE_SQL = None
-STAGES: list = []
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the quality classifier accepts."""
+    return quality.good_only(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of near duplicates."""
+    return simhash.firsts_only(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth are benchmark passages."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the mix, each as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row of the mix."""
+    return sharding.shard(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_good),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", assign_shards),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the rows between stages are tables."""
+    docs = table(spark, sf_dir, "documents")
+    *earlier, (_, last) = STAGES
+    for name, stage in earlier:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return last(spark, docs, sf_dir)

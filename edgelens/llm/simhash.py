@@ -117,6 +117,15 @@ def groups(prints: DataFrame) -> DataFrame:
     return parted.join(joined, "print", "left").select("print", F.coalesce("group", "print").alias("group"))
 
 
+def labelled_prints(rows: DataFrame, name: str, doc_id: str) -> DataFrame:
+    """Columns ``print`` and ``smallest``, the smallest doc_id of the print's group."""
+    firsts = rows.groupBy(F.col(name).alias("print")).agg(F.min(doc_id).alias("first"))
+    firsts = written(firsts, "prints")
+    members = firsts.join(groups(firsts.select("print")), "print")
+    smallest = members.groupBy("group").agg(F.min("first").alias("smallest"))
+    return members.join(smallest, "group").select("print", "smallest")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with a fingerprint and the smallest doc_id reachable over links.
 
@@ -126,10 +135,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     name, component = fresh(docs, "fingerprint"), fresh(docs, "component_id")
     rows = written(with_fingerprint(docs, text, name), "fingerprints")
-    firsts = rows.groupBy(F.col(name).alias("print")).agg(F.min(doc_id).alias("first"))
-    firsts = written(firsts, "prints")
-    members = firsts.join(groups(firsts.select("print")), "print")
-    smallest = members.groupBy("group").agg(F.min("first").alias("smallest"))
-    labels = members.join(smallest, "group").select(F.col("print").alias(name), F.col("smallest").alias(component))
+    labels = labelled_prints(rows, name, doc_id).toDF(name, component)
     digits = F.lower(F.lpad(F.hex(F.col(name)), 16, "0"))
     return rows.join(labels, name).withColumn(name, digits).select(*docs.columns, name, component)
+
+
+def firsts_only(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group, that of smallest doc_id, with all its columns.
+
+    Rows that repeat this doc_id count as one document. A group without any doc_id
+    keeps one row too.
+    """
+    name, key = fresh(docs, "print"), fresh(docs, "key")
+    named = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    prints = with_fingerprint(named.select(doc_id, key, text), text, name)
+    rows = written(prints.select(F.col(doc_id).alias("id"), F.col(key).alias("key"), F.col(name).alias("print")), "prints")
+    kept = rows.join(labelled_prints(rows, "print", "id"), "print").where(F.col("id").eqNullSafe(F.col("smallest")))
+    # A named group keeps one row of its name, a nameless one a row of its prints' least.
+    nameless = kept.where(F.col("id").isNull()).select("key", "print").distinct()
+    winners = kept.where(F.col("id").isNotNull()).groupBy("key").agg(F.min("print").alias("print")).unionByName(nameless)
+    winners = written(winners.toDF(key, name), "winners")
+    full = with_fingerprint(named, text, name)
+    return full.join(winners, [key, name]).dropDuplicates([key, name]).select(*docs.columns)
