@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Bytes of one batch handed to a Python worker; bounds its memory for long texts.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 # Words as the contracts define them: runs of bytes outside ASCII blanks.

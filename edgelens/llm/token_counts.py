@@ -16,6 +16,7 @@ separate documents. An empty table gives no rows.
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,6 +25,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from edgelens.llm.common import bound_batches, byte_count
 from edgelens.session import written
@@ -31,7 +33,7 @@ from edgelens.session import written
 HEAD = 1 << 18
 HEAD_BYTES = 64
 # Distinct pre-tokens a task holds before it passes their counts on.
-HELD = 200_000
+HELD = 100_000
 # Fixed value: the split rule of byte-level BPE files.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -56,7 +58,7 @@ def pre_tokens(definition: str):
     the pattern here, which is several times faster. For other characters the
     tables of the two pattern libraries differ, so the tokenizer's own splitter does it.
     """
-    specials, splitter = special_strings(definition), Tokenizer.from_str(definition).pre_tokenizer
+    specials, splitter = special_strings(definition), ByteLevel(add_prefix_space=False, use_regex=True)
     split, other = regex.compile(SPLIT), regex.compile(r"[^\x00-\u052F\u2000-\u206F]")
     longest_first = sorted(specials, key=len, reverse=True)
     cut = regex.compile("|".join(map(regex.escape, longest_first)) or r"(?!)")
@@ -100,11 +102,11 @@ def corpus_pieces(docs: DataFrame, definition: Broadcast, text: str) -> DataFram
         yield passed_on()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         tokenizer = Tokenizer.from_str(definition.value)
         for batch in batches:
-            codes = tokenizer.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            sizes = pa.array([len(c.ids) for c in codes], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sizes], names=["piece", "times", "n"])
+            sizes = [len(tokenizer.encode(p, add_special_tokens=False)) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=["piece", "times", "n"])
 
     distinct = (
         docs.select(text).mapInArrow(found, "piece string, times bigint").groupBy("piece").agg(F.sum("times").alias("times"))
