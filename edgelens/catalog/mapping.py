@@ -93,25 +93,27 @@ def country() -> Column:
 
 
 def hourly_from_events(
-    events: DataFrame, users: DataFrame, names: DataFrame, collected_at: Column
+    events: DataFrame, users: DataFrame, names: DataFrame, collected_at: Column, visitors: bool = True
 ) -> DataFrame:
     """Hourly rows of an events frame.
 
-    Events first combine per hour and user. A user with a large part of all
-    events is then at most one row per hour when the join shuffles, and distinct
-    visitors become a plain count. Grouping is on numbers alone; nation names
-    come last, to the grouped rows.
+    With distinct visitors, events first combine per hour and user. A user with a
+    large part of all events is then at most one row per hour when the join shuffles,
+    and distinct visitors become a plain count. Without (``visitors=False``, no such
+    column), events join as they are and one map-side combined aggregation is all; a
+    busy user is split by the runtime skew join where that join shuffles. Grouping is
+    on numbers alone; nation names come last, to the grouped rows.
     """
     sums = [F.sum(c).alias(c) for c in COUNTERS]
-    per_user = (
-        events.select(*T.day_and_hour(F.col("ts")), "user_id", *event_counters())
-        .groupBy("day", "hour", "user_id")
-        .agg(*sums)
-    )
+    rows = events.select(*T.day_and_hour(F.col("ts")), "user_id", *event_counters())
+    counted = []
+    if visitors:
+        rows = rows.groupBy("day", "hour", "user_id").agg(*sums)
+        counted = [F.count(F.lit(1)).alias("unique_visitors")]
     return (
-        per_user.join(users, "user_id")
+        rows.join(users, "user_id")
         .groupBy("day", "hour", "n_nationkey")
-        .agg(*sums, F.count(F.lit(1)).alias("unique_visitors"))
+        .agg(*sums, *counted)
         .join(names, "n_nationkey")
         .withColumn("bucket", T.iso_from(F.col("day"), F.col("hour")))
         .select(
@@ -122,7 +124,7 @@ def hourly_from_events(
             F.lit(0).alias("status_code"),
             F.lit("").alias("content_type"),
             *COUNTERS,
-            "unique_visitors",
+            *(["unique_visitors"] if visitors else []),
             _seq(F.col("day"), F.col("hour"), F.col("n_nationkey")).alias("ingest_seq"),
         )
     )
@@ -142,10 +144,18 @@ def as_hourly_rows(hours: DataFrame) -> DataFrame:
     )
 
 
-def hourly_traffic(spark: SparkSession, sf: str, since: str | None = None) -> DataFrame:
+def hourly_traffic(
+    spark: SparkSession, sf: str, since: str | None = None, visitors: bool = True
+) -> DataFrame:
     """The hourly table; with ``since``, at least the rolling window before it."""
     users, names = customers(spark, sf), nations(spark, sf)
-    return hourly_from_events(_events(spark, sf, since), users, names, stamp(spark, sf))
+    collected_at = stamp(spark, sf) if since is None else T.iso_second(T.instant(since))
+    return hourly_from_events(_events(spark, sf, since), users, names, collected_at, visitors)
+
+
+def hourly_sums(spark: SparkSession, sf: str, since: str | None = None) -> DataFrame:
+    """The hourly table without its distinct visitors, for all that never reads them."""
+    return hourly_traffic(spark, sf, since, visitors=False)
 
 
 def hourly_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -260,6 +270,44 @@ def firewall_events(
     return firewall_rows(events, *more)
 
 
+def event_counts(spark: SparkSession, sf: str, since: str) -> DataFrame:
+    """Country and source with the number ``n`` of events of the rolling window.
+
+    Events count per user before they join, so a busy user is one row there.
+    """
+    second = T.iso_second(F.col("ts"))
+    recent = _events(spark, sf, since).where(second >= T.cutoff(since, days=WINDOW_DAYS))
+    per_user = recent.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_user.join(places(spark, sf), "user_id").select(
+        F.col("n_name").alias("country"), F.col("c_mktsegment").alias("source"), "n"
+    )
+
+
+def separated(ht: DataFrame) -> DataFrame:
+    """Hourly rows moved into six tight groups that any correct clustering finds."""
+    g = F.col("ingest_seq") % 6
+    return ht.where(F.col("country").isNotNull()).withColumns(
+        {
+            "country": F.concat(F.lit("G"), g.cast("string")),
+            "request_count": (g + 1) * 100_000 + F.col("request_count") % 7,
+            "bytes_total": (g + 1) * 1_000_000,
+            "threats": g * g * 3000,
+        }
+    )
+
+
+def spiked(hours: DataFrame) -> DataFrame:
+    """Hourly totals with the two busiest hours multiplied, so that they stand out."""
+    busiest = hours.orderBy(F.desc("total_requests"), "bucket").limit(2)
+    marks = busiest.select("bucket", F.lit(1000).alias("times"))
+    times = F.coalesce("times", F.lit(1))
+    return hours.join(marks, "bucket", "left").select(
+        "bucket",
+        *((F.col(c) * times).alias(c) for c in ("total_requests", "total_bytes", "total_threats")),
+        "unique_countries",
+    )
+
+
 def firewall_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Events before the 16th, and events from the 14th on marked ``late``."""
     fe = firewall_events(spark, sf)

@@ -258,8 +258,7 @@ ORACLE: dict[str, str] = {
     "result_log_append": _with(LOG, "SELECT run_at, model_name, result_type, ingest_seq FROM log"),
     "latest_result_per_model": _with(
         LOG,
-        """SELECT model_name, run_at, result_type, headline FROM log
-        QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY run_at DESC) = 1""",
+        "SELECT model_name, run_at, result_type, headline FROM log WHERE ingest_seq = 2",
     ),
     "scalar_json_roundtrip": _with(
         LOG,
@@ -270,10 +269,13 @@ ORACLE: dict[str, str] = {
     ),
     "view_missing_defaults": _with(
         LOG,
-        """SELECT model_name, model_name IN ('summary', 'firewall_analysis') AS has_result,
+        """SELECT 'partial' AS log, model_name, model_name IN ('summary', 'firewall_analysis') AS has_result,
           CASE WHEN model_name IN ('summary', 'firewall_analysis') THEN run_at ELSE '' END AS run_at,
-          CASE WHEN model_name IN ('summary', 'firewall_analysis') THEN headline ELSE 0 END AS headline
-        FROM log WHERE ingest_seq = 2""",
+          CASE WHEN model_name IN ('summary', 'firewall_analysis') THEN headline ELSE 0 END AS headline,
+          CAST(0 AS BIGINT) AS listed
+        FROM log WHERE ingest_seq = 2
+        UNION ALL SELECT 'absent', model_name, false, '', 0, 0 FROM log WHERE ingest_seq = 2
+        UNION ALL SELECT 'absent', 'cards', false, '', 0, 0""",
     ),
     "filter_open_interval": _with(
         FE,
@@ -386,8 +388,32 @@ ORACLE: dict[str, str] = {
     "dedupe_hourly_keep_first": _with(
         DIRTY,
         """SELECT bucket, country, http_method, status_code, content_type, request_count, ingest_seq FROM dirty
-        WHERE ingest_seq IN (SELECT min(ingest_seq) FROM dirty GROUP BY bucket, coalesce(country, ''),
-                             coalesce(http_method, ''), coalesce(status_code, 0))""",
+        QUALIFY row_number() OVER (PARTITION BY bucket, coalesce(country, ''), coalesce(http_method, ''),
+                                   coalesce(status_code, 0) ORDER BY collected_at, ingest_seq) = 1""",
+    ),
+    "upsert_across_runs": _with(
+        HT,
+        """SELECT CASE WHEN substr(bucket, 12, 2) < '06' THEN '2024-02-01T00:00:00Z' ELSE '2024-02-02T00:00:00Z' END
+          AS collected_at, bucket, country,
+          request_count + CASE WHEN substr(bucket, 12, 2) < '06' THEN 2 ELSE 1 END AS request_count
+        FROM ht WHERE country IS NOT NULL""",
+    ),
+    "repair_across_runs": _with(
+        HT,
+        """SELECT bucket, CASE WHEN country = 'NATION_1' THEN 'Unknown' ELSE coalesce(country, 'Unknown') END AS country,
+          '' AS http_method, CAST(sum(request_count) AS BIGINT) AS request_count
+        FROM ht GROUP BY ALL""",
+    ),
+    "src_landing_order": _with(
+        HT + "," + FALLBACK, "SELECT bucket, country, request_count, bytes_total FROM flat"
+    ),
+    "src_rejected": _with(
+        HT,
+        """SELECT hour, CASE hour WHEN '08' THEN 'not json' WHEN '10' THEN 'not json' WHEN '11' THEN 'wrong type'
+            ELSE 'loaded' END AS reason,
+          CASE hour WHEN '10' THEN 3 ELSE 1 END * count(DISTINCT bucket) AS responses
+        FROM (SELECT substr(bucket, 12, 2) AS hour, bucket FROM ht)
+        WHERE hour NOT IN ('06', '07', '09') GROUP BY hour""",
     ),
     "duplicate_keys": _with(
         DIRTY,
@@ -481,7 +507,107 @@ ORACLE: dict[str, str] = {
     "stream_upsert": _with(
         EVENTS, f"SELECT * REPLACE (coalesce(country, 'Unknown') AS country) FROM ({HOURLY_SUMS})"
     ),
+    "stream_upsert_unknown": _with(
+        EVENTS,
+        f"""SELECT bucket, CASE WHEN country = 'NATION_1' THEN 'Unknown' ELSE coalesce(country, 'Unknown') END AS country,
+          CAST(sum(request_count) AS BIGINT) AS request_count, CAST(sum(bytes_total) AS BIGINT) AS bytes_total,
+          CAST(sum(threats) AS BIGINT) AS threats FROM ({HOURLY_SUMS}) GROUP BY ALL""",
+    ),
     "stream_dedupe": _with(
         FE_BATCHES, "SELECT collected_at, event_datetime, action, ray_name FROM firsts"
     ),
 }
+
+SEPARATED = (
+    EVENTS
+    + ","
+    + hourly("plain")
+    + """,
+ht AS (SELECT 'G' || (ingest_seq % 6) AS country, (ingest_seq % 6 + 1) * 100000 + request_count % 7 AS request_count,
+              (ingest_seq % 6 + 1) * 1000000 AS bytes_total, (ingest_seq % 6) * (ingest_seq % 6) * 3000 AS threats,
+              ingest_seq
+       FROM plain WHERE country IS NOT NULL)"""
+)
+BY_GROUP = LABELS[len(HT) :].replace(
+    """CAST(CASE WHEN threats * 5 > request_count THEN 5
+                           ELSE least(4, request_count // 45) END AS INT)""",
+    "CAST(ingest_seq % 6 AS INT)",
+)
+SPIKED = (
+    HOURS
+    + """,
+spiked AS (SELECT bucket, total_requests * m AS total_requests, total_bytes * m AS total_bytes,
+                  total_threats * m AS total_threats, unique_countries, m > 1 AS marked
+           FROM (SELECT *, CASE WHEN row_number() OVER (ORDER BY total_requests DESC, bucket) <= 2
+                                THEN 1000 ELSE 1 END AS m FROM hours))"""
+)
+LISTED = FE + "".join(
+    f""",
+{name} AS (SELECT '{name}' AS list, CAST(row_number() OVER (ORDER BY count(*) DESC, {column}) - 1 AS INT) AS place,
+           {column} AS value, count(*) AS count FROM recent_fe GROUP BY {column} ORDER BY place LIMIT {limit})"""
+    for name, column, limit in (
+        ("by_action", "action", 1000000),
+        ("by_source", "source", 1000000),
+        ("top_paths", "request_path", 15),
+        ("top_countries", "country", 10),
+        ("top_user_agents", "user_agent", 10),
+    )
+)
+PERSONA_DOC = """SELECT {clusters}, CAST((SELECT count(*) FROM cl) AS BIGINT) AS total_rows_analyzed,
+  {own} size, avg_requests, avg_bytes, total_threats, threat_ratio, label,
+  (SELECT string_agg(country, ', ' ORDER BY place) FROM tops WHERE tops.cluster = labelled.cluster) AS top_countries
+  FROM labelled"""
+
+ORACLE |= {
+    "persona_kmeans": _with(
+        SEPARATED + BY_GROUP, PERSONA_DOC.format(clusters="CAST(6 AS INT) AS n_clusters", own=""), recursive=True
+    ),
+    "anomaly_isolation_forest": _with(
+        SPIKED,
+        """SELECT bucket, total_requests, total_bytes, total_threats, unique_countries
+        FROM spiked WHERE marked""",
+    ),
+    "series_traffic_marked": _with(
+        SPIKED,
+        """SELECT bucket, strftime(strptime(bucket, '%Y-%m-%dT%H:%M:%SZ'), '%b %-d, %-I%p') AS axis_label, total_requests,
+          marked AS is_anomaly, CASE WHEN marked THEN 'red' ELSE 'blue' END AS colour FROM spiked""",
+    ),
+    "doc_summary": _with(HT, SUMMARY),
+    "doc_geo": _with(
+        GEO,
+        """SELECT total_countries, total_requests,
+          CAST(row_number() OVER (ORDER BY requests DESC, country) - 1 AS INT) AS place,
+          country, requests, bytes, threats, pct, threat_pct AS threat_ratio FROM geo""",
+    ),
+    "doc_firewall": _with(
+        LISTED,
+        """SELECT (SELECT count(*) FROM recent_fe) AS total_events, * FROM (
+          SELECT * FROM by_action UNION ALL SELECT * FROM by_source UNION ALL SELECT * FROM top_paths
+          UNION ALL SELECT * FROM top_countries UNION ALL SELECT * FROM top_user_agents)""",
+    ),
+    "action_shares": _with(LISTED, "SELECT place AS position, value AS action, count FROM by_action"),
+    "doc_persona": _with(
+        LABELS,
+        PERSONA_DOC.format(
+            clusters="CAST((SELECT count(*) FROM labelled) AS INT) AS n_clusters", own="cluster AS cluster_id,"
+        ),
+        recursive=True,
+    ),
+    "doc_anomaly_header": _with(
+        HOURS,
+        """SELECT count(*) AS total_buckets_analyzed, least(0.1::DOUBLE, 2.0::DOUBLE / count(*)) AS contamination_rate,
+          round(avg(total_requests), 6) AS baseline_mean_requests,
+          round(stddev_samp(total_requests), 6) AS baseline_std_requests FROM hours""",
+    ),
+    "view_anomaly_header": _with(
+        HOURS,
+        """SELECT count(*) AS total_buckets_analyzed, CAST(2 AS INT) AS anomalies_found,
+          printf('%.0f', avg(total_requests)) AS baseline_mean, printf('%.0f', stddev_samp(total_requests)) AS baseline_std
+        FROM hours""",
+    ),
+    "view_persona_header": _with(
+        PERSONAS,
+        """SELECT CAST((SELECT count(*) FROM pr) AS INT) AS n_clusters,
+          format('{:,}', count(*)) AS rows_trained_on FROM cl""",
+    ),
+}

@@ -65,7 +65,8 @@ def thousands(n: Column) -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """Fixed-point text, rounded half-even on the exact binary value."""
-    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", x, F.lit(pattern))
 
 
 def severity(threat_ratio: Column, avg_requests: Column) -> Column:

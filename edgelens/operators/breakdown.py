@@ -16,12 +16,18 @@ BREAKDOWN_LIMITS = {
 }
 
 
-def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
-    """Occurrences per non-NULL value, most frequent first, ties by value."""
+def value_counts(
+    df: DataFrame, column: str, top: int | None = None, weight: str | None = None
+) -> DataFrame:
+    """Occurrences per non-NULL value, most frequent first, ties by value.
+
+    ``weight`` is a column that says how many equal rows a row stands for.
+    """
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = (
         df.where(F.col(column).isNotNull())
         .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(n.alias("count"))
         .orderBy(F.desc("count"), column)
     )
     return counts if top is None else counts.limit(top)

@@ -76,19 +76,16 @@ def sample(rows: DataFrame, key: str, total: int) -> DataFrame:
 
     A threshold on the hash cuts the fan-out to an expected ``OVERSAMPLE`` times
     what is needed before rows are emitted, so it stays at trees x 1,024 rows for
-    any input size. The exact cut then ranks what is left. A threshold that left
-    fewer than ``SAMPLE`` rows for a tree is out of reach: the expectation is four
-    times that.
+    any input size; up to that many rows it lets every draw pass. The exact cut then
+    ranks what is left. ``fit`` checks that no tree got fewer rows than it should.
     """
-    span = float(2**63)
-    share = min(1.0, OVERSAMPLE * SAMPLE / max(total, 1))
+    passing = min(2**64, 2**64 * OVERSAMPLE * SAMPLE // max(total, 1))
+    ceiling = passing - 2**63 - 1
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
         lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col(key), t, F.lit(SEED)).alias("draw")),
     )
-    if share < 1.0:
-        ceiling = int(-span + share * 2 * span)
-        draws = F.filter(draws, lambda d: d["draw"] < ceiling)
+    draws = F.filter(draws, lambda d: d["draw"] <= ceiling)
     order = Window.partitionBy("tree").orderBy("draw", "row_key")
     return (
         rows.select(F.col(key).alias("row_key"), *FEATURES, F.explode(draws).alias("d"))
@@ -102,7 +99,11 @@ def sample(rows: DataFrame, key: str, total: int) -> DataFrame:
 def fit(rows: DataFrame, key: str, total: int) -> pd.DataFrame:
     """Node table of the forest. Its size is bounded by trees and sample size."""
     grown = sample(rows, key, total).groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
-    return grown.toPandas().sort_values(["tree", "node"], ignore_index=True)
+    nodes = grown.toPandas().sort_values(["tree", "node"], ignore_index=True)
+    roots = nodes.loc[nodes["depth"] == 0, "size"]
+    if len(roots) != TREES or (roots != min(SAMPLE, total)).any():
+        raise RuntimeError("the hash threshold left a tree fewer rows than its sample")
+    return nodes
 
 
 def scorer(nodes: pd.DataFrame, sample_size: int):

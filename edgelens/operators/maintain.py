@@ -30,17 +30,35 @@ def _split_null_keys(df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFram
     return df.where(~_any_null(key)), df.where(_any_null(key))
 
 
+def write_order(df: DataFrame) -> list[str]:
+    """Columns that order rows by when they were written.
+
+    The arrival comes first: run, then landed file. Frames that never went through a
+    load have none and fall back to the pull time and their own numbering.
+    """
+    return [c for c in ("arrival", "collected_at", "ingest_seq") if c in df.columns]
+
+
 def upsert_hourly(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Last write wins per (bucket, country, method, status)."""
-    return last_write_wins(stored.unionByName(batch))
+    """Last write wins per (bucket, country, method, status).
+
+    A row of the batch replaces a stored one whatever the two say about their time;
+    within the batch the later row wins.
+    """
+    side = F.lit(0), F.lit(1)
+    both = stored.withColumn("_side", side[0]).unionByName(
+        batch.withColumn("_side", side[1]), allowMissingColumns=True
+    )
+    return last_write_wins(both, "_side").drop("_side")
 
 
-def last_write_wins(rows: DataFrame) -> DataFrame:
+def last_write_wins(rows: DataFrame, *first: str) -> DataFrame:
+    """Latest row per hourly key, by the columns ``first`` and then the write order."""
     filled = rows.where(F.col("bucket").isNotNull()).withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in COUNTERS}
     )
     keyed, loose = _split_null_keys(filled, HOURLY_KEY)
-    newest = _one_per_key(keyed, HOURLY_KEY, F.desc("collected_at"), F.desc("ingest_seq"))
+    newest = _one_per_key(keyed, HOURLY_KEY, *map(F.desc, (*first, *write_order(rows))))
     return newest.unionByName(loose)
 
 
@@ -48,7 +66,7 @@ def first_write_wins(rows: DataFrame) -> DataFrame:
     """Earliest row per event id; events without an id all stay."""
     valid = rows.where(F.col("event_datetime").isNotNull())
     keyed, loose = _split_null_keys(valid, FIREWALL_KEY)
-    earliest = _one_per_key(keyed, FIREWALL_KEY, F.asc("collected_at"), F.asc("ingest_seq"))
+    earliest = _one_per_key(keyed, FIREWALL_KEY, *map(F.asc, write_order(rows)))
     return earliest.unionByName(loose)
 
 
@@ -66,7 +84,7 @@ def new_events(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def insert_events(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    return stored.unionByName(new_events(stored, batch))
+    return stored.unionByName(new_events(stored, batch), allowMissingColumns=True)
 
 
 def append_details(stored: DataFrame, batch: DataFrame, dedupe: bool = False) -> DataFrame:
@@ -75,7 +93,7 @@ def append_details(stored: DataFrame, batch: DataFrame, dedupe: bool = False) ->
     if not dedupe:
         return rows
     key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in DETAILS_KEY]
-    return _one_per_key(rows, key, F.desc("collected_at"), F.desc("ingest_seq"))
+    return _one_per_key(rows, key, *map(F.desc, write_order(rows)))
 
 
 def _repair_key() -> list[Column]:
@@ -100,7 +118,7 @@ def duplicate_keys(ht: DataFrame) -> DataFrame:
 
 def keep_first(ht: DataFrame) -> DataFrame:
     """Earliest row per hourly key when NULL reads as the default."""
-    return _one_per_key(ht, _repair_key(), F.asc("ingest_seq"))
+    return _one_per_key(ht, _repair_key(), *map(F.asc, write_order(ht)))
 
 
 def fill_null_dims(ht: DataFrame) -> DataFrame:
@@ -120,5 +138,15 @@ def null_dims(ht: DataFrame) -> DataFrame:
 
 
 def repair(ht: DataFrame) -> DataFrame:
-    """Duplicates out, NULLs filled, and the key unique again after the fill."""
-    return last_write_wins(fill_null_dims(keep_first(ht)))
+    """Duplicates out, NULLs filled, and the key unique again after the fill.
+
+    Filling can give a row without country the key of an ``Unknown`` row of the same
+    hour. Both were measured, so the two add up; the earlier one lends the rest.
+    """
+    filled = fill_null_dims(keep_first(ht))
+    named = [c for c in filled.columns if c not in COUNTERS]
+    alike = F.min(F.struct(*write_order(filled), *(F.col(c).alias(f"_{c}") for c in named)))
+    sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).cast("bigint").alias(c) for c in COUNTERS]
+    added = filled.groupBy(*HOURLY_KEY).agg(alike.alias("_row"), *sums)
+    rest = [F.col(f"_row._{c}").alias(c) for c in named if c not in HOURLY_KEY]
+    return added.select(*HOURLY_KEY, *rest, *COUNTERS).select(*ht.columns)

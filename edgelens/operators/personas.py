@@ -6,7 +6,7 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -27,7 +27,8 @@ FEATURES = ["country_code", "request_count", "bytes_total", "threats"]
 NAMING_QUANTILES = [0.25, 0.5, 0.9]
 TOP_COUNTRIES = 3
 
-POINTS_PER_TASK, POINTS_CACHED = 1_000_000, 20_000_000
+# Points of a part, and parts at least: the layout hangs on the points alone.
+POINTS_PER_TASK, LEAST_PARTS = 100_000, 8
 
 
 @dataclass
@@ -73,7 +74,8 @@ def fit(ht: DataFrame, min_rows: int = MIN_ROWS) -> Personas | None:
     Points are kept in the shared folder, so a lost executor costs a re-read and
     not a rebuild. They are laid out by hash into a number of parts
     that depends on their count alone and sorted within each, which makes the
-    choice of start centres the same for any shuffle setting.
+    choice of start centres the same for any shuffle setting. One cached copy serves
+    all ten runs.
     """
     spark = ht.sparkSession
     points = written(_points(ht), "points")
@@ -84,9 +86,9 @@ def fit(ht: DataFrame, min_rows: int = MIN_ROWS) -> Personas | None:
         VectorAssembler(inputCols=[f"{c}_z" for c in FEATURES], outputCol="features")
         .transform(_scaled(points))
         .select(*KEY, "weight", "features")
-        .repartition(-(-distinct // POINTS_PER_TASK), *KEY)
+        .repartition(max(LEAST_PARTS, -(-distinct // POINTS_PER_TASK)), *KEY)
         .sortWithinPartitions(*KEY)
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     k = min(max(2, rows // 20), 6)
     # Spark bounds the move of each single centre.
     move = math.sqrt(SETTLED / k)
@@ -98,9 +100,8 @@ def fit(ht: DataFrame, min_rows: int = MIN_ROWS) -> Personas | None:
         model = kmeans.fit(data)
         return model.summary.trainingCost, seed, model
 
-    # Each run caches the points for itself; large inputs run one after the other.
-    together = max(1, min(RESTARTS, POINTS_CACHED // distinct))
-    with ThreadPoolExecutor(together) as pool:
+    # All runs read the one cached copy; a fit makes its own only of an uncached input.
+    with ThreadPoolExecutor(RESTARTS) as pool:
         runs = list(pool.map(inheritable_thread_target(spark)(run), range(SEED, SEED + RESTARTS)))
     best = min(runs, key=lambda r: r[:2])[2]
     centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in best.clusterCenters()))
@@ -115,6 +116,7 @@ def fit(ht: DataFrame, min_rows: int = MIN_ROWS) -> Personas | None:
             F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b).alias("gap"),
         )
     )
+    data.unpersist()
     inertia = assigned.agg(F.sum(F.col("gap") * F.col("weight"))).first()[0]
     return Personas(assigned.drop("gap"), k, int(rows), float(inertia))
 

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from edgelens import schemas as S
 from edgelens.functions import timetext as T
 from edgelens.operators import rollups
 from edgelens.operators.windows import MIN_ROWS, WINDOW_DAYS, cap_rows, open_interval, rolling_window
 from edgelens.plans import documents, series
 from edgelens.session import checkpoint
 from edgelens.sources import feeds, results
-from edgelens.sources.store import Store
+from edgelens.sources.store import TABLES, Store
+from edgelens.streaming import ingest
+
+
+FEED_FOLDERS = {S.HOURLY_FEED: "hourly", S.FIREWALL_FEED: "firewall", S.DETAILS_FEED: "details"}
 
 
 def _text(spark: SparkSession, column: Column) -> str:
@@ -29,25 +35,33 @@ def collect(
     hours_back: int | None = None,
     details_hours: int = 25,
     cap: int | None = None,
+    strict: bool = False,
 ) -> bool:
     """Flatten the landed responses of one pull and load them, all or nothing.
 
     Everything landed is loaded, unless ``hours_back`` asks for the hours strictly
     before ``as_of`` (events reach back a day at most) or ``cap`` for the first
     rows of each feed: the oldest hours and events, the largest request groups.
+    Responses that cannot be read are published under ``rejected``; with ``strict``
+    they stop the run before anything is loaded.
     """
-    store.repair_hourly(f"{run_id}-repair")
+    store.repair_hourly()
 
     def landed(feed: str) -> DataFrame | None:
         path = f"{landing}/{feed}"
         return feeds.read_landing(store.spark, path) if store.exists(path) else None
 
+    responses = {name: landed(folder) for name, folder in FEED_FOLDERS.items()}
+    unread = [feeds.rejected(rows, name) for name, rows in responses.items() if rows is not None]
+    if unread and (n := store.reject(run_id, reduce(DataFrame.unionByName, unread))) and strict:
+        raise ValueError(f"{n} responses of run {run_id} cannot be read, see {store.root}/rejected")
+
     def recent(rows: DataFrame, time: str, longest: int | None = None) -> DataFrame:
         if hours_back is not None:
             rows = open_interval(rows, time, as_of, hours_back, longest)
         return cap_rows(rows, cap, F.asc(time), F.asc("ingest_seq"))
 
-    hourly, firewall, details = (landed(feed) for feed in ("hourly", "firewall", "details"))
+    hourly, firewall, details = responses.values()
     if hourly is not None:
         hourly = recent(feeds.flatten_hourly(hourly, as_of), "bucket")
     if firewall is not None:
@@ -71,7 +85,8 @@ def analyze(
     spark = store.spark
     run_at = _text(spark, T.cutoff(as_of))
     since = _text(spark, T.date_of_iso(T.cutoff(as_of, days=WINDOW_DAYS)))
-    store.repair_hourly(f"repair-{run_at.replace(':', '')}")
+    store.repair_hourly()
+    seq = results.next_seq(spark, log_path)
     ht, fe = store.read("hourly_traffic"), store.read("firewall_events")
     recent_ht = store.read("hourly_traffic", since=since)
     recent_fe = store.read("firewall_events", since=since)
@@ -85,7 +100,7 @@ def analyze(
 
     def build(model: str) -> DataFrame | None:
         document = builders[model]()
-        return None if document is None else checkpoint(results.to_log(document, model, run_at))
+        return None if document is None else checkpoint(results.to_log(document, model, run_at, seq))
 
     with ThreadPoolExecutor(len(builders)) as pool:
         pending = {m: pool.submit(inheritable_thread_target(spark)(build), m) for m in builders}
@@ -108,10 +123,11 @@ def present(store: Store, log_path: str, as_of: datetime | str) -> dict[str, Dat
     """The presentation tables, from the newest documents and the live series."""
     spark = store.spark
     since = _text(spark, T.date_of_iso(T.cutoff(as_of, days=WINDOW_DAYS)))
-    latest = results.latest(results.read_log(spark, log_path))
+    log = results.read_log(spark, log_path)
+    latest = results.latest(log)
 
     def doc(model: str) -> DataFrame:
-        return results.parsed(latest, model)
+        return results.parsed_or_default(latest, model)
 
     recent = rolling_window(store.read("hourly_traffic", since=since), "bucket", as_of)
     flagged = doc("isolation_forest").select(F.inline("anomalies"))
@@ -139,10 +155,33 @@ def present(store: Store, log_path: str, as_of: datetime | str) -> dict[str, Dat
         "persona_bubbles": series.persona_bubbles(profiles),
         "anomaly_table": series.anomaly_table(flagged).orderBy("bucket"),
         "action_shares": series.action_shares(doc("firewall_analysis")),
-        "results": results.with_defaults(spark, results.read_log(spark, log_path)),
+        "persona_header": series.persona_header(doc("kmeans_traffic")),
+        "anomaly_header": series.anomaly_header(doc("isolation_forest")),
+        "results": results.with_defaults(spark, log),
     }
 
 
+def scheduled_run(
+    store: Store, landing: str, places: str, log_path: str, out: str, as_of: datetime | str, run_id: str
+) -> list[str]:
+    """One incremental run: load what landed since the last, analyze, publish, tidy up.
+
+    ``places`` is the folder in which each feed's stream keeps how far it has read.
+    """
+    start = T.cutoff(as_of, hours=feeds.DETAILS_MAX_HOURS)
+    store.repair_hourly()
+    present_feeds = {name for name in FEED_FOLDERS.values() if store.exists(f"{landing}/{name}")}
+    ingest.load_landed(store, landing, places, as_of, start, run_id, present_feeds)
+    analyze(store, log_path, as_of)
+    tables = present(store, log_path, as_of)
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{out}/{name}")
+    for table in TABLES:
+        store.compact_fragmented(table, f"compact-{table}-{run_id}")
+    store.drop_superseded()
+    return sorted(tables)
+
+
 def full_run(
     store: Store, landing: str, log_path: str, out: str, as_of: datetime | str, run_id: str
 ) -> list[str]:

@@ -73,6 +73,21 @@ def persona_bubbles(labelled: DataFrame) -> DataFrame:
     )
 
 
+def persona_header(persona_doc: DataFrame) -> DataFrame:
+    """Clusters and rows behind the persona cards."""
+    return persona_doc.select("n_clusters", N.thousands(F.col("total_rows_analyzed")).alias("rows_trained_on"))
+
+
+def anomaly_header(anomaly_doc: DataFrame) -> DataFrame:
+    """What the anomaly table was found in."""
+    return anomaly_doc.select(
+        "total_buckets_analyzed",
+        "anomalies_found",
+        N.fixed(F.col("baseline_mean_requests"), 0).alias("baseline_mean"),
+        N.fixed(F.col("baseline_std_requests"), 0).alias("baseline_std"),
+    )
+
+
 def anomaly_table(anomalies: DataFrame) -> DataFrame:
     return anomalies.select(
         "bucket",

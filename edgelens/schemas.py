@@ -79,6 +79,12 @@ def payload_schema(feed: str) -> T.StructType:
 
 # --- tables ----------------------------------------------------------------
 
+# Where a row stands in the order of writing: the run's number first, then the landed
+# file by arrival. Within a file ``ingest_seq`` counts on.
+ARRIVAL = _struct(
+    ("run_seq", L), ("landed_at", T.TimestampType()), ("landed_file", S), ("landed_block", L)
+)
+
 HOURLY_TRAFFIC = _struct(
     ("collected_at", S),
     ("bucket", S),
@@ -91,6 +97,7 @@ HOURLY_TRAFFIC = _struct(
     ("threats", L),
     ("unique_visitors", L),
     ("ingest_seq", L),
+    ("arrival", ARRIVAL),
 )
 
 FIREWALL_EVENTS = _struct(
@@ -107,6 +114,7 @@ FIREWALL_EVENTS = _struct(
     ("source", S),
     ("ray_name", S),
     ("ingest_seq", L),
+    ("arrival", ARRIVAL),
 )
 
 REQUEST_DETAILS = _struct(
@@ -118,6 +126,7 @@ REQUEST_DETAILS = _struct(
     ("path", S),
     ("request_count", L),
     ("ingest_seq", L),
+    ("arrival", ARRIVAL),
 )
 
 ML_RESULTS = _struct(

@@ -17,7 +17,6 @@ def build_session(app: str = "edgelens", master: str | None = None, **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.parquet.aggregatePushdown", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
@@ -55,6 +54,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ours that nothing reads any more."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, free of its lineage."""
     shared_folder(df.sparkSession)

@@ -2,8 +2,9 @@
 
 Every function takes a frame with one response document per row in a text
 column and returns rows of one table, numbered in the order they were read. A
-response that lacks the feed, holds no zone or does not parse gives no rows. All
-steps are map-side: no shuffle. A stream is flattened batch by batch.
+response that lacks the feed or holds no zone gives no rows; one that cannot be read
+gives none either and is told by ``rejected``. All steps are map-side: no shuffle. A
+stream is flattened batch by batch.
 """
 
 from __future__ import annotations
@@ -21,27 +22,60 @@ DETAILS_MAX_HOURS = 23
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    """Landed responses, one JSON document per line, kept as text."""
-    return spark.read.text(path).withColumnRenamed("value", "payload")
+    """Landed responses, one JSON document per line, kept as text with their arrival."""
+    return spark.read.text(path).select(F.col("value").alias("payload"), _arrival())
 
 
 def stream_landing(spark: SparkSession, path: str) -> DataFrame:
     """The same as an unbounded frame: files appear, rows follow."""
-    return spark.readStream.text(path).withColumnRenamed("value", "payload")
+    return spark.readStream.text(path).select(F.col("value").alias("payload"), _arrival())
+
+
+def _arrival() -> Column:
+    """Order of landed files: by modification time, then path and block. Readers pack
+    files by size, so their own order says nothing."""
+    return F.struct(
+        F.lit(None).cast("bigint").alias("run_seq"),
+        F.col("_metadata.file_modification_time").alias("landed_at"),
+        F.col("_metadata.file_path").alias("landed_file"),
+        F.col("_metadata.file_block_start").alias("landed_block"),
+    ).alias("arrival")
+
+
+CORRUPT = "_corrupt_record"
+
+
+def _document(feed: str) -> Column:
+    schema = S.payload_schema(feed).add(CORRUPT, "string")
+    return F.from_json("payload", schema, {"columnNameOfCorruptRecord": CORRUPT})
+
+
+def rejected(landed: DataFrame, feed: str) -> DataFrame:
+    """Responses that give no rows because they cannot be read, with the reason.
+
+    ``not json`` is text that is no JSON document, such as the lines of a document
+    that spans several; ``wrong type`` is JSON in which a value has another type than
+    its field. A response without the feed is empty, not rejected.
+    """
+    document = F.rlike(F.trim("payload"), F.lit(r"^(?s)\{.*\}$")) & F.try_parse_json("payload").isNotNull()
+    reason = F.when(document, "wrong type").otherwise("not json")
+    bad = _document(feed).getField(CORRUPT).isNotNull()
+    written = F.trim("payload") != ""
+    return landed.where(bad & written).select(F.lit(feed).alias("feed"), reason.alias("reason"), *landed.columns)
 
 
 def _entries(landed: DataFrame, feed: str, keep: list[str]) -> DataFrame:
-    """One row per feed entry of the first zone."""
-    doc = F.from_json("payload", S.payload_schema(feed))
-    zones = doc.getField("data").getField("viewer").getField("zones")
-    return landed.select(
-        *keep,
-        F.explode(F.get(zones, F.lit(0)).getField(feed)).alias("entry"),
-    )
+    """One row per feed entry of the first zone of the responses that can be read."""
+    keep = keep + [c for c in landed.columns if c == "arrival"]
+    read = landed.select(*keep, _document(feed).alias("doc")).where(F.col(f"doc.{CORRUPT}").isNull())
+    names = [c for c in read.columns if c != "doc"]
+    return read.select(*names, F.explode(F.get("doc.data.viewer.zones", F.lit(0)).getField(feed)).alias("entry"))
 
 
-def _read_order() -> Column:
-    return F.monotonically_increasing_id().alias("ingest_seq")
+def _read_order(landed: DataFrame) -> list[Column]:
+    """Numbers that rise within a landed file, and the file's own arrival if known."""
+    arrival = [F.col("arrival")] if "arrival" in landed.columns else []
+    return [F.monotonically_increasing_id().alias("ingest_seq"), *arrival]
 
 
 def _stamp(as_of: datetime | str | Column) -> Column:
@@ -56,6 +90,7 @@ def flatten_hourly(landed: DataFrame, as_of: datetime | str | Column) -> DataFra
     """
     groups = _entries(landed, S.HOURLY_FEED, [])
     per_country = groups.select(
+        *(c for c in groups.columns if c == "arrival"),
         F.col("entry.dimensions.datetime").alias("bucket"),
         F.col("entry.sum").alias("total"),
         F.col("entry.uniq.uniques").alias("uniques"),
@@ -79,7 +114,7 @@ def flatten_hourly(landed: DataFrame, as_of: datetime | str | Column) -> DataFra
         pick("bytes", "bytes").alias("bytes_total"),
         pick("threats", "threats").alias("threats"),
         F.when(no_countries, F.col("uniques")).otherwise(F.lit(0)).cast("bigint").alias("unique_visitors"),
-        _read_order(),
+        *_read_order(landed),
     )
 
 
@@ -102,7 +137,7 @@ def flatten_firewall(landed: DataFrame, as_of: datetime | str | Column) -> DataF
         _or_empty("ruleId", "rule_id"),
         _or_empty("source", "source"),
         F.col("entry.rayName").alias("ray_name"),
-        _read_order(),
+        *_read_order(landed),
     )
 
 
@@ -121,5 +156,5 @@ def flatten_details(
         F.col("entry.dimensions.edgeResponseStatus").alias("status_code"),
         _or_empty("dimensions.clientRequestPath", "path"),
         F.col("entry.count").alias("request_count"),
-        _read_order(),
+        *_read_order(landed),
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from edgelens.schemas import ML_RESULTS, RESULTS
+from edgelens.session import exists
 
 LOG_COLUMNS = ML_RESULTS.fieldNames()
 
@@ -32,9 +33,18 @@ def append(log: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log; empty before the first analysis."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], ML_RESULTS)
     return spark.read.schema(ML_RESULTS).parquet(path).select(*LOG_COLUMNS)
 
 
+def next_seq(spark: SparkSession, path: str) -> int:
+    """Number of the next run of analyses; it rises whatever the run times are."""
+    newest = read_log(spark, path).agg(F.max("ingest_seq")).first()[0]
+    return 0 if newest is None else newest + 1
+
+
 def latest(log: DataFrame) -> DataFrame:
     """Newest row per model, all models in one pass."""
     newest = F.max_by(
@@ -53,13 +63,41 @@ def parsed(log: DataFrame, model: str) -> DataFrame:
     )
 
 
+def _empty(dtype: T.DataType) -> Column:
+    """The value a missing field shows: zero, no text, no list."""
+    if isinstance(dtype, T.ArrayType):
+        return F.array().cast(dtype)
+    if isinstance(dtype, T.MapType):
+        return F.create_map().cast(dtype)
+    return (F.lit("") if isinstance(dtype, T.StringType) else F.lit(0)).cast(dtype)
+
+
+def default_fields(model: str) -> dict[str, Column]:
+    return {f.name: _empty(f.dataType) for f in RESULTS[model][1]}
+
+
+def parsed_or_default(latest_rows: DataFrame, model: str) -> DataFrame:
+    """The one newest document of a model; zeros and empty lists before its first run."""
+    defaults = default_fields(model)
+    one = latest_rows.sparkSession.range(1).select(F.lit(model).alias("model_name"))
+    found = parsed(latest_rows, model)
+    shown = one.join(found.withColumn("model_name", F.lit(model)), "model_name", "left")
+    return shown.select(
+        F.coalesce("run_at", F.lit("")).alias("run_at"),
+        *(F.coalesce(F.col(c), empty).alias(c) for c, empty in defaults.items()),
+    )
+
+
 def with_defaults(spark: SparkSession, log: DataFrame) -> DataFrame:
     """One row per expected model; a missing result shows zeros and no lists."""
-    expected = spark.createDataFrame([(m,) for m in RESULTS], "model_name string")
+    shown = F.array(
+        *(F.struct(F.lit(m).alias("model_name"), document_json(m, default_fields(m)).alias("empty")) for m in RESULTS)
+    )
+    expected = spark.range(1).select(F.inline(shown))
     newest = latest(log)
     return expected.join(newest, "model_name", "left").select(
         "model_name",
         F.col("result_json").isNotNull().alias("has_result"),
-        F.coalesce("result_json", F.lit("{}")).alias("result_json"),
+        F.coalesce("result_json", "empty").alias("result_json"),
         F.coalesce("run_at", F.lit("")).alias("run_at"),
     )

@@ -11,6 +11,7 @@ One writer at a time, as the load is one scheduled job.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types
 from edgelens import schemas as S
 from edgelens.functions import timetext as T
 from edgelens.operators import maintain
-from edgelens.session import checkpoint, written
+from edgelens.session import checkpoint, delete, exists, scratch_path
 
 # Table -> (schema, column that gives the date).
 TABLES = {
@@ -26,6 +27,10 @@ TABLES = {
     "firewall_events": (S.FIREWALL_EVENTS, "event_datetime"),
     "request_details": (S.REQUEST_DETAILS, "bucket"),
 }
+# Runs named so are repairs.
+REPAIR = "repair-"
+# Folders of a date that are compacted into one.
+FRAGMENTS = 24
 MANIFEST = "table string, dt string, run_id string, seq bigint, is_base boolean"
 
 
@@ -38,9 +43,7 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def exists(self, path: str) -> bool:
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark._jsc.hadoopConfiguration()
-        return hadoop_path.getFileSystem(conf).exists(hadoop_path)
+        return exists(self.spark, path)
 
     # --- reading -----------------------------------------------------------
 
@@ -50,17 +53,19 @@ class Store:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(path)
 
-    def _live(self, table: str, since: str | None, dates: DataFrame | None) -> list[str]:
-        """Folders of a table: per date, the newest base and what follows it."""
+    def _entries(self, table: str, since: str | None, dates: DataFrame | None) -> DataFrame:
+        """Run and date of the folders of a table: per date, the newest base and what follows."""
         entries = self.manifest().where(F.col("table") == table)
         if since is not None:
             entries = entries.where(F.col("dt") >= since)
         if dates is not None:
             entries = entries.join(dates, "dt", "left_semi")
         base = F.max(F.when(F.col("is_base"), F.col("seq"))).over(Window.partitionBy("dt"))
-        kept = entries.withColumn("base", base).where(
-            F.col("base").isNull() | (F.col("seq") >= F.col("base"))
-        )
+        return entries.withColumn("base", base).where(F.col("base").isNull() | (F.col("seq") >= F.col("base")))
+
+    def _live(self, table: str, since: str | None, dates: DataFrame | None) -> list[str]:
+        """Folders of a table. Compaction bounds them by ``FRAGMENTS`` per date."""
+        kept = self._entries(table, since, dates)
         return sorted(
             f"{self.root}/{table}/run_id={r.run_id}/dt={r.dt}"
             for r in kept.select("run_id", "dt").collect()
@@ -119,6 +124,19 @@ class Store:
         )
         return None if seen else 0 if newest is None else newest + 1
 
+    @staticmethod
+    def _numbered(rows: DataFrame, seq: int) -> DataFrame:
+        """Rows with the run's number in front of their arrival."""
+        landed = F.col("arrival") if "arrival" in rows.columns else F.lit(None).cast(S.ARRIVAL)
+        parts = [landed.getField(f).alias(f) for f in S.ARRIVAL.fieldNames()[1:]]
+        return rows.withColumn("arrival", F.struct(F.lit(seq).cast("bigint").alias("run_seq"), *parts))
+
+    def reject(self, run_id: str, rows: DataFrame) -> int:
+        """Publish the responses of a run that could not be read; returns their number."""
+        path = f"{self.root}/rejected/run_id={run_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path).count()
+
     def load(
         self,
         run_id: str,
@@ -133,9 +151,31 @@ class Store:
         seq = self._next(run_id)
         if seq is None:
             return False
-        hourly, firewall, details = (
-            None if feed is None else written(feed, "batch") for feed in (hourly, firewall, details)
-        )
+        folder = scratch_path(self.spark, "batch")
+        try:
+            return self._load(run_id, seq, folder, hourly, firewall, details)
+        finally:
+            delete(self.spark, folder)
+
+    def _load(
+        self,
+        run_id: str,
+        seq: int,
+        folder: str,
+        hourly: DataFrame | None,
+        firewall: DataFrame | None,
+        details: DataFrame | None,
+    ) -> bool:
+        """``load`` with the feeds kept as tables of known size in ``folder``."""
+
+        def kept(feed: DataFrame | None, name: str) -> DataFrame | None:
+            if feed is None:
+                return None
+            rows = self._numbered(feed, seq)
+            rows.write.parquet(f"{folder}/{name}")
+            return self.spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+        hourly, firewall, details = kept(hourly, "hourly"), kept(firewall, "firewall"), kept(details, "details")
         done = []
         if hourly is not None and not hourly.isEmpty():
             dates = hourly.select(T.partition_date(F.col("bucket")).alias("dt")).distinct()
@@ -151,25 +191,56 @@ class Store:
             self._complete(run_id, seq, done)
         return bool(done)
 
-    def repair_hourly(self, run_id: str) -> bool:
-        """Repair the dates that hold NULL dimensions.
+    def repair_hourly(self, run_id: str | None = None) -> bool:
+        """Repair the dates that hold NULL dimensions; each repair is a run of its own.
+
+        Only dates written since the last repair are looked at.
 
         Whole keys are unique in this table, so keys that collide once NULL reads
         as the default always involve a row with a NULL. That makes the search a
         plain filter which Parquet statistics answer for clean files.
         """
-        nulls = maintain.null_dims(self.read("hourly_traffic"))
+        runs = self.manifest().where(F.col("table") == "hourly_traffic")
+        repaired = F.coalesce(F.max(F.when(F.startswith("run_id", F.lit(REPAIR)), F.col("seq"))), F.lit(-1))
+        since = runs.agg(repaired).first()[0]
+        touched = runs.where(F.col("seq") > since).select("dt").distinct()
+        nulls = maintain.null_dims(self.read("hourly_traffic", dates=touched))
         bad = checkpoint(nulls.select("dt").distinct())
         if bad.isEmpty():
             return False
         rows = maintain.repair(self.read("hourly_traffic", dates=bad).drop("dt"))
-        self._replace("hourly_traffic", run_id, rows)
+        self._replace("hourly_traffic", run_id or f"{REPAIR}{uuid.uuid4().hex}", rows)
         return True
 
     def compact(self, table: str, run_id: str, since: str | None = None) -> None:
         """Rewrite the dates of a table as one base each."""
         self._replace(table, run_id, self.read(table, since=since).drop("dt"))
 
+    def compact_fragmented(self, table: str, run_id: str, most: int = FRAGMENTS) -> bool:
+        """Compact the dates of a table that lie in more than ``most`` folders."""
+        live = self._entries(table, None, None).groupBy("dt").agg(F.count(F.lit(1)).alias("folders"))
+        dates = checkpoint(live.where(F.col("folders") > most).select("dt"))
+        if dates.isEmpty():
+            return False
+        self._replace(table, run_id, self.read(table, dates=dates).drop("dt"))
+        return True
+
+    def drop_superseded(self) -> int:
+        """Delete the folders that newer bases replaced; returns their number.
+
+        For the scheduled job, which is the one writer, when nothing reads older rows.
+        """
+        dropped = 0
+        for table in TABLES:
+            written = self.manifest().where(F.col("table") == table).select("run_id", "dt").distinct()
+            live = self._entries(table, None, None).select("run_id", "dt")
+            for r in written.join(live, ["run_id", "dt"], "left_anti").toLocalIterator():
+                path = f"{self.root}/{table}/run_id={r.run_id}/dt={r.dt}"
+                if self.exists(path):
+                    delete(self.spark, path)
+                    dropped += 1
+        return dropped
+
     def _replace(self, table: str, run_id: str, rows: DataFrame) -> None:
         seq = self._next(run_id)
         if seq is not None:

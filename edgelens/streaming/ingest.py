@@ -14,11 +14,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from edgelens import schemas as S
 from edgelens.functions import timetext as T
-from edgelens.operators.maintain import fill_null_dims
 from edgelens.sources import feeds
 from edgelens.sources.store import Store
 
+# The payload name of each feed.
+PAYLOADS = {"hourly": S.HOURLY_FEED, "firewall": S.FIREWALL_FEED, "details": S.DETAILS_FEED}
 # Fixed value: hours may change this long after they end.
 LATENESS = "25 hours"
 
@@ -78,8 +80,11 @@ def hourly_rollup(events: DataFrame, keys: list[str], measures: dict[str, Column
 
 
 def settled_hours(events: DataFrame, keys: list[str], measures: dict[str, Column]) -> DataFrame:
-    """The same with late events bounded: hours past the lateness are settled."""
-    return hourly_rollup(events.withWatermark("ts", LATENESS), keys, measures)
+    """The same for totals that overwrite stored hours: a key without value is
+    ``Unknown`` before anything is summed, so that both have one total, and hours past
+    the lateness are settled."""
+    named = events.withColumns({k: F.coalesce(F.col(k), F.lit("Unknown")) for k in keys})
+    return hourly_rollup(named.withWatermark("ts", LATENESS), keys, measures)
 
 
 def dedupe_recent(events: DataFrame, key: str = "ray_name") -> DataFrame:
@@ -105,13 +110,13 @@ def upsert_hours(stream: DataFrame, checkpoint: str, store: Store, run: str, mod
     """Overwrite the hours a batch changed (last write wins).
 
     Update mode sends running totals that must replace the ones before, so their
-    key may hold no NULL, and the batch number orders them. Append mode sends
-    pulled rows as they are.
+    key may hold no NULL (``settled_hours`` sees to that). Append mode sends pulled
+    rows as they are.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         if mode == "update":
-            batch = fill_null_dims(batch).withColumn("ingest_seq", F.lit(number).cast("bigint"))
+            batch = batch.withColumn("ingest_seq", F.lit(number).cast("bigint"))
         store.load(f"{run}-{number:08d}", hourly=batch)
 
     run_available(stream, checkpoint, write, mode)
@@ -127,10 +132,20 @@ def insert_new_events(stream: DataFrame, checkpoint: str, store: Store, run: str
 
 
 def load_landed(
-    store: Store, landing: str, checkpoint: str, as_of: datetime | str, details_from: Column, run: str
+    store: Store,
+    landing: str,
+    checkpoint: str,
+    as_of: datetime | str,
+    details_from: Column,
+    run: str,
+    only: set[str] | None = None,
 ) -> None:
     """Load what landed since the last call, feed by feed, under the table rules.
 
+    Batches carry the feed and their number in the name of their run, whatever ``run``
+    calls the pull; a batch that is replayed is skipped. Responses that cannot be read
+    are published under ``rejected``.
+
     Each feed keeps its own place, so feeds may arrive at different times;
     ``jobs.collect`` is the form that loads the three of a pull together.
     """
@@ -141,8 +156,13 @@ def load_landed(
     }
     for feed, rows_of in flatten.items():
 
+        if only is not None and feed not in only:
+            continue
+
         def write(batch: DataFrame, number: int) -> None:
-            store.load(f"{run}-{feed}-{number:08d}", **{feed: rows_of(batch)})
+            name = f"{run}-{feed}-{number:08d}"
+            store.reject(name, feeds.rejected(batch, PAYLOADS[feed]))
+            store.load(name, **{feed: rows_of(batch)})
 
         landed = feeds.stream_landing(store.spark, f"{landing}/{feed}")
         run_available(landed, f"{checkpoint}/{feed}", write)

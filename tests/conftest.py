@@ -61,6 +61,7 @@ def hourly(spark):
                     extra.get("threats", 0),
                     extra.get("unique_visitors", 0),
                     extra.get("ingest_seq", i),
+                    extra.get("arrival"),
                 )
             )
         return spark.createDataFrame(full, S.HOURLY_TRAFFIC)
@@ -74,7 +75,7 @@ def events(spark):
 
     def make(*rows, collected_at="2024-01-01T00:00:00Z"):
         full = [
-            (collected_at, at, action, "", "US", "", "GET", "/", "ua", "", "waf", ray, i)
+            (collected_at, at, action, "", "US", "", "GET", "/", "ua", "", "waf", ray, i, None)
             for i, (at, action, ray) in enumerate(rows)
         ]
         return spark.createDataFrame(full, S.FIREWALL_EVENTS)
@@ -86,7 +87,7 @@ def events(spark):
 def details(spark):
     def make(*rows, collected_at="2024-01-01T00:00:00Z"):
         full = [
-            (collected_at, bucket, country, "GET", status, path, count, i)
+            (collected_at, bucket, country, "GET", status, path, count, i, None)
             for i, (bucket, country, status, path, count) in enumerate(rows)
         ]
         return spark.createDataFrame(full, S.REQUEST_DETAILS)

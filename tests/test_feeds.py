@@ -107,3 +107,31 @@ def test_later_rows_of_a_response_win(spark):
     assert rows_of(last_write_wins(rows), "bucket", "country", "request_count") == [
         ("h1", "DE", 6), ("h1", "US", 2), ("h2", "US", 9),
     ]
+
+
+def test_rejected_responses_have_a_reason(spark):
+    good = response(S.HOURLY_FEED, group("h1", [country("US", 7)]))
+    wrong = json.dumps(good).replace("1000", "12.5")
+    lines = json.dumps(good, indent=1).split("\n")
+    rows = landed(spark, good, "no json", wrong, "", *lines, {"data": None})
+    bad = feeds.rejected(rows, S.HOURLY_FEED)
+    counts = {r.reason: r["count"] for r in bad.groupBy("reason").count().collect()}
+    assert counts["wrong type"] == 1 and counts["not json"] >= 1
+    assert sum(counts.values()) >= 2 + sum(line.strip() in ("{", "}") for line in lines)
+    assert rows_of(feeds.flatten_hourly(rows, AS_OF), "bucket", "request_count") == [("h1", 7)]
+
+
+def test_files_rank_by_arrival_not_by_size(spark, tmp_path):
+    import os
+
+    small = json.dumps(response(S.HOURLY_FEED, group("h1", [country("US", 10)])))
+    large = json.dumps(response(S.HOURLY_FEED, group("h1", [country("US", 20)]))) + " " * 5000
+    for first, last in ((small, large), (large, small)):
+        folder = tmp_path / f"{len(first)}"
+        folder.mkdir()
+        for i, text in enumerate((first, last)):
+            (folder / f"{i}.json").write_text(text)
+            os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+        rows = feeds.flatten_hourly(feeds.read_landing(spark, str(folder)), AS_OF)
+        expected = 20 if last is large else 10
+        assert rows_of(last_write_wins(rows), "request_count") == [(expected,)]

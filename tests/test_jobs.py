@@ -188,3 +188,46 @@ def test_a_pull_can_be_bounded(spark, tmp_path):
     jobs.collect(capped, str(tmp_path / "landing"), as_of, "r1", cap=10)
     assert capped.read("hourly_traffic").count() == 10
     assert capped.read("hourly_traffic").agg(F.max("bucket")).first()[0] == "2024-01-01T02:00:00Z"
+
+
+def test_presentation_without_any_result(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    tables = jobs.present(store, str(tmp_path / "log"), AS_OF)
+    cards = tables["header_cards"].collect()
+    assert len(cards) == 1 and (cards[0].total_requests, cards[0].data_points, cards[0].data_through) == ("0", "0", "")
+    assert tables["anomaly_header"].first().baseline_mean == "0"
+    assert tables["persona_header"].first().rows_trained_on == "0"
+    assert [tables[t].count() for t in ("persona_cards", "anomaly_table", "action_shares", "top_countries")] == [0] * 4
+    assert tables["results"].where("not has_result").count() == 5
+
+
+def test_a_repeated_run_time_shows_the_later_analysis(spark, tmp_path, hourly):
+    store, log = Store(spark, str(tmp_path / "store")), str(tmp_path / "log")
+    for n in (1, 2):
+        store.load(f"r{n}", hourly=hourly((f"2024-01-0{n}T00:00:00Z", "US", n)))
+        jobs.analyze(store, log, AS_OF)
+    newest = results.parsed_or_default(results.latest(results.read_log(spark, log)), "summary").first()
+    assert newest.data_rows == 2
+
+
+def test_unreadable_responses_stop_a_strict_run(spark, tmp_path):
+    land(str(tmp_path / "landing"), "details", ["garbage"])
+    store = Store(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError, match="1 responses"):
+        jobs.collect(store, str(tmp_path / "landing"), AS_OF, "r1", strict=True)
+    jobs.collect(store, str(tmp_path / "landing"), AS_OF, "r2")
+    assert spark.read.parquet(f"{store.root}/rejected/run_id=r2").first().reason == "not json"
+
+
+def test_scheduled_runs_load_only_what_is_new(spark, tmp_path):
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    make_landing(landing)
+    store = Store(spark, str(tmp_path / "store"))
+    args = (store, landing, str(tmp_path / "places"), str(tmp_path / "log"), out)
+    jobs.scheduled_run(*args, AS_OF, "s1")
+    first = store.read("request_details").count()
+    jobs.scheduled_run(*args, "2024-01-09T06:00:00Z", "s2")
+    assert (first, store.read("request_details").count()) == (1, 1)
+    assert store.read("hourly_traffic").count() == 744
+    assert results.read_log(spark, str(tmp_path / "log")).count() == 10
+    assert spark.read.parquet(f"{out}/header_cards").first().data_points == "744"

@@ -118,7 +118,7 @@ def blobs(spark, n=60):
     for c, centre in enumerate((10, 500, 3000)):
         for i in range(n):
             r = int(centre + rng.integers(0, 5))
-            rows.append(("t", f"b{i}", "US", "", 0, "", r, r * 10, c, 0, i))
+            rows.append(("t", f"b{i}", "US", "", 0, "", r, r * 10, c, 0, i, None))
     from edgelens.schemas import HOURLY_TRAFFIC
 
     return spark.createDataFrame(rows, HOURLY_TRAFFIC)

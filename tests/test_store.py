@@ -109,3 +109,49 @@ def test_compact_keeps_appended_runs_whole(store, events):
 def test_event_text_without_a_date_still_loads(store, events):
     store.load("r1", firewall=events(("", "x", "a")))
     assert store.read("firewall_events").where(F.col("event_datetime") == "").count() == 1
+
+
+def test_the_run_written_last_wins_whatever_its_time(store, hourly):
+    hour = "2024-01-01T00:00:00Z"
+    store.load("r1", hourly=hourly((hour, "US", 10, {"ingest_seq": 9})))
+    store.load("r2", hourly=hourly((hour, "US", 20, {"ingest_seq": 0})))
+    assert rows_of(store.read("hourly_traffic"), "request_count") == [(20,)]
+    store.load("r3", hourly=hourly((hour, "US", 30), collected_at="2023-12-01T00:00:00Z"))
+    assert rows_of(store.read("hourly_traffic"), "request_count", "arrival.run_seq") == [(30, 2)]
+
+
+def test_repair_keeps_the_earliest_run_and_can_run_again(store, hourly):
+    hour = "2024-01-01T00:00:00Z"
+    for run, requests, number in (("r1", 6, 5), ("r2", 12, 0)):
+        store.load(run, hourly=hourly((hour, "US", requests, {"http_method": None, "ingest_seq": number})))
+    assert store.repair_hourly()
+    assert rows_of(store.read("hourly_traffic"), "request_count", "http_method") == [(6, "")]
+    assert not store.repair_hourly()
+    store.load("r3", hourly=hourly((hour, None, 4)))
+    assert store.repair_hourly()
+    assert rows_of(store.read("hourly_traffic"), "country", "request_count") == [("US", 6), ("Unknown", 4)]
+
+
+def test_nothing_is_left_of_batches_and_replaced_folders(spark, store, hourly, details, tmp_path):
+    from edgelens.session import shared_folder
+
+    batches = lambda: [p.getPath().getName() for p in _listed(spark, shared_folder(spark)) if "batch" in p.getPath().getName()]
+    before = batches()
+    for i in range(4):
+        store.load(
+            f"r{i}",
+            hourly=hourly(("2024-01-01T00:00:00Z", "US", i)),
+            details=details(("2024-01-01T00:00:00Z", "US", 200, "/", i)),
+        )
+    assert batches() == before
+    assert store.compact_fragmented("request_details", "c1", most=3)
+    assert not store.compact_fragmented("request_details", "c2", most=3)
+    assert store.drop_superseded() == 3 + 4
+    assert rows_of(store.read("hourly_traffic"), "request_count") == [(3,)]
+    assert store.read("request_details").count() == 4
+    assert len(store._live("request_details", None, None)) == 1
+
+
+def _listed(spark, folder):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
