@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Bytes of one batch handed to a Python worker; bounds its memory for long texts.
@@ -46,6 +48,21 @@ def byte_count(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
 
 
+def broadcast_object(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives ``value`` in a task; its classes travel along.
+
+    (A plain broadcast names classes by their module, which workers may not have.)
+    """
+    sent, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> object:
+        if not held:
+            held.append(pickle.loads(sent.value))
+        return held[0]
+
+    return get
+
+
 def with_columns(
     df: DataFrame, text: str, added: T.StructType, compute: Callable[[list[bytes]], list[pa.Array]]
 ) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from edgelens.llm.common import bound_batches, fresh
+from edgelens.llm.common import bound_batches, broadcast_object, fresh
 from edgelens.session import written
 
 WINDOW = 13
@@ -213,7 +213,7 @@ def _pass(docs: DataFrame, text: str, name: str, searcher) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = searcher.value.search
+        search = searcher().search
         for batch in batches:
             found = search(batch.column(at).cast(pa.binary()).to_pylist())
             if before:
@@ -242,7 +242,7 @@ def scan(docs: DataFrame, patterns: DataFrame, text: str, name: str) -> DataFram
             docs = written(docs, "scanned")
         rows = patterns.where(block == i).select("window", "class").orderBy("window").toArrow()
         searcher = Searcher(rows.column("window").to_pylist(), rows.column("class").to_pylist())
-        docs = _pass(docs, text, name, spark.sparkContext.broadcast(searcher))
+        docs = _pass(docs, text, name, broadcast_object(spark, searcher))
     return docs
 
 

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from edgelens.llm.common import bound_batches, fresh
+from edgelens.llm.common import bound_batches, broadcast_object, fresh
 from edgelens.session import written
 
 LABELLED = 12_000
@@ -249,7 +249,7 @@ def train(
 
 def score(docs: DataFrame, model: Model, text: str = "text", metadata: tuple[str, str, str] = METADATA) -> DataFrame:
     """``docs`` with p_good and good (underscores added if taken)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = broadcast_object(docs.sparkSession, model)
     bound_batches(docs.sparkSession)
     chance, seen = fresh(docs, "p_good"), [fresh(docs, f"view_{n}") for n in "tabc"]
     wide = docs.select("*", *(c.alias(n) for c, n in zip(_views(docs, metadata, text)[1:], seen[1:], strict=True)))
@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", metadata: tuple[str
         for batch in batches:
             a, b, c = (batch.column(kept + i).to_numpy(zero_copy_only=False) for i in range(3))
             numbers = _numbers(batch.column(at).cast(pa.binary()).to_pylist())
-            p = sent.value.chance(numbers, np.column_stack([a, b]).astype(np.int64), c)
+            p = sent().chance(numbers, np.column_stack([a, b]).astype(np.int64), c)
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(p)], names=names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(chance, T.DoubleType())])

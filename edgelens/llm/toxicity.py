@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from edgelens.llm.common import bound_batches, fresh, with_columns
+from edgelens.llm.common import bound_batches, broadcast_object, fresh, with_columns
 from edgelens.llm.decontaminate import words_of
 from edgelens.session import written
 
@@ -226,11 +226,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with severity, p_toxic, grade and toxic (underscores added if taken)."""
     names = [fresh(docs, n) for n in ("severity", "p_toxic", "grade", "toxic")]
     types = [T.DoubleType(), T.DoubleType(), T.IntegerType(), T.BooleanType()]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = broadcast_object(docs.sparkSession, model)
 
     def compute(texts: list[bytes]) -> list[pa.Array]:
-        vectors = Vectors(sent.value.names)
-        q = sent.value.above([vectors(t) for t in texts])
+        vectors = Vectors(sent().names)
+        q = sent().above([vectors(t) for t in texts])
         chance = -np.diff(np.column_stack([np.ones(len(q)), q, np.zeros(len(q))]), axis=1)
         return [
             pa.array(q.sum(axis=1)),
