@@ -199,6 +199,8 @@ class Model:
         self.names, self.weights, self.theta = names, weights, theta
 
     def above(self, rows: list[tuple[list[int], list[float]]]) -> np.ndarray:
+        if not self.names:
+            return np.zeros((len(rows), GRADES))
         return above(Sparse(rows, len(self.names)).dot(self.weights), self.theta)
 
 
