@@ -71,13 +71,17 @@ def first_write_wins(rows: DataFrame) -> DataFrame:
 
 
 def new_events(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of ``batch`` to insert so that the first write of an event id wins.
+    """Rows of ``batch`` to insert so that the first write of an event id wins."""
+    return unseen_events(stored, first_write_wins(batch))
+
+
+def unseen_events(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Rows of ``fresh``, one per event id, whose id is not stored.
 
     The stored ids are narrowed to those the batch holds before anything is
     joined back: with a small batch that is one broadcast probe over the id
     column and the history is never shuffled. Catalyst checks the size.
     """
-    fresh = first_write_wins(batch)
     keyed, loose = _split_null_keys(fresh, FIREWALL_KEY)
     taken = stored.select(*FIREWALL_KEY).join(keyed.select(*FIREWALL_KEY), FIREWALL_KEY, "left_semi")
     return keyed.join(taken, FIREWALL_KEY, "left_anti").unionByName(loose)

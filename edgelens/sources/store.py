@@ -168,14 +168,17 @@ class Store:
     ) -> bool:
         """``load`` with the feeds kept as tables of known size in ``folder``."""
 
-        def kept(feed: DataFrame | None, name: str) -> DataFrame | None:
+        def kept(feed: DataFrame | None, name: str, numbered: bool = False) -> DataFrame | None:
             if feed is None:
                 return None
-            rows = self._numbered(feed, seq)
+            rows = feed if numbered else self._numbered(feed, seq)
             rows.write.parquet(f"{folder}/{name}")
             return self.spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
-        hourly, firewall, details = kept(hourly, "hourly"), kept(firewall, "firewall"), kept(details, "details")
+        hourly, details = kept(hourly, "hourly"), kept(details, "details")
+        if firewall is not None:
+            # Of the events only one row per id is kept: all three reads are of those.
+            firewall = kept(maintain.first_write_wins(self._numbered(firewall, seq)), "firewall", numbered=True)
         done = []
         if hourly is not None and not hourly.isEmpty():
             dates = hourly.select(T.partition_date(F.col("bucket")).alias("dt")).distinct()
@@ -183,7 +186,7 @@ class Store:
             merged = maintain.upsert_hourly(stored, hourly)
             done.append(("hourly_traffic", self._stage("hourly_traffic", run_id, merged), True))
         if firewall is not None and not firewall.isEmpty():
-            fresh = maintain.new_events(self.read("firewall_events"), firewall)
+            fresh = maintain.unseen_events(self.read("firewall_events"), firewall)
             done.append(("firewall_events", self._stage("firewall_events", run_id, fresh), False))
         if details is not None and not details.isEmpty():
             done.append(("request_details", self._stage("request_details", run_id, details), False))

@@ -133,3 +133,12 @@ def test_codes_leave_the_rows_where_they_are(spark, hourly):
     coded = features.with_codes(rows, "country", "code")
     assert "BroadcastHashJoin" in plan(coded) and "Exchange hashpartitioning" not in plan(coded)
     assert sorted((r.country, r.code) for r in coded.collect()) == [("DE", 0), ("US", 1)]
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["rollup_by_bucket", "geo_country_distribution", "series_traffic", "summary_stats", "rolling_window_7d_by_6h"],
+)
+def test_sums_without_visitors_do_not_shuffle_by_user(spark, sf, name):
+    assert "hashpartitioning(user_id" not in plan(QUERIES[name](spark, sf))
+    assert "user_id" in plan(QUERIES[name](spark, sf))
