@@ -573,6 +573,21 @@ ORACLE |= {
           marked AS is_anomaly, CASE WHEN marked THEN 'red' ELSE 'blue' END AS colour FROM spiked""",
     ),
     "doc_summary": _with(HT, SUMMARY),
+    "store_unfinished_run": _with(
+        HT,
+        """SELECT 'unfinished' AS state, count(*) AS n, CAST(sum(request_count) AS BIGINT) AS requests
+        FROM ht WHERE bucket < '2024-01-16T00:00:00Z'
+        UNION ALL SELECT 'finished', count(*), CAST(sum(request_count) AS BIGINT) FROM ht""",
+    ),
+    "anomaly_table": _with(
+        SPIKED,
+        f"""SELECT bucket, {DISPLAY.format("strptime(bucket, " + ISO + ")")} AS time_bucket,
+          format('{{:,}}', total_requests) AS requests, printf('%.1f', total_bytes / 1024 / 1024) || ' MB' AS bandwidth,
+          total_threats AS threats, unique_countries AS countries, '-0.1250' AS score FROM spiked WHERE marked""",
+    ),
+    "stream_dedupe_recent": _with(
+        FE, "SELECT event_datetime, action, ray_name FROM fe WHERE ray_name <> ''"
+    ),
     "doc_geo": _with(
         GEO,
         """SELECT total_countries, total_requests,

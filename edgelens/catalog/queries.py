@@ -520,6 +520,28 @@ def append_details(spark, sf):
     return maintain.append_details(first, second).drop("ingest_seq")
 
 
+@query
+def store_unfinished_run(spark, sf):
+    """What readers see while a run has written its rows but not its last file, and
+    after it was loaded again."""
+    store = Store(spark, scratch_path(spark, "unfinished"))
+    ht = checkpoint(M.hourly_traffic(spark, sf))
+    early = F.col("bucket") < M.PULL_2
+    store.load("r1", hourly=ht.where(early))
+
+    def seen(state: str) -> DataFrame:
+        return checkpoint(
+            store.read("hourly_traffic").agg(
+                F.lit(state).alias("state"), F.count(F.lit(1)).alias("n"), F.sum("request_count").alias("requests")
+            )
+        )
+
+    store._stage("hourly_traffic", "r2", store._numbered(ht.where(~early), 1))
+    unfinished = seen("unfinished")
+    store.load("r2", hourly=ht.where(~early))
+    return unfinished.unionByName(seen("finished"))
+
+
 # --- features and personas -------------------------------------------------
 
 CODED = ["country_code", "request_count", "bytes_total", "threats"]
@@ -697,6 +719,13 @@ def doc_persona(spark, sf):
     return profiles.withColumn("top_countries", F.array_join(F.map_keys("top_countries"), ", "))
 
 
+@query
+def anomaly_table(spark, sf):
+    """The two busiest hours as a table, with a given score."""
+    hours = M.spiked(rollups.by_bucket(_recent_hourly(spark, sf))).withColumn("anomaly_score", F.lit(-0.125))
+    return series.anomaly_table(hours.orderBy(F.desc("total_requests"), "bucket").limit(2))
+
+
 @query
 def doc_anomaly_header(spark, sf):
     now = M.as_of(spark, sf)
@@ -819,6 +848,17 @@ def stream_upsert_unknown(spark, sf):
     return store.read("hourly_traffic").select("bucket", "country", *M.COUNTERS)
 
 
+@query
+def stream_dedupe_recent(spark, sf):
+    """Events that all arrive twice: one of each id stays, those without id are apart."""
+    path = scratch_path(spark, "recent")
+    events = _event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = M.firewall_rows(events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))), F.col("ts"))
+    kept = ingest.dedupe_recent(rows).select("event_datetime", "action", "ray_name")
+    ingest.append_rows(kept, f"{path}/checkpoint", f"{path}/rows")
+    return spark.read.schema(kept.schema).parquet(f"{path}/rows")
+
+
 @query
 def stream_dedupe(spark, sf):
     """Two runs over landed pulls that overlap; the first write of an id stays."""

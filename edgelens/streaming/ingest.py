@@ -90,11 +90,17 @@ def settled_hours(events: DataFrame, keys: list[str], measures: dict[str, Column
 def dedupe_recent(events: DataFrame, key: str = "ray_name") -> DataFrame:
     """First event per id within the lateness bound; the state forgets older ids.
 
-    Ids are near unique here, so the shuffle by id is even. A feed in which many
-    events share an empty id goes through ``insert_new_events`` instead, which
-    combines map-side.
+    Ids are near unique, so the shuffle by id is even. Events with an empty id or none
+    are left out: they would all meet in one task. ``without_id`` has them, for
+    ``insert_new_events``, which combines map-side.
     """
-    return events.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark([key])
+    named = events.where(F.col(key) != "")
+    return named.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark([key])
+
+
+def without_id(events: DataFrame, key: str = "ray_name") -> DataFrame:
+    """The events that ``dedupe_recent`` leaves out."""
+    return events.where(F.coalesce(F.col(key), F.lit("")) == "")
 
 
 def write_totals(stream: DataFrame, checkpoint: str, path: str) -> str:
