@@ -1,8 +1,8 @@
 """Near-duplicate vectors by int8 tile products with exact rechecks.
 
 Equal vectors are one class with a number of copies. Classes are dealt into blocks by
-hash; every pair of blocks is a tile, one row of a task's input, so a task holds two
-blocks whatever the corpus. In a tile the unit vectors u = s q + e are multiplied in
+hash; every pair of blocks is a tile, a group of at most two rows, so a task holds two
+blocks whatever the corpus, and each block is moved once per tile. In a tile the unit vectors u = s q + e are multiplied in
 their int8 form q. As |u| = 1, the true cosine is at most
 
     s t (q . r) + |e| + |f| + |e| |f|
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from edgelens.llm.common import bound_batches
 from edgelens.llm.components import components
@@ -49,7 +49,8 @@ class Block:
 
     def __init__(self, n: int, dims: int, keys: bytes, copies: bytes, vectors: bytes):
         self.keys, self.copies = np.frombuffer(keys, np.int64), np.frombuffer(copies, np.int64)
-        raw = np.frombuffer(vectors, np.float64).reshape(n, dims)
+        width = len(vectors) // (n * dims)
+        raw = np.frombuffer(vectors, f"<f{width}").astype(np.float64).reshape(n, dims)
         self.scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
         self.norm = np.sqrt(np.einsum("ij,ij->i", self.scaled, self.scaled))
         unit = self.scaled / self.norm[:, None]
@@ -132,7 +133,7 @@ def _pack(table: pa.Table) -> pa.Table:
     """One row that holds the vectors of a block."""
     table = table.sort_by("key")
     vectors = table.column("vector").combine_chunks()
-    flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
     numbers = [table.column(c).to_numpy().astype(np.int64).tobytes() for c in ("key", "copies")]
     row = {
         "block": [table.column("block")[0].as_py()],
@@ -148,7 +149,6 @@ def _pack(table: pa.Table) -> pa.Table:
 
 def tile_links(classes: DataFrame, threshold: float) -> DataFrame:
     """Counts and forest edges of all tiles over ``classes`` (key, copies, vector)."""
-    spark = classes.sparkSession
     sized = classes.withColumn("dims", F.size("vector"))
     totals = sized.groupBy("dims").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -156,26 +156,25 @@ def tile_links(classes: DataFrame, threshold: float) -> DataFrame:
         "dims", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "copies", "vector"
     )
     packed = written(dealt.groupBy("dims", "block").applyInArrow(_pack, PACKED), "blocks")
-    right = packed.toDF(*(f"{c}_b" for c in packed.columns))
-    # Pairs of blocks are few and a block is bounded; each pair becomes one task's row.
-    pairs = packed.select("dims", "block").join(
-        packed.select(F.col("dims").alias("dims_b"), F.col("block").alias("block_b")),
-        (F.col("dims") == F.col("dims_b")) & (F.col("block") <= F.col("block_b")),
+    sides = packed.join(totals.select("dims", blocks.alias("blocks")), "dims").select(
+        *packed.columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     )
-    pairs = pairs.repartition(int(max(1, min(pairs.count(), 100_000))), "dims", "block", "block_b")
-    tiles = pairs.join(packed, ["dims", "block"]).join(right, ["dims_b", "block_b"])
-    columns = ["block", "block_b", *(f"{c}{s}" for s in ("", "_b") for c in ("n", "dims", "keys", "copies", "vectors"))]
+    tiles = sides.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a = Block(*(row[c] for c in ("n", "dims", "keys", "copies", "vectors")))
-                same = row["block"] == row["block_b"]
-                b = a if same else Block(*(row[f"{c}_b"] for c in ("n", "dims", "keys", "copies", "vectors")))
-                yield tile(a, b, same, threshold)
+    def run(table: pa.Table) -> pa.Table:
+        sides = [
+            Block(*(row[c] for c in ("n", "dims", "keys", "copies", "vectors")))
+            for row in sorted(table.to_pylist(), key=lambda row: row["block"])
+        ]
+        return pa.Table.from_batches([tile(sides[0], sides[-1], len(sides) == 1, threshold)])
 
-    spread = tiles.select(*columns).repartition(2 * spark.sparkContext.defaultParallelism, "block", "block_b")
-    return spread.mapInArrow(run, "a bigint, b bigint, n bigint")
+    return tiles.groupBy("dims", "low", "high").applyInArrow(run, "a bigint, b bigint, n bigint")
+
+
+def _kept_type(rows: DataFrame, vector: str) -> T.ArrayType:
+    """Floats stay floats, which halves what tiles move; all else becomes double."""
+    given = rows.schema[vector].dataType.elementType
+    return T.ArrayType(given if isinstance(given, T.FloatType) else T.DoubleType())
 
 
 def near_duplicates(
@@ -183,7 +182,7 @@ def near_duplicates(
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept (first of its component) of every row."""
     bound_batches(rows.sparkSession)
-    rows = rows.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = rows.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast(_kept_type(rows, vector)).alias("vector"))
     finite = F.forall("vector", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
     usable = F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = written(rows.withColumn("usable", usable), "vectors")
