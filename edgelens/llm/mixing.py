@@ -112,13 +112,21 @@ def land(sizes: list[float], chances: list[float]) -> list[float]:
     return out
 
 
+def waiting_places(n: int) -> set[int]:
+    """Which of ``n`` documents, longest first, wait for the landing: more of the long
+    ones, as the longest tend to stay open, but none so long that it leaves a gap."""
+    if n <= LANDING:
+        return set(range(n))
+    return {int(n * 0.02 * 30 ** (k / (LANDING - 1))) for k in range(LANDING)}
+
+
 def _fly(batch: pd.DataFrame) -> pd.DataFrame:
     # Long documents fly first, so that short ones stay open.
     batch = batch.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], ignore_index=True)
     first, n = batch.iloc[0], len(batch)
     draw = random.Random(f"{SEED} {first['place']} {first['cell']} {first['level']}")
     sizes, chances = batch["size"].astype(float).tolist(), batch["chance"].tolist()
-    waiting = set(range(0, n, -(-n // LANDING))) if first["last"] else set()
+    waiting = waiting_places(n) if first["last"] else set()
     flying = [i for i in range(n) if i not in waiting]
     moved = flight([sizes[i] for i in flying], [chances[i] for i in flying], draw)
     for i, p in zip(flying, moved, strict=True):
