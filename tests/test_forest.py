@@ -106,3 +106,11 @@ def test_scores_match_a_plain_walk(spark):
             depth[i] += node["depth"] + forest.mean_path(np.array([node["size"]]))[0]
     raw = -np.exp2(-depth / 100 / forest.mean_path(np.array([40]))[0])
     assert flagged["raw"].to_numpy() == pytest.approx(raw)
+
+
+def test_a_tree_with_too_few_rows_stops_the_fit(spark):
+    rows = [(f"b{i}", i, i, i, 1) for i in range(40)]
+    hours = spark.createDataFrame(rows, "bucket string, total_requests int, total_bytes int, total_threats int, unique_countries int")
+    assert len(forest.fit(hours, "bucket", 40).query("depth == 0")) == forest.TREES
+    with pytest.raises(RuntimeError, match="fewer rows"):
+        forest.fit(hours, "bucket", 10_000)

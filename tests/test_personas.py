@@ -166,3 +166,9 @@ def test_too_few_rows(spark, hourly):
     assert personas.fit(hourly(*((f"b{i}", "US", i) for i in range(4)))) is None
     assert personas.fit(hourly(*((f"b{i}", None, i) for i in range(9)))) is None
     assert personas.fit(hourly(*((f"b{i}", "US", i) for i in range(5)))).n_clusters == 2
+
+
+def test_the_cached_input_goes_when_the_fit_is_done(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert personas.fit(blobs(spark)).n_clusters == 6
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
