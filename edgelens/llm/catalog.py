@@ -1,4 +1,4 @@
-"""Queries of this subpackage, one per operator, with their check SQL."""
+"""Queries of this subpackage, one per operator and the pipeline; ``ORACLE`` is their check SQL."""
 
 from __future__ import annotations
 
@@ -19,11 +19,11 @@ from edgelens.llm import (
     url_filter,
 )
 from edgelens.llm.common import table
+from edgelens.llm.oracle import ORACLE
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,5 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -118,26 +118,26 @@ def groups(prints: DataFrame) -> DataFrame:
 
 
 def labelled_prints(rows: DataFrame, name: str, doc_id: str) -> DataFrame:
-    """Columns ``print`` and ``smallest``, the smallest doc_id of the print's group."""
+    """Columns ``print``, ``group`` and ``smallest``, the smallest doc_id of the group."""
     firsts = rows.groupBy(F.col(name).alias("print")).agg(F.min(doc_id).alias("first"))
     firsts = written(firsts, "prints")
     members = firsts.join(groups(firsts.select("print")), "print")
     smallest = members.groupBy("group").agg(F.min("first").alias("smallest"))
-    return members.join(smallest, "group").select("print", "smallest")
+    return members.join(smallest, "group").select("print", "group", "smallest")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with a fingerprint and the smallest doc_id reachable over links.
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that is
+    reachable over links, of every row.
 
-    The new columns are named ``fingerprint`` (16 hex digits) and ``component_id``,
-    with underscores added where ``docs`` has such columns. Rows without doc_id take
-    part; they give no component its id unless it holds nothing else, then it is null.
+    Rows without doc_id take part; they give no component its id unless it holds
+    nothing else, then it is null. Rows that repeat a doc_id have a component each.
     """
-    name, component = fresh(docs, "fingerprint"), fresh(docs, "component_id")
-    rows = written(with_fingerprint(docs, text, name), "fingerprints")
-    labels = labelled_prints(rows, name, doc_id).toDF(name, component)
-    digits = F.lower(F.lpad(F.hex(F.col(name)), 16, "0"))
-    return rows.join(labels, name).withColumn(name, digits).select(*docs.columns, name, component)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = written(with_fingerprint(rows, "text", "print").select("doc_id", "print"), "prints")
+    joined = rows.join(labelled_prints(rows, "print", "doc_id"), "print")
+    digits = F.lower(F.lpad(F.hex("print"), 16, "0"))
+    return joined.select("doc_id", digits.alias("fingerprint"), F.col("smallest").alias("component_id"))
 
 
 def firsts_only(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
