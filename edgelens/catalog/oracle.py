@@ -405,7 +405,8 @@ ORACLE: dict[str, str] = {
         FROM ht GROUP BY ALL""",
     ),
     "src_landing_order": _with(
-        HT + "," + FALLBACK, "SELECT bucket, country, request_count, bytes_total FROM flat"
+        HT + "," + FALLBACK,
+        "SELECT bucket, country, request_count, bytes_total FROM flat WHERE country IS NOT NULL",
     ),
     "src_rejected": _with(
         HT,

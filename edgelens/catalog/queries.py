@@ -479,7 +479,9 @@ def src_landing_order(spark, sf):
     for part in ("odd", "even"):
         rows = feeds.flatten_hourly(feeds.read_landing(spark, f"{path}/{part}"), M.PULL_2)
         store.load(part, hourly=rows)
-    return store.read("hourly_traffic").select("bucket", "country", "request_count", "bytes_total")
+    # Rows without country match nothing, so both of them stay.
+    placed = store.read("hourly_traffic").where(F.col("country").isNotNull())
+    return placed.select("bucket", "country", "request_count", "bytes_total")
 
 
 @query
