@@ -21,6 +21,7 @@ gives no rows.
 from __future__ import annotations
 
 import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
