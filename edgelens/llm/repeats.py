@@ -47,8 +47,9 @@ SIZES = (128, 8, 1)
 SPARSE_BITS, DENSE_BITS = 6, 3
 # Places hashed at a time.
 HASHED = 1 << 19
-# Rows of a stored join side that is still broadcast; beyond, the join is shuffled.
-SMALL_ROWS = 1_000_000
+# Entries (of about 100 bytes in memory) in the lists of a stored join side that is
+# still broadcast; beyond, the join is shuffled.
+SMALL_ENTRIES = 1_000_000
 
 # Strings of a node start lo to hi bytes before place b of the text.
 NODE = "core bigint, span bigint, row bigint, b bigint, lo bigint, hi bigint, parent bigint, partner boolean"
@@ -188,7 +189,8 @@ def settle(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_span = written(by_span, "spans")
     open_here = F.col("active") & (F.col("n") == 1)
     by_core = by_span.groupBy("core").agg(F.count(F.lit(1)).alias("spans"), F.max(open_here).alias("wanted"))
-    by_core = by_core.where((F.col("spans") > 1) & F.col("wanted")).select("core", "wanted")
+    # Stored, so that the join can split a core that many spans share.
+    by_core = written(by_core.where((F.col("spans") > 1) & F.col("wanted")).select("core", "wanted"), "cores")
     classes = by_span.join(by_core, "core", "left").where((F.col("n") > 1) | F.col("wanted"))
     found = written(nodes.join(classes.drop("active"), ["core", "span"]), "found")
     repeated = found.where((F.col("n") > 1) & active).select("row", "b", "lo", "hi")
@@ -199,9 +201,10 @@ def settle(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return repeated, further
 
 
-def _small_side(df: DataFrame) -> DataFrame:
-    """A stored side of a join: broadcast if it has few rows, else shuffled."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+def _side(df: DataFrame, lists: str) -> DataFrame:
+    """A stored side of a join: broadcast if its lists hold few entries, else shuffled."""
+    entries = df.agg(F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()[0]
+    return F.broadcast(df) if entries <= SMALL_ENTRIES else df
 
 
 def with_context(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -222,7 +225,7 @@ def with_context(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
-    joined = rows.select("row", "text").join(_small_side(per_row), "row").select("row", "text", "nodes")
+    joined = rows.select("row", "text").join(_side(per_row, "nodes"), "row").select("row", "text", "nodes")
     made = joined.mapInArrow(run, "row bigint, b bigint, lo bigint, hi bigint, partner boolean, context binary")
     return made.withColumn("parent", F.monotonically_increasing_id())
 
@@ -243,7 +246,7 @@ def child_nodes(parents: DataFrame, parts: DataFrame | None, size: int) -> DataF
         listed = parents.withColumn("parts", whole)
     else:
         grouped = parts.groupBy("parent").agg(F.collect_set(F.struct("lo", "hi", "partner")).alias("parts"))
-        listed = parents.join(_small_side(written(grouped, "open-parts")), "parent")
+        listed = parents.join(_side(written(grouped, "open-parts"), "parts"), "parent")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,8 +265,10 @@ def child_nodes(parents: DataFrame, parts: DataFrame | None, size: int) -> DataF
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
     """``row`` and its ``runs``: merged (from, to) byte ranges that are repeated."""
-    twice = text_nodes(rows, spanned=False).groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    nodes = written(text_nodes(rows, spanned=True).join(twice.select("core"), "core", "left_semi"), "nodes")
+    counts = text_nodes(rows, spanned=False).groupBy("core").agg(F.count(F.lit(1)).alias("n"))
+    # Stored, so that the join can split a core with a large part of all nodes.
+    twice = written(counts.where("n > 1").select("core"), "cores")
+    nodes = written(text_nodes(rows, spanned=True).join(twice, "core", "left_semi"), "nodes")
     repeated, further = settle(nodes)
     found = [repeated]
     parents = written(with_context(rows, further), "parents")
@@ -326,7 +331,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    joined = rows.join(_small_side(runs), "row", "left").select("doc_id", "text", "runs")
+    joined = rows.join(_side(runs, "runs"), "row", "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
