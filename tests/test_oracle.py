@@ -5,7 +5,10 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = (
+    "region nation customer supplier part orders lineitem events "
+    "documents embeddings pages benchmark labels conversations"
+).split()
 
 
 @pytest.fixture(scope="module")
