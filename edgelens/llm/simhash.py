@@ -146,14 +146,16 @@ def firsts_only(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Rows that repeat this doc_id count as one document. A group without any doc_id
     keeps one row too.
     """
-    name, key = fresh(docs, "print"), fresh(docs, "key")
-    named = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    prints = with_fingerprint(named.select(doc_id, key, text), text, name)
-    rows = written(prints.select(F.col(doc_id).alias("id"), F.col(key).alias("key"), F.col(name).alias("print")), "prints")
+    key, same = fresh(docs, "key"), fresh(docs, "same")
+    named = docs.withColumns(
+        {key: F.coalesce(F.col(doc_id).cast("string"), F.lit("")), same: F.xxhash64(F.col(text))}
+    )
+    rows = named.select(F.col(doc_id).alias("id"), F.col(key).alias("key"), F.col(same).alias("same"), F.col(text).alias("text"))
+    rows = written(with_fingerprint(rows, "text", "print").drop("text"), "prints")
     kept = rows.join(labelled_prints(rows, "print", "id"), "print").where(F.col("id").eqNullSafe(F.col("smallest")))
-    # A named group keeps one row of its name, a nameless one a row of its prints' least.
-    nameless = kept.where(F.col("id").isNull()).select("key", "print").distinct()
-    winners = kept.where(F.col("id").isNotNull()).groupBy("key").agg(F.min("print").alias("print")).unionByName(nameless)
-    winners = written(winners.toDF(key, name), "winners")
-    full = with_fingerprint(named, text, name)
-    return full.join(winners, [key, name]).dropDuplicates([key, name]).select(*docs.columns)
+    # One text of the name where there is one, else one text of the group.
+    first = F.min(F.struct("print", "same"))["same"].alias("same")
+    chosen = kept.where(F.col("id").isNotNull()).groupBy("key").agg(first)
+    nameless = kept.where(F.col("id").isNull()).groupBy("group").agg(F.lit("").alias("key"), first).drop("group")
+    winners = written(chosen.unionByName(nameless).toDF(key, same), "winners")
+    return named.join(winners, [key, same]).dropDuplicates([key, same]).select(*docs.columns)

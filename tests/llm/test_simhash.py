@@ -82,6 +82,15 @@ def test_one_document_of_each_group_stays(documents, prose):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [0, 1, 2, 3, None]
 
 
+def test_a_group_of_nameless_documents_keeps_one(documents, prose):
+    words = prose(3, 80).split()
+    variants = [(None, " ".join(words[:i] + ["other"] + words[i + 1 :])) for i in range(0, 80, 4)]
+    prints = {plain_print(t) for _, t in variants}
+    groups = set(reachable(sorted(prints), lambda a, b: (a ^ b).bit_count() <= 3).values())
+    assert len(prints) > len(groups)
+    assert simhash.firsts_only(documents(variants)).count() == len(groups)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     chain = [(i, i + 1) for i in range(200)]
     star = [(1000, 1000 + i) for i in range(300)]
