@@ -28,8 +28,9 @@ as files do. Rows that repeat a doc_id are texts like others. An empty table giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -135,19 +136,21 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def cores(text: bytes, b, grid, size: int) -> np.ndarray:
-    """Digest of what the strings of each node share."""
+def _digests(texts: Iterable[bytes], start, end, seed) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
-    ends = b - np.minimum(grid + size - 1, LENGTH - GRAM) + LENGTH
-    rows = zip((b - grid).tolist(), ends.tolist(), grid.tolist(), strict=True)
-    return _signed([digest(text[x:y], 1000 * size + g) for x, y, g in rows])
+    rows = zip(texts, start.tolist(), end.tolist(), seed.tolist(), strict=False)
+    return _signed([digest(text[x:y], n) for text, x, y, n in rows])
 
 
-def spans(text: bytes, b, lo, hi) -> np.ndarray:
+def cores(texts: Iterable[bytes], b, grid, size: int) -> np.ndarray:
+    """Digest of what the strings of each node share; one text per node."""
+    end = b - np.minimum(grid + size - 1, LENGTH - GRAM) + LENGTH
+    return _digests(texts, b - grid, end, 1000 * size + grid)
+
+
+def spans(texts: Iterable[bytes], b, lo, hi) -> np.ndarray:
     """Digest of what the strings of each node span."""
-    digest = xxhash.xxh3_64_intdigest
-    rows = zip((b - hi).tolist(), (b - lo + LENGTH).tolist(), lo.tolist(), strict=True)
-    return _signed([digest(text[x:y], 1_000_000 + n) for x, y, n in rows])
+    return _digests(texts, b - hi, b - lo + LENGTH, 1_000_000 + lo)
 
 
 def _side_by_side(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -160,12 +163,12 @@ def _nodes(batch: pa.RecordBatch, spanned: bool) -> pa.RecordBatch:
     rows, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
     text, starts, ends = _side_by_side(texts)
     _, b, lo, hi, grid = cut(*parse(text, starts, ends), SIZES[0])
-    core = cores(text, b, grid, SIZES[0])
+    core = cores(repeat(text), b, grid, SIZES[0])
     if not spanned:
         return pa.RecordBatch.from_arrays([pa.array(core)], names=["core"])
     # A string lies in the text in which it starts.
     owner = np.searchsorted(starts, b - hi, "right") - 1
-    arrays = [core, spans(text, b, lo, hi), rows[owner], b - starts[owner], lo, hi, np.full(len(b), -1)]
+    arrays = [core, spans(repeat(text), b, lo, hi), rows[owner], b - starts[owner], lo, hi, np.full(len(b), -1)]
     arrays = [pa.array(a) for a in arrays] + [pa.array(np.zeros(len(b), bool))]
     return pa.RecordBatch.from_arrays(arrays, names=_NODE_NAMES)
 
@@ -215,13 +218,11 @@ def with_context(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "b", "lo", "hi", "partner", "context"]
         for batch in batches:
-            out: list[list] = [[] for _ in names]
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for row, text, found in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
-                for x in found:
-                    context = text[x["b"] - x["hi"] : x["b"] - x["lo"] + LENGTH]
-                    for column, value in zip(out, [row, x["b"], x["lo"], x["hi"], x["partner"], context], strict=True):
-                        column.append(value)
+            rows_of = zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True)
+            nodes = [(row, text, x["b"], x["lo"], x["hi"], x["partner"]) for row, text, found in rows_of for x in found]
+            context = [text[b - hi : b - lo + LENGTH] for _, text, b, lo, hi, _ in nodes]
+            out = [[n[k] for n in nodes] for k in (0, 2, 3, 4, 5)] + [context]
             types = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
@@ -230,15 +231,6 @@ def with_context(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return made.withColumn("parent", F.monotonically_increasing_id())
 
 
-def _children(context: bytes, b: int, parts: list[tuple[int, int, bool]], low: int, high: int, size: int):
-    """Nodes of ``size`` strings below the parts (lo, hi, partner) of one parent."""
-    lo, hi = (np.array([p[i] for p in parts], np.int64) for i in (0, 1))
-    # In the context, the anchor lies ``high`` bytes from the start.
-    whole, at, lo, hi, grid = cut(np.full(len(parts), high, np.int64), lo, hi, size)
-    partner = np.array([p[2] for p in parts])[whole]
-    return cores(context, at, grid, size), spans(context, at, lo, hi), lo, hi, partner
-
-
 def child_nodes(parents: DataFrame, parts: DataFrame | None, size: int) -> DataFrame:
     """Nodes of ``size`` strings below ``parts`` of the parents, or below all of each."""
     if parts is None:
@@ -250,17 +242,20 @@ def child_nodes(parents: DataFrame, parts: DataFrame | None, size: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for parent, row, b, lo, hi, context, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                each = [(x["lo"], x["hi"], x["partner"]) for x in found]
-                core, span, low, high, partner = _children(context, b, each, lo, hi, size)
-                same = [np.full(len(core), v, np.int64) for v in (row, b, parent)]
-                out.append((core, span, same[0], same[1], low, high, same[2], partner))
-            if out:
-                columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=_NODE_NAMES)
-
-    return listed.select("parent", "row", "b", "lo", "hi", "context", "parts").mapInArrow(run, NODE)
+            parent, row, b, high = (batch.column(i).to_numpy() for i in range(4))
+            contexts, parts = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            lo, hi = (np.array([x[k] for p in parts for x in p], np.int64) for k in ("lo", "hi"))
+            partner = np.array([x["partner"] for p in parts for x in p], bool)
+            # In its context, the anchor of a parent lies ``high`` bytes from the start.
+            whole, at, lo, hi, grid = cut(high[owner], lo, hi, size)
+            of = owner[whole]
+            texts = [contexts[i] for i in of.tolist()]
+            arrays = [cores(texts, at, grid, size), spans(texts, at, lo, hi), row[of], b[of], lo, hi, parent[of]]
+            columns = [*(pa.array(a, pa.int64()) for a in arrays), pa.array(partner[whole], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=_NODE_NAMES)
+
+    return listed.select("parent", "row", "b", "hi", "context", "parts").mapInArrow(run, NODE)
 
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
