@@ -143,8 +143,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def firsts_only(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, that of smallest doc_id, with all its columns.
 
-    Rows that repeat this doc_id count as one document. A group without any doc_id
-    keeps one row too.
+    Rows of one doc_id and text count as one document; where a doc_id carries several
+    texts, each group it leads keeps one of them. A group without any doc_id keeps one
+    row too.
     """
     key, same = fresh(docs, "key"), fresh(docs, "same")
     named = docs.withColumns(
@@ -152,10 +153,10 @@ def firsts_only(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     rows = named.select(F.col(doc_id).alias("id"), F.col(key).alias("key"), F.col(same).alias("same"), F.col(text).alias("text"))
     rows = written(with_fingerprint(rows, "text", "print").drop("text"), "prints")
-    kept = rows.join(labelled_prints(rows, "print", "id"), "print").where(F.col("id").eqNullSafe(F.col("smallest")))
-    # One text of the name where there is one, else one text of the group.
-    first = F.min(F.struct("print", "same"))["same"].alias("same")
-    chosen = kept.where(F.col("id").isNotNull()).groupBy("key").agg(first)
-    nameless = kept.where(F.col("id").isNull()).groupBy("group").agg(F.lit("").alias("key"), first).drop("group")
-    winners = written(chosen.unionByName(nameless).toDF(key, same), "winners")
+    # Nulls last; combined by fingerprint first, so that no row is joined to its group.
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "print", "key", "same")).alias("first")
+    firsts = written(rows.groupBy("print").agg(first), "firsts")
+    members = firsts.join(groups(firsts.select("print")), "print")
+    winners = members.groupBy("group").agg(F.min("first").alias("first")).select("first.key", "first.same")
+    winners = written(winners.distinct().toDF(key, same), "winners")
     return named.join(winners, [key, same]).dropDuplicates([key, same]).select(*docs.columns)

@@ -91,6 +91,14 @@ def test_a_group_of_nameless_documents_keeps_one(documents, prose):
     assert simhash.firsts_only(documents(variants)).count() == len(groups)
 
 
+def test_each_group_led_by_one_doc_id_keeps_a_document(documents, prose):
+    texts = [prose(i, 60) for i in range(6)]
+    near = [t.upper() for t in texts]
+    rows = [(5, t) for t in texts] + [(7 + i, t) for i, t in enumerate(near)] + [(5, texts[0])]
+    kept = simhash.firsts_only(documents(rows, extra=True)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted((5, t) for t in texts)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     chain = [(i, i + 1) for i in range(200)]
     star = [(1000, 1000 + i) for i in range(300)]
