@@ -5,8 +5,9 @@ word lengths, repeated and different words); the metadata view sees language, so
 and stated length. Each number is cut into ``BINS`` bins at quantiles of the sample, and
 each view is a ridge logistic regression over its bins.
 
-Training uses at most ``LABELLED`` labelled documents, those of lowest hash, and the
-documents without label among the ``UNLABELLED`` of lowest hash. A third of the labelled ones is held out. In each of ``ROUNDS`` rounds
+Training uses at most ``LABELLED`` labelled documents and ``UNLABELLED`` documents without
+label, those of lowest hash; of rows that repeat an unlabelled doc_id one is drawn. A third
+of the labelled ones is held out. In each of ``ROUNDS`` rounds
 both views are fitted, and each gives the other the labels it is most sure of: those
 of unlabelled documents that score beyond the point down to which, on held-out documents,
 at least ``SURE`` of any ``NEIGHBOURS`` in a row have that label. A view that is never
@@ -211,10 +212,12 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, metadata:
     )
     order = [F.xxhash64(F.lit(SEED), "doc_id"), F.xxhash64("t"), F.col("c")]
     labelled = rows.join(picked, "doc_id").orderBy(*order).limit(LABELLED)
-    # The unlabelled ones are drawn by id, without a shuffle of the ids; then texts are read.
-    ids = docs.select(F.col(doc_id).alias("doc_id")).where(F.col(doc_id).isNotNull())
-    ids = ids.orderBy(drawn, "doc_id").limit(UNLABELLED).distinct().join(known, "doc_id", "left_anti")
-    free = rows.join(F.broadcast(ids), "doc_id").orderBy(*order).limit(UNLABELLED)
+    # The unlabelled ones are drawn by id from all that no label names; then texts are read.
+    ids = docs.select(F.col(doc_id).alias("doc_id")).where(F.col(doc_id).isNotNull()).distinct()
+    ids = ids.join(known, "doc_id", "left_anti").orderBy(drawn, "doc_id").limit(UNLABELLED)
+    one = F.min(F.struct(F.xxhash64("t").alias("h"), "c", "a", "b", "t")).alias("one")
+    free = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(one)
+    free = free.select("doc_id", *(F.col(f"one.{n}").alias(n) for n in "tabc"))
     y = F.when(F.col("quality") > 0, 1).otherwise(0)
     both = labelled.withColumn("y", y).drop("quality").unionByName(free.withColumn("y", F.lit(-1)))
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edgelens.llm import quality
 
@@ -78,6 +79,20 @@ def test_good_rows_stay_whole(spark, documents, prose):
     assert kept.columns == docs.columns and 120 < kept.count() < 200
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_the_pool_holds_as_many_unlabelled_documents_as_it_may(spark, documents, prose, monkeypatch, repeated):
+    monkeypatch.setattr(quality, "UNLABELLED", 30)
+    rows = [(i, prose(i, 5)) for i in range(400)]
+    free = set(range(0, 400, 8))
+    docs = documents(rows)
+    if repeated:
+        lowest = docs.where("doc_id % 8 = 0").orderBy(F.xxhash64(F.lit(quality.SEED), "doc_id")).first().doc_id
+        docs = documents(rows + [(lowest, prose(1000 + i, 5)) for i in range(60)])
+    known = table(spark, [(i, i % 2, 0) for i, _ in rows if i not in free])
+    drawn = quality.sample(docs, known, "doc_id", "text", quality.METADATA).where("y < 0").collect()
+    assert len(drawn) == 30 and len({r.doc_id for r in drawn} & free) == 30
+
+
 def test_nulls_repeats_and_empty_tables(spark, documents, prose):
     rows, labels = corpus(prose, 200)
     odd = [(None, None, None, None, None), (None, "", None, "web", 3), (5, "word " * 60_000, "xx", None, None), (5, "a", "en", "web", -1)]
