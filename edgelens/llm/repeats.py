@@ -22,8 +22,8 @@ which lie at the ends of repeats, are cut into smaller nodes, down to single str
 Where a span occurs more than once, one of its nodes goes on with the others as a partner,
 so that no pair is missed. A class is known by two independent 64-bit digests.
 
-The table is read several times and must give its rows in the same order each time,
-as files do. Rows that repeat a doc_id are texts like others. An empty table gives no rows.
+The numbered rows are stored once, so that every pass reads the same number with the same
+text however its scan is split. Rows that repeat a doc_id are texts like others. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -309,6 +309,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")
     )
+    rows = written(rows, "rows")
     runs = repeated_runs(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

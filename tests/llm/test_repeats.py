@@ -66,6 +66,26 @@ def test_a_common_passage_among_many_different_edges(documents):
     assert same(documents, rows) >= 120 * 700
 
 
+def test_splits_may_change_between_the_passes(spark, documents, monkeypatch):
+    """Cores that come or go let Spark split the files anew."""
+    conf = "spark.sql.files.minPartitionNum"
+    rng = random.Random(10)
+    passage = random_text(rng, 500)
+    rows = [(i, random_text(rng, 100 + 40 * i) + passage + random_text(rng, 30)) for i in range(12)]
+    settle = repeats.settle
+
+    def settle_on_other_splits(nodes):
+        spark.conf.set(conf, "100")
+        return settle(nodes)
+
+    monkeypatch.setattr(repeats, "settle", settle_on_other_splits)
+    spark.conf.set(conf, "1")
+    try:
+        assert same(documents, rows) >= 12 * 500
+    finally:
+        spark.conf.unset(conf)
+
+
 def test_empty_tables(documents):
     assert repeats.report(documents([])).count() == 0
     assert same(documents, [(1, "short")]) == 0
