@@ -6,17 +6,16 @@ missing. A rule fits its host and all subdomains if the path starts with the rul
 the longest that fits decides.
 
 For the other pages the tree decides. Pages that a rule fits are its labelled pages.
-Level by level, the segments below one node of a host's tree are
-
-1. made a wildcard where they vary: a segment stays only if it holds ``FREQUENT`` of
-   the node's pages;
-2. merged into the wildcard where the labels do not tell them from their siblings (two
-   proportions, ``Z`` standard errors apart, the siblings smoothed as below; a segment
-   without labelled pages is not told apart).
+Level by level, the segments below one node of a host's tree are merged into a wildcard
+where the labels do not tell them from their siblings (two proportions, ``Z`` standard
+errors apart, the siblings smoothed as below), however many pages they hold. A segment
+without labelled pages is not told apart, so segments that vary are a wildcard.
 
 A template is blocked if its purity is below ``PURE``. Purity is the share of allowed
 pages among its labelled ones, smoothed by ``PRIOR`` pages of the purity of all labelled
-pages. Segments beyond ``DEPTH`` are one wildcard tail.
+pages. Beyond ``DEPTH`` only the nodes that labels can still divide go on, those with
+labelled pages that are mixed with others (a level where no such node branches is
+passed over); the segments that are left are one wildcard tail.
 
 Everything works on distinct (host, path) pairs with counts, so a busy host or page is
 combined before it is shuffled. Empty table: no rows.
@@ -24,6 +23,8 @@ combined before it is shuffled. Empty table: no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from edgelens.llm.common import ascii_lower
@@ -37,7 +38,6 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-FREQUENT = 0.05
 Z = 1.96
 PRIOR = 10.0
 PURE = 0.5
@@ -78,28 +78,62 @@ def _told_apart(good: Column, labelled: Column, all_good: Column, all_labelled:
     return F.coalesce(apart, F.lit(False))
 
 
+def _divided(state: DataFrame, level: int, columns: list[str], base: float) -> DataFrame:
+    """``state`` with the segments of ``level`` added to the templates."""
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
+    state = state.withColumn("segment", F.get("segments", F.lit(level)))
+    branches = state.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(*sums)
+    branches = written(branches, "branches")
+    nodes = branches.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "good")))
+    counts = [F.col(c) for c in ("good", "labelled", "all_good", "all_labelled")]
+    kept = branches.join(nodes, ["host", "template"]).where(_told_apart(*counts, base))
+    kept = kept.select("host", "template", "segment").withColumn("literal", F.lit(True))
+    step = F.when(F.col("literal"), F.col("segment")).when(F.col("segment").isNotNull(), F.lit(WILDCARD))
+    state = state.join(kept, ["host", "template", "segment"], "left").select(
+        *columns, "segments", F.concat_ws("/", F.col("template"), step).alias("template")
+    )
+    return written(state, "level")
+
+
+def _open_nodes(state: DataFrame, level: int) -> DataFrame:
+    """Nodes that labels can divide below ``level``, and how many segments all their pages share."""
+    rest = F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0)))
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
+    ends = [F.min(rest).alias("least"), F.max(rest).alias("most")]
+    nodes = state.where(F.size("segments") > level).groupBy("host", "template").agg(*sums, *ends)
+    mixed = (F.col("good") > 0) & (F.col("good") < F.col("labelled")) | (F.col("labelled") < F.col("n"))
+    same = F.zip_with("least", "most", lambda a, b: a.eqNullSafe(b))
+    nodes = nodes.where((F.col("labelled") > 0) & mixed & (F.col("least") != F.col("most")))
+    return nodes.select("host", "template", (F.array_position(same, False) - 1).cast("int").alias("shared"))
+
+
 def templates(paths: DataFrame, base: float) -> DataFrame:
     """``paths`` (host, path, n, labelled, good) with the ``template`` of each path."""
     segments = F.split(F.regexp_replace("path", "^/", ""), "/")
     state = paths.withColumn("segments", segments).withColumn("template", F.lit(""))
     depth = state.agg(F.max(F.size("segments"))).first()[0] or 0
-    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
-    for level in range(min(depth, DEPTH)):
-        state = state.withColumn("segment", F.get("segments", F.lit(level)))
-        branches = state.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(*sums)
-        branches = written(branches, "branches")
-        nodes = branches.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "good")))
-        counts = [F.col(c) for c in ("good", "labelled", "all_good", "all_labelled")]
-        kept = (F.col("n") >= FREQUENT * F.col("all_n")) & _told_apart(*counts, base)
-        kept = branches.join(nodes, ["host", "template"]).where(kept).select("host", "template", "segment")
-        kept = kept.withColumn("literal", F.lit(True))
-        step = F.when(F.col("literal"), F.col("segment")).when(F.col("segment").isNotNull(), F.lit(WILDCARD))
-        state = state.join(kept, ["host", "template", "segment"], "left").select(
-            *paths.columns, "segments", F.concat_ws("/", F.col("template"), step).alias("template")
-        )
-        state = written(state, "level")
-    tail = F.when(F.size("segments") > DEPTH, F.lit("/**")).otherwise("")
-    return state.select(*paths.columns, F.concat("template", tail).alias("template"))
+    done, level = [], 0
+
+    def closed(rows: DataFrame, level: int) -> DataFrame:
+        tail = F.when(F.size("segments") > level, F.lit("/**")).otherwise("")
+        return rows.select(*paths.columns, F.concat("template", tail).alias("template"))
+
+    while level < depth:
+        if level >= DEPTH:
+            nodes = written(_open_nodes(state, level), "open")
+            shared = nodes.agg(F.min("shared")).first()[0]
+            if shared is None:
+                break
+            reached = state.join(nodes, ["host", "template"], "left")
+            # Pages that end here are no part of the node's branches.
+            on = F.col("shared").isNotNull() & (F.size("segments") > level)
+            done.append(closed(reached.where(~on), level))
+            common = F.concat_ws("/", "template", F.slice("segments", level + 1, shared))
+            state = reached.where(on).select(*paths.columns, "segments", common.alias("template"))
+            level += shared
+        state = _divided(state, level, paths.columns, base)
+        level += 1
+    return reduce(DataFrame.unionByName, [*done, closed(state, level)])
 
 
 def judged(paths: DataFrame) -> DataFrame:

@@ -83,6 +83,28 @@ def test_a_template_of_blocked_pages_is_rejected(pages):
     assert all(r.verdict == "allow" for r in got if r.host == "good.net")
 
 
+def test_a_small_branch_that_labels_tell_apart_stays(pages):
+    """Under a twentieth of the host's pages, and one of many sections."""
+    rules = [("net", "/", "allow"), ("h.com", "/de/", "block")]
+    urls = [f"http://h.com/de/{i}" for i in range(40)] + [f"http://h.com/en/{i}" for i in range(960)]
+    rules += [("s.com", f"/b{k}/", "block") for k in range(12)] + [("s.com", f"/a{k}/1", "allow") for k in range(12)]
+    urls += [f"http://s.com/{c}{k}/{i}" for c in "ab" for k in range(12) for i in range(10, 30)]
+    got = U.verdicts(pages(urls + [f"http://k.net/{i}" for i in range(400)]), rules).collect()
+    assert {r.verdict for r in got if r.path.startswith("/en/")} == {"allow"}
+    assert {r.template for r in got if r.path.startswith("/de/")} == {"/de/*"}
+    assert {r.verdict for r in got if r.path.startswith("/a")} == {"allow"}
+
+
+def test_labels_that_differ_deep_in_a_path_are_seen(pages):
+    deep = "/" + "x/" * 300
+    rules = [("net", "/", "allow"), ("h.com", f"{deep}de/", "block"), ("h.com", f"{deep}fr/1", "allow")]
+    urls = [f"http://h.com{deep}{c}/{i}" for c in ("de", "fr") for i in range(100, 180 if c == "de" else 140)]
+    urls += [f"http://h.com{deep}fr/{i}" for i in range(200, 240)] + [f"http://h.com{deep}de"]
+    got = U.verdicts(pages(urls + [f"http://k.net/{i}" for i in range(200)]), rules).collect()
+    assert len(got) == len(urls) + 200
+    assert {r.verdict for r in got if r.path.startswith(f"{deep}fr/")} == {"allow"}
+
+
 def test_repeats_and_empty_tables(pages):
     got = U.verdicts(pages(["x://a.net/b"] * 5)).collect()
     assert [(r.host, r.path, r.verdict) for r in got] == [("a.net", "/b", "allow")] * 5
