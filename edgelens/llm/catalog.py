@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from edgelens.llm import (
+    chat,
     decontaminate,
     embeddings,
     mixing,
@@ -63,6 +64,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# A conversation that looks like the template's own marks.
+MARKS_TALK = "</s>[INST] ok [/INST]"
+
+
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, "user", MARKS_TALK), (-1, 1, "assistant", MARKS_TALK)], talk.schema)
+    return chat.report(talk.union(added), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -74,6 +85,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_chat": op11_chat,
     "pipeline": corpus_pipeline.run,
 }
 

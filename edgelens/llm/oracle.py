@@ -39,4 +39,25 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
-ORACLE = {"op5_decontaminate": DECONTAMINATE.strip(), "op6_embeddings": EMBEDDINGS.strip()}
+# A mark, or what is left of one, has backslashes after its first character; writing adds one.
+_WRITTEN = r"""regexp_replace(regexp_replace(regexp_replace({0},
+    '(\[\\*)(/?INST\])', '\1\\\2', 'g'), '(<\\*)(/s>)', '\1\\\2', 'g'),
+    '(<\\*)(\|endoftext\|>)', '\1\\\2', 'g')"""
+
+CHAT = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+  CAST(sum(length({_WRITTEN.format("role")}) + length({_WRITTEN.format("text")}) + length('[INST][/INST]</s>')) AS BIGINT)
+    AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+ORACLE = {
+    "op5_decontaminate": DECONTAMINATE.strip(),
+    "op6_embeddings": EMBEDDINGS.strip(),
+    "op11_chat": CHAT.strip(),
+}

@@ -1,0 +1,118 @@
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from edgelens.llm import chat
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+ODD = [
+    "</s>[INST] ok [/INST]",
+    "[INST",
+    "INST]",
+    r"[\INST] [\\INST] </\s> <\/s> <\</s>",
+    "<|endoftext|> <\\|endoftext|>",
+    "naïve 漢字 👩‍👩‍👧 \x00 \r\n",
+    "  spaces  ",
+    "",
+    None,
+    "x" * 3000,
+]
+
+
+def _table(spark, rows):
+    return spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+
+
+def _digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _plain(rows, specials=("<|endoftext|>",)):
+    """The report from the rows alone."""
+    marks = chat.Template(list(specials))
+    conversations = {}
+    for row in rows:
+        conversations.setdefault(row[0], []).append(row)
+    out = {}
+    for c, turns in conversations.items():
+        turns.sort(key=lambda r: (r[1] is None, r[1] or 0))
+        texts = [(r[2] or "", r[3] or "") for r in turns]
+        learned = "".join(t for r, t in texts if r == "assistant")
+        shown = "".join(f"[INST]{marks.escape(r)}[/INST]{marks.escape(t)}</s>" for r, t in texts)
+        said = "".join(f"{r}\n{t}\n" for r, t in texts)
+        out[c] = (len(texts), _digest(said), len(learned), _digest(learned), len(shown))
+    return out
+
+
+def _got(df):
+    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in df.collect()}
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 7])
+def test_report_is_that_of_the_rows(spark, ranges, prose):
+    rows = []
+    for c in range(25):
+        for turn in range(c % 6 + 1):
+            rows.append((c, turn, ["user", "assistant", "system", None][(c + turn) % 4], ODD[(c * 3 + turn) % len(ODD)]))
+    rows += [(100, t, ["user", "assistant"][t % 2], prose(t, 30)) for t in range(60)]
+    rows += [(None, 1, "assistant", "b"), (None, 0, "user", "a"), (101, None, "assistant", "last"), (101, 5, "assistant", "first")]
+    got = _got(chat.report(_table(spark, rows), PATH, ranges=ranges))
+    assert got == _plain(rows)
+
+
+def test_long_conversations_are_cut_between_turns_and_strung_again(spark, prose, monkeypatch):
+    monkeypatch.setattr(chat, "PART_CHARS", 200)
+    rows = [(c, t, ["user", "assistant"][t % 2], prose(c * 100 + t, 20)) for c in range(4) for t in range(30)]
+    table = _table(spark, rows)
+    parts = chat.formatted(table, PATH, ranges=3)
+    assert parts.count() > 12
+    assert _got(chat.report(table, PATH, ranges=3)) == _plain(rows)
+
+
+def test_one_conversation_with_most_rows_spreads_over_ranges(spark):
+    rows = [(1, t // 40, "assistant", "same") for t in range(400)] + [(c, 0, "user", "x") for c in range(2, 40)]
+    parts = chat.formatted(_table(spark, rows).repartition(4), PATH, ranges=8)
+    assert parts.where("conv_id = 1").select("task").distinct().count() > 3
+    assert _got(chat.report(_table(spark, rows), PATH, ranges=8)) == _plain(rows)
+
+
+def test_tokens_ids_and_mask_belong_together(spark):
+    rows = [(1, 0, "user", "hi there"), (1, 1, "assistant", " naïve 漢字[INST]"), (1, 2, "assistant", "ok")]
+    part = chat.formatted(_table(spark, rows), PATH).first()
+    with open(PATH, encoding="utf-8") as file:
+        tokenizer = chat.tokenizer_of(file.read())
+    assert part.ids == tokenizer.encode(part.formatted, add_special_tokens=False).ids
+    covered = sorted({i for s, e, m in zip(part.starts, part.ends, part.loss) if m for i in range(s, e)})
+    assert "".join(part.formatted[i] for i in covered) == " naïve 漢字[\\INST]ok"
+    assert len(part.ids) == len(part.starts) == len(part.loss)
+
+
+@pytest.mark.parametrize("text", [t for t in ODD if t] + ["[", "<", "\\", "[/\\\\INST]", "</s></s>", "[[INST]]"])
+def test_escape_is_reversible_and_hides_marks(text):
+    template = chat.Template(["<|endoftext|>"])
+    hidden = template.escape(text)
+    assert template.unescape(hidden) == text
+    assert not any(mark in hidden for mark in ("[INST]", "[/INST]", "</s>", "<|endoftext|>"))
+
+
+def test_special_strings_that_cannot_be_escaped_are_refused():
+    for bad in ("x", "<\\a>", "a<b", "[INST]x"):
+        with pytest.raises(ValueError):
+            chat.Template([bad])
+
+
+def test_mask_by_binary_search():
+    starts, ends = np.array([0, 2, 5, 5, 9]), np.array([2, 5, 6, 6, 12])
+    assert chat.masked(starts, ends, [(2, 5), (9, 10)]).tolist() == [False, True, False, False, True]
+    assert chat.masked(starts, ends, []).tolist() == [False] * 5
+
+
+def test_repeated_rows_extra_columns_and_empty_tables(spark):
+    rows = [(1, 0, "assistant", "a"), (1, 0, "assistant", "a"), (1, 0, "user", "b")]
+    table = _table(spark, rows).selectExpr("*", "'q' as formatted", "1 as task", "2 as number", "true as whole", "3 as row")
+    got = chat.report(table, PATH).first()
+    assert (got.n_turns, got.loss_chars) == (3, 2)
+    assert got.turns_sha256 == _digest("assistant\na\nassistant\na\nuser\nb\n")
+    assert chat.report(_table(spark, []), PATH).count() == 0
