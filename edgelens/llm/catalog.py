@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from edgelens.llm import (
     chat,
+    collocations,
     decontaminate,
     embeddings,
     mixing,
@@ -74,6 +75,10 @@ def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(talk.union(added), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -86,6 +91,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op11_chat": op11_chat,
+    "op12_collocations": op12_collocations,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -56,8 +56,36 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
+COLLOCATIONS = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS pieces
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p, unnest(pieces) AS t(piece)),
+f AS (SELECT lang, w[i : i + k - 1] AS words, count(*) AS f
+      FROM w, unnest([1, 2, 3]) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i) GROUP BY ALL),
+cand AS (SELECT * FROM f WHERE len(words) > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.words, c.f AS a, x.f AS l, y.f AS r, k,
+    1000000 * CAST(c.f AS HUGEINT) * c.f // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cand AS c, unnest(range(1, len(c.words))) AS t(k)
+  JOIN f AS x ON x.lang = c.lang AND x.words = c.words[1 : k]
+  JOIN f AS y ON y.lang = c.lang AND y.words = c.words[k + 1 : len(c.words)]),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+covered AS (
+  SELECT DISTINCT s.lang, s.words FROM cand AS s JOIN cand AS b ON b.lang = s.lang AND len(b.words) = len(s.words) + 1
+    AND s.words IN (b.words[1 : len(s.words)], b.words[2 : len(b.words)]) AND 100 * b.f >= 50 * s.f),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+ranked AS (
+  SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank
+  FROM weakest ANTI JOIN covered USING (lang, words))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE = {
     "op5_decontaminate": DECONTAMINATE.strip(),
     "op6_embeddings": EMBEDDINGS.strip(),
     "op11_chat": CHAT.strip(),
+    "op12_collocations": COLLOCATIONS.strip(),
 }
