@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from edgelens.llm import (
+    alignment,
     chat,
     collocations,
     decontaminate,
@@ -79,6 +80,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.report(table(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -92,6 +98,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_chat": op11_chat,
     "op12_collocations": op12_collocations,
+    "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
