@@ -1,9 +1,13 @@
 """Phrases whose words stand together more often than their parts would.
 
+Texts are turned into numbers of words once, in chunks with a vocabulary of their own.
 Counting goes up by length. A phrase can only reach ``least`` if both phrases it
-consists of, one word shorter, do; a fixed-size filter of those tells tasks which
-phrases are worth counting. What the filter lets through by mistake is dropped by its
-count, so counts are exact and the filter's size changes the work alone.
+consists of, one word shorter, do; a fixed-size filter of those names the places worth
+counting. There, hashes of phrases are counted first: sorted, compressed and merged by
+radix, so that rare phrases, which are most, never travel as words. A second filter,
+of the hashes that reach ``least``, picks the phrases that are then counted by their
+words. Counts are exact, as what a filter lets through by mistake is dropped by its
+count; hashes and the filters' size change the work alone.
 
 The counted phrases of all lengths, single words included, form one stream. In prefix
 order (by words from the left) every phrase follows its own beginnings and is followed
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from edgelens.llm.common import bound_batches
@@ -34,8 +39,13 @@ from edgelens.session import written
 
 NO_LANG = "und"
 # Words of a chunk that is counted at once, distinct words it may hold.
-CHUNK_WORDS = 2 << 20
-CHUNK_VOCABULARY = 1 << 19
+CHUNK_WORDS = 1 << 20
+CHUNK_VOCABULARY = 1 << 18
+# Hashes that are held before they are folded or passed on; words a radix of them stands for.
+HELD = 1 << 22
+# Bits of a phrase's hash that are counted, and rows of a batch.
+HASH_BITS = 48
+BATCH_ROWS = 1 << 16
 # Filter bits: per phrase, and at most.
 BITS_EACH = 16
 MOST_BITS = 1 << 27
@@ -81,45 +91,55 @@ class Filter:
         return (both & one).astype(bool)
 
 
-def filter_of(phrases: DataFrame, length: int) -> np.ndarray:
-    """Bits of the phrases (lang, w1, ...); their number is bounded by ``MOST_BITS``."""
-    n = max(1, phrases.count())
+def filter_of(hashes: DataFrame, n: int) -> np.ndarray:
+    """Bits of about ``n`` hashes, which come as arrays in a binary column; bounded by ``MOST_BITS``."""
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (n * BITS_EACH - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(bits // 64, np.uint64)
         for batch in batches:
-            seeds = [_seed(lang) for lang in batch.column(0).to_pylist()]
-            words = [batch.column(i + 1).cast(pa.binary()).to_pylist() for i in range(length)]
-            hashes = [
-                np.array([xxhash.xxh64_intdigest(w, s) for w, s in zip(column, seeds)], np.uint64) for column in words
-            ]
-            for at in Filter.places(_chained(hashes), np.uint64(bits - 1)):
-                np.bitwise_or.at(held, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+            for blob in batch.column(0).to_pylist():
+                for at in Filter.places(np.frombuffer(blob, np.uint64), np.uint64(bits - 1)):
+                    np.bitwise_or.at(held, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
         at = np.flatnonzero(held)
-        for part in np.array_split(at, len(at) // 65_536 + 1):
+        for part in np.array_split(at, len(at) // BATCH_ROWS + 1):
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(held[part].view(np.int64))], names=["at", "bits"])
 
-    columns = ["lang", *(f"w{i + 1}" for i in range(length))]
-    found = phrases.select(*columns).mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    found = hashes.mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     rows = found.toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
+def _hashes_of(phrases: DataFrame, length: int) -> DataFrame:
+    """Hashes of the phrases (lang, w1, ...), in arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds = [_seed(lang) for lang in batch.column(0).to_pylist()]
+            words = [batch.column(i + 1).cast(pa.binary()).to_pylist() for i in range(length)]
+            hashes = [
+                np.array([xxhash.xxh64_intdigest(w, s) for w, s in zip(column, seeds)], np.uint64) for column in words
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([_chained(hashes).tobytes()], pa.binary())], names=["hashes"])
+
+    columns = ["lang", *(f"w{i + 1}" for i in range(length))]
+    return phrases.select(*columns).mapInArrow(run, "hashes binary")
+
+
 class _Ids(dict):
     """Word to number; a new word is entered in the chunk."""
 
     def __init__(self, chunk: _Chunk, lang: str):
         super().__init__({_GAP: 0})
-        self.chunk, self.lang, self.seed = chunk, lang, _seed(lang)
+        self.chunk, self.lang = chunk, len(chunk.langs)
+        chunk.langs.append(lang)
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self.chunk.words)
         self.chunk.words.append(word)
-        self.chunk.langs.append(self.lang)
-        self.chunk.hashes.append(xxhash.xxh64_intdigest(word, self.seed))
+        self.chunk.lang_of.append(self.lang)
         return number
 
 
@@ -127,7 +147,7 @@ class _Chunk:
     """Some texts as numbers of words; 0 is a gap between pieces and texts."""
 
     def __init__(self):
-        self.words, self.langs, self.hashes = [b""], [""], [0]
+        self.words, self.lang_of, self.langs = [b""], [0], [""]
         self.ids_of: dict[str, _Ids] = {}
         self.texts: list[np.ndarray] = []
         self.size = 0
@@ -142,16 +162,44 @@ class _Chunk:
     def full(self) -> bool:
         return self.size >= CHUNK_WORDS or len(self.words) >= CHUNK_VOCABULARY
 
-    def phrases(self, length: int, known: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Phrases of which both shorter ones are known, as columns of word numbers, and their counts."""
-        ids = np.concatenate(self.texts)
-        hashes, shorter = np.array(self.hashes, np.uint64)[ids], length - 1
-        stretch = max(0, len(ids) - shorter + 1)
-        code = _chained([hashes[i : i + stretch] for i in range(shorter)])
-        inside = np.all([ids[i : i + stretch] > 0 for i in range(shorter)], axis=0)
-        fine = inside & Filter(known).holds(code)
+    def row(self) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        ids, lang_of = (np.asarray(v, np.int32) for v in (np.concatenate(self.texts), self.lang_of))
+        blobs = [pack(_GAP.join(self.words)), pack(lang_of.tobytes()), pack(ids.tobytes())]
+        arrays = [pa.array([b], pa.binary()) for b in blobs] + [pa.array([self.langs], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(arrays, names=_STORED)
+
+
+_STORED = ["words", "lang_of", "ids", "langs"]
+
+
+class _Stored:
+    """A chunk read back."""
+
+    def __init__(self, words: bytes, lang_of: bytes, ids: bytes, langs: list[str]):
+        unpack = zstandard.ZstdDecompressor().decompress
+        self.words, self.langs = unpack(words).split(_GAP), langs
+        self.lang_of, self.ids = (np.frombuffer(unpack(b), np.int32) for b in (lang_of, ids))
+
+    def hashes(self) -> np.ndarray:
+        seeds = [_seed(lang) for lang in self.langs]
+        words = zip(self.words, self.lang_of.tolist())
+        return np.fromiter((xxhash.xxh64_intdigest(w, seeds[lang]) for w, lang in words), np.uint64, len(self.words))
+
+    def places(self, length: int, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases stand of which both shorter ones are known, and their hashes."""
+        of_words, n = self.hashes()[self.ids], length - 1
+        stretch = max(0, len(self.ids) - n + 1)
+        code = _chained([of_words[i : i + stretch] for i in range(n)])
+        fine = Filter(shorter).holds(code)
+        for i in range(n):
+            fine &= self.ids[i : i + stretch] > 0
         at = np.flatnonzero(fine[:-1] & fine[1:])
-        columns = [ids[at + i] for i in range(length)]
+        return at, _chained([of_words[at + i] for i in range(length)]) >> np.uint64(64 - HASH_BITS)
+
+    def counted(self, at: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The different phrases at some places, as columns of word numbers, and their counts."""
+        columns = [self.ids[at + i].astype(np.int64) for i in range(length)]
         if not len(at):
             return columns, at
         base, code = len(self.words), columns[0]
@@ -162,47 +210,149 @@ class _Chunk:
         _, first, n = np.unique(code, return_index=True, return_counts=True)
         return [c[first] for c in columns], n
 
-    def rows(self, columns: list[np.ndarray], n: np.ndarray) -> list[pa.Array]:
-        words, langs = pa.array(self.words, pa.binary()).cast(pa.string()), pa.array(self.langs, pa.string())
-        return [langs.take(pa.array(columns[0])), *(words.take(pa.array(c)) for c in columns), pa.array(n, pa.int64())]
+    def rows(self, columns: list[np.ndarray], n: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(self.words, pa.binary()).cast(pa.string())
+        langs = pa.array(self.langs, pa.string()).take(pa.array(self.lang_of))
+        for start in range(0, len(n), BATCH_ROWS):
+            part = slice(start, start + BATCH_ROWS)
+            ids = [pa.array(c[part]) for c in columns]
+            arrays = [langs.take(ids[0]), *map(words.take, ids), pa.array(n[part], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def _chunked(texts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = _Chunk()
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            for lang, text in zip(langs, texts):
+                chunk.add(lang, text)
+                if chunk.full():
+                    yield chunk.row()
+                    chunk = _Chunk()
+        if chunk.size:
+            yield chunk.row()
+
+    return written(texts.mapInArrow(run, "words binary, lang_of binary, ids binary, langs array<string>"), "chunks")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
-    chunk = _Chunk()
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Stored]:
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-        for lang, text in zip(langs, texts):
-            chunk.add(lang, text)
-            if chunk.full():
-                yield chunk
-                chunk = _Chunk()
-    if chunk.size:
-        yield chunk
-
-
-def _summed(docs: DataFrame, length: int, known: np.ndarray | None) -> DataFrame:
-    """lang, w1, ..., f of phrases of a length; of single words also a lang's total, its word null."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
-    names = ["lang", *(f"w{i + 1}" for i in range(length)), "n"]
+        for i in range(len(batch)):
+            yield _Stored(*(column[i].as_py() for column in batch.columns))
+
+
+def _word_counts(chunks: DataFrame) -> DataFrame:
+    """lang, w1, f of every word; a lang's total where w1 is null."""
+    names = ["lang", "w1", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
-            if length > 1:
-                columns, n = chunk.phrases(length, sent.value)
-                yield pa.RecordBatch.from_arrays(chunk.rows(columns, n), names=names)
-                continue
-            n = np.bincount(np.concatenate(chunk.texts), minlength=len(chunk.words))
+        for chunk in _read(batches):
+            n = np.bincount(chunk.ids, minlength=len(chunk.words))
             n[0] = 0
-            words = np.flatnonzero(n)
-            rows = chunk.rows([words], n[words])
-            yield pa.RecordBatch.from_arrays(rows, names=names)
-            of_lang = pa.table(rows, names=names).group_by("lang").aggregate([("n", "sum")])
-            for total in of_lang.select(["lang", "n_sum"]).to_batches():
-                nulls = pa.nulls(len(total), pa.string())
-                yield pa.RecordBatch.from_arrays([total.column(0), nulls, total.column(1)], names=names)
+            there = np.flatnonzero(n)
+            yield from chunk.rows([there], n[there], names)
+            totals = np.bincount(chunk.lang_of, n, len(chunk.langs)).astype(np.int64)[1:]
+            arrays = [pa.array(chunk.langs[1:], pa.string()), pa.nulls(len(totals), pa.string()), pa.array(totals)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return chunks.mapInArrow(run, "lang string, w1 string, n bigint").groupBy("lang", "w1").agg(F.sum("n").alias("f"))
+
+
+class _HashCounts:
+    """Sorted hashes with counts, folded when they get many."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray) -> bool:
+        """Takes some more; true if they are too many even when folded."""
+        self.parts.append((hashes, counts))
+        self.size += len(hashes)
+        if self.size <= HELD:
+            return False
+        self.fold()
+        return self.size > HELD // 2
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        hashes, counts = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.argsort(hashes, kind="stable")
+        hashes, counts = hashes[order], counts[order]
+        changed = np.ones(len(hashes), bool)
+        changed[1:] = hashes[1:] != hashes[:-1]
+        starts = np.flatnonzero(changed)
+        sums = np.add.reduceat(counts, starts) if len(starts) else counts
+        self.parts, self.size = [(hashes[starts], sums)], len(starts)
+        return self.parts[0]
+
+
+def _often(chunks: DataFrame, length: int, shorter: object, least: int, words: int) -> np.ndarray:
+    """Filter of the hashes of phrases that may stand in the texts ``least`` times."""
+    radix_bits = min(16, max(6, (words // HELD).bit_length()))
+
+    def spilled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pack = _HashCounts(), zstandard.ZstdCompressor(level=3).compress
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            hashes, counts = held.fold()
+            edges = np.searchsorted(hashes, np.arange((1 << radix_bits) + 1, dtype=np.uint64) << np.uint64(HASH_BITS - radix_bits))
+            rows = []
+            for radix in np.flatnonzero(np.diff(edges)).tolist():
+                part = slice(edges[radix], edges[radix + 1])
+                steps = np.diff(hashes[part], prepend=np.uint64(0))
+                rows.append((radix, pack(steps.tobytes()), pack(counts[part].astype(np.int64).tobytes())))
+            held.parts, held.size = [], 0
+            if rows:
+                types = pa.int32(), pa.binary(), pa.binary()
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays(columns, names=["radix", "hashes", "counts"])
+
+        for chunk in _read(batches):
+            _, codes = chunk.places(length, shorter.value)
+            if held.add(*np.unique(codes, return_counts=True)):
+                yield from passed_on()
+        yield from passed_on()
+
+    def merged_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        held, at = _HashCounts(), None
+
+        def frequent() -> pa.RecordBatch:
+            hashes, counts = held.fold()
+            reached = hashes[counts >= least]
+            arrays = [pa.array([reached.tobytes()], pa.binary()), pa.array([len(reached)], pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=["hashes", "n"])
+
+        for batch in batches:
+            for radix, steps, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if radix != at:
+                    if at is not None:
+                        yield frequent()
+                    held, at = _HashCounts(), radix
+                held.add(np.cumsum(np.frombuffer(unpack(steps), np.uint64)), np.frombuffer(unpack(counts), np.int64))
+        if at is not None:
+            yield frequent()
+
+    runs = chunks.mapInArrow(spilled, "radix int, hashes binary, counts binary")
+    laid = runs.repartition("radix").sortWithinPartitions("radix")
+    reached = written(laid.mapInArrow(merged_runs, "hashes binary, n bigint"), "hashes")
+    return filter_of(reached.select("hashes"), reached.agg(F.sum("n")).first()[0] or 1)
+
+
+def _phrase_counts(chunks: DataFrame, length: int, shorter: object, often: object) -> DataFrame:
+    """lang, w1, ..., f of the phrases that both filters let through."""
+    names = ["lang", *(f"w{i + 1}" for i in range(length)), "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _read(batches):
+            at, codes = chunk.places(length, shorter.value)
+            columns, n = chunk.counted(at[Filter(often.value).holds(codes)], length)
+            yield from chunk.rows(columns, n, names)
 
     ddl = ", ".join([*(f"{c} string" for c in names[:-1]), "n bigint"])
-    return docs.mapInArrow(run, ddl).groupBy(*names[:-1]).agg(F.sum("n").alias("f"))
+    return chunks.mapInArrow(run, ddl).groupBy(*names[:-1]).agg(F.sum("n").alias("f"))
 
 
 def count_streams(
@@ -210,15 +360,21 @@ def count_streams(
 ) -> tuple[DataFrame, DataFrame]:
     """Phrases of up to ``longest`` words that stand in the texts ``least`` times (lang,
     words, f), and the number of words of each lang (lang, n)."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang), F.lit(NO_LANG)).alias("lang"), F.col(text).alias("text"))
-    singles = written(_summed(texts, 1, None).where((F.col("f") >= least) | F.col("w1").isNull()), "words")
+    chunks = _chunked(texts)
+    singles = written(_word_counts(chunks).where((F.col("f") >= least) | F.col("w1").isNull()), "words")
     totals = singles.where("w1 is null").select("lang", F.col("f").alias("n"))
+    words = totals.agg(F.sum("n")).first()[0] or 0
     table, stream = singles.where("w1 is not null"), []
     for length in range(1, longest + 1):
         if length > 1:
-            known = filter_of(table, length - 1)
-            table = written(_summed(texts, length, known).where(F.col("f") >= least), f"phrases-{length}")
+            known = filter_of(_hashes_of(table, length - 1), table.count())
+            shorter = spark.sparkContext.broadcast(known)
+            often = spark.sparkContext.broadcast(_often(chunks, length, shorter, least, words))
+            counted = _phrase_counts(chunks, length, shorter, often)
+            table = written(counted.where(F.col("f") >= least), f"phrases-{length}")
         stream.append(table.select("lang", F.array(*(f"w{i + 1}" for i in range(length))).alias("words"), "f"))
     together = stream[0]
     for more in stream[1:]:

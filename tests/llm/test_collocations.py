@@ -71,12 +71,20 @@ def test_other_lengths_and_limits(spark):
 
 def test_small_chunks_and_a_full_filter_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(C, "CHUNK_WORDS", 50)
+    monkeypatch.setattr(C, "HELD", 20)
+    monkeypatch.setattr(C, "BATCH_ROWS", 7)
     monkeypatch.setattr(C, "MOST_BITS", 1 << 10)
     monkeypatch.setattr(C, "BITS_EACH", 1)
     rows = _rows(5, 200)
     assert _got(spark, rows) == _plain(rows)
 
 
+def test_colliding_hashes_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(C, "HASH_BITS", 20)
+    rows = _rows(7, 200)
+    assert _got(spark, rows) == _plain(rows)
+
+
 def test_one_word_begins_and_ends_most_phrases(spark):
     rng = random.Random(6)
     rows = [("en", " ".join(f"the {rng.choice('abcdefghijklmnopqrst')}" for _ in range(200))) for _ in range(30)]
@@ -86,8 +94,10 @@ def test_one_word_begins_and_ends_most_phrases(spark):
 def test_phrases_of_a_chunk():
     chunk = C._Chunk()
     chunk.add("en", b"x y z x y z. x y")
-    known = np.full(16, ~np.uint64(0))
-    columns, n = chunk.phrases(3, known)
+    stored = C._Stored(*(column[0].as_py() for column in chunk.row().columns))
+    at, codes = stored.places(3, np.full(16, ~np.uint64(0)))
+    assert len(at) == len(codes) == 4 and len(set(codes.tolist())) == 3
+    columns, n = stored.counted(at, 3)
     assert sorted(zip(*(c.tolist() for c in columns), n.tolist())) == [(1, 2, 3, 2), (2, 3, 1, 1), (3, 1, 2, 1)]
 
 
