@@ -406,7 +406,9 @@ ORACLE: dict[str, str] = {
     ),
     "src_landing_order": _with(
         HT + "," + FALLBACK,
-        "SELECT bucket, country, request_count, bytes_total FROM flat WHERE country IS NOT NULL",
+        """SELECT bucket, country, request_count, bytes_total FROM flat
+        UNION ALL
+        SELECT bucket, country, CAST('1' || request_count AS BIGINT), bytes_total FROM flat WHERE country IS NULL""",
     ),
     "src_rejected": _with(
         HT,
@@ -575,10 +577,20 @@ ORACLE |= {
     ),
     "doc_summary": _with(HT, SUMMARY),
     "store_unfinished_run": _with(
-        HT,
-        """SELECT 'unfinished' AS state, count(*) AS n, CAST(sum(request_count) AS BIGINT) AS requests
-        FROM ht WHERE bucket < '2024-01-16T00:00:00Z'
-        UNION ALL SELECT 'finished', count(*), CAST(sum(request_count) AS BIGINT) FROM ht""",
+        FE + "," + hourly("ht"),
+        """SELECT 'hourly_traffic' AS "table",
+          count(*) + count(*) FILTER (country IS NULL AND bucket >= '2024-01-10T00:00:00Z' AND bucket < '2024-01-16T00:00:00Z') AS n,
+          CAST(sum(request_count + CASE WHEN bucket >= '2024-01-10T00:00:00Z' THEN 1 ELSE 0 END
+            + CASE WHEN country IS NULL AND bucket >= '2024-01-10T00:00:00Z' AND bucket < '2024-01-16T00:00:00Z'
+                   THEN request_count ELSE 0 END) AS BIGINT) AS amount FROM ht
+        UNION ALL
+        SELECT 'firewall_events', count(*), CAST(sum(event_id) AS BIGINT) FROM (SELECT event_id FROM fe
+          QUALIFY row_number() OVER (PARTITION BY ray_name ORDER BY event_datetime >= '2024-01-16T00:00:00Z', event_id) = 1)""",
+    ),
+    "append_details_newest": _with(
+        RD,
+        """SELECT CASE WHEN path <> '/k/4' THEN '2024-01-17T00:00:00Z' ELSE '2024-01-16T00:00:00Z' END AS collected_at,
+          * REPLACE (request_count + CASE WHEN path <> '/k/4' THEN 7 ELSE 0 END AS request_count) FROM rd""",
     ),
     "anomaly_table": _with(
         SPIKED,

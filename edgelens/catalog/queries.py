@@ -13,7 +13,7 @@ from edgelens.functions import numeric as N
 from edgelens.functions import timetext as T
 from edgelens.operators import breakdown, features, forest, maintain, personas, rollups, windows
 from edgelens.plans import documents, series
-from edgelens.session import checkpoint, scratch_path
+from edgelens.session import checkpoint, scratch_path, written
 from edgelens.sources import feeds, results
 from edgelens.sources.store import Store
 from edgelens.streaming import ingest
@@ -416,7 +416,7 @@ def fw_top_user_agents(spark, sf):
 
 @query
 def upsert_hourly_last_wins(spark, sf):
-    first, second = M.hourly_batches(spark, sf)
+    first, second = (written(pull, "pull") for pull in M.hourly_batches(spark, sf))
     return maintain.upsert_hourly(first, second).drop("content_type", "ingest_seq")
 
 
@@ -460,33 +460,28 @@ def repair_across_runs(spark, sf):
 
 @query
 def src_landing_order(spark, sf):
-    """Two landed files, the later one larger for even hours and smaller for odd ones;
-    what arrived last stands."""
+    """Two landings of every hour, the later one larger for even hours and smaller for
+    odd ones. What arrived last stands; rows without country match nothing and all stay."""
     path = scratch_path(spark, "landing")
     landed = checkpoint(
         M.hourly_payload(spark, sf).withColumn("odd", F.substring("bucket", 13, 1).cast("int") % 2 == 1)
     )
     wide = F.concat("payload", F.repeat(F.lit(" "), 500))
     old = F.regexp_replace("payload", '"requests":', '"requests":1')
-    for name, text in (
-        ("first", F.when(F.col("odd"), F.concat(old, F.repeat(F.lit(" "), 500))).otherwise(old)),
-        ("second", F.when(F.col("odd"), F.col("payload")).otherwise(wide)),
+    for text in (
+        F.when(F.col("odd"), F.concat(old, F.repeat(F.lit(" "), 500))).otherwise(old),
+        F.when(F.col("odd"), F.col("payload")).otherwise(wide),
     ):
-        for odd in (True, False):
-            file = landed.where(F.col("odd") == odd).select(text.alias("value"))
-            file.coalesce(1).write.mode("append").text(f"{path}/{'odd' if odd else 'even'}")
+        files = landed.select(F.substring("bucket", 1, 10).alias("day"), text.alias("value"))
+        files.repartition("day").write.mode("append").partitionBy("day").text(path)
     store = Store(spark, scratch_path(spark, "landed"))
-    for part in ("odd", "even"):
-        rows = feeds.flatten_hourly(feeds.read_landing(spark, f"{path}/{part}"), M.PULL_2)
-        store.load(part, hourly=rows)
-    # Rows without country match nothing, so both of them stay.
-    placed = store.read("hourly_traffic").where(F.col("country").isNotNull())
-    return placed.select("bucket", "country", "request_count", "bytes_total")
+    store.load("all", hourly=feeds.flatten_hourly(feeds.read_landing(spark, path), M.PULL_2))
+    return store.read("hourly_traffic").select("bucket", "country", "request_count", "bytes_total")
 
 
 @query
 def insert_firewall_first_wins(spark, sf):
-    first, second = M.firewall_batches(spark, sf)
+    first, second = (written(pull, "pull") for pull in M.firewall_batches(spark, sf))
     return maintain.insert_events(maintain.first_write_wins(first), second).select(
         "collected_at", "event_datetime", "action", "country", "source", "ray_name"
     )
@@ -522,26 +517,39 @@ def append_details(spark, sf):
     return maintain.append_details(first, second).drop("ingest_seq")
 
 
+@query
+def append_details_newest(spark, sf):
+    """The same pulls; of each request group the newest stays."""
+    rd = M.request_details(spark, sf)
+    pulls = F.array(F.lit(M.PULL_2), F.lit("2024-01-17T00:00:00Z"))
+    loads = rd.withColumn("collected_at", F.explode(F.when(F.col("path") != "/k/4", pulls).otherwise(F.slice(pulls, 1, 1))))
+    loads = loads.withColumn(
+        "request_count", F.col("request_count") + F.when(F.col("collected_at") == M.PULL_2, 0).otherwise(7)
+    )
+    first = loads.where(F.col("collected_at") == M.PULL_2)
+    second = loads.where(F.col("collected_at") != M.PULL_2)
+    return maintain.append_details(first, second, dedupe=True).drop("ingest_seq")
+
+
 @query
 def store_unfinished_run(spark, sf):
-    """What readers see while a run has written its rows but not its last file, and
-    after it was loaded again."""
+    """A load that stopped after its first table and is repeated, over dates that were
+    loaded before: every row once, and nothing of the stopped load besides."""
     store = Store(spark, scratch_path(spark, "unfinished"))
-    ht = checkpoint(M.hourly_traffic(spark, sf))
+    ht = written(M.hourly_traffic(spark, sf), "hours")
+    fe = written(M.firewall_events(spark, sf), "events")
     early = F.col("bucket") < M.PULL_2
-    store.load("r1", hourly=ht.where(early))
-
-    def seen(state: str) -> DataFrame:
-        return checkpoint(
-            store.read("hourly_traffic").agg(
-                F.lit(state).alias("state"), F.count(F.lit(1)).alias("n"), F.sum("request_count").alias("requests")
-            )
+    store.load("r1", hourly=ht.where(early), firewall=fe.where(F.col("event_datetime") < M.PULL_2))
+    again = ht.where(F.col("bucket") >= "2024-01-10T00:00:00Z").withColumn("request_count", F.col("request_count") + 1)
+    Store(spark, store.root)._upsert(store._numbered(again, 1), 1)  # as far as the stopped load came
+    store.load("r2", hourly=again, firewall=fe)
+
+    def seen(table: str, amount: Column) -> DataFrame:
+        return store.read(table).agg(
+            F.lit(table).alias("table"), F.count(F.lit(1)).alias("n"), F.sum(amount).cast("bigint").alias("amount")
         )
 
-    store._stage("hourly_traffic", "r2", store._numbered(ht.where(~early), 1))
-    unfinished = seen("unfinished")
-    store.load("r2", hourly=ht.where(~early))
-    return unfinished.unionByName(seen("finished"))
+    return seen("hourly_traffic", F.col("request_count")).unionByName(seen("firewall_events", F.col("ingest_seq")))
 
 
 # --- features and personas -------------------------------------------------

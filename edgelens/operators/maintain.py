@@ -25,9 +25,14 @@ def _any_null(columns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.col(c).isNull() for c in columns))
 
 
-def _split_null_keys(df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with a whole key, and rows with a NULL part, which never match anything."""
-    return df.where(~_any_null(key)), df.where(_any_null(key))
+def _one_per_whole_key(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
+    """One row per key; a row with a NULL part matches nothing and is a key of its own.
+
+    Such rows get a number, which also spreads them, so that one window serves all. The
+    numbers must not change when a task is repeated: the rows should come from files.
+    """
+    own = F.when(_any_null(key), F.monotonically_increasing_id())
+    return _one_per_key(df.withColumn("_own", own), [*key, "_own"], *order).drop("_own")
 
 
 def write_order(df: DataFrame) -> list[str]:
@@ -57,17 +62,13 @@ def last_write_wins(rows: DataFrame, *first: str) -> DataFrame:
     filled = rows.where(F.col("bucket").isNotNull()).withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in COUNTERS}
     )
-    keyed, loose = _split_null_keys(filled, HOURLY_KEY)
-    newest = _one_per_key(keyed, HOURLY_KEY, *map(F.desc, (*first, *write_order(rows))))
-    return newest.unionByName(loose)
+    return _one_per_whole_key(filled, HOURLY_KEY, *map(F.desc, (*first, *write_order(rows))))
 
 
 def first_write_wins(rows: DataFrame) -> DataFrame:
     """Earliest row per event id; events without an id all stay."""
     valid = rows.where(F.col("event_datetime").isNotNull())
-    keyed, loose = _split_null_keys(valid, FIREWALL_KEY)
-    earliest = _one_per_key(keyed, FIREWALL_KEY, *map(F.asc, write_order(rows)))
-    return earliest.unionByName(loose)
+    return _one_per_whole_key(valid, FIREWALL_KEY, *map(F.asc, write_order(rows)))
 
 
 def new_events(stored: DataFrame, batch: DataFrame) -> DataFrame:
@@ -80,11 +81,12 @@ def unseen_events(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
     The stored ids are narrowed to those the batch holds before anything is
     joined back: with a small batch that is one broadcast probe over the id
-    column and the history is never shuffled. Catalyst checks the size.
+    column and the history is never shuffled. Catalyst checks the size. Rows
+    without an id match nothing in either join.
     """
-    keyed, loose = _split_null_keys(fresh, FIREWALL_KEY)
-    taken = stored.select(*FIREWALL_KEY).join(keyed.select(*FIREWALL_KEY), FIREWALL_KEY, "left_semi")
-    return keyed.join(taken, FIREWALL_KEY, "left_anti").unionByName(loose)
+    ids = fresh.select(*FIREWALL_KEY)
+    taken = stored.select(*FIREWALL_KEY).join(ids, FIREWALL_KEY, "left_semi")
+    return fresh.join(taken, FIREWALL_KEY, "left_anti")
 
 
 def insert_events(stored: DataFrame, batch: DataFrame) -> DataFrame:

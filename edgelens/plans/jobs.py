@@ -16,7 +16,7 @@ from edgelens.operators.windows import MIN_ROWS, WINDOW_DAYS, cap_rows, open_int
 from edgelens.plans import documents, series
 from edgelens.session import checkpoint
 from edgelens.sources import feeds, results
-from edgelens.sources.store import TABLES, Store
+from edgelens.sources.store import Store
 from edgelens.streaming import ingest
 
 
@@ -164,7 +164,7 @@ def present(store: Store, log_path: str, as_of: datetime | str) -> dict[str, Dat
 def scheduled_run(
     store: Store, landing: str, places: str, log_path: str, out: str, as_of: datetime | str, run_id: str
 ) -> list[str]:
-    """One incremental run: load what landed since the last, analyze, publish, tidy up.
+    """One incremental run: load what landed since the last, analyze, publish.
 
     ``places`` is the folder in which each feed's stream keeps how far it has read.
     """
@@ -176,9 +176,6 @@ def scheduled_run(
     tables = present(store, log_path, as_of)
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{out}/{name}")
-    for table in TABLES:
-        store.compact_fragmented(table, f"compact-{table}-{run_id}")
-    store.drop_superseded()
     return sorted(tables)
 
 

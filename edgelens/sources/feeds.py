@@ -65,11 +65,21 @@ def rejected(landed: DataFrame, feed: str) -> DataFrame:
 
 
 def _entries(landed: DataFrame, feed: str, keep: list[str]) -> DataFrame:
-    """One row per feed entry of the first zone of the responses that can be read."""
+    """One row per feed entry of the first zone of the responses that can be read.
+
+    The document is parsed once: what is asked of it is asked inside one expression,
+    and the outer form of explode keeps the optimizer from testing that expression
+    in a filter of its own.
+    """
     keep = keep + [c for c in landed.columns if c == "arrival"]
-    read = landed.select(*keep, _document(feed).alias("doc")).where(F.col(f"doc.{CORRUPT}").isNull())
-    names = [c for c in read.columns if c != "doc"]
-    return read.select(*names, F.explode(F.get("doc.data.viewer.zones", F.lit(0)).getField(feed)).alias("entry"))
+    readable = F.transform(
+        F.array(_document(feed)),
+        lambda doc: F.when(
+            doc[CORRUPT].isNull(), F.get(doc["data"]["viewer"]["zones"], F.lit(0)).getField(feed)
+        ),
+    )
+    exploded = landed.select(*keep, F.posexplode_outer(F.get(readable, F.lit(0))).alias("place", "entry"))
+    return exploded.where(F.col("place").isNotNull()).drop("place")
 
 
 def _read_order(landed: DataFrame) -> list[Column]:

@@ -1,41 +1,39 @@
-"""The stored tables: Parquet by run and date, visible once a run is complete.
+"""The stored tables: plain Parquet, partitioned by date.
 
-A run writes its rows under ``<table>/run_id=R/dt=D`` and, last of all, one small
-file that lists the (table, date) pairs it wrote. Readers follow that list only,
-so the three feeds of a run appear together or not at all, and a run that died
-half way leaves nothing but files nobody reads. Each listed pair is either a
-*base*, which replaces what older runs wrote for the date, or an addition to it.
+``hourly_traffic`` lies under ``dt=D``; a load rewrites the dates it touches. The
+tables that only grow lie under ``dt=D/run_id=R``, so that a load writes its own
+partitions. All writes overwrite partitions dynamically, which makes a load that
+died half way safe to repeat: what it left behind is written again, not added to.
 
-One writer at a time, as the load is one scheduled job.
+``loads`` lists the loads that came to their end, with their number; the numbers
+order rows by when they were written. One writer at a time, as the load is one
+scheduled job; a load that failed is repeated before the next one.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types
+from pyspark.sql import DataFrame, SparkSession, functions as F, types
 
 from edgelens import schemas as S
 from edgelens.functions import timetext as T
 from edgelens.operators import maintain
-from edgelens.session import checkpoint, delete, exists, scratch_path
+from edgelens.session import delete, exists, scratch_path
 
-# Table -> (schema, column that gives the date).
+# Table -> (schema, column that gives the date, partition columns).
 TABLES = {
-    "hourly_traffic": (S.HOURLY_TRAFFIC, "bucket"),
-    "firewall_events": (S.FIREWALL_EVENTS, "event_datetime"),
-    "request_details": (S.REQUEST_DETAILS, "bucket"),
+    "hourly_traffic": (S.HOURLY_TRAFFIC, "bucket", ["dt"]),
+    "firewall_events": (S.FIREWALL_EVENTS, "event_datetime", ["dt", "run_id"]),
+    "request_details": (S.REQUEST_DETAILS, "bucket", ["dt", "run_id"]),
 }
-# Runs named so are repairs.
+# Loads named so are repairs.
 REPAIR = "repair-"
-# Folders of a date that are compacted into one.
-FRAGMENTS = 24
-MANIFEST = "table string, dt string, run_id string, seq bigint, is_base boolean"
-
-
-def _with_date(schema: types.StructType) -> types.StructType:
-    return types.StructType([*schema.fields, types.StructField("dt", types.StringType())])
+LOADS = "run_id string, seq bigint, hourly_dates array<string>"
+# Ids of a batch up to which the history is asked for each of them; a Bloom filter in
+# every row group answers for those that cannot be there.
+PROBE_IDS = 2_000
+_IN_THRESHOLD = "spark.sql.parquet.pushdown.inFilterThreshold"
 
 
 class Store:
@@ -47,92 +45,61 @@ class Store:
 
     # --- reading -----------------------------------------------------------
 
-    def manifest(self) -> DataFrame:
-        path = f"{self.root}/completed"
+    def loads(self) -> DataFrame:
+        path = f"{self.root}/loads"
         if not self.exists(path):
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(path)
+            return self.spark.createDataFrame([], LOADS)
+        return self.spark.read.schema(LOADS).parquet(path)
 
-    def _entries(self, table: str, since: str | None, dates: DataFrame | None) -> DataFrame:
-        """Run and date of the folders of a table: per date, the newest base and what follows."""
-        entries = self.manifest().where(F.col("table") == table)
+    def read(self, table: str, since: str | None = None, dates: list[str] | None = None) -> DataFrame:
+        """Rows of a table with their date ``dt``; only the asked dates are opened."""
+        schema, _, parts = TABLES[table]
+        full = types.StructType([*schema.fields, *(types.StructField(p, types.StringType()) for p in parts)])
+        path = f"{self.root}/{table}"
+        if not self.exists(path):
+            return self.spark.createDataFrame([], full)
+        rows = self.spark.read.schema(full).parquet(path)
         if since is not None:
-            entries = entries.where(F.col("dt") >= since)
+            rows = rows.where(F.col("dt") >= since)
         if dates is not None:
-            entries = entries.join(dates, "dt", "left_semi")
-        base = F.max(F.when(F.col("is_base"), F.col("seq"))).over(Window.partitionBy("dt"))
-        return entries.withColumn("base", base).where(F.col("base").isNull() | (F.col("seq") >= F.col("base")))
-
-    def _live(self, table: str, since: str | None, dates: DataFrame | None) -> list[str]:
-        """Folders of a table. Compaction bounds them by ``FRAGMENTS`` per date."""
-        kept = self._entries(table, since, dates)
-        return sorted(
-            f"{self.root}/{table}/run_id={r.run_id}/dt={r.dt}"
-            for r in kept.select("run_id", "dt").collect()
-        )
-
-    def read(
-        self, table: str, since: str | None = None, dates: DataFrame | None = None
-    ) -> DataFrame:
-        """Rows of a table with their date ``dt``; only the asked dates are opened."""
-        schema = _with_date(TABLES[table][0])
-        folders = self._live(table, since, dates)
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}")
-        return reader.parquet(*folders).select(*schema.fieldNames())
+            rows = rows.where(F.col("dt").isin(dates))
+        return rows
 
     # --- writing -----------------------------------------------------------
 
-    def _stage(self, table: str, run_id: str, rows: DataFrame) -> DataFrame:
-        """Write rows under a run, not yet visible; returns the dates written.
+    def _write(self, table: str, rows: DataFrame) -> None:
+        """Replace the partitions that ``rows`` fall into.
 
-        The rebalance hint sizes the files: small dates share a task, a large
-        date is split over several.
+        The rebalance hint sizes the files: small dates share a task, a large date is
+        split over several. Events are sorted by id and carry Bloom filters of it.
         """
-        schema, column = TABLES[table]
-        path = f"{self.root}/{table}/run_id={run_id}"
-        (
-            rows.select(*schema.fieldNames())
-            .withColumn("dt", T.partition_date(F.col(column)))
-            .hint("rebalance", "dt")
-            .write.mode("overwrite")
-            .partitionBy("dt")
-            .parquet(path)
-        )
-        return self.spark.read.schema(_with_date(schema)).parquet(path).select("dt").distinct()
-
-    def _complete(self, run_id: str, seq: int, done: list[tuple[str, DataFrame, bool]]) -> None:
-        """Publish a run: one file, written last."""
-        entries = [
-            dates.select(
-                F.lit(table).alias("table"),
-                "dt",
-                F.lit(run_id).alias("run_id"),
-                F.lit(seq).cast("bigint").alias("seq"),
-                F.lit(is_base).alias("is_base"),
-            )
-            for table, dates, is_base in done
-        ]
-        listing = reduce(DataFrame.unionByName, entries).coalesce(1)
-        listing.write.mode("append").parquet(f"{self.root}/completed")
+        schema, column, parts = TABLES[table]
+        dated = rows.withColumn("dt", T.partition_date(F.col(column)))
+        laid = dated.select(*schema.fieldNames(), *parts).hint("rebalance", "dt")
+        writer = laid.write
+        if table == "firewall_events":
+            key = S.FIREWALL_KEY[0]
+            writer = laid.sortWithinPartitions(*parts, key).write.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.root}/{table}")
+
+    def _done(self, run_id: str, seq: int, dates: list[str]) -> None:
+        row = self.spark.createDataFrame([(run_id, seq, dates)], LOADS)
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/loads")
 
     def _next(self, run_id: str) -> int | None:
-        """Sequence number for a run; None when the run is already complete."""
-        newest, seen = (
-            self.manifest().agg(F.max("seq"), F.count_if(F.col("run_id") == run_id)).first()
-        )
+        """Number for a load; None when it came to its end before."""
+        newest, seen = self.loads().agg(F.max("seq"), F.count_if(F.col("run_id") == run_id)).first()
         return None if seen else 0 if newest is None else newest + 1
 
     @staticmethod
     def _numbered(rows: DataFrame, seq: int) -> DataFrame:
-        """Rows with the run's number in front of their arrival."""
+        """Rows with the load's number in front of their arrival."""
         landed = F.col("arrival") if "arrival" in rows.columns else F.lit(None).cast(S.ARRIVAL)
         parts = [landed.getField(f).alias(f) for f in S.ARRIVAL.fieldNames()[1:]]
         return rows.withColumn("arrival", F.struct(F.lit(seq).cast("bigint").alias("run_seq"), *parts))
 
     def reject(self, run_id: str, rows: DataFrame) -> int:
-        """Publish the responses of a run that could not be read; returns their number."""
+        """Publish the responses of a load that could not be read; returns their number."""
         path = f"{self.root}/rejected/run_id={run_id}"
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path).count()
@@ -146,56 +113,75 @@ class Store:
     ) -> bool:
         """Load the feeds of one run under the key rule of each table.
 
-        A run that is already complete is skipped, so a repeated call is safe.
+        A load that came to its end is skipped, so a repeated call is safe.
         """
         seq = self._next(run_id)
         if seq is None:
             return False
         folder = scratch_path(self.spark, "batch")
-        try:
-            return self._load(run_id, seq, folder, hourly, firewall, details)
-        finally:
-            delete(self.spark, folder)
 
-    def _load(
-        self,
-        run_id: str,
-        seq: int,
-        folder: str,
-        hourly: DataFrame | None,
-        firewall: DataFrame | None,
-        details: DataFrame | None,
-    ) -> bool:
-        """``load`` with the feeds kept as tables of known size in ``folder``."""
-
-        def kept(feed: DataFrame | None, name: str, numbered: bool = False) -> DataFrame | None:
-            if feed is None:
+        def kept(rows: DataFrame | None, name: str) -> DataFrame | None:
+            """A feed as a table of known size; None if it holds nothing."""
+            if rows is None:
                 return None
-            rows = feed if numbered else self._numbered(feed, seq)
             rows.write.parquet(f"{folder}/{name}")
-            return self.spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
-
-        hourly, details = kept(hourly, "hourly"), kept(details, "details")
-        if firewall is not None:
-            # Of the events only one row per id is kept: all three reads are of those.
-            firewall = kept(maintain.first_write_wins(self._numbered(firewall, seq)), "firewall", numbered=True)
-        done = []
-        if hourly is not None and not hourly.isEmpty():
-            dates = hourly.select(T.partition_date(F.col("bucket")).alias("dt")).distinct()
-            stored = self.read("hourly_traffic", dates=dates).drop("dt")
-            merged = maintain.upsert_hourly(stored, hourly)
-            done.append(("hourly_traffic", self._stage("hourly_traffic", run_id, merged), True))
-        if firewall is not None and not firewall.isEmpty():
-            fresh = maintain.unseen_events(self.read("firewall_events"), firewall)
-            done.append(("firewall_events", self._stage("firewall_events", run_id, fresh), False))
-        if details is not None and not details.isEmpty():
-            done.append(("request_details", self._stage("request_details", run_id, details), False))
+            table = self.spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+            return None if table.isEmpty() else table
+
+        try:
+            numbered = [None if f is None else self._numbered(f, seq) for f in (hourly, firewall, details)]
+            hourly, events, details = (kept(f, n) for f, n in zip(numbered, ("hourly", "events", "details")))
+            dates = []
+            if hourly is not None:
+                dates = self._upsert(hourly, seq)
+            if events is not None:
+                self._insert(kept(maintain.first_write_wins(events), "firsts"), run_id)
+            if details is not None:
+                self._write("request_details", details.withColumn("run_id", F.lit(run_id)))
+        finally:
+            delete(self.spark, folder)
+        done = any(f is not None for f in (hourly, events, details))
         if done:
-            self._complete(run_id, seq, done)
-        return bool(done)
+            self._done(run_id, seq, dates)
+        return done
+
+    def _upsert(self, hourly: DataFrame, seq: int) -> list[str]:
+        """Last write wins in the dates of a batch; returns them."""
+        dates = self._dates(hourly)
+        stored = self.read("hourly_traffic", dates=dates).drop("dt")
+        # Rows without a whole key match nothing; those of this load, begun before, go.
+        begun = (F.col("arrival.run_seq") == seq) & maintain._any_null(S.HOURLY_KEY)
+        self._write("hourly_traffic", maintain.upsert_hourly(stored.where(~F.coalesce(begun, F.lit(False))), hourly))
+        return dates
+
+    @staticmethod
+    def _dates(hourly: DataFrame) -> list[str]:
+        """Dates of a batch, a few days."""
+        return sorted(r.dt for r in hourly.select(T.partition_date(F.col("bucket")).alias("dt")).distinct().collect())
+
+    def _insert(self, firsts: DataFrame | None, run_id: str) -> None:
+        """First write wins over all history."""
+        if firsts is None:
+            return
+        stored = self.read("firewall_events").where(F.col("run_id") != run_id)
+        fresh = maintain.unseen_events(self.probed(stored, firsts), firsts)
+        self._write("firewall_events", fresh.withColumn("run_id", F.lit(run_id)))
+
+    def probed(self, stored: DataFrame, firsts: DataFrame) -> DataFrame:
+        """The stored events a batch may meet: for few ids, asked for by name.
+
+        Then statistics and Bloom filters of each row group tell which to open.
+        """
+        key = S.FIREWALL_KEY[0]
+        named = firsts.select(key).where(F.col(key).isNotNull()).limit(PROBE_IDS + 1).collect()
+        if len(named) > PROBE_IDS:
+            return stored
+        if int(self.spark.conf.get(_IN_THRESHOLD)) < PROBE_IDS:
+            self.spark.conf.set(_IN_THRESHOLD, str(PROBE_IDS))
+        return stored.where(F.col(key).isin([r[0] for r in named]))
 
     def repair_hourly(self, run_id: str | None = None) -> bool:
-        """Repair the dates that hold NULL dimensions; each repair is a run of its own.
+        """Repair the dates that hold NULL dimensions; each repair is a load of its own.
 
         Only dates written since the last repair are looked at.
 
@@ -203,48 +189,17 @@ class Store:
         as the default always involve a row with a NULL. That makes the search a
         plain filter which Parquet statistics answer for clean files.
         """
-        runs = self.manifest().where(F.col("table") == "hourly_traffic")
+        loads = self.loads()
         repaired = F.coalesce(F.max(F.when(F.startswith("run_id", F.lit(REPAIR)), F.col("seq"))), F.lit(-1))
-        since = runs.agg(repaired).first()[0]
-        touched = runs.where(F.col("seq") > since).select("dt").distinct()
-        nulls = maintain.null_dims(self.read("hourly_traffic", dates=touched))
-        bad = checkpoint(nulls.select("dt").distinct())
-        if bad.isEmpty():
-            return False
-        rows = maintain.repair(self.read("hourly_traffic", dates=bad).drop("dt"))
-        self._replace("hourly_traffic", run_id or f"{REPAIR}{uuid.uuid4().hex}", rows)
-        return True
-
-    def compact(self, table: str, run_id: str, since: str | None = None) -> None:
-        """Rewrite the dates of a table as one base each."""
-        self._replace(table, run_id, self.read(table, since=since).drop("dt"))
-
-    def compact_fragmented(self, table: str, run_id: str, most: int = FRAGMENTS) -> bool:
-        """Compact the dates of a table that lie in more than ``most`` folders."""
-        live = self._entries(table, None, None).groupBy("dt").agg(F.count(F.lit(1)).alias("folders"))
-        dates = checkpoint(live.where(F.col("folders") > most).select("dt"))
-        if dates.isEmpty():
+        since = loads.agg(repaired).first()[0]
+        touched = loads.where(F.col("seq") > since).select(F.explode("hourly_dates").alias("dt")).distinct().collect()
+        nulls = maintain.null_dims(self.read("hourly_traffic", dates=[r.dt for r in touched]))
+        bad = [r.dt for r in nulls.select("dt").distinct().collect()]
+        if not bad:
             return False
-        self._replace(table, run_id, self.read(table, dates=dates).drop("dt"))
-        return True
-
-    def drop_superseded(self) -> int:
-        """Delete the folders that newer bases replaced; returns their number.
-
-        For the scheduled job, which is the one writer, when nothing reads older rows.
-        """
-        dropped = 0
-        for table in TABLES:
-            written = self.manifest().where(F.col("table") == table).select("run_id", "dt").distinct()
-            live = self._entries(table, None, None).select("run_id", "dt")
-            for r in written.join(live, ["run_id", "dt"], "left_anti").toLocalIterator():
-                path = f"{self.root}/{table}/run_id={r.run_id}/dt={r.dt}"
-                if self.exists(path):
-                    delete(self.spark, path)
-                    dropped += 1
-        return dropped
-
-    def _replace(self, table: str, run_id: str, rows: DataFrame) -> None:
+        run_id = run_id or f"{REPAIR}{uuid.uuid4().hex}"
         seq = self._next(run_id)
         if seq is not None:
-            self._complete(run_id, seq, [(table, self._stage(table, run_id, rows), True)])
+            self._write("hourly_traffic", maintain.repair(self.read("hourly_traffic", dates=bad).drop("dt")))
+            self._done(run_id, seq, bad)
+        return True

@@ -71,6 +71,26 @@ def test_hourly_keys_are_cut_before_the_shuffle(hourly, rule):
     assert text.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("rule", [maintain.last_write_wins, maintain.first_write_wins])
+def test_rows_without_a_key_share_the_window(hourly, events, rule):
+    """No second branch for them: what is below is planned and read once."""
+    rows = hourly(("b", "US", 1)) if rule is maintain.last_write_wins else events(("t", "x", "a"))
+    text = plan(rule(written(rows, "rows")))
+    assert text.count("FileScan") == 1 and "Union" not in text
+
+
+@pytest.mark.parametrize("name", ["src_hourly_flatten", "src_firewall_flatten", "src_details_flatten"])
+def test_responses_are_parsed_once(spark, sf, name):
+    optimized = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("from_json(") == 1
+
+
+def test_inserts_read_each_pull_as_often_as_their_rule_asks(spark, sf):
+    text = plan(QUERIES["insert_firewall_first_wins"](spark, sf)).split("== Initial Plan ==")[-1]
+    # The first pull is kept and probed, the second is inserted and probes.
+    assert text.count("FileScan") <= 5
+
+
 def test_event_ids_are_cut_before_the_shuffle(events):
     text = plan(maintain.first_write_wins(events(("t", "x", "a"))))
     assert "row_number(), 1, Partial" in text
