@@ -403,6 +403,10 @@ def hourly_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 def firewall_payload(spark: SparkSession, sf: str) -> DataFrame:
     """A response per event; every fiftieth event lacks its user agent."""
+    return firewall_responses(firewall_events(spark, sf))
+
+
+def firewall_responses(fe: DataFrame) -> DataFrame:
     agent = F.when(F.col("ingest_seq") % 50 != 0, F.col("user_agent"))
     entry = F.struct(
         "action",
@@ -417,7 +421,7 @@ def firewall_payload(spark: SparkSession, sf: str) -> DataFrame:
         "source",
         F.col("ray_name").alias("rayName"),
     )
-    return firewall_events(spark, sf).select(_response(S.FIREWALL_FEED, entry))
+    return fe.select(_response(S.FIREWALL_FEED, entry))
 
 
 def details_payload(spark: SparkSession, sf: str) -> DataFrame:

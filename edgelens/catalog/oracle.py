@@ -476,7 +476,9 @@ ORACLE: dict[str, str] = {
         HT,
         """SELECT CAST(least(greatest(2, count(*) // 20), 6) AS INT) AS n_clusters, count(*) AS total_rows,
           count(*) AS sum_size, CAST(sum(threats) AS BIGINT) AS sum_threats,
-          CAST(sum(request_count) AS BIGINT) AS sum_requests FROM ht WHERE country IS NOT NULL""",
+          CAST(sum(request_count) AS BIGINT) AS sum_requests,
+          CAST(least(greatest(2, count(*) // 20), 6) AS INT) AS clusters_used,
+          true AS nearest, true AS central, true AS cheapest FROM ht WHERE country IS NOT NULL""",
     ),
     "scalar_time_format": _with(
         EVENTS,
@@ -599,7 +601,50 @@ ORACLE |= {
           total_threats AS threats, unique_countries AS countries, '-0.1250' AS score FROM spiked WHERE marked""",
     ),
     "stream_dedupe_recent": _with(
-        FE, "SELECT event_datetime, action, ray_name FROM fe WHERE ray_name <> ''"
+        FE,
+        """SELECT event_datetime, action, CASE WHEN event_id % 100 <> 50 THEN ray_name END AS ray_name
+        FROM fe, (VALUES (0), (1)) AS c(copy)
+        WHERE CASE WHEN event_id % 100 = 50 THEN true
+                   WHEN ray_name <> '' THEN copy = 0
+                   ELSE copy = 0 AND event_id = (SELECT event_id FROM fe WHERE ray_name = ''
+                     ORDER BY event_datetime >= '2024-01-16T00:30:00Z', event_id LIMIT 1) END""",
+    ),
+    "stream_closed_hours": _with(
+        EVENTS,
+        f"""SELECT * REPLACE (coalesce(country, 'Unknown') AS country) FROM ({HOURLY_SUMS})
+        WHERE strptime(bucket, '%Y-%m-%dT%H:%M:%SZ') + INTERVAL 26 HOUR <= (SELECT max(ts) FROM events)""",
+    ),
+    "stream_retrain": _with(
+        FE + "," + hourly("ht") + "," + FALLBACK,
+        """, pulls AS (SELECT i AS ingest_seq, run_at FROM (VALUES (0, '2024-01-11T00:00:00Z'), (1, '2024-01-21T00:00:00Z'),
+            (2, (SELECT now FROM lim))) AS p(i, run_at)),
+        seen AS (SELECT ingest_seq, run_at, bucket, coalesce(country, 'Unknown') AS country FROM pulls
+                 JOIN flat ON bucket < run_at OR (ingest_seq = 2)),
+        single AS (SELECT event_datetime, ray_name FROM fe WHERE ray_name <> ''
+                   UNION ALL SELECT * FROM (SELECT event_datetime, ray_name FROM fe WHERE ray_name = ''
+                     ORDER BY event_datetime >= '2024-01-21T00:00:00Z', event_datetime >= '2024-01-11T00:00:00Z', event_id LIMIT 1)),
+        heads AS (
+          SELECT ingest_seq, run_at, 'summary' AS model_name, count(*) AS headline FROM seen GROUP BY ALL
+          UNION ALL SELECT ingest_seq, run_at, 'geo_analysis', count(DISTINCT country) FROM seen GROUP BY ALL
+          UNION ALL SELECT ingest_seq, run_at, 'kmeans_traffic', count(*) FROM seen GROUP BY ALL
+          UNION ALL SELECT ingest_seq, run_at, 'isolation_forest', count(DISTINCT bucket) FROM seen
+            WHERE strptime(bucket, '%Y-%m-%dT%H:%M:%SZ') >= strptime(run_at, '%Y-%m-%dT%H:%M:%SZ') - INTERVAL 7 DAY GROUP BY ALL
+          UNION ALL SELECT ingest_seq, run_at, 'firewall_analysis', count(*) FROM pulls JOIN single
+            ON (event_datetime < run_at OR ingest_seq = 2)
+              AND strptime(event_datetime, '%Y-%m-%dT%H:%M:%SZ') >= strptime(run_at, '%Y-%m-%dT%H:%M:%SZ') - INTERVAL 7 DAY
+            GROUP BY ALL)
+        SELECT run_at, model_name, CAST(ingest_seq AS BIGINT) AS ingest_seq, headline FROM heads""",
+    ),
+    "anomaly_scores_walked": _with(HOURS, "SELECT bucket, true AS same FROM hours"),
+    "anomaly_trees_grown": _with(
+        HOURS,
+        """SELECT CAST(t AS INT) AS tree, (SELECT least(256, count(*)) FROM hours) AS root_size, true AS sizes,
+          true AS splits, true AS leaves, true AS depths FROM range(100) AS r(t)""",
+    ),
+    "request_quantiles_sketched": _with(
+        HT,
+        """SELECT CAST(share AS DOUBLE) AS share, count(*) AS n, count(DISTINCT substr(bucket, 1, 10)) AS dates, true AS inside
+        FROM ht, (VALUES (0.25), (0.5), (0.9)) AS v(share) WHERE country IS NOT NULL GROUP BY share""",
     ),
     "doc_geo": _with(
         GEO,
@@ -639,3 +684,5 @@ ORACLE |= {
           format('{:,}', count(*)) AS rows_trained_on FROM cl""",
     ),
 }
+
+ORACLE["stream_rolling_7d"] = ORACLE["rolling_window_7d_by_6h"]

@@ -12,7 +12,7 @@ from edgelens.catalog import mapping as M
 from edgelens.functions import numeric as N
 from edgelens.functions import timetext as T
 from edgelens.operators import breakdown, features, forest, maintain, personas, rollups, windows
-from edgelens.plans import documents, series
+from edgelens.plans import documents, jobs, series
 from edgelens.session import checkpoint, scratch_path, written
 from edgelens.sources import feeds, results
 from edgelens.sources.store import Store
@@ -339,6 +339,31 @@ def request_quantiles(spark, sf):
     return rollups.exact_quantiles(rows, "request_count", personas.NAMING_QUANTILES)
 
 
+@query
+def request_quantiles_sketched(spark, sf):
+    """Quantiles from merged sketches of the dates, held against exact ranks: a sketched
+    quantile must have its share of all rows, give or take one percent, at or below it."""
+    rows = written(features.cluster_input(M.hourly_sums(spark, sf)), "rows")
+    sketches = written(
+        rollups.quantile_sketches(rows, "request_count", T.date_of_iso(F.col("bucket"))), "sketches"
+    )
+    found = rollups.sketched_quantiles(sketches, personas.NAMING_QUANTILES)
+    names = [c for c in found.columns if c != "n"]
+    listed = F.array(
+        *(F.struct(F.lit(p).alias("share"), F.col(c).alias("value")) for p, c in zip(personas.NAMING_QUANTILES, names))
+    )
+    asked = found.select("n", F.explode(listed).alias("q")).select("n", "q.share", "q.value")
+    values = rows.groupBy(F.col("request_count").alias("v")).agg(F.count(F.lit(1)).alias("rows"))
+    ranks = values.join(F.broadcast(asked), F.col("v") <= F.col("value")).groupBy("share", "n").agg(
+        F.sum("rows").alias("at_most"), F.sum(F.when(F.col("v") < F.col("value"), F.col("rows"))).alias("below")
+    )
+    inside = (F.col("at_most") >= (F.col("share") - 0.01) * F.col("n")) & (
+        F.coalesce("below", F.lit(0)) <= (F.col("share") + 0.01) * F.col("n")
+    )
+    dates = sketches.agg(F.count(F.lit(1))).scalar()
+    return ranks.select("share", "n", dates.alias("dates"), inside.alias("inside"))
+
+
 @query
 def anomaly_features(spark, sf):
     return rollups.by_bucket(_recent_hourly(spark, sf))
@@ -632,7 +657,7 @@ def persona_kmeans_invariants(spark, sf):
         F.sum("size").alias("sum_size"),
         F.sum("total_threats").alias("sum_threats"),
         F.sum(F.round(F.col("size") * F.col("avg_requests")).cast("bigint")).alias("sum_requests"),
-    )
+    ).join(personas.fixed_point(fitted))
 
 
 # --- anomalies -------------------------------------------------------------
@@ -660,6 +685,34 @@ def anomaly_invariants(spark, sf):
     )
 
 
+def _fitted_forest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
+    """The hours of the rolling window, the node table of their forest, their number."""
+    hours = checkpoint(rollups.by_bucket(_recent_hourly(spark, sf)))
+    total = hours.count()
+    return hours, written(forest.node_table(spark, forest.fit(hours, "bucket", total)), "nodes"), total
+
+
+@query
+def anomaly_scores_walked(spark, sf):
+    """The vectorised scores against a walk through the node table by joins."""
+    hours, nodes, total = _fitted_forest(spark, sf)
+    size = min(forest.SAMPLE, total)
+    score = forest.scorer(nodes.toPandas().sort_values(["tree", "node"], ignore_index=True), size)
+    scored = hours.select("bucket", score(*(F.col(c) for c in forest.FEATURES)).alias("scored"))
+    walked = forest.walked_scores(hours, "bucket", nodes, size)
+    return scored.join(walked, "bucket", "left").select(
+        "bucket", (F.abs(F.col("scored") - F.coalesce("raw", F.lit(1.0))) <= 1e-9).alias("same")
+    )
+
+
+@query
+def anomaly_trees_grown(spark, sf):
+    """Every tree against its own sample sent down it again."""
+    hours, nodes, total = _fitted_forest(spark, sf)
+    sampled = written(forest.sample(hours, "bucket", total), "sample")
+    return forest.tree_checks(sampled, nodes)
+
+
 @query
 def series_traffic_marked(spark, sf):
     hours = _spiked(spark, sf)
@@ -858,15 +911,75 @@ def stream_upsert_unknown(spark, sf):
     return store.read("hourly_traffic").select("bucket", "country", *M.COUNTERS)
 
 
+SPLIT = "2024-01-16 00:30:00"
+
+
+def _two_runs(spark: SparkSession, sf: str, path: str):
+    """The stream of landed events, before and after the second half of them landed."""
+    events = M.table(spark, sf, "events")
+    split = F.lit(SPLIT).cast("timestamp_ntz")
+    for part in (F.col("ts") < split, F.col("ts") >= split):
+        events.where(part).write.mode("append").parquet(f"{path}/landing")
+        landed = ingest.stream_files(spark, f"{path}/landing", events.schema)
+        yield M.with_k(landed).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query
+def stream_rolling_7d(spark, sf):
+    """Two runs over landed events; the open windows of both grow on."""
+    path = scratch_path(spark, "rolling")
+    sums = {"total_requests": M.event_sums()["request_count"], "total_threats": M.event_sums()["threats"]}
+    for events in _two_runs(spark, sf, path):
+        windows_ = ingest.rolling_totals(events, sums)
+        ingest.write_changes(windows_, f"{path}/checkpoint", f"{path}/rows")
+    return ingest.newest_changes(spark, f"{path}/rows", windows_.schema, ["window_start", "window_end"])
+
+
+@query
+def stream_closed_hours(spark, sf):
+    """Two runs; an hour is written once, when no event of it can come any more."""
+    path = scratch_path(spark, "closed")
+    for events in _two_runs(spark, sf, path):
+        placed = events.join(M.places(spark, sf), "user_id").withColumn("country", M.country())
+        hours = ingest.settled_hours(placed, ["country"], M.event_sums())
+        ingest.append_rows(hours, f"{path}/checkpoint", f"{path}/rows")
+    return spark.read.schema(hours.schema).parquet(f"{path}/rows")
+
+
 @query
 def stream_dedupe_recent(spark, sf):
-    """Events that all arrive twice: one of each id stays, those without id are apart."""
+    """Two runs of events that all arrive twice, some with an empty id and some without:
+    one of each id stays, the empty one included, and all without."""
     path = scratch_path(spark, "recent")
-    events = _event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = M.firewall_rows(events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))), F.col("ts"))
-    kept = ingest.dedupe_recent(rows).select("event_datetime", "action", "ray_name")
-    ingest.append_rows(kept, f"{path}/checkpoint", f"{path}/rows")
-    return spark.read.schema(kept.schema).parquet(f"{path}/rows")
+    for events in _two_runs(spark, sf, path):
+        rows = M.firewall_rows(events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))), F.col("ts"))
+        some = F.when(F.col("ingest_seq") % 100 != 50, F.col("ray_name"))
+        kept = ingest.dedupe_recent(rows.withColumn("ray_name", some))
+        ingest.insert_recent(kept, f"{path}/checkpoint", f"{path}/rows")
+    return spark.read.schema(kept.schema).parquet(f"{path}/rows").select("event_datetime", "action", "ray_name")
+
+
+@query
+def stream_retrain(spark, sf):
+    """Three landed pulls; each one is loaded and all models are trained again on it."""
+    path = scratch_path(spark, "retrain")
+    store = Store(spark, f"{path}/store")
+    hourly = written(M.hourly_payload(spark, sf), "responses")
+    now = M.as_of(spark, sf)
+    fe = written(M.firewall_events(spark, sf), "events")
+    starts = ["2024-01-01T00:00:00Z", "2024-01-11T00:00:00Z", "2024-01-21T00:00:00Z", now.replace(" ", "T")[:19] + "Z"]
+    for pull, (start, end) in enumerate(zip(starts, starts[1:])):
+        last = pull == len(starts) - 2
+
+        def inside(time: str) -> Column:
+            return (F.col(time) >= start) & ((F.col(time) <= end) if last else (F.col(time) < end))
+
+        hourly.where(inside("bucket")).select(F.col("payload").alias("value")).write.mode("append").text(f"{path}/landing/hourly")
+        pulled = M.firewall_responses(fe.where(inside("event_datetime")))
+        pulled.select(F.col("payload").alias("value")).write.mode("append").text(f"{path}/landing/firewall")
+        jobs.retrain_on_arrival(store, f"{path}/landing", f"{path}/place", f"{path}/log", end)
+    log = results.read_log(spark, f"{path}/log")
+    return log.select("run_at", "model_name", "ingest_seq", _headline())
 
 
 @query

@@ -8,11 +8,12 @@ from a vectorised function that holds the node table, at most 100 x 511 rows.
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from edgelens.operators.windows import MIN_ROWS
 from edgelens.session import checkpoint
@@ -24,6 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TREES, SAMPLE, SEED = 100, 256, 42
 FEATURES = ["total_requests", "total_bytes", "total_threats", "unique_countries"]
 EULER_GAMMA = 0.5772156649015329
+# Steps from a root to the deepest leaf.
+DEPTH = 8
 # Expected rows per tree that pass the hash threshold, before the exact cut.
 OVERSAMPLE = 4
 
@@ -136,6 +139,72 @@ def scorer(nodes: pd.DataFrame, sample_size: int):
     return F.pandas_udf(score, "double")
 
 
+def node_table(spark: SparkSession, nodes: pd.DataFrame) -> DataFrame:
+    """The forest as a relation: one row per node, ``feature`` -1 for leaves."""
+    return spark.createDataFrame(nodes, NODE_SCHEMA)
+
+
+def walk(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """Every node that a row passes, by joins alone: the columns of ``rows``, which has
+    ``tree``, and ``node``. A step down is one join with the node table."""
+    value = F.coalesce(*(F.when(F.col("feature") == i, F.col(c).cast("double")) for i, c in enumerate(FEATURES)))
+    goes = F.when(value <= F.col("threshold"), F.col("low")).otherwise(F.col("high"))
+    inner = nodes.where(F.col("feature") >= 0).select("tree", "node", "feature", "threshold", "low", "high")
+    at = rows.withColumn("node", F.lit(0))
+    passed = [at]
+    for _ in range(depth):
+        at = at.join(F.broadcast(inner), ["tree", "node"]).select(*rows.columns, goes.alias("node"))
+        passed.append(at)
+    return reduce(DataFrame.unionByName, passed)
+
+
+def walked_scores(hours: DataFrame, key: str, nodes: DataFrame, sample_size: int) -> DataFrame:
+    """``key`` and raw score of every hour, from the node table by joins and sums."""
+    rows = hours.select(key, *FEATURES, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    n = F.col("size").cast("double")
+    long = 2 * (F.log(n - 1) + EULER_GAMMA) - 2 * (n - 1) / n
+    leaves = nodes.where(F.col("feature") < 0).select(
+        "tree", "node", (F.col("depth") + F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(long)).alias("path")
+    )
+    scale = float(mean_path(np.array([sample_size]))[0]) * TREES
+    ended = walk(rows, nodes, DEPTH).join(F.broadcast(leaves), ["tree", "node"])
+    return ended.groupBy(key).agg((-F.pow(F.lit(2.0), -F.sum("path") / scale)).alias("raw"))
+
+
+def tree_checks(sampled: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per tree whether its nodes are what growing by their own sample gives.
+
+    The sample is sent down the finished tree; then ``sizes`` says that every node has as
+    many rows as it noted, ``splits`` that every threshold lies in the range of its
+    feature and parts the rows, ``leaves`` that a node is a leaf only at the depth limit
+    or where no feature varies.
+    """
+    spread = [F.max(c) > F.min(c) for c in FEATURES]
+    lows, highs = (F.array(*(f(c).cast("double") for c in FEATURES)) for f in (F.min, F.max))
+    found = (
+        walk(sampled, nodes, DEPTH)
+        .groupBy("tree", "node")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            reduce(lambda a, b: a | b, spread).alias("varies"),
+            lows.alias("lows"),
+            highs.alias("highs"),
+        )
+    )
+    both = nodes.join(found, ["tree", "node"], "left")
+    limit = F.ceil(F.log2(F.greatest(F.max("size").over(Window.partitionBy("tree")), F.lit(2)))).cast("int")
+    both = both.withColumn("limit", limit)
+    inner = F.col("feature") >= 0
+    at = F.col("feature")
+    return both.groupBy("tree").agg(
+        F.max("size").alias("root_size"),
+        F.every(F.coalesce(F.col("n"), F.lit(0)) == F.col("size")).alias("sizes"),
+        F.every(~inner | ((F.get("lows", at) <= F.col("threshold")) & (F.col("threshold") < F.get("highs", at)))).alias("splits"),
+        F.every(inner | (F.col("depth") == F.col("limit")) | ~F.col("varies")).alias("leaves"),
+        F.every(F.col("depth") <= F.col("limit")).alias("depths"),
+    )
+
+
 def offset(scored: DataFrame, total: int) -> float:
     """Contamination quantile of the raw scores, linear between neighbours.
 

@@ -33,12 +33,15 @@ POINTS_PER_TASK, LEAST_PARTS = 100_000, 8
 
 @dataclass
 class Personas:
-    """A fit: weighted points with their cluster, cluster count, cost."""
+    """A fit: weighted points with their cluster and standard scores, cluster count,
+    cost, centres, and the cost of every restart."""
 
     points: DataFrame
     n_clusters: int
     rows: int
     inertia: float
+    centres: list[list[float]]
+    costs: list[float]
 
 
 def _points(ht: DataFrame) -> DataFrame:
@@ -113,12 +116,46 @@ def fit(ht: DataFrame, min_rows: int = MIN_ROWS) -> Personas | None:
             *KEY,
             F.col("weight").cast("bigint").alias("weight"),
             F.col("prediction").alias("cluster"),
+            vector_to_array("features").alias("scores"),
             F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b).alias("gap"),
         )
     )
     data.unpersist()
     inertia = assigned.agg(F.sum(F.col("gap") * F.col("weight"))).first()[0]
-    return Personas(assigned.drop("gap"), k, int(rows), float(inertia))
+    centre_list = [[float(x) for x in c] for c in best.clusterCenters()]
+    return Personas(assigned.drop("gap"), k, int(rows), float(inertia), centre_list, [r[0] for r in runs])
+
+
+def fixed_point(fitted: Personas) -> DataFrame:
+    """What holds for a settled fit alone, one row.
+
+    ``nearest``: no point has a nearer centre than its own. ``central``: every centre is
+    the weighted mean of its points, as far as the last move may have left it.
+    ``cheapest``: the cost is that of the points, and no restart found a lower one.
+    """
+    centres = F.array(*(F.array(*(F.lit(x) for x in c)) for c in fitted.centres))
+
+    def gap(scores: Column, centre: Column) -> Column:
+        squares = F.zip_with(scores, centre, lambda x, c: (x - c) * (x - c))
+        return F.aggregate(squares, F.lit(0.0), lambda a, b: a + b)
+
+    own = gap(F.col("scores"), F.get(centres, F.col("cluster")))
+    least = F.array_min(F.transform(centres, lambda c: gap(F.col("scores"), c)))
+    points = fitted.points.select("cluster", "weight", "scores", own.alias("own"), least.alias("least"))
+    total = F.sum("weight")
+    mean = F.array(*(F.sum(F.get("scores", F.lit(i)) * F.col("weight")) / total for i in range(len(FEATURES))))
+    per_cluster = points.groupBy("cluster").agg(
+        F.every(F.col("own") <= F.col("least") + 1e-9).alias("nearest"),
+        gap(mean, F.get(centres, F.col("cluster"))).alias("moved"),
+        F.sum(F.col("own") * F.col("weight")).alias("cost"),
+    )
+    cost, cheapest = F.sum("cost"), min(fitted.costs)
+    return per_cluster.agg(
+        F.count(F.lit(1)).cast("int").alias("clusters_used"),
+        F.every("nearest").alias("nearest"),
+        (F.sum("moved") <= SETTLED).alias("central"),
+        ((F.abs(cost - fitted.inertia) <= 1e-6 * cost) & (cost <= cheapest * (1 + 1e-6))).alias("cheapest"),
+    )
 
 
 def measures(assigned: DataFrame, weight: str | None = None) -> DataFrame:

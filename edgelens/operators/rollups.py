@@ -176,3 +176,26 @@ def exact_quantiles(
         return below + (above - below) * F.lit(rank - math.floor(rank))
 
     return found.select(*(between(r).alias(name) for r, name in zip(ranks, names)))
+
+
+# Size of a quantile sketch; its ranks are off by about 0.2 % of the rows.
+SKETCH_K = 1600
+
+
+def quantile_sketches(df: DataFrame, column: str, by: Column) -> DataFrame:
+    """One mergeable sketch of an integer column per date: ``dt``, ``sketch``.
+
+    Sketches are a few kilobytes whatever a date holds. A run writes those of the dates
+    it touched and merges all, so no run reads the history's rows again.
+    """
+    return df.groupBy(by.alias("dt")).agg(F.kll_sketch_agg_bigint(column, F.lit(SKETCH_K)).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, probabilities: list[float]) -> DataFrame:
+    """Approximate quantiles of all rows that the sketches cover, one row; null without rows."""
+    merged = sketches.agg(F.kll_merge_agg_bigint("sketch").alias("s"))
+    names, n = [f"q{round(p * 100)}" for p in probabilities], F.kll_sketch_get_n_bigint("s")
+    return merged.select(
+        n.alias("n"),
+        *(F.when(n > 0, F.kll_sketch_get_quantile_bigint("s", F.lit(p))).alias(c) for p, c in zip(probabilities, names)),
+    )

@@ -14,7 +14,7 @@ from edgelens.functions import timetext as T
 from edgelens.operators import rollups
 from edgelens.operators.windows import MIN_ROWS, WINDOW_DAYS, cap_rows, open_interval, rolling_window
 from edgelens.plans import documents, series
-from edgelens.session import checkpoint
+from edgelens.session import checkpoint, written
 from edgelens.sources import feeds, results
 from edgelens.sources.store import Store
 from edgelens.streaming import ingest
@@ -75,10 +75,13 @@ def collect(
 
 
 def analyze(
-    store: Store, log_path: str, as_of: datetime | str, min_rows: int = MIN_ROWS
+    store: Store, log_path: str, as_of: datetime | str, min_rows: int = MIN_ROWS, seq: int | None = None
 ) -> list[str]:
     """Run the five analyses and append one document each; returns what was written.
 
+    The documents get the next number of the log, or ``seq``; then a document that the
+    log holds under that number is not made again.
+
     The analyses are independent jobs and are submitted together; each appends on
     its own, so one that fails does not take the others along.
     """
@@ -86,7 +89,12 @@ def analyze(
     run_at = _text(spark, T.cutoff(as_of))
     since = _text(spark, T.date_of_iso(T.cutoff(as_of, days=WINDOW_DAYS)))
     store.repair_hourly()
-    seq = results.next_seq(spark, log_path)
+    there = set()
+    if seq is None:
+        seq = results.next_seq(spark, log_path)
+    else:
+        numbered = results.read_log(spark, log_path).where(F.col("ingest_seq") == seq)
+        there = {r.model_name for r in numbered.select("model_name").collect()}
     ht, fe = store.read("hourly_traffic"), store.read("firewall_events")
     recent_ht = store.read("hourly_traffic", since=since)
     recent_fe = store.read("firewall_events", since=since)
@@ -103,7 +111,7 @@ def analyze(
         return None if document is None else checkpoint(results.to_log(document, model, run_at, seq))
 
     with ThreadPoolExecutor(len(builders)) as pool:
-        pending = {m: pool.submit(inheritable_thread_target(spark)(build), m) for m in builders}
+        pending = {m: pool.submit(inheritable_thread_target(spark)(build), m) for m in builders if m not in there}
     written, failed = [], []
     for model, future in pending.items():
         if future.exception() is not None:
@@ -179,6 +187,35 @@ def scheduled_run(
     return sorted(tables)
 
 
+def retrain_on_arrival(store: Store, landing: str, place: str, log_path: str, as_of: datetime | str) -> None:
+    """One trigger: load what landed in any feed since the last, then retrain, batch by batch.
+
+    ``place`` keeps how far the stream has read. The feeds of a batch are loaded together.
+    Loads and documents carry the number of their batch, so a batch that is replayed
+    after a loss makes neither again.
+    """
+    spark = store.spark
+    start = T.cutoff(as_of, hours=feeds.DETAILS_MAX_HOURS)
+
+    def write(batch: DataFrame, number: int) -> None:
+        landed = written(batch, "landed")
+        folder = F.element_at(F.split("arrival.landed_file", "/"), -2)
+        rows = {name: landed.where(folder == name) for name in FEED_FOLDERS.values()}
+        run_id = f"batch-{number:08d}"
+        unread = [feeds.rejected(rows[name], feed) for feed, name in FEED_FOLDERS.items()]
+        store.reject(run_id, reduce(DataFrame.unionByName, unread))
+        store.repair_hourly()
+        store.load(
+            run_id,
+            hourly=feeds.flatten_hourly(rows["hourly"], as_of),
+            firewall=feeds.flatten_firewall(rows["firewall"], as_of),
+            details=feeds.flatten_details(rows["details"], as_of, start),
+        )
+        analyze(store, log_path, as_of, seq=number)
+
+    ingest.run_available(feeds.stream_landing(spark, f"{landing}/*"), place, write)
+
+
 def full_run(
     store: Store, landing: str, log_path: str, out: str, as_of: datetime | str, run_id: str
 ) -> list[str]:

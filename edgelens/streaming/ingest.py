@@ -12,10 +12,12 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from edgelens import schemas as S
 from edgelens.functions import timetext as T
+from edgelens.operators import maintain
+from edgelens.session import exists
 from edgelens.sources import feeds
 from edgelens.sources.store import Store
 
@@ -53,6 +55,11 @@ def run_available(
     return -1 if progress is None else progress["batchId"]
 
 
+def with_batch(schema: StructType) -> StructType:
+    """The schema of a table written batch by batch."""
+    return StructType([*schema.fields, StructField("batch", LongType())])
+
+
 def append_rows(stream: DataFrame, checkpoint: str, path: str) -> None:
     """Plain incremental append with the file sink's own exactly-once log."""
     (
@@ -87,20 +94,74 @@ def settled_hours(events: DataFrame, keys: list[str], measures: dict[str, Column
     return hourly_rollup(named.withWatermark("ts", LATENESS), keys, measures)
 
 
+def rolling_totals(events: DataFrame, measures: dict[str, Column], days: int = 7, step_hours: int = 6) -> DataFrame:
+    """Totals of every ``days`` window that starts on a ``step_hours`` mark, while they grow.
+
+    An event lies in ``days * 24 / step_hours`` open windows. It fans out to them inside
+    its task, where partial sums combine, so the shuffle and the state see one row per
+    window and task. Windows that ended longer ago than the lateness leave the state.
+    """
+    span = F.window("ts", f"{days} days", f"{step_hours} hours")
+    sums = [c.alias(name) for name, c in measures.items()]
+    return (
+        events.withWatermark("ts", LATENESS)
+        .groupBy(span)
+        .agg(*sums)
+        .select(
+            T.iso_second(F.col("window.start")).alias("window_start"),
+            T.iso_second(F.col("window.end")).alias("window_end"),
+            *measures,
+        )
+    )
+
+
 def dedupe_recent(events: DataFrame, key: str = "ray_name") -> DataFrame:
     """First event per id within the lateness bound; the state forgets older ids.
 
-    Ids are near unique, so the shuffle by id is even. Events with an empty id or none
-    are left out: they would all meet in one task. ``without_id`` has them, for
-    ``insert_new_events``, which combines map-side.
+    Ids are near unique, so the shuffle by id is even. Events with an empty id, or none,
+    would all meet in one task and take another branch past the state;
+    ``insert_recent`` keeps one of the empty ids, by an aggregation that combines map-side.
+    """
+    named = events.where(F.col(key) != "").withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark([key])
+    return named.unionByName(events.where(F.coalesce(F.col(key), F.lit("")) == ""))
+
+
+def insert_recent(stream: DataFrame, checkpoint: str, path: str, key: str = "ray_name") -> None:
+    """Append the batches of ``dedupe_recent``: named events are single, events without
+    an id all stay, of those with an empty id the first ever stays.
+
+    A batch writes its own folder, so a replay replaces it; whether an empty id is stored
+    is asked of the batches before it.
     """
-    named = events.where(F.col(key) != "")
-    return named.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark([key])
+    spark = stream.sparkSession
+    stored = with_batch(stream.schema)
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = maintain.first_write_wins(batch)
+        if exists(spark, path):
+            before = spark.read.schema(stored).parquet(path).where((F.col("batch") < number) & (F.col(key) == ""))
+            if not before.isEmpty():
+                rows = rows.where(F.col(key).isNull() | (F.col(key) != ""))
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_available(stream, checkpoint, write)
+
+
+def write_changes(stream: DataFrame, checkpoint: str, path: str) -> None:
+    """Append what each batch changed, in a folder per batch that a replay replaces."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_available(stream, checkpoint, write, "update")
 
 
-def without_id(events: DataFrame, key: str = "ray_name") -> DataFrame:
-    """The events that ``dedupe_recent`` leaves out."""
-    return events.where(F.coalesce(F.col(key), F.lit("")) == "")
+def newest_changes(spark: SparkSession, path: str, schema: StructType, key: list[str]) -> DataFrame:
+    """The last change of every key."""
+    rows = spark.read.schema(with_batch(schema)).parquet(path)
+    rest = [c for c in schema.fieldNames() if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*key, "last.*")
 
 
 def write_totals(stream: DataFrame, checkpoint: str, path: str) -> str:

@@ -231,3 +231,25 @@ def test_scheduled_runs_load_only_what_is_new(spark, tmp_path):
     assert store.read("hourly_traffic").count() == 744
     assert results.read_log(spark, str(tmp_path / "log")).count() == 10
     assert spark.read.parquet(f"{out}/header_cards").first().data_points == "744"
+
+
+def test_models_train_again_with_each_landed_pull_and_not_on_a_replay(spark, tmp_path, monkeypatch):
+    landing, place, log = (str(tmp_path / n) for n in ("landing", "place", "log"))
+    store = Store(spark, str(tmp_path / "store"))
+    make_landing(landing)
+
+    def crash(*_args, **_options):
+        raise RuntimeError("lost")
+
+    real = jobs.analyze
+    monkeypatch.setattr(jobs, "analyze", crash)
+    with pytest.raises(Exception, match="lost"):
+        jobs.retrain_on_arrival(store, landing, place, log, AS_OF)
+    monkeypatch.setattr(jobs, "analyze", real)
+    jobs.retrain_on_arrival(store, landing, place, log, AS_OF)
+    assert store.read("request_details").count() == 1
+    assert results.read_log(spark, log).count() == 5
+    assert jobs.analyze(store, log, AS_OF, seq=0) == []
+    jobs.retrain_on_arrival(store, landing, place, log, AS_OF)
+    assert results.read_log(spark, log).count() == 5
+    assert spark.read.parquet(f"{store.root}/rejected/run_id=batch-00000000").first().reason == "not json"

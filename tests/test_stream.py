@@ -116,6 +116,54 @@ def test_dedupe_within_the_bound(spark, landing, tmp_path):
     assert rows_of(spark.read.parquet(str(tmp_path / "out")), "ray_name") == [("a",), ("b",)]
 
 
+def _event_rows(spark, *rows):
+    frame = spark.createDataFrame(rows, "ts string, ray_name string, ingest_seq bigint")
+    return frame.withColumns({"ts": F.to_timestamp("ts"), "event_datetime": F.col("ts")})
+
+
+def test_events_without_id_meet_the_others_in_one_table(spark, landing, tmp_path):
+    """Null ids all stay, of empty ids the first of the first batch, over batches and replays."""
+    runs = [
+        [("2024-01-01 10:00:00", "a", 5), ("2024-01-01 10:05:00", "", 7), ("2024-01-01 10:01:00", "", 6), ("2024-01-01 10:00:00", None, 1), ("2024-01-01 10:00:00", None, 1)],
+        [("2024-01-01 11:00:00", "a", 8), ("2024-01-01 11:00:00", "b", 9), ("2024-01-01 11:00:00", "", 2), ("2024-01-01 11:00:00", None, 3)],
+        [("2024-01-01 12:00:00", "", 1)],
+    ]
+    out = str(tmp_path / "out")
+    for part in runs:
+        land(_event_rows(spark, *part).drop("event_datetime"), landing)
+        stream = ingest.stream_files(spark, landing, _event_rows(spark, *runs[0]).drop("event_datetime").schema)
+        stream = stream.withColumn("event_datetime", F.col("ts").cast("string"))
+        ingest.insert_recent(ingest.dedupe_recent(stream), str(tmp_path / "cp"), out)
+    assert rows_of(spark.read.parquet(out), "ray_name", "ingest_seq") == [
+        ("", 6), ("a", 5), ("b", 9), (None, 1), (None, 1), (None, 3),
+    ]
+
+
+def test_rolling_windows_grow_and_settle(spark, landing, tmp_path):
+    out = str(tmp_path / "out")
+    for part in (FIRST, SECOND, [("2024-02-20 00:00:00", "US", 1)], [("2024-01-01 00:00:00", "US", 1000)]):
+        land(at(spark, *part), landing)
+        stream = ingest.stream_files(spark, landing, at(spark, *FIRST).schema)
+        totals = ingest.rolling_totals(stream, {"n": F.sum("n")})
+        ingest.write_changes(totals, str(tmp_path / "cp"), out)
+    newest = ingest.newest_changes(spark, out, totals.schema, ["window_start", "window_end"])
+    got = {r.window_start: r.n for r in newest.collect()}
+    # 32 marks reach an event of the first days; the last event opens 28 more; the late one changes nothing.
+    assert len(got) == 32 + 28
+    assert got["2024-01-01T06:00:00Z"] == 31 and got["2024-01-02T06:00:00Z"] == 16 and got["2023-12-25T12:00:00Z"] == 15
+
+
+def test_hours_close_once(spark, landing, tmp_path):
+    out = str(tmp_path / "out")
+    for part in (FIRST, SECOND, [("2024-01-02 13:00:00", "US", 1), ("2024-01-01 11:59:00", "US", 64)]):
+        land(at(spark, *part), landing)
+        ingest.append_rows(hours(spark, landing, settled=True), str(tmp_path / "cp"), out)
+    # 25 hours before the newest event, hour 10 is over; what came for hour 11 in time is in the state.
+    assert rows_of(spark.read.parquet(out), "bucket", "country", "request_count") == [
+        ("2024-01-01T10:00:00Z", "US", 11), ("2024-01-01T11:00:00Z", "US", 64), ("2024-01-01T11:00:00Z", "Unknown", 4),
+    ]
+
+
 def test_append_reads_each_file_once(spark, landing, tmp_path):
     for part in (FIRST, SECOND):
         land(at(spark, *part), landing)
