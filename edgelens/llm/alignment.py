@@ -25,9 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import json
 import math
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from edgelens.llm.common import bound_batches
-from edgelens.llm.token_counts import pre_tokens, special_strings
+from edgelens.llm.token_counts import special_strings
 from edgelens.session import written
 
 # Radix of a pairing: B's id modulo this.
@@ -53,22 +53,56 @@ HELD = 1 << 21
 # Streams of one heap merge, records of a radix that one task takes.
 FAN_IN = 64
 TASK_RECORDS = 1 << 22
-# Pre-tokens whose ids a task remembers.
-KNOWN = 200_000
+# Parts of texts whose ids a task remembers.
+KNOWN = 400_000
 _BLOCK = 4096
 
 
+# A blank or line break behind a printing ASCII or Latin character: byte-level splitters
+# always begin a pre-token there, so a text is encoded as its parts between such places.
+_PART = re.compile(r"(?<=[!-~\u00a1-\u024f])(?=[ \n])")
+_JOINS = re.compile(r"(?s)[ \n].*[!-~\u00a1-\u024f]")
+# Characters of new parts that are encoded in one go.
+_TOGETHER = 1 << 16
+
+
+class _Parts(dict):
+    """Parts of texts by number; new ones are entered and wait to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.flat = np.zeros(0, np.int64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self)
+        self.new.append(part)
+        return number
+
+    def enter(self, ids: list[np.ndarray]) -> None:
+        """The ids of the parts that waited, in their order."""
+        sizes = np.array([len(i) for i in ids], np.int64)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, *ids])
+        self.new = []
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        first = np.repeat(self.starts[numbers] - ends + sizes, sizes)
+        return self.flat[first + np.arange(len(first))]
+
+
 class Sides:
     """Both tokenizers, and their tokens as bytes."""
 
     def __init__(self, a_definition: str, b_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         special_strings(a_definition)  # refuses what does not split into pre-tokens
-        spec = json.loads(a_definition)
-        spec["added_tokens"] = []  # their strings are plain text here
-        self.split = pre_tokens(json.dumps(spec))
         self.a = Tokenizer.from_str(a_definition)
-        self.a.encode_special_tokens = True
+        self.a.encode_special_tokens = True  # their strings are plain text here
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         self.a_bytes = _byte_level(self.a)
         self.b_bytes = [
@@ -76,29 +110,44 @@ class Sides:
             for i, piece in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))
         ]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        # Pre-token to its ids; None if they do not give it back.
-        self.known: dict[str, list[int] | None] = {}
-
-    def encode_a(self, texts: list[str]) -> list[list[int] | None]:
-        split = [self.split(t)[0] for t in texts]
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        new = list({p for pieces in split for p in pieces if p not in self.known})
-        for piece, found in zip(new, self.a.encode_batch(new, add_special_tokens=False)):
-            back = b"".join(map(self.a_bytes.__getitem__, found.ids))
-            self.known[piece] = found.ids if back == piece.encode() else None
-        out = []
-        for pieces in split:
-            ids: list[int] | None = []
-            for piece in pieces:
-                more = self.known[piece]
-                if more is None:
-                    ids = None
-                    break
-                ids += more
-            out.append(ids)
+        self.parts = _Parts()
+
+    def _encoded(self, parts: list[str]) -> list[np.ndarray]:
+        """Ids of parts; those that can stand side by side are encoded many at a time."""
+        out: list[np.ndarray | None] = [None] * len(parts)
+        alone, run, size = [], [], 0
+        for i, part in enumerate(parts):
+            if not _JOINS.fullmatch(part):
+                alone.append(i)
+                continue
+            run.append(i)
+            size += len(part)
+            if size >= _TOGETHER:
+                self._encode_run(parts, run, out)
+                run, size = [], 0
+        if run:
+            self._encode_run(parts, run, out)
+        found = self.a.encode_batch([parts[i] for i in alone], add_special_tokens=False)
+        for i, tokens in zip(alone, found):
+            out[i] = np.array(tokens.ids, np.int64)
         return out
 
+    def _encode_run(self, parts: list[str], run: list[int], out: list) -> None:
+        found = self.a.encode("".join(parts[i] for i in run), add_special_tokens=False)
+        ids, starts = np.array(found.ids, np.int64), np.array(found.offsets, np.int64)[:, 0]
+        edges = np.searchsorted(starts, np.cumsum([len(parts[i]) for i in run]))
+        for i, own in zip(run, np.split(ids, edges[:-1])):
+            out[i] = own
+
+    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.parts) > KNOWN:
+            self.parts = _Parts()
+        split = map(_PART.split, texts)
+        numbers = [np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts)) for parts in split]
+        if self.parts.new:
+            self.parts.enter(self._encoded(self.parts.new))
+        return list(map(self.parts.ids, numbers))
+
     def align(self, texts: list[str | None]) -> Iterator[Alignment | None]:
         """One alignment per text; None without tokens."""
         there = [t for t in texts if t]
@@ -108,10 +157,12 @@ class Sides:
                 yield None
                 continue
             _, a, b = next(sides)
-            if a is None or b"".join(map(self.b_bytes.__getitem__, b)) != (" " + text).encode():
+            spaced = (" " + text).encode()
+            given = (self.a_bytes, a.tolist()), (self.b_bytes, b)
+            if any(b"".join(map(side.__getitem__, ids)) != spaced for side, ids in given):
                 yield None
                 continue
-            yield Alignment(np.array(a, np.int64), np.array(b, np.int64), self.a_sizes, self.b_sizes)
+            yield Alignment(a, np.array(b, np.int64), self.a_sizes, self.b_sizes)
 
 
 def _byte_level(tokenizer: Tokenizer) -> list[bytes]:
@@ -132,9 +183,11 @@ class Alignment:
 
     def __init__(self, a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray):
         self.a, self.b = a, b
-        self.ends, self.a_last, self.b_last = np.intersect1d(
-            np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b]), assume_unique=True, return_indices=True
-        )
+        # Both sides end at the last byte of the text.
+        a_ends, b_ends = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
+        at = np.searchsorted(b_ends, a_ends)
+        self.a_last = np.flatnonzero(b_ends[at] == a_ends)
+        self.b_last, self.ends = at[self.a_last], a_ends[self.a_last]
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         return self.a[self.a_last], self.b[self.b_last]

@@ -124,6 +124,20 @@ def test_one_text_makes_up_most_rows(documents):
     assert _got(documents(list(enumerate(texts)), parts=5)) == dict(enumerate(_plain(texts)))
 
 
+def test_parts_encode_like_the_whole_text():
+    """Every character beside blanks and line breaks; nothing merges over the places of the cuts."""
+    tokenizer = Tokenizer.from_file(A)
+    tokenizer.encode_special_tokens = True
+    with open(A, encoding="utf-8") as a, open(B, "rb") as b:
+        sides = alignment.Sides(a.read(), b.read())
+    codes = [*range(1, 0x2100), 0x2581, 0x3000, 0xFEFF, 0xAC00, 0x1F600]
+    marks = [" a", "a ", " ", "  ", "\n", "\n ", " \n", "'s", " 's", "1 2", "!? "]
+    texts = [f" x{chr(c)}{m}{chr(c)} {chr(c)}\n{chr(c)}y{m}" for c in codes for m in marks[c % 4 :: 4]]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [ids.tolist() for ids in sides.encode_a(texts)] == want
+
+
 def test_heap_merge_sums_streams():
     streams = [(np.array([1, 5, 9]), np.array([1, 2, 3])), (np.array([5, 10]), np.array([10, 4])), (np.array([0]), np.array([7]))]
     keys, sums = alignment.heap_merged([alignment._packed_counts(k, s) for k, s in streams])
