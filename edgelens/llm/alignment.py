@@ -74,21 +74,32 @@ class _Parts(dict):
         self.new: list[str] = []
         self.flat = np.zeros(0, np.int64)
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.whole = np.zeros(0, bool)
 
     def __missing__(self, part: str) -> int:
         number = self[part] = len(self)
         self.new.append(part)
         return number
 
-    def enter(self, ids: list[np.ndarray]) -> None:
-        """The ids of the parts that waited, in their order."""
-        sizes = np.array([len(i) for i in ids], np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *ids])
+    def enter(self, encoded: list[tuple[list[int], np.ndarray, np.ndarray, bool]]) -> None:
+        """The ids of the parts that waited: places of some of them, their ids on end, the
+        size of each, and whether they give the parts back."""
+        n = len(self.new)
+        starts, sizes, whole = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        at = len(self.flat)
+        for places, ids, own, back in encoded:
+            starts[places], sizes[places], whole[places] = at + np.cumsum(own) - own, own, back
+            at += len(ids)
+        self.starts, self.sizes, self.whole = (
+            np.concatenate(c) for c in ((self.starts, starts), (self.sizes, sizes), (self.whole, whole))
+        )
+        self.flat = np.concatenate([self.flat, *(ids for _, ids, _, _ in encoded)])
         self.new = []
 
-    def ids(self, numbers: np.ndarray) -> np.ndarray:
+    def ids(self, numbers: np.ndarray) -> np.ndarray | None:
+        """Ids of a text; None if they do not give it back."""
+        if not self.whole[numbers].all():
+            return None
         sizes = self.sizes[numbers]
         ends = np.cumsum(sizes)
         first = np.repeat(self.starts[numbers] - ends + sizes, sizes)
@@ -112,40 +123,44 @@ class Sides:
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.parts = _Parts()
 
-    def _encoded(self, parts: list[str]) -> list[np.ndarray]:
+    def _encoded(self, parts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, bool]]:
         """Ids of parts; those that can stand side by side are encoded many at a time."""
-        out: list[np.ndarray | None] = [None] * len(parts)
-        alone, run, size = [], [], 0
+        run, size = [], 0
         for i, part in enumerate(parts):
             if not _JOINS.fullmatch(part):
-                alone.append(i)
+                yield self._encode_run(parts, [i])
                 continue
             run.append(i)
             size += len(part)
             if size >= _TOGETHER:
-                self._encode_run(parts, run, out)
+                yield from self._checked(parts, run)
                 run, size = [], 0
         if run:
-            self._encode_run(parts, run, out)
-        found = self.a.encode_batch([parts[i] for i in alone], add_special_tokens=False)
-        for i, tokens in zip(alone, found):
-            out[i] = np.array(tokens.ids, np.int64)
-        return out
-
-    def _encode_run(self, parts: list[str], run: list[int], out: list) -> None:
-        found = self.a.encode("".join(parts[i] for i in run), add_special_tokens=False)
-        ids, starts = np.array(found.ids, np.int64), np.array(found.offsets, np.int64)[:, 0]
+            yield from self._checked(parts, run)
+
+    def _checked(self, parts: list[str], run: list[int]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, bool]]:
+        """A run; one that does not give its text back, part by part."""
+        found = self._encode_run(parts, run)
+        if found[3]:
+            yield found
+        else:
+            yield from (self._encode_run(parts, [i]) for i in run)
+
+    def _encode_run(self, parts: list[str], run: list[int]) -> tuple[list[int], np.ndarray, np.ndarray, bool]:
+        text = "".join(parts[i] for i in run)
+        found = self.a.encode(text, add_special_tokens=False)
+        ids, starts = found.ids, np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
         edges = np.searchsorted(starts, np.cumsum([len(parts[i]) for i in run]))
-        for i, own in zip(run, np.split(ids, edges[:-1])):
-            out[i] = own
+        back = b"".join(map(self.a_bytes.__getitem__, ids)) == text.encode()
+        return run, np.array(ids, np.int64), np.diff(edges, prepend=0), back
 
-    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_a(self, texts: list[str]) -> list[np.ndarray | None]:
         if len(self.parts) > KNOWN:
             self.parts = _Parts()
         split = map(_PART.split, texts)
         numbers = [np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts)) for parts in split]
         if self.parts.new:
-            self.parts.enter(self._encoded(self.parts.new))
+            self.parts.enter(list(self._encoded(self.parts.new)))
         return list(map(self.parts.ids, numbers))
 
     def align(self, texts: list[str | None]) -> Iterator[Alignment | None]:
@@ -157,9 +172,7 @@ class Sides:
                 yield None
                 continue
             _, a, b = next(sides)
-            spaced = (" " + text).encode()
-            given = (self.a_bytes, a.tolist()), (self.b_bytes, b)
-            if any(b"".join(map(side.__getitem__, ids)) != spaced for side, ids in given):
+            if a is None or b"".join(map(self.b_bytes.__getitem__, b)) != (" " + text).encode():
                 yield None
                 continue
             yield Alignment(a, np.array(b, np.int64), self.a_sizes, self.b_sizes)
