@@ -14,9 +14,10 @@ Only the benchmark's windows are broadcast, in blocks of at most ``BLOCK_BYTES``
 bytes; a larger benchmark takes one pass over the documents per block. Windows that
 occur in the same items form a class, and documents collect classes, not windows.
 
-Null texts have no words, as have empty ones; they are never hit. Benchmark rows
-without text or item_id are left out; rows of one item_id are one item. Document
-rows that repeat a doc_id are separate. Empty tables give no rows, or no hits.
+Null texts have no words, as have empty ones; they are never hit. Windows of benchmark
+rows without item_id hit words like all others, and add no item; rows of one item_id are
+one item. Document rows that repeat a doc_id are separate. Empty tables give no rows, or
+no hits.
 """
 
 from __future__ import annotations
@@ -169,7 +170,7 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    """Distinct windows (words joined by a blank) with their items, as sorted text."""
+    """Distinct windows (words joined by a blank) with their items, as sorted text, null left out."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,10 +182,10 @@ def windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
             lists = pa.array([sorted(f) for f in found], pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["item", "windows"])
 
-    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string"), F.col(text))
+    items = benchmark.select(F.col(item_id).cast("string"), F.col(text))
     each = items.mapInArrow(cut, "item string, windows array<binary>").select("item", F.explode("windows").alias("window"))
     grouped = each.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return grouped.withColumn("class", F.sha2(F.concat_ws(",", "items"), 256))
+    return grouped.withColumn("class", F.sha2(F.to_json("items"), 256))
 
 
 def _found_type() -> T.StructType:

@@ -19,8 +19,8 @@ def brute(docs, items):
     windows = defaultdict(set)
     for item, text in items:
         found = words(text)
-        for i in range(max(1, len(found) - 12) if found and item is not None else 0):
-            windows[tuple(found[i : i + 13])].add(str(item))
+        for i in range(max(1, len(found) - 12) if found else 0):
+            windows[tuple(found[i : i + 13])].update([] if item is None else [str(item)])
     out = []
     for doc, text in docs:
         found, hit, seen = words(text), [0] * len(words(text)), set()
@@ -79,6 +79,26 @@ def test_clean_keeps_whole_rows(spark, documents, case):
     assert left == sorted(row.split(",")[0][1:] for row in brute(docs, items) if row.endswith("False)"))
 
 
+def test_a_passage_without_item_id_contaminates_and_names_no_item(spark, documents, prose, tmp_path):
+    """Query, stage and check SQL agree on it."""
+    import duckdb
+
+    from edgelens.llm.oracle import DECONTAMINATE
+
+    passage = prose(77, 30)
+    bench = spark.createDataFrame([(None, passage), (1, prose(78, 20)), (None, "tiny one")], "item_id bigint, text string")
+    docs = documents([(1, passage), (2, prose(79, 40)), (3, "a tiny one b")])
+    rows = as_rows(D.report(docs, bench))
+    assert [r.doc_id for r in D.clean(docs, bench).collect()] == [2]
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    bench.coalesce(1).write.parquet(str(tmp_path / "b"))
+    con = duckdb.connect()
+    for name, path in (("documents", "d"), ("benchmark", "b")):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path / path}/*.parquet'")
+    want = con.execute(DECONTAMINATE).fetchall()
+    assert rows == sorted(map(str, want)) and rows[0].startswith("(1, 30, 30, 0,")
+
+
 def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert as_rows(D.report(documents([(1, "a b")]), none)) == brute([(1, "a b")], [])
