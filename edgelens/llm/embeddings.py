@@ -36,6 +36,8 @@ BLOCK = 2048
 # Rows of a tile multiplied, and pairs rechecked, at a time.
 STRIP = 256
 RECHECKED = 1 << 15
+# Tasks for the tiles: some per tile, so that few share one by chance, and at most.
+TASKS_PER_TILE, MOST_TASKS = 2, 20_000
 # Products of int8 numbers whose sums a float holds exactly.
 EXACT_DIMS = 1024
 # Rounding of the double arithmetic in the bound.
@@ -160,6 +162,11 @@ def tile_links(classes: DataFrame, threshold: float) -> DataFrame:
         *packed.columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     )
     tiles = sides.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    # Tiles are alike in work, not in bytes: their number says how many tasks there are.
+    b = blocks.cast("bigint")
+    n_tiles = totals.agg(F.coalesce(F.sum(b * (b + 1) / 2), F.lit(1))).first()[0]
+    keys = ["dims", "low", "high"]
+    tiles = tiles.repartition(int(min(MOST_TASKS, max(1, TASKS_PER_TILE * n_tiles))), *keys)
 
     def run(table: pa.Table) -> pa.Table:
         sides = [
@@ -168,7 +175,7 @@ def tile_links(classes: DataFrame, threshold: float) -> DataFrame:
         ]
         return pa.Table.from_batches([tile(sides[0], sides[-1], len(sides) == 1, threshold)])
 
-    return tiles.groupBy("dims", "low", "high").applyInArrow(run, "a bigint, b bigint, n bigint")
+    return tiles.groupBy(*keys).applyInArrow(run, "a bigint, b bigint, n bigint")
 
 
 def _kept_type(rows: DataFrame, vector: str) -> T.ArrayType:
