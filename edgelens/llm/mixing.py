@@ -14,7 +14,8 @@ landing problem, settled so that the totals come nearest to what they should be.
 
 Sizes are words (runs outside ASCII blanks); null text has none. Random choices hang on
 hashes of the documents, so reruns and other partitionings agree. Rows that agree in
-doc_id and text stay in one cell. A source without words takes nothing. An empty table
+doc_id, source and text are counted first and then numbered, each with a draw of its
+own, so that they spread over cells however many they are. A source without words takes nothing. An empty table
 gives no rows.
 """
 
@@ -34,6 +35,8 @@ WEIGHTS = [5.0, 2.0, 1.0]
 SHARE = 1.5
 MOST = 2.0
 CELL = 4096
+# Alike rows that one row fans out to.
+FAN = 1 << 16
 SEED = 17
 # Documents of all lengths that a source's last cell leaves to the landing, and the
 # weight of words against documents there.
@@ -123,7 +126,8 @@ def waiting_places(n: int) -> set[int]:
 
 def _fly(batch: pd.DataFrame) -> pd.DataFrame:
     # Long documents fly first, so that short ones stay open.
-    batch = batch.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], ignore_index=True)
+    order = ["size", "draw", "doc_id", "number"]
+    batch = batch.sort_values(order, ascending=[False, True, True, True], ignore_index=True)
     first, n = batch.iloc[0], len(batch)
     draw = random.Random(f"{SEED} {first['place']} {first['cell']} {first['level']}")
     sizes, chances = batch["size"].astype(float).tolist(), batch["chance"].tolist()
@@ -145,7 +149,7 @@ def sampled(units: DataFrame) -> DataFrame:
         cells = F.ceil(F.col("open") / CELL)
         dealt = (
             open_units.join(counts, "place")
-            .withColumn("cell", F.pmod(F.xxhash64("draw", F.lit(level)), cells))
+            .withColumn("cell", F.pmod(F.xxhash64("draw", "number", F.lit(level)), cells))
             .withColumn("last", cells == 1)
             .withColumn("level", F.lit(level))
             .drop("open")
@@ -164,17 +168,29 @@ def sampled(units: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(alike: DataFrame) -> DataFrame:
+    """One row per document of rows that count ``n`` alike ones, with its ``number``.
+
+    Counts fan out in two steps, so that many alike rows are made by many tasks.
+    """
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / FAN))
+    first = F.col("block") * FAN
+    last = F.least(F.col("n"), first + FAN) - 1
+    single, many = alike.where(F.col("n") <= FAN), alike.where(F.col("n") > FAN)
+    dealt = many.withColumn("block", F.explode(blocks)).repartition("draw", "block")
+    listed = single.withColumn("block", F.lit(0).cast("bigint")).unionByName(dealt)
+    return listed.withColumn("number", F.explode(F.sequence(first, last))).drop("n", "block")
+
+
 def copies(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
     """doc_id, source, size, source_size, target, draw and how often each row is taken."""
-    rows = written(
-        docs.select(
-            F.col(doc_id).alias("doc_id"),
-            F.col(source).alias("source"),
-            word_count(F.col(text)).alias("size"),
-            F.xxhash64(F.lit(SEED), F.col(doc_id), F.col(text)).alias("draw"),
-        ),
-        "sizes",
+    alike = docs.groupBy(
+        F.col(doc_id).alias("doc_id"),
+        F.col(source).alias("source"),
+        word_count(F.col(text)).alias("size"),
+        F.xxhash64(F.lit(SEED), F.col(doc_id), F.col(text)).alias("draw"),
     )
+    rows = written(numbered(alike.agg(F.count(F.lit(1)).alias("n"))), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
     targets = written(source_targets(sizes), "targets")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -208,20 +224,37 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``docs`` the mix takes, each as often as it takes them.
 
-    Rows that agree in doc_id, source and text share out the times their group takes.
+    Rows that agree in doc_id, source and text share out the times their group takes:
+    all get the least, and those of lowest number once more, as many as it needs.
     """
-    draw, times, same = fresh(docs, "draw"), fresh(docs, "times"), fresh(docs, "same")
-    keyed = docs.withColumn(draw, F.xxhash64(F.lit(SEED), F.col(doc_id), F.col(text)))
-    key = [keyed[draw].eqNullSafe(F.col("key_draw")), keyed[doc_id].eqNullSafe(F.col("key_id")),
-           keyed[source].eqNullSafe(F.col("key_source"))]
-    taken = copies(docs, doc_id, source, text).groupBy(
-        F.col("draw").alias("key_draw"), F.col("doc_id").alias("key_id"), F.col("source").alias("key_source")
+    draw, times, part, place = (fresh(docs, c) for c in ("draw", "times", "part", "place"))
+    taken = copies(docs, doc_id, source, text).select(
+        F.col("draw").alias("key_draw"), F.col("doc_id").alias("key_id"), F.col("source").alias("key_source"), "times"
+    )
+    key = ["key_draw", "key_id", "key_source"]
+    # A document of a source is taken ``whole`` or ``whole + 1`` times.
+    least = taken.groupBy(*key).agg(
+        F.min("times").alias("key_least"), F.sum("times").alias("key_sum"), F.count(F.lit(1)).alias("key_n")
+    )
+    least = written(least.withColumn("key_more", F.col("key_sum") - F.col("key_least") * F.col("key_n")), "times")
+    # The part of the input a row comes from numbers rows without gathering a group.
+    keyed = docs.withColumn(draw, F.xxhash64(F.lit(SEED), F.col(doc_id), F.col(text))).withColumn(
+        part, F.shiftright(F.monotonically_increasing_id(), 33)
+    )
+    same = [keyed[a].eqNullSafe(F.col(b)) for a, b in zip((draw, doc_id, source), key)]
+    joined = keyed.join(least, same)
+    even = joined.where(F.col("key_more") == 0).withColumn(times, F.col("key_least"))
+    uneven = written(joined.where(F.col("key_more") > 0), "shared-out")
+    per_part = uneven.groupBy(*key, part).agg(F.count(F.lit(1)).alias("key_here"))
+    ahead = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    per_part = per_part.withColumn("key_before", F.coalesce(F.sum("key_here").over(ahead), F.lit(0)))
+    per_part = per_part.select(*(F.col(k).alias(f"{k}_") for k in key), F.col(part).alias("key_part"), "key_before")
+    meets = [uneven[k].eqNullSafe(per_part[f"{k}_"]) for k in key] + [uneven[part] == per_part["key_part"]]
+    rank = F.row_number().over(Window.partitionBy(*key, part).orderBy(F.lit(1)))
+    shared = uneven.withColumn(place, rank).join(per_part, meets)
+    shared = shared.withColumn(
+        times, F.col("key_least") + F.when(F.col(place) + F.col("key_before") <= F.col("key_more"), 1).otherwise(0)
     )
-    taken = written(taken.agg(F.sort_array(F.collect_list("times"), asc=False).alias("key_times")), "times")
-    joined = keyed.join(taken, key).withColumn(times, F.col("key_times"))
-    single = F.size(times) == 1
-    rank = F.row_number().over(Window.partitionBy("key_draw", "key_id", "key_source").orderBy(F.lit(1)))
-    ones = joined.where(single).withColumn(times, F.get(times, F.lit(0)))
-    repeated = joined.where(~single).withColumn(same, rank).withColumn(times, F.get(times, F.col(same) - 1))
-    rows = ones.unionByName(repeated.drop(same)).select(*docs.columns, times).where(F.col(times) > 0)
-    return rows.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)
+    wanted = [*docs.columns, times]
+    rows = even.select(*wanted).unionByName(shared.select(*wanted)).where(F.col(times) > 0)
+    return rows.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

@@ -93,6 +93,32 @@ def test_the_mix_holds_rows_as_often_as_taken(documents, prose):
     assert Counter(r.doc_id for r in out.collect()) == +times
 
 
+@pytest.mark.parametrize("fan", [1 << 16, 7])
+def test_a_third_of_all_rows_alike(documents, prose, monkeypatch, fan):
+    """They fly in many cells, and the mix holds as many of them as it takes."""
+    monkeypatch.setattr(mixing, "CELL", 50)
+    monkeypatch.setattr(mixing, "FAN", fan)
+    rows = table(prose, 300) + [(7000, "one and the same", "en", "a", 3)] * 150 + [(None, None, "en", None, 1)] * 20
+    docs = documents(rows, parts=6, extra=True)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    alike = [r.times for r in got if r.doc_id == 7000]
+    assert len(alike) == 150 and max(alike) - min(alike) <= 1
+    words = defaultdict(int)
+    for r in got:
+        words[r.source, r.target] += r.taken
+    for (_, target), taken in words.items():
+        assert abs(taken - target) <= max(80, 0.02 * target)
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    want = Counter()
+    for r in got:
+        want[r.doc_id] += r.times
+    assert Counter(r.doc_id for r in out.collect()) == +want
+    again = mixing.mix(documents(rows, parts=2)).collect()
+    assert Counter(map(str, again)) == Counter(str(r) for r in got)
+
+
 def test_empty_tables(documents):
     assert mixing.mix(documents([])).count() == 0
     assert mixing.mixed(documents([])).count() == 0
