@@ -8,7 +8,10 @@ toxic are kept. (Features that speak for clean are mostly common words; in a lon
 their sum would hide what is toxic.)
 
 Labels say toxic or not. Severity is graded from them: 0 is not toxic, and 1 to 3 are
-the thirds of the toxic sample by how many features they hold and how densely. The model is
+the thirds of the toxic sample by held-out odds: each half of the sample gives every
+word its log odds of being toxic, and a document's is the mean over its words by the
+half it is not in. So grades come from all words, not from the features of the model,
+and from none of the document's own label; and long texts do not grade higher. The model is
 
     P(grade > k) = sigmoid(w . x - theta_k),   theta_0 < theta_1 < theta_2
 
@@ -23,6 +26,7 @@ repeat a doc_id are scored one by one. An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,6 +39,7 @@ from edgelens.llm.decontaminate import words_of
 from edgelens.session import written
 
 SAMPLE = 16_384
+SAMPLE_TASKS = 32
 FEATURES = 2048
 FEATURE_BYTES = 64
 # Standard errors by which the log odds of a feature must differ.
@@ -49,9 +54,14 @@ SEED = 10
 HELD = 200_000
 
 
+def whole(word: bytes) -> bytes:
+    """The word; a digest stands for one of more than ``FEATURE_BYTES`` bytes."""
+    return word if len(word) <= FEATURE_BYTES else b"=" + hashlib.sha256(word).digest()
+
+
 def features_of(word: bytes) -> list[bytes]:
     """The word, and its beginnings marked by a star."""
-    return [word[:FEATURE_BYTES], *(word[:n] + b"*" for n in BEGINNINGS if len(word) > n)]
+    return [whole(word), *(word[:n] + b"*" for n in BEGINNINGS if len(word) > n)]
 
 
 class Vectors:
@@ -94,6 +104,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str)
     return rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), F.xxhash64("text")).limit(SAMPLE)
 
 
+def held_out_odds(sample: DataFrame) -> DataFrame:
+    """``sample`` (number, text, toxic) with ``odds``: the mean log odds of a text's words
+    by the half of the sample that it is not in; 0 without words."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            rows = [Counter(map(whole, words_of(t))) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            flat = [(n, int(label > 0), w, k) for n, label, row in zip(numbers, labels, rows, strict=True) for w, k in row.items()]
+            types = pa.int64(), pa.int32(), pa.binary(), pa.int64()
+            columns = zip(*flat) if flat else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], names=["number", "label", "word", "times"]
+            )
+
+    words = sample.select("number", "text", "toxic").mapInArrow(counted, "number bigint, label int, word binary, times bigint")
+    words = written(words.withColumn("half", F.pmod("number", F.lit(2))), "sample-words")
+    halves = sample.groupBy(F.pmod("number", F.lit(2)).alias("half")).agg(
+        F.count_if(F.col("toxic") > 0).alias("n_toxic"), F.count_if(F.col("toxic") <= 0).alias("n_clean")
+    )
+    by_word = words.groupBy("half", "word").agg(F.sum("label").alias("a"), F.count_if(F.col("label") == 0).alias("b"))
+    rate = [F.log((F.col(c) + 0.5) / (F.col(n) + 1)) for c, n in (("a", "n_toxic"), ("b", "n_clean"))]
+    odds = by_word.join(halves, "half").select((1 - F.col("half")).alias("half"), "word", (rate[0] - rate[1]).alias("odds"))
+    mean = F.sum(F.col("times") * F.coalesce("odds", F.lit(0.0))) / F.sum("times")
+    per_text = words.join(odds, ["half", "word"], "left").groupBy("number").agg(mean.alias("odds"))
+    return sample.join(per_text, "number", "left").withColumn("odds", F.coalesce("odds", F.lit(0.0)))
+
+
 def telling_features(sample: DataFrame) -> list[bytes]:
     """The kept features, most telling first."""
 
@@ -185,11 +223,10 @@ def fit(x: Sparse, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p[:width], thresholds(p[width:])
 
 
-def grades_of(rows: list[tuple[list[int], list[float]]], labels: np.ndarray) -> np.ndarray:
-    """0 for clean rows, thirds of the toxic ones by the sum of their feature values."""
-    mass = np.array([sum(v) for _, v in rows])
-    cuts = np.quantile(mass[labels > 0], np.arange(1, GRADES) / GRADES)
-    return np.where(labels > 0, 1 + np.searchsorted(cuts, mass, "left"), 0).astype(np.int64)
+def grades_of(odds: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """0 for clean rows, thirds of the toxic ones by their held-out odds."""
+    cuts = np.quantile(odds[labels > 0], np.arange(1, GRADES) / GRADES)
+    return np.where(labels > 0, 1 + np.searchsorted(cuts, odds, "left"), 0).astype(np.int64)
 
 
 class Model:
@@ -206,8 +243,11 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     bound_batches(docs.sparkSession)
-    sample = written(labelled_sample(docs, labels, doc_id, text).select("text", "toxic"), "sample")
-    names = telling_features(sample)
+    drawn = labelled_sample(docs, labels, doc_id, text).select("text", "toxic")
+    # The limit leaves one task; from here on all have their part. Equal texts share a number.
+    numbered = drawn.withColumn("number", F.xxhash64("text")).repartition(SAMPLE_TASKS, "number")
+    sample = written(numbered.select("number", "text", "toxic"), "sample")
+    names = telling_features(sample.select("text", "toxic"))
     if not names:
         return Model([], np.zeros(0), np.full(GRADES, np.inf))
     vectors = Vectors(names)
@@ -219,10 +259,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         rows = [vectors(t) for t in texts]
         return [pa.array([p for p, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float64()))]
 
-    seen = with_columns(sample, "text", kind, compute).select("toxic", "places", "values")
-    drawn = [(r["toxic"], list(r["places"]), list(r["values"])) for r in seen.orderBy("toxic", "places", "values").collect()]
-    rows, toxic = [(p, v) for _, p, v in drawn], np.array([t > 0 for t, _, _ in drawn], np.int64)
-    return Model(names, *fit(Sparse(rows, len(names)), grades_of(rows, toxic)))
+    graded = held_out_odds(sample).withColumn("odds", F.round("odds", 9))
+    seen = with_columns(graded, "text", kind, compute).select("toxic", "places", "values", "odds")
+    found = seen.orderBy("toxic", "places", "values", "odds").collect()
+    rows = [(list(r["places"]), list(r["values"])) for r in found]
+    toxic, odds = np.array([r["toxic"] > 0 for r in found], np.int64), np.array([r["odds"] for r in found])
+    return Model(names, *fit(Sparse(rows, len(names)), grades_of(odds, toxic)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -34,8 +34,34 @@ def test_held_out_documents(spark, documents, prose):
     assert sum(a == b for a, b in held) >= 0.98 * len(held) and any(b for _, b in held)
     assert all(0 <= r.severity <= 3 and r.toxic == (r.p_toxic >= 0.5) for r in got)
     hits = {i: sum(t.count(w) for w in RUDE) for i, t in rows}
-    severity = {n: np.mean([r.severity for r in got if hits[r.doc_id] == n]) for n in (0, 1, 9)}
-    assert severity[0] < 0.2 < severity[1] < severity[9]
+    words = {i: len(t.split()) for i, t in rows}
+    dense = {i: hits[i] / words[i] for i in hits if hits[i]}
+    low, high = np.quantile(list(dense.values()), [0.33, 0.67])
+    severity = {i: r.severity for r in got for i in [r.doc_id]}
+    mild = np.mean([severity[i] for i, d in dense.items() if d <= low])
+    strong = np.mean([severity[i] for i, d in dense.items() if d >= high])
+    assert np.mean([severity[i] for i in hits if not hits[i]]) < 0.2 < mild < strong
+
+
+def test_grades_are_held_out_and_do_not_follow_length(spark, prose):
+    rows = [(i, (prose(i, 40) + " rotter") if i % 2 else prose(i, 40), i % 2) for i in range(200)]
+    rows += [(200 + 2 * i, " ".join([prose(300 + i, 40) + " rotter"] * 5), 1) for i in range(20)]
+    rows += [(301 + 2 * i, prose(400 + i, 3) + " rotter", 1) for i in range(20)]
+    sample = spark.createDataFrame(rows, "number bigint, text string, toxic int")
+    odds = {r.number: r.odds for r in toxicity.held_out_odds(sample).collect()}
+    assert len(odds) == 240
+    assert np.mean([odds[i] for i in range(1, 200, 2)]) > np.mean([odds[i] for i in range(0, 200, 2)])
+    long, short = (np.mean([odds[s + 2 * i] for i in range(20)]) for s in (200, 301))
+    assert short > long
+    # The word of one half alone says nothing there, as its own label does not count.
+    alone = spark.createDataFrame([(0, "zap a", 1), (2, "zap a", 1), (1, "a", 0), (3, "a", 1)], "number bigint, text string, toxic int")
+    found = {r.number: r.odds for r in toxicity.held_out_odds(alone).collect()}
+    assert found[0] == found[2] == 0 and found[1] == found[3] > 0
+
+
+def test_long_words_that_begin_alike_are_different_features():
+    a, b = b"x" * 100 + b"a", b"x" * 100 + b"b"
+    assert toxicity.features_of(a)[0] != toxicity.features_of(b)[0] and len(toxicity.features_of(a)[0]) < 64
 
 
 def test_unseen_endings_and_long_texts(spark, documents, prose):
