@@ -5,17 +5,20 @@ word lengths, repeated and different words); the metadata view sees language, so
 and stated length. Each number is cut into ``BINS`` bins at quantiles of the sample, and
 each view is a ridge logistic regression over its bins.
 
-Training uses at most ``LABELLED`` labelled documents and ``UNLABELLED`` documents without
-label, those of lowest hash; of rows that repeat an unlabelled doc_id one is drawn. A third
-of the labelled ones is held out. In each of ``ROUNDS`` rounds
-both views are fitted, and each gives the other the labels it is most sure of: those
-of unlabelled documents that score beyond the point down to which, on held-out documents,
-at least ``SURE`` of any ``NEIGHBOURS`` in a row have that label. A view that is never
-so sure gives none.
-Pseudo-labels weigh ``PSEUDO_WEIGHT``. At the end the held-out third calibrates both
-scores and weighs them against each other, by one more logistic regression over the
-two. Every document is scored with both views; it is kept if P(good) is at least
-``KEEP``.
+Training uses at most ``LABELLED`` labelled documents, those of lowest hash, one row of
+each. A third of them is held out. In each of ``ROUNDS`` rounds each view gives the
+other the labels it is most sure of: those of unlabelled documents that score beyond the
+point down to which, on held-out documents, at least ``SURE`` of any ``NEIGHBOURS`` in a
+row have that label. A view that is never so sure gives none.
+
+All unlabelled documents of the corpus take part, where they are: what the views see of
+them is stored once, and each of the ``STEPS`` Newton steps of a round adds up, in their
+tasks, the slope and curvature of the pseudo-labelled ones. The driver gets these sums,
+whose size hangs on the bins alone. Pseudo-labels weigh ``PSEUDO_WEIGHT`` each, and at
+most that much of the labelled sample together, however many they are. At the end the
+held-out third calibrates both scores and weighs them against each other, by one more
+logistic regression over the two. Every document is scored with both views; it is kept
+if P(good) is at least ``KEEP``.
 
 Nulls in any metadata column are a category of their own, a null text counts as empty.
 Null labels and labels without document do not count; a document labelled twice is good
@@ -37,10 +40,10 @@ from edgelens.llm.common import bound_batches, broadcast_object, fresh
 from edgelens.session import written
 
 LABELLED = 12_000
-UNLABELLED = 6_000
 BINS = 12
 CATEGORIES = 64
 ROUNDS = 3
+STEPS = 3
 SURE = 0.96
 NEIGHBOURS = 50
 PSEUDO_WEIGHT = 0.5
@@ -86,19 +89,36 @@ def text_numbers(text: bytes | None) -> list[float]:
     ]
 
 
+def _with_constant(x: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(x)), x])
+
+
+def _sums(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of the log likelihood; column 0 of ``x`` is the constant."""
+    p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+    return x.T @ (y - p), (x * (p * (1 - p))[:, None]).T @ x
+
+
 class Logistic:
-    """Ridge logistic regression by Newton steps; column 0 is the free constant."""
+    """Ridge logistic regression; weight 0 is the free constant."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE):
-        x = np.column_stack([np.ones(len(x)), x])
-        keep = np.full(x.shape[1], ridge)
-        keep[0] = 1e-6
-        self.weights = np.zeros(x.shape[1])
+    def __init__(self, weights: np.ndarray, ridge: float = RIDGE):
+        self.weights = weights
+        self.keep = np.full(len(weights), ridge)
+        self.keep[0] = 1e-6
+
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> Logistic:
+        model = cls(np.zeros(x.shape[1] + 1), ridge)
         for _ in range(NEWTON):
-            p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
-            slope = x.T @ (weight * (y - p)) - keep * self.weights
-            curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(keep)
-            self.weights = self.weights + np.linalg.solve(curve, slope)
+            model = model.step(x, y)
+        return model
+
+    def step(self, x: np.ndarray, y: np.ndarray, slope: np.ndarray | float = 0.0, curve: np.ndarray | float = 0.0) -> Logistic:
+        """One Newton step on ``x`` and ``y`` and on sums that come from elsewhere."""
+        own_slope, own_curve = _sums(_with_constant(x), y, self.weights)
+        move = np.linalg.solve(own_curve + curve + np.diag(self.keep), own_slope + slope - self.keep * self.weights)
+        return Logistic(self.weights + move, self.keep[1])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.weights[0] + x @ self.weights[1:]
@@ -129,54 +149,74 @@ class MetadataView:
         return np.column_stack([one_hot, known, above])
 
 
-def sure_of(scores: np.ndarray, held_scores: np.ndarray, held_y: np.ndarray, label: int) -> np.ndarray:
-    """Places whose score lies beyond one down to which held-out labels surely agree."""
+def sure_limit(held_scores: np.ndarray, held_y: np.ndarray, label: int) -> float:
+    """Score beyond which (above for 1, below for 0) held-out labels surely agree."""
     sign = 1.0 if label else -1.0
     order = np.argsort(-sign * held_scores, kind="stable")
     right = np.concatenate([[0], np.cumsum(held_y[order] == label)])
     if len(order) < NEIGHBOURS:
-        return np.zeros(0, np.int64)
+        return sign * np.inf
     surely = (right[NEIGHBOURS:] - right[:-NEIGHBOURS]) >= SURE * NEIGHBOURS
     runs = len(surely) if surely.all() else int(np.argmin(surely))
-    if not runs:
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(sign * scores >= sign * held_scores[order[runs + NEIGHBOURS - 2]])
+    return float(held_scores[order[runs + NEIGHBOURS - 2]]) if runs else sign * np.inf
+
+
+class Lesson:
+    """What each view teaches the other in one step: sums over unlabelled documents."""
+
+    def __init__(self, text, metadata, teachers: list[Logistic], limits: list[tuple[float, float]], pupils: list[Logistic]):
+        self.text, self.metadata = text, metadata
+        self.teachers, self.limits, self.pupils = teachers, limits, pupils
+
+    def sums(self, numbers: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        """Per pupil the slope, the curvature and the number of its pseudo-labels."""
+        x = [self.text.columns(numbers), self.metadata.columns(places, lengths)]
+        out = []
+        for pupil, teacher in ((0, 1), (1, 0)):
+            scores, (below, above) = self.teachers[teacher].score(x[teacher]), self.limits[teacher]
+            bad = scores <= below
+            told = bad | (scores >= above)
+            own = _with_constant(x[pupil][told])
+            out += [*_sums(own, (~bad[told]).astype(float), self.pupils[pupil].weights), np.array([told.sum()], float)]
+        return out
 
 
 class Model:
     """Both views, and how their scores combine."""
 
-    def __init__(self, numbers, places, lengths, y):
-        """``y`` holds 1 good, 0 bad, -1 unlabelled; rows come in a fixed random order."""
-        seen = np.flatnonzero(y >= 0)
-        self.constant = None
-        if len(np.unique(y[seen])) < 2 or len(seen) < 6:
-            self.constant = float(np.mean(y[seen])) if len(seen) else 1.0
+    def __init__(self, numbers, places, lengths, y, pool=None):
+        """``y`` holds 1 good, 0 bad; rows come in a fixed random order. ``pool`` gives the
+        sums of a ``Lesson`` over the unlabelled documents."""
+        self.constant, self.given = None, []
+        if len(np.unique(y)) < 2 or len(y) < 6:
+            self.constant = float(np.mean(y)) if len(y) else 1.0
             return
-        held, taught, free = seen[::3], np.delete(seen, np.s_[::3]), np.flatnonzero(y < 0)
+        rows = np.arange(len(y))
+        held, taught = rows[::3], np.delete(rows, np.s_[::3])
         if len(np.unique(y[held])) < 2 or len(np.unique(y[taught])) < 2:
-            held = taught = seen
+            held = taught = rows
         self.text, self.metadata = TextView(numbers), MetadataView(lengths)
         x = [self.text.columns(numbers), self.metadata.columns(places, lengths)]
-        self.given: list[tuple[int, int]] = []
-        lessons = [(taught, y[taught].astype(float), np.ones(len(taught)))] * 2
-        for turn in range(ROUNDS + 1):
-            self.views = [Logistic(x[v][rows], t, w) for v, (rows, t, w) in enumerate(lessons)]
-            if turn == ROUNDS or not len(free):
+        y = y.astype(float)
+        self.views = [Logistic.fit(x[v][taught], y[taught]) for v in (0, 1)]
+        for _ in range(ROUNDS if pool else 0):
+            checked = [self.views[v].score(x[v][held]) for v in (0, 1)]
+            limits = [tuple(sure_limit(scores, y[held], label) for label in (0, 1)) for scores in checked]
+            pupils = self.views
+            for _ in range(STEPS):
+                sums = pool(Lesson(self.text, self.metadata, self.views, limits, pupils))
+                given = [int(sums[2][0]), int(sums[5][0])]
+                weights = [PSEUDO_WEIGHT * min(1.0, len(taught) / max(n, 1)) for n in given]
+                pupils = [
+                    pupils[v].step(x[v][taught], y[taught], weights[v] * sums[3 * v], weights[v] * sums[3 * v + 1])
+                    for v in (0, 1)
+                ]
+            self.views = pupils
+            self.given.append((given[1], given[0]))
+            if not any(given):
                 break
-            lessons = []
-            for pupil in (0, 1):
-                teacher = 1 - pupil
-                scores, checked = (self.views[teacher].score(x[teacher][r]) for r in (free, held))
-                told = [free[sure_of(scores, checked, y[held], label)] for label in (0, 1)]
-                told[1] = np.setdiff1d(told[1], told[0])
-                rows = np.concatenate([taught, *told])
-                targets = np.concatenate([y[taught], np.zeros(len(told[0])), np.ones(len(told[1]))]).astype(float)
-                weight = np.concatenate([np.ones(len(taught)), np.full(len(rows) - len(taught), PSEUDO_WEIGHT)])
-                lessons.append((rows, targets, weight))
-            self.given.append((len(lessons[1][0]) - len(taught), len(lessons[0][0]) - len(taught)))
         both = np.column_stack([view.score(x[v][held]) for v, view in enumerate(self.views)])
-        self.combined = Logistic(both, y[held].astype(float), np.ones(len(held)), ridge=1e-2)
+        self.combined = Logistic.fit(both, y[held], ridge=1e-2)
 
     def chance(self, numbers: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Combined P(good) of documents."""
@@ -201,34 +241,64 @@ def _numbers(texts: list[bytes | None]) -> np.ndarray:
     return np.array([text_numbers(t) for t in texts]).reshape(len(texts), N_TEXT)
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, metadata: tuple[str, str, str]) -> DataFrame:
-    """What both views see of the sampled documents, with y (-1: unlabelled)."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    drawn = F.xxhash64(F.lit(SEED), F.col("doc_id"))
-    picked = F.broadcast(known.orderBy(drawn, "doc_id").limit(LABELLED))
+SEEN = "h bigint, numbers array<double>, a int, b int, c double"
+
+
+def seen_by_views(docs: DataFrame, doc_id: str, text: str, metadata: tuple[str, str, str]) -> DataFrame:
+    """What both views see of every document: some hundred bytes each, whatever its text."""
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), *(c.alias(n) for c, n in zip(_views(docs, metadata, text), "tabc", strict=True))
+        F.col(doc_id).alias("doc_id"),
+        F.xxhash64(F.col(text)).alias("h"),
+        *(c.alias(n) for c, n in zip(_views(docs, metadata, text), "tabc", strict=True)),
     )
-    order = [F.xxhash64(F.lit(SEED), "doc_id"), F.xxhash64("t"), F.col("c")]
-    labelled = rows.join(picked, "doc_id").orderBy(*order).limit(LABELLED)
-    # The unlabelled ones are drawn by id from all that no label names; then texts are read.
-    ids = docs.select(F.col(doc_id).alias("doc_id")).where(F.col(doc_id).isNotNull()).distinct()
-    ids = ids.join(known, "doc_id", "left_anti").orderBy(drawn, "doc_id").limit(UNLABELLED)
-    one = F.min(F.struct(F.xxhash64("t").alias("h"), "c", "a", "b", "t")).alias("one")
-    free = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(one)
-    free = free.select("doc_id", *(F.col(f"one.{n}").alias(n) for n in "tabc"))
-    y = F.when(F.col("quality") > 0, 1).otherwise(0)
-    both = labelled.withColumn("y", y).drop("quality").unionByName(free.withColumn("y", F.lit(-1)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = _numbers(batch.column(1).cast(pa.binary()).to_pylist())
-            arrays = [batch.column(0), pa.array(numbers.tolist(), pa.list_(pa.float64())), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "numbers", "a", "b", "c", "y"])
+            numbers = _numbers(batch.column(2).cast(pa.binary()).to_pylist())
+            arrays = [*batch.columns[:2], pa.array(numbers.tolist(), pa.list_(pa.float64())), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "numbers", "a", "b", "c"])
+
+    return rows.mapInArrow(read, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, {SEEN}")
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return both.mapInArrow(read, f"doc_id {kind}, numbers array<double>, a int, b int, c double, y int")
+
+def _arrays(numbers, a, b, c) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (
+        np.array(numbers, float).reshape(len(numbers), N_TEXT),
+        np.column_stack([a, b]).astype(np.int64).reshape(len(numbers), 2),
+        np.array(c, float),
+    )
+
+
+def _pool(free: DataFrame):
+    """Sums of a lesson over stored rows, added up by Spark."""
+    spark = free.sparkSession
+
+    def sums(lesson: Lesson) -> list[np.ndarray]:
+        sent, sizes = broadcast_object(spark, lesson), [len(p.weights) for p in lesson.pupils]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if len(batch):
+                    found = sent().sums(*_arrays(*(batch.column(i).to_pylist() for i in range(4))))
+                    flat = np.concatenate([f.ravel() for f in found])
+                    total = flat if total is None else total + flat
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "value"])
+
+        added = free.select("numbers", "a", "b", "c").mapInArrow(run, "at bigint, value double")
+        rows = added.groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+        flat = np.zeros(sum(n + n * n + 1 for n in sizes))
+        flat[rows.column("at").to_numpy()] = rows.column("value").to_numpy()
+        out, at = [], 0
+        for n in sizes:
+            for shape in ((n,), (n, n), (1,)):
+                size = int(np.prod(shape))
+                out.append(flat[at : at + size].reshape(shape))
+                at += size
+        return out
+
+    return sums
 
 
 def train(
@@ -237,17 +307,22 @@ def train(
     doc_id: str = "doc_id",
     text: str = "text",
     metadata: tuple[str, str, str] = METADATA,
+    seen: DataFrame | None = None,
 ) -> Model:
+    """A model of ``labels`` and of all other documents; ``seen`` is what the views see, if stored."""
     bound_batches(docs.sparkSession)
-    drawn = written(sample(docs, labels, doc_id, text, metadata), "sample")
-    # At most LABELLED + UNLABELLED rows of N_TEXT + 4 numbers.
-    rows = drawn.orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "y", "numbers", "c").collect()
-    return Model(
-        np.array([r["numbers"] for r in rows]).reshape(len(rows), N_TEXT),
-        np.array([(r["a"], r["b"]) for r in rows], np.int64).reshape(len(rows), 2),
-        np.array([r["c"] for r in rows], float),
-        np.array([r["y"] for r in rows], np.int64),
-    )
+    if seen is None:
+        seen = written(seen_by_views(docs, doc_id, text, metadata), "seen")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("y"))
+    picked = F.broadcast(known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(LABELLED))
+    one = F.min(F.struct("h", "c", "a", "b", "numbers")).alias("one")
+    sample = seen.join(picked, "doc_id").groupBy("doc_id", "y").agg(one).select("doc_id", "y", "one.*")
+    # At most LABELLED rows of N_TEXT + 4 numbers.
+    rows = sample.orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id").collect()
+    taught = _arrays(*([r[c] for r in rows] for c in ("numbers", "a", "b", "c")))
+    free = written(seen.join(known, "doc_id", "left_anti"), "unlabelled")
+    return Model(*taught, np.array([r["y"] for r in rows], np.int64), None if free.isEmpty() else _pool(free))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", metadata: tuple[str, str, str] = METADATA) -> DataFrame:
@@ -270,10 +345,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", metadata: tuple[str
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, P(good) and the decision for every row."""
-    model = train(docs, labels)
-    rows = docs.select("doc_id", "text", *METADATA)
-    return score(rows, model).select("doc_id", "p_good", "good")
+    """doc_id, P(good) and the decision for every row; texts are read once."""
+    bound_batches(docs.sparkSession)
+    seen = written(seen_by_views(docs, "doc_id", "text", METADATA), "seen")
+    sent = broadcast_object(docs.sparkSession, train(docs, labels, seen=seen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = sent().chance(*_arrays(*(batch.column(i).to_pylist() for i in range(1, 5))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "p_good"])
+
+    kind = seen.schema["doc_id"].dataType.simpleString()
+    scored = seen.select("doc_id", "numbers", "a", "b", "c").mapInArrow(run, f"doc_id {kind}, p_good double")
+    return scored.withColumn("good", F.col("p_good") >= KEEP)
 
 
 def good_only(docs: DataFrame, labels: DataFrame) -> DataFrame:

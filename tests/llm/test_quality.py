@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from edgelens.llm import quality
 
@@ -44,11 +43,12 @@ def test_views_teach_each_other(prose):
     places = np.array([(1, {"web": 2, "news": 3, "dump": 4}[r[3]]) for r in rows])
     lengths = np.array([float(r[4]) for r in rows])
     truth = np.array([i % 5 != 0 for i in range(900)], int)
-    y = np.where(np.arange(900) % 3 == 0, -1, truth)
-    model = quality.Model(numbers, places, lengths, y)
+    free = np.arange(900) % 3 == 0
+    pool = lambda lesson: lesson.sums(numbers[free], places[free], lengths[free])
+    model = quality.Model(numbers[~free], places[~free], lengths[~free], truth[~free], pool)
     assert any(a for a, _ in model.given) and any(b for _, b in model.given)
     assert np.mean((model.chance(numbers, places, lengths) >= 0.5) == truth) > 0.95
-    alone = quality.Logistic(model.metadata.columns(places, lengths)[y >= 0], truth[y >= 0].astype(float), np.ones((y >= 0).sum()))
+    alone = quality.Logistic.fit(model.metadata.columns(places, lengths)[~free], truth[~free].astype(float))
     assert np.mean((alone.score(model.metadata.columns(places, lengths)) >= 0) == truth) < 0.95
 
 
@@ -65,11 +65,10 @@ def test_sure_labels_stop_where_others_mix_in():
     held = np.arange(200.0)
     y = np.where(held >= 100, 1, 0)
     y[[120, 121, 122]] = 0
-    scores = np.array([50.0, 130.0, 190.0])
-    assert quality.sure_of(scores, held, y, 1).tolist() == [1, 2]
-    assert quality.sure_of(scores, held, y, 0).tolist() == [0]
-    assert len(quality.sure_of(scores, held, 1 - y[::-1], 1)) <= 2
-    assert len(quality.sure_of(scores, held[:10], y[:10], 1)) == 0
+    assert 50 < quality.sure_limit(held, y, 1) <= 130
+    assert 50 <= quality.sure_limit(held, y, 0) < 130
+    assert quality.sure_limit(held[:10], y[:10], 1) == np.inf and quality.sure_limit(held[:10], y[:10], 0) == -np.inf
+    assert quality.sure_limit(held, np.arange(200) % 2, 1) == np.inf
 
 
 def test_good_rows_stay_whole(spark, documents, prose):
@@ -79,18 +78,41 @@ def test_good_rows_stay_whole(spark, documents, prose):
     assert kept.columns == docs.columns and 120 < kept.count() < 200
 
 
-@pytest.mark.parametrize("repeated", [False, True])
-def test_the_pool_holds_as_many_unlabelled_documents_as_it_may(spark, documents, prose, monkeypatch, repeated):
-    monkeypatch.setattr(quality, "UNLABELLED", 30)
-    rows = [(i, prose(i, 5)) for i in range(400)]
-    free = set(range(0, 400, 8))
-    docs = documents(rows)
-    if repeated:
-        lowest = docs.where("doc_id % 8 = 0").orderBy(F.xxhash64(F.lit(quality.SEED), "doc_id")).first().doc_id
-        docs = documents(rows + [(lowest, prose(1000 + i, 5)) for i in range(60)])
-    known = table(spark, [(i, i % 2, 0) for i, _ in rows if i not in free])
-    drawn = quality.sample(docs, known, "doc_id", "text", quality.METADATA).where("y < 0").collect()
-    assert len(drawn) == 30 and len({r.doc_id for r in drawn} & free) == 30
+def test_sums_over_tasks_are_those_of_one_table(spark, documents, prose):
+    rows, labels = corpus(prose, 300)
+    docs = documents(rows, parts=5)
+    seen = quality.seen_by_views(docs, "doc_id", "text", quality.METADATA)
+    taken = quality._arrays(*([r[c] for r in seen.collect()] for c in ("numbers", "a", "b", "c")))
+    text, metadata = quality.TextView(taken[0]), quality.MetadataView(taken[2])
+    x = [text.columns(taken[0]), metadata.columns(*taken[1:])]
+    views = [quality.Logistic.fit(v, (np.arange(len(v)) % 2).astype(float)) for v in x]
+    lesson = quality.Lesson(text, metadata, views, [(-0.1, 0.1)] * 2, views)
+    for got, want in zip(quality._pool(seen)(lesson), lesson.sums(*taken)):
+        assert got.shape == want.shape and np.allclose(got, want)
+
+
+def test_all_unlabelled_documents_take_part(spark, documents, prose, monkeypatch):
+    """Not a sample of them; and one labelled id that fills most rows is one document."""
+    met = []
+    real = quality._pool
+    monkeypatch.setattr(quality, "_pool", lambda free: met.append(free.count()) or real(free))
+    rows, labels = corpus(prose, 400)
+    known = {i for i, _, _ in labels}
+    first = min(known)
+    quality.classify(documents(rows + [(first, prose(i, 9)) for i in range(900)] + [(None, "x")]), table(spark, labels)).count()
+    assert met == [len(rows) - len(known) + 1]
+
+
+def test_many_pseudo_labels_do_not_drown_the_sample():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(100, 2))
+    y = (x[:, 0] > 0).astype(float)
+    once = quality.Logistic.fit(x, y)
+    slope, curve = quality._sums(quality._with_constant(x), y, once.weights)
+    weight = lambda n: quality.PSEUDO_WEIGHT * min(1.0, 100 / n)
+    few = once.step(x, y, weight(100) * slope, weight(100) * curve)
+    many = once.step(x, y, weight(10**6) * slope * 10**4, weight(10**6) * curve * 10**4)
+    assert np.allclose(few.weights, many.weights)
 
 
 def test_nulls_repeats_and_empty_tables(spark, documents, prose):
