@@ -6,16 +6,27 @@ missing. A rule fits its host and all subdomains if the path starts with the rul
 the longest that fits decides.
 
 For the other pages the tree decides. Pages that a rule fits are its labelled pages.
-Level by level, the segments below one node of a host's tree are merged into a wildcard
-where the labels do not tell them from their siblings (two proportions, ``Z`` standard
-errors apart, the siblings smoothed as below), however many pages they hold. A segment
-without labelled pages is not told apart, so segments that vary are a wildcard.
-
-A template is blocked if its purity is below ``PURE``. Purity is the share of allowed
-pages among its labelled ones, smoothed by ``PRIOR`` pages of the purity of all labelled
-pages. Beyond ``DEPTH`` only the nodes that labels can still divide go on, those with
+Level by level, the segments below one node of a tree are merged into a wildcard where
+the labels do not tell them from their siblings (two proportions, ``Z`` standard errors
+apart, the siblings smoothed as below) or where fewer than ``LEAST`` of their pages are
+labelled. A segment without labelled pages is not told apart, so segments that vary are a
+wildcard. The segments that are told apart are merged with each other where they are
+alike: those of one twentieth of purity, and neighbouring twentieths whose labels do not
+differ by ``Z`` standard errors. A merged branch is called by its first segment and a
+tilde.
+
+There is a tree per host, one per suffix (the last label of a host) and one of all hosts.
+A page's purity is the share of allowed pages among the labelled ones of its template,
+smoothed by ``PRIOR`` pages: in the tree of all hosts of the purity of all labelled pages,
+in a suffix's tree of the page's purity in the tree of all, in a host's tree of that in
+its suffix's. So a host without labels is judged by what its paths mean elsewhere, and
+own labels overrule that as they grow. A page is blocked if its purity is below ``PURE``.
+``template`` is that of the narrowest tree with labelled pages of it, ``scope`` its kind.
+
+Beyond ``DEPTH`` levels only the nodes that labels can still divide go on, those with
 labelled pages that are mixed with others (a level where no such node branches is
-passed over); the segments that are left are one wildcard tail.
+passed over); the segments that are left are one wildcard tail. Nothing that labels tell
+apart is lost by it, only the number of wildcards in a template.
 
 Everything works on distinct (host, path) pairs with counts, so a busy host or page is
 combined before it is shuffled. Empty table: no rows.
@@ -25,7 +36,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from edgelens.llm.common import ascii_lower
 from edgelens.session import written
@@ -41,7 +52,9 @@ RULES = [
 Z = 1.96
 PRIOR = 10.0
 PURE = 0.5
+LEAST = 5
 DEPTH = 8
+ALIKE = "~"
 WILDCARD = "*"
 
 
@@ -78,6 +91,28 @@ def _told_apart(good: Column, labelled: Column, all_good: Column, all_labelled:
     return F.coalesce(apart, F.lit(False))
 
 
+def _merged(kept: DataFrame, base: float) -> DataFrame:
+    """host, template, segment of branches, and the ``literal`` that alike ones share.
+
+    A node has at most 21 twentieths, however many branches it has.
+    """
+    node = ["host", "template"]
+    kept = kept.withColumn("twentieth", F.round(20 * purity(F.col("labelled"), F.col("good"), base)).cast("int"))
+    parts = kept.groupBy(*node, "twentieth").agg(*(F.sum(c).alias(c) for c in ("labelled", "good")))
+    order = Window.partitionBy(*node).orderBy("twentieth")
+    good, labelled = F.col("good"), F.col("labelled")
+    before_good, before = F.lag("good").over(order), F.lag("labelled").over(order)
+    pooled = (good + before_good) / (labelled + before)
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / labelled + 1 / before))
+    differs = F.abs(good / labelled - before_good / before) > Z * spread
+    parts = parts.withColumn("differs", F.coalesce(differs, F.lit(True)).cast("int"))
+    parts = parts.select(*node, "twentieth", F.sum("differs").over(order).alias("branch"))
+    placed = kept.join(parts, [*node, "twentieth"])
+    names = placed.groupBy(*node, "branch").agg(F.min("segment").alias("first"), F.count(F.lit(1)).alias("members"))
+    name = F.concat("first", F.when(F.col("members") > 1, ALIKE).otherwise(""))
+    return placed.join(names, [*node, "branch"]).select(*node, "segment", name.alias("literal"))
+
+
 def _divided(state: DataFrame, level: int, columns: list[str], base: float) -> DataFrame:
     """``state`` with the segments of ``level`` added to the templates."""
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
@@ -86,9 +121,10 @@ def _divided(state: DataFrame, level: int, columns: list[str], base: float) -> D
     branches = written(branches, "branches")
     nodes = branches.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "good")))
     counts = [F.col(c) for c in ("good", "labelled", "all_good", "all_labelled")]
-    kept = branches.join(nodes, ["host", "template"]).where(_told_apart(*counts, base))
-    kept = kept.select("host", "template", "segment").withColumn("literal", F.lit(True))
-    step = F.when(F.col("literal"), F.col("segment")).when(F.col("segment").isNotNull(), F.lit(WILDCARD))
+    apart = _told_apart(*counts, base) & (F.col("labelled") >= LEAST)
+    kept = written(branches.join(nodes, ["host", "template"]).where(apart), "apart")
+    kept = _merged(kept, base)
+    step = F.when(F.col("literal").isNotNull(), F.col("literal")).when(F.col("segment").isNotNull(), F.lit(WILDCARD))
     state = state.join(kept, ["host", "template", "segment"], "left").select(
         *columns, "segments", F.concat_ws("/", F.col("template"), step).alias("template")
     )
@@ -137,14 +173,28 @@ def templates(paths: DataFrame, base: float) -> DataFrame:
 
 
 def judged(paths: DataFrame) -> DataFrame:
-    """host, path, template and the purity of the template."""
+    """host, path, and the template, scope and purity by which a page is judged."""
     paths = written(paths, "paths")
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("labelled", "good")]
     base = float(paths.agg(*sums).select(purity(F.col("labelled"), F.col("good"), 1.0)).first()[0])
-    known = written(templates(paths, base), "templates")
-    leaves = known.groupBy("host", "template").agg(*sums)
-    leaves = leaves.select("host", "template", purity(F.col("labelled"), F.col("good"), base).alias("purity"))
-    return known.join(leaves, ["host", "template"]).select("host", "path", "template", "purity")
+    scopes = {"all": F.lit(""), "suffix": F.substring_index("host", ".", -1), "host": F.col("host")}
+    pages = paths.select("host", "path", F.lit(base).alias("purity"), F.lit(None).cast("string").alias("scope"), F.lit(None).cast("string").alias("template"))
+    for scope, key in scopes.items():
+        grouped = paths.groupBy(key.alias("host"), "path").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "good")))
+        known = written(templates(written(grouped, "grouped"), base), "templates")
+        leaves = known.groupBy("host", "template").agg(*sums)
+        found = known.select("host", "path", "template").join(leaves, ["host", "template"])
+        found = found.select(F.col("host").alias("key"), "path", F.col("template").alias("own"), "labelled", "good")
+        here = (F.col("labelled") > 0) | F.col("scope").isNull()
+        pages = pages.withColumn("key", key).join(found, ["key", "path"]).select(
+            "host",
+            "path",
+            ((F.col("good") + PRIOR * F.col("purity")) / (F.col("labelled") + PRIOR)).alias("purity"),
+            F.when(here, F.lit(scope)).otherwise(F.col("scope")).alias("scope"),
+            F.when(here, F.col("own")).otherwise(F.col("template")).alias("template"),
+        )
+        pages = written(pages, "judged")
+    return pages
 
 
 def verdicts(
@@ -153,7 +203,7 @@ def verdicts(
     page_id: str = "page_id",
     url: str = "url",
 ) -> DataFrame:
-    """page_id, host, path, rule, verdict, template and purity of every page."""
+    """page_id, host, path, rule, verdict, template, scope and purity of every page."""
     parsed = pages.select(
         F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
     )
@@ -167,5 +217,5 @@ def verdicts(
     found = judged(paths)
     by_tree = F.when(F.col("purity") >= PURE, F.lit("allow")).otherwise(F.lit("block"))
     return parsed.join(found, ["host", "path"]).select(
-        "page_id", "host", "path", "rule", F.coalesce("listed", by_tree).alias("verdict"), "template", "purity"
+        "page_id", "host", "path", "rule", F.coalesce("listed", by_tree).alias("verdict"), "template", "scope", "purity"
     )
