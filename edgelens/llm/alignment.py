@@ -34,13 +34,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from edgelens.llm.common import bound_batches
-from edgelens.llm.token_counts import special_strings
+from edgelens.llm.common import bound_batches, packed, unpacked
+from edgelens.llm.token_counts import PART, special_strings
 from edgelens.session import written
 
 # Radix of a pairing: B's id modulo this.
@@ -58,9 +57,7 @@ KNOWN = 400_000
 _BLOCK = 4096
 
 
-# A blank or line break behind a printing ASCII or Latin character: byte-level splitters
-# always begin a pre-token there, so a text is encoded as its parts between such places.
-_PART = re.compile(r"(?<=[!-~\u00a1-\u024f])(?=[ \n])")
+# Parts that may stand behind one another.
 _JOINS = re.compile(r"(?s)[ \n].*[!-~\u00a1-\u024f]")
 # Characters of new parts that are encoded in one go.
 _TOGETHER = 1 << 16
@@ -157,7 +154,7 @@ class Sides:
     def encode_a(self, texts: list[str]) -> list[np.ndarray | None]:
         if len(self.parts) > KNOWN:
             self.parts = _Parts()
-        split = map(_PART.split, texts)
+        split = map(PART.split, texts)
         numbers = [np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts)) for parts in split]
         if self.parts.new:
             self.parts.enter(list(self._encoded(self.parts.new)))
@@ -234,26 +231,12 @@ def _side_major(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((b % RADIX) << 56) | ((b // RADIX) << 32) | a
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(a) for a in arrays], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
-
-
-def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    out, at = [], 8 * len(types)
-    for size, kind in zip(np.frombuffer(raw, "<i8", len(types)), types):
-        out.append(np.frombuffer(raw, kind, int(size), at))
-        at += out[-1].nbytes
-    return out
-
-
 def _packed_counts(keys: np.ndarray, *counts: np.ndarray) -> bytes:
-    return _pack(np.diff(keys, prepend=0).astype("<i8"), *(c.astype("<i8") for c in counts))
+    return packed(np.diff(keys, prepend=0).astype("<i8"), *(c.astype("<i8") for c in counts))
 
 
 def _unpacked_counts(blob: bytes, columns: int = 1) -> list[np.ndarray]:
-    steps, *counts = _unpack(blob, *["<i8"] * (columns + 1))
+    steps, *counts = unpacked(blob, *["<i8"] * (columns + 1))
     return [np.cumsum(steps), *counts]
 
 
@@ -347,7 +330,7 @@ class _Chunk:
             starts = _starts(keys[part])
             sizes = np.diff(starts, append=part.stop - part.start)
             steps = np.diff(keys[part][starts], prepend=0)
-            body = _pack(steps.astype("<i8"), sizes.astype("<i4"), texts[part].astype("<u2"), times[part].astype("<i4"))
+            body = packed(steps.astype("<i8"), sizes.astype("<i4"), texts[part].astype("<u2"), times[part].astype("<i4"))
             runs.append((radix, int(part.stop - part.start), body))
         if runs:
             yield _extra_rows(self.run, id_type, runs, 8)
@@ -504,14 +487,14 @@ def _shares(runs: DataFrame, counted: DataFrame, deals: int) -> DataFrame:
                 if counts is not None:  # stands before the runs of its radix
                     keys, sums, highest = _unpacked_counts(counts, 2)
                     continue
-                steps, sizes, texts, times = _unpack(body, "<i8", "<i4", "<u2", "<i4")
+                steps, sizes, texts, times = unpacked(body, "<i8", "<i4", "<u2", "<i4")
                 at = np.repeat(np.searchsorted(keys, np.cumsum(steps)), sizes)
                 share = np.zeros((2, CHUNK_TEXTS), np.int64)
                 np.add.at(share[0], texts, times * (sums[at] == highest[at]))
                 np.add.at(share[1], texts, times * sums[at])
                 there = np.flatnonzero(share[1])
                 met_runs.append(run)
-                shares.append(_pack(there.astype("<u2"), share[0][there], share[1][there]))
+                shares.append(packed(there.astype("<u2"), share[0][there], share[1][there]))
             columns = [pa.array(met_runs, pa.int64()), pa.array(shares, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["run", "shares"])
 
@@ -529,7 +512,7 @@ def _shares(runs: DataFrame, counted: DataFrame, deals: int) -> DataFrame:
                     if run is not None:
                         yield rows()
                     run, total = r, np.zeros((2, CHUNK_TEXTS), np.int64)
-                at, best, sums = _unpack(blob, "<u2", "<i8", "<i8")
+                at, best, sums = unpacked(blob, "<u2", "<i8", "<i8")
                 total[0][at] += best
                 total[1][at] += sums
         if run is not None:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -81,3 +83,19 @@ def with_columns(
             yield pa.RecordBatch.from_arrays([*batch.columns, *compute(texts)], names=names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays side by side, compressed with zstd."""
+    head = np.array([len(a) for a in arrays], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
+
+
+def unpacked(blob: bytes, *types: str) -> list[np.ndarray]:
+    """The arrays of ``packed``, which were of these types."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    out, at = [], 8 * len(types)
+    for size, kind in zip(np.frombuffer(raw, "<i8", len(types)), types, strict=True):
+        out.append(np.frombuffer(raw, kind, int(size), at))
+        at += out[-1].nbytes
+    return out

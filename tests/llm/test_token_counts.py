@@ -31,24 +31,34 @@ def test_counts_are_the_librarys(documents, prose):
     assert any(n > 512 for n in want)
 
 
-def test_rare_pieces_meet_their_counts_in_the_join(documents, prose, monkeypatch):
-    monkeypatch.setattr(token_counts, "HEAD", 5)
+def test_many_small_chunks(documents, prose, monkeypatch):
+    monkeypatch.setattr(token_counts, "CHUNK_PARTS", 40)
     texts = [prose(i % 7, 50) for i in range(30)] + TEXTS
     tokenizer = Tokenizer.from_file(PATH)
-    got = token_counts.token_counts(documents(list(enumerate(texts))), PATH).collect()
+    got = token_counts.token_counts(documents(list(enumerate(texts)), parts=4), PATH).collect()
     assert {r.doc_id: r.n_tokens for r in got} == {
         i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)
     }
 
 
+def test_parts_split_like_the_whole_text():
+    with open(PATH, encoding="utf-8") as file:
+        split = token_counts.Splitter(file.read())
+    marks = [" a", "a ", " ", "  ", "\n", "\n ", " \n", "'s", " 's", "1 2", "!? "]
+    for c in [*range(1, 0x2100), 0x2581, 0x3000, 0xFEFF, 0xAC00, 0x1F600]:
+        for m in marks[c % 4 :: 4]:
+            text = f" x{chr(c)}{m}{chr(c)} {chr(c)}\n{chr(c)}y{m}"
+            assert [p for part in token_counts.PART.split(text) for p in split(part)] == split(text), hex(c)
+
+
 def test_every_character_splits_as_in_the_library():
     tokenizer = Tokenizer.from_file(PATH)
     with open(PATH, encoding="utf-8") as file:
-        parts = token_counts.pre_tokens(file.read())
+        split = token_counts.Splitter(file.read())
     for code in [*range(0xD800), *range(0xE000, 0x3000 + 0xE000), *range(0x1F000, 0x20000)]:
         text = f"a{chr(code)}1 {chr(code)}!"
         want = [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        assert parts(text)[0] == want, hex(code)
+        assert split(text) == want, hex(code)
 
 
 def test_repeats_nulls_and_empty_tables(documents):
