@@ -332,7 +332,12 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The counts of every row with the digest of its remaining bytes."""
+    """The counts of every row with the digest of its remaining bytes, and whether it lost any."""
     return without_repeats(docs).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("has_repeats"),
     )

@@ -27,6 +27,7 @@ def same(documents, rows):
     want = Counter((i, *r) for (i, _), r in zip(rows, brute([t for _, t in rows])))
     got = repeats.report(documents(rows, extra=True)).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert all(r.has_repeats == (r.n_removed > 0) for r in got)
     return sum(k[2] * n for k, n in want.items())
 
 
