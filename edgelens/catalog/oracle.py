@@ -620,16 +620,13 @@ ORACLE |= {
             (2, (SELECT now FROM lim))) AS p(i, run_at)),
         seen AS (SELECT ingest_seq, run_at, bucket, coalesce(country, 'Unknown') AS country FROM pulls
                  JOIN flat ON bucket < run_at OR (ingest_seq = 2)),
-        single AS (SELECT event_datetime, ray_name FROM fe WHERE ray_name <> ''
-                   UNION ALL SELECT * FROM (SELECT event_datetime, ray_name FROM fe WHERE ray_name = ''
-                     ORDER BY event_datetime >= '2024-01-21T00:00:00Z', event_datetime >= '2024-01-11T00:00:00Z', event_id LIMIT 1)),
         heads AS (
           SELECT ingest_seq, run_at, 'summary' AS model_name, count(*) AS headline FROM seen GROUP BY ALL
           UNION ALL SELECT ingest_seq, run_at, 'geo_analysis', count(DISTINCT country) FROM seen GROUP BY ALL
           UNION ALL SELECT ingest_seq, run_at, 'kmeans_traffic', count(*) FROM seen GROUP BY ALL
           UNION ALL SELECT ingest_seq, run_at, 'isolation_forest', count(DISTINCT bucket) FROM seen
             WHERE strptime(bucket, '%Y-%m-%dT%H:%M:%SZ') >= strptime(run_at, '%Y-%m-%dT%H:%M:%SZ') - INTERVAL 7 DAY GROUP BY ALL
-          UNION ALL SELECT ingest_seq, run_at, 'firewall_analysis', count(*) FROM pulls JOIN single
+          UNION ALL SELECT ingest_seq, run_at, 'firewall_analysis', count(*) FROM pulls JOIN fe
             ON (event_datetime < run_at OR ingest_seq = 2)
               AND strptime(event_datetime, '%Y-%m-%dT%H:%M:%SZ') >= strptime(run_at, '%Y-%m-%dT%H:%M:%SZ') - INTERVAL 7 DAY
             GROUP BY ALL)

@@ -961,12 +961,14 @@ def stream_dedupe_recent(spark, sf):
 
 @query
 def stream_retrain(spark, sf):
-    """Three landed pulls; each one is loaded and all models are trained again on it."""
+    """Three landed pulls; each one is loaded and all models are trained again on it.
+    Events with an empty id come without, so that all of them count."""
     path = scratch_path(spark, "retrain")
     store = Store(spark, f"{path}/store")
     hourly = written(M.hourly_payload(spark, sf), "responses")
     now = M.as_of(spark, sf)
-    fe = written(M.firewall_events(spark, sf), "events")
+    fe = M.firewall_events(spark, sf)
+    fe = written(fe.withColumn("ray_name", F.nullif("ray_name", F.lit(""))), "events")
     starts = ["2024-01-01T00:00:00Z", "2024-01-11T00:00:00Z", "2024-01-21T00:00:00Z", now.replace(" ", "T")[:19] + "Z"]
     for pull, (start, end) in enumerate(zip(starts, starts[1:])):
         last = pull == len(starts) - 2
