@@ -4,12 +4,10 @@ A byte-level BPE never merges across pre-tokens, so a text has as many tokens as
 pre-tokens have together. Pieces are counted once per distinct pre-token of the
 corpus, and the counts are joined to the pre-token frequencies of each document.
 
-Texts are read and split once. A task stores them in chunks: the distinct pre-tokens of
-the chunk, and for each document which of them it holds how often (by way of the parts
-between blanks, which repeat and are split into pre-tokens once a chunk). The distinct
-pre-tokens of all chunks are counted by the tokenizer, each once; the counts come back
-to the chunks by a join on the pre-token, with one row per chunk for even the most
-frequent, and are summed there. Nothing is broadcast but the tokenizer, nothing capped.
+The frequent pre-tokens (at most ``HEAD`` of at most ``HEAD_BYTES`` bytes, which
+bounds their size) are joined by broadcast while the document is read. The others
+leave the task as (row, pre-token, frequency) and meet their counts in a shuffled
+join. Both ways are exact; nothing is capped.
 
 Null text counts as empty: no bytes, no tokens. Rows that repeat a doc_id are
 separate documents. An empty table gives no rows.
@@ -19,25 +17,23 @@ from __future__ import annotations
 
 import json
 import os
-import re
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from edgelens.llm.common import bound_batches, byte_count, packed, unpacked
+from edgelens.llm.common import bound_batches, byte_count
 from edgelens.session import written
 
-# Documents, parts and bytes of a chunk.
-CHUNK_TEXTS, CHUNK_PARTS, CHUNK_BYTES = 1 << 15, 1 << 18, 1 << 25
-# A blank or line break behind a printing ASCII or Latin character: byte-level splitters
-# always begin a pre-token there, so a text is split as its parts between such places.
-PART = re.compile(r"(?<=[!-~\u00a1-\u024f])(?=[ \n])")
+HEAD = 1 << 18
+HEAD_BYTES = 64
+# Distinct pre-tokens a task holds before it passes their counts on.
+HELD = 100_000
 # Fixed value: the split rule of byte-level BPE files.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -55,123 +51,84 @@ def special_strings(definition: str) -> list[str]:
     return [token["content"] for token in spec["added_tokens"]]
 
 
-class Splitter:
-    """A function from a text without special strings to its pre-tokens.
+def pre_tokens(definition: str):
+    """A function from a text to its pre-tokens and the number of special tokens.
 
     Texts of Latin, Greek and Cyrillic letters and common punctuation are split by
     the pattern here, which is several times faster. For other characters the
     tables of the two pattern libraries differ, so the tokenizer's own splitter does it.
-    ``special`` cuts a text at the special strings.
     """
+    specials, splitter = special_strings(definition), ByteLevel(add_prefix_space=False, use_regex=True)
+    split, other = regex.compile(SPLIT), regex.compile(r"[^\x00-\u052F\u2000-\u206F]")
+    longest_first = sorted(specials, key=len, reverse=True)
+    cut = regex.compile("|".join(map(regex.escape, longest_first)) or r"(?!)")
 
-    def __init__(self, definition: str):
-        self.own = ByteLevel(add_prefix_space=False, use_regex=True)
-        self.pattern, self.other = regex.compile(SPLIT), regex.compile(r"[^\x00-\u052F\u2000-\u206F]")
-        longest_first = sorted(special_strings(definition), key=len, reverse=True)
-        self.special = re.compile("|".join(map(re.escape, longest_first)) or r"(?!)")
+    def plain(text: str) -> list[str]:
+        if text.isascii() or other.search(text) is None:
+            return split.findall(text)
+        return [text[start:end] for _, (start, end) in splitter.pre_tokenize_str(text)]
 
-    def __call__(self, text: str) -> list[str]:
-        if text.isascii() or self.other.search(text) is None:
-            return self.pattern.findall(text)
-        return [text[start:end] for _, (start, end) in self.own.pre_tokenize_str(text)]
+    def parts(text: str) -> tuple[list[str], int]:
+        between = cut.split(text)
+        if len(between) == 1:
+            return plain(text), 0
+        return [p for part in between for p in plain(part)], len(between) - 1
 
+    return parts
 
-class _Numbers(dict):
-    """Numbers in the order in which keys turn up."""
 
-    def __missing__(self, key: str) -> int:
-        number = self[key] = len(self)
-        return number
+def _texts(batch: pa.RecordBatch, at: int) -> list[str]:
+    return [(b or b"").decode("utf-8", "replace") for b in batch.column(at).cast(pa.binary()).to_pylist()]
 
 
-class _Chunk:
-    """Some documents as frequencies of parts, and the pre-tokens of each part."""
+def corpus_pieces(docs: DataFrame, definition: Broadcast, text: str) -> DataFrame:
+    """Distinct pre-tokens of the corpus: how often they occur and how many tokens they give."""
 
-    def __init__(self, run: int, split):
-        self.run, self.split = run, split
-        self.parts, self.docs, self.times, self.size = _Numbers(), [], [], 0
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, seen = pre_tokens(definition.value), Counter()
 
-    def add(self, text: str) -> int:
-        """Takes a text; returns the number of its special tokens, which are apart."""
-        between = self.split.special.split(text)
-        parts = [p for piece in between for p in PART.split(piece)]
-        numbers = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
-        found, times = np.unique(numbers, return_counts=True)
-        self.docs.append(found)
-        self.times.append(times)
-        self.size += len(text)
-        return len(between) - 1
-
-    def full(self) -> bool:
-        return len(self.docs) >= CHUNK_TEXTS or len(self.parts) >= CHUNK_PARTS or self.size >= CHUNK_BYTES
-
-    def stored(self) -> tuple[list[str], bytes]:
-        """The pre-tokens, and by number those of each part and the parts of each document."""
-        pieces, sizes, flat = _Numbers(), [], []
-        for part in self.parts:
-            own = [pieces[p] for p in self.split(part)]
-            sizes.append(len(own))
-            flat += own
-        per_doc = np.array([len(d) for d in self.docs], np.int64)
-        of_docs, times = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (self.docs, self.times))
-        return list(pieces), packed(*(np.asarray(v).astype("<i4") for v in (sizes, flat, per_doc, of_docs, times)))
-
-
-def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of stretches of some sizes, which may be 0."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
-
-
-_NAMES = ["run", "at", "doc_id", "n_bytes", "special", "pieces", "body"]
-
-
-def _chunks(docs: DataFrame, definition: Broadcast) -> DataFrame:
-    """Rows of documents (``at`` their place in a chunk) and of chunks, as one table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(definition.value)
-        chunk, rows, id_type = _Chunk(TaskContext.get().partitionId() << 32, split), [], None
-        strings = pa.list_(pa.string())
-
-        def passed_on() -> Iterator[pa.RecordBatch]:
-            n, run = len(rows), chunk.run
-            ids, sizes, special = zip(*rows)
-            columns = [[run] * n, range(n), ids, sizes, special, [None] * n, [None] * n]
-            types = [pa.int64(), pa.int32(), id_type, pa.int64(), pa.int64(), strings, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=_NAMES)
-            pieces, body = chunk.stored()
-            one = [[run], *[[None]] * 4, [pieces], [body]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(one, types)], names=_NAMES)
+        def passed_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())],
+                names=["piece", "times"],
+            )
 
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            texts = [(b or b"").decode("utf-8", "replace") for b in batch.column(2).cast(pa.binary()).to_pylist()]
-            for doc_id, size, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                rows.append((doc_id, size, chunk.add(text)))
-                if chunk.full():
-                    yield from passed_on()
-                    chunk, rows = _Chunk(chunk.run + 1, split), []
-        if rows:
-            yield from passed_on()
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    ddl = f"run bigint, at int, doc_id {kind}, n_bytes bigint, special bigint, pieces array<string>, body binary"
-    return written(docs.select("doc_id", "n_bytes", "text").mapInArrow(run, ddl), "chunks")
-
-
-def piece_counts(pieces: DataFrame, definition: Broadcast) -> DataFrame:
-    """The distinct pre-tokens and how many tokens each gives."""
+            for t in _texts(batch, 0):
+                seen.update(parts(t)[0])
+            if len(seen) > HELD:
+                yield passed_on()
+                seen.clear()
+        yield passed_on()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         tokenizer = Tokenizer.from_str(definition.value)
         for batch in batches:
-            found = tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64())], names=["piece", "n"])
+            sizes = [len(tokenizer.encode(p, add_special_tokens=False)) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=["piece", "times", "n"])
 
-    return written(pieces.distinct().mapInArrow(counted, "piece string, n bigint"), "pieces")
+    distinct = (
+        docs.select(text).mapInArrow(found, "piece string, times bigint").groupBy("piece").agg(F.sum("times").alias("times"))
+    )
+    return distinct.mapInArrow(counted, "piece string, times bigint, n bigint")
+
+
+def head(pieces: DataFrame) -> dict[str, int]:
+    """The most frequent pre-tokens with their token counts, at most ``HEAD``."""
+    rank = F.floor(F.log2("times") * 8).cast("int")
+    short = pieces.where(F.octet_length("piece") <= HEAD_BYTES).withColumn("rank", rank)
+    sizes = {r["rank"]: r["count"] for r in short.groupBy("rank").count().collect()}
+    total, least = 0, None
+    for r in sorted(sizes, reverse=True):
+        total += sizes[r]
+        if total > HEAD:
+            break
+        least = r
+    if least is None:
+        return {}
+    rows = short.where(F.col("rank") >= least).select("piece", "n").toArrow()
+    return dict(zip(rows.column("piece").to_pylist(), rows.column("n").to_pylist(), strict=True))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
@@ -181,27 +138,44 @@ def token_counts(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = spark.sparkContext.broadcast(file.read())
     special_strings(definition.value)  # refuses what is not handled
-    rows = docs.select(F.col(doc_id).alias("doc_id"), byte_count(F.col(text)).alias("n_bytes"), F.col(text).alias("text"))
-    stored = _chunks(rows, definition)
-    chunks = stored.where(F.col("body").isNotNull())
-    places = chunks.select("run", F.posexplode("pieces").alias("place", "piece"))
-    counts = piece_counts(places.select("piece"), definition)
-    met = places.join(counts, "piece").groupBy("run").agg(F.collect_list(F.struct("place", "n")).alias("counts"))
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pieces = written(corpus_pieces(docs, definition, text), "pieces")
+    known = spark.sparkContext.broadcast(head(pieces))
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, sizes = pre_tokens(definition.value), known.value
         for batch in batches:
-            for i in range(len(batch)):
-                run, body = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                sizes, flat, per_doc, parts, times = (v.astype(np.int64) for v in unpacked(body, *["<i4"] * 5))
-                found = batch.column(2)[i].values
-                n = np.zeros(len(found), np.int64)
-                n[found.field("place").to_numpy()] = found.field("n").to_numpy()
-                totals = _sums(_sums(n[flat], sizes)[parts] * times, per_doc)
-                arrays = [np.full(len(totals), run), np.arange(len(totals), dtype=np.int32), totals]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["run", "at", "tokens"])
-
-    sums = chunks.select("run", "body").join(met, "run").mapInArrow(summed, "run bigint, at int, tokens bigint")
-    n_tokens = F.col("special") + F.coalesce("tokens", F.lit(0))
-    return stored.where(F.col("at").isNotNull()).join(sums, ["run", "at"], "left").select(
+            totals, tails = [], []
+            for t in _texts(batch, 2):
+                found, total = parts(t)
+                rare = []
+                for piece, times in Counter(found).items():
+                    n = sizes.get(piece)
+                    if n is None:
+                        rare.append({"piece": piece, "times": times})
+                    else:
+                        total += n * times
+                totals.append(total)
+                tails.append(rare)
+            tail = pa.array(tails, pa.list_(pa.struct([("piece", pa.string()), ("times", pa.int64())])))
+            arrays = [batch.column(0), batch.column(1), pa.array(totals, pa.int64()), tail]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "known", "tail"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), byte_count(F.col(text)).alias("n_bytes"), F.col(text))
+    read = rows.mapInArrow(
+        frequencies,
+        f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes bigint, known bigint, "
+        "tail array<struct<piece:string,times:bigint>>",
+    )
+    # The row number is only made once: it is stored with the row.
+    read = written(read.withColumn("row", F.monotonically_increasing_id()), "frequencies")
+    rest = (
+        read.select("row", F.explode("tail").alias("t"))
+        .select("row", "t.piece", "t.times")
+        .join(pieces.select("piece", "n"), "piece")
+        .groupBy("row")
+        .agg(F.sum(F.col("n") * F.col("times")).alias("more"))
+    )
+    n_tokens = F.col("known") + F.coalesce("more", F.lit(0))
+    return read.join(rest, "row", "left").select(
         "doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit")
     )
