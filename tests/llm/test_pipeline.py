@@ -78,7 +78,7 @@ def test_stages_take_odd_rows_and_empty_tables(spark, folder):
 
 
 def test_every_operator_has_its_query():
-    assert [n for k in range(1, 11) for n in catalog.QUERIES if n.startswith(f"op{k}_")] == [
+    assert [n for k in range(1, 14) for n in catalog.QUERIES if n.startswith(f"op{k}_")] == [
         n for n in catalog.QUERIES if n != "pipeline"
     ]
     assert catalog.QUERIES["pipeline"] is corpus_pipeline.run
