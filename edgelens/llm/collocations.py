@@ -26,7 +26,7 @@ to the phrase in byte order. Further columns are ignored. An empty table gives n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,10 @@ NO_LANG = "und"
 # Words of a chunk that is counted at once, distinct words it may hold.
 CHUNK_WORDS = 1 << 20
 CHUNK_VOCABULARY = 1 << 18
-# Hashes that are held before they are folded or passed on; words a radix of them stands for.
-HELD = 1 << 22
+# Hashes that are held before they are folded or passed on, which bounds a worker's memory;
+# words a radix of them stands for, by this.
+HELD = 1 << 20
+RADIX_HELD = 4
 # Bits of a phrase's hash that are counted, and rows of a batch.
 HASH_BITS = 48
 BATCH_ROWS = 1 << 16
@@ -65,10 +67,11 @@ def _seed(lang: str) -> int:
     return xxhash.xxh32_intdigest(lang.encode())
 
 
-def _chained(hashes: list[np.ndarray]) -> np.ndarray:
+def _chained(hashes: Iterable[np.ndarray]) -> np.ndarray:
     """One hash per phrase from the hashes of its words."""
-    code = hashes[0]
-    for more in hashes[1:]:
+    hashes = iter(hashes)
+    code = next(hashes)
+    for more in hashes:
         code = (code ^ (code >> _TURN)) * _MIX + more
     return code
 
@@ -91,41 +94,39 @@ class Filter:
         return (both & one).astype(bool)
 
 
-def filter_of(hashes: DataFrame, n: int) -> np.ndarray:
-    """Bits of about ``n`` hashes, which come as arrays in a binary column; bounded by ``MOST_BITS``."""
+def filter_of(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], n: int) -> np.ndarray:
+    """Bits of about ``n`` hashes, which ``hashes`` reads from the rows; bounded by ``MOST_BITS``.
+
+    Reading and entering share one Python worker; a second map would bring a second one.
+    """
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (n * BITS_EACH - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(bits // 64, np.uint64)
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                for at in Filter.places(np.frombuffer(blob, np.uint64), np.uint64(bits - 1)):
+            for some in hashes(batch):
+                for at in Filter.places(some, np.uint64(bits - 1)):
                     np.bitwise_or.at(held, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
         at = np.flatnonzero(held)
         for part in np.array_split(at, len(at) // BATCH_ROWS + 1):
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(held[part].view(np.int64))], names=["at", "bits"])
 
-    found = hashes.mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    rows = found.toArrow()
+    found = rows.mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
-def _hashes_of(phrases: DataFrame, length: int) -> DataFrame:
-    """Hashes of the phrases (lang, w1, ...), in arrays."""
+def _known(phrases: DataFrame, length: int) -> np.ndarray:
+    """Filter of the hashes of the phrases (lang, w1, ...)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seeds = [_seed(lang) for lang in batch.column(0).to_pylist()]
-            words = [batch.column(i + 1).cast(pa.binary()).to_pylist() for i in range(length)]
-            hashes = [
-                np.array([xxhash.xxh64_intdigest(w, s) for w, s in zip(column, seeds)], np.uint64) for column in words
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([_chained(hashes).tobytes()], pa.binary())], names=["hashes"])
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        seeds = [_seed(lang) for lang in batch.column(0).to_pylist()]
+        words = [batch.column(i + 1).cast(pa.binary()).to_pylist() for i in range(length)]
+        yield _chained(np.array([xxhash.xxh64_intdigest(w, s) for w, s in zip(column, seeds)], np.uint64) for column in words)
 
     columns = ["lang", *(f"w{i + 1}" for i in range(length))]
-    return phrases.select(*columns).mapInArrow(run, "hashes binary")
+    return filter_of(phrases.select(*columns), hashes, phrases.count())
 
 
 class _Ids(dict):
@@ -189,13 +190,15 @@ class _Stored:
     def places(self, length: int, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where phrases stand of which both shorter ones are known, and their hashes."""
         of_words, n = self.hashes()[self.ids], length - 1
-        stretch = max(0, len(self.ids) - n + 1)
-        code = _chained([of_words[i : i + stretch] for i in range(n)])
-        fine = Filter(shorter).holds(code)
-        for i in range(n):
-            fine &= self.ids[i : i + stretch] > 0
+        fine = np.zeros(max(0, len(self.ids) - n + 1), bool)
+        for start in range(0, len(fine), BATCH_ROWS):
+            end = min(start + BATCH_ROWS, len(fine))
+            some = Filter(shorter).holds(_chained(of_words[start + i : end + i] for i in range(n)))
+            for i in range(n):
+                some &= self.ids[start + i : end + i] > 0
+            fine[start:end] = some
         at = np.flatnonzero(fine[:-1] & fine[1:])
-        return at, _chained([of_words[at + i] for i in range(length)]) >> np.uint64(64 - HASH_BITS)
+        return at, _chained(of_words[at + i] for i in range(length)) >> np.uint64(64 - HASH_BITS)
 
     def counted(self, at: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
         """The different phrases at some places, as columns of word numbers, and their counts."""
@@ -263,23 +266,28 @@ class _HashCounts:
     """Sorted hashes with counts, folded when they get many."""
 
     def __init__(self):
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.limit = [], 0, HELD
 
     def add(self, hashes: np.ndarray, counts: np.ndarray) -> bool:
         """Takes some more; true if they are too many even when folded."""
         self.parts.append((hashes, counts))
         self.size += len(hashes)
-        if self.size <= HELD:
+        if self.size <= self.limit:
             return False
         self.fold()
+        self.limit = max(HELD, 2 * self.size)
         return self.size > HELD // 2
 
     def fold(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
+        # Nothing stays longer than it is needed: two workers share an executor with its JVM.
         hashes, counts = (np.concatenate(c) for c in zip(*self.parts))
+        self.parts = []
         order = np.argsort(hashes, kind="stable")
-        hashes, counts = hashes[order], counts[order]
+        hashes = hashes[order]
+        counts = counts[order]
+        del order
         changed = np.ones(len(hashes), bool)
         changed[1:] = hashes[1:] != hashes[:-1]
         starts = np.flatnonzero(changed)
@@ -290,7 +298,7 @@ class _HashCounts:
 
 def _often(chunks: DataFrame, length: int, shorter: object, least: int, words: int) -> np.ndarray:
     """Filter of the hashes of phrases that may stand in the texts ``least`` times."""
-    radix_bits = min(16, max(6, (words // HELD).bit_length()))
+    radix_bits = min(16, max(6, (words // (RADIX_HELD * HELD)).bit_length()))
 
     def spilled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, pack = _HashCounts(), zstandard.ZstdCompressor(level=3).compress
@@ -303,15 +311,14 @@ def _often(chunks: DataFrame, length: int, shorter: object, least: int, words: i
                 part = slice(edges[radix], edges[radix + 1])
                 steps = np.diff(hashes[part], prepend=np.uint64(0))
                 rows.append((radix, pack(steps.tobytes()), pack(counts[part].astype(np.int64).tobytes())))
-            held.parts, held.size = [], 0
+            held.__init__()
             if rows:
                 types = pa.int32(), pa.binary(), pa.binary()
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays(columns, names=["radix", "hashes", "counts"])
 
         for chunk in _read(batches):
-            _, codes = chunk.places(length, shorter.value)
-            if held.add(*np.unique(codes, return_counts=True)):
+            if held.add(*np.unique(chunk.places(length, shorter.value)[1], return_counts=True)):
                 yield from passed_on()
         yield from passed_on()
 
@@ -338,7 +345,8 @@ def _often(chunks: DataFrame, length: int, shorter: object, least: int, words: i
     runs = chunks.mapInArrow(spilled, "radix int, hashes binary, counts binary")
     laid = runs.repartition("radix").sortWithinPartitions("radix")
     reached = written(laid.mapInArrow(merged_runs, "hashes binary, n bigint"), "hashes")
-    return filter_of(reached.select("hashes"), reached.agg(F.sum("n")).first()[0] or 1)
+    n = reached.agg(F.sum("n")).first()[0] or 1
+    return filter_of(reached.select("hashes"), lambda batch: (np.frombuffer(b, np.uint64) for b in batch.column(0).to_pylist()), n)
 
 
 def _phrase_counts(chunks: DataFrame, length: int, shorter: object, often: object) -> DataFrame:
@@ -370,8 +378,7 @@ def count_streams(
     table, stream = singles.where("w1 is not null"), []
     for length in range(1, longest + 1):
         if length > 1:
-            known = filter_of(_hashes_of(table, length - 1), table.count())
-            shorter = spark.sparkContext.broadcast(known)
+            shorter = spark.sparkContext.broadcast(_known(table, length - 1))
             often = spark.sparkContext.broadcast(_often(chunks, length, shorter, least, words))
             counted = _phrase_counts(chunks, length, shorter, often)
             table = written(counted.where(F.col("f") >= least), f"phrases-{length}")

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -101,6 +102,34 @@ def test_phrases_of_a_chunk():
     assert sorted(zip(*(c.tolist() for c in columns), n.tolist())) == [(1, 2, 3, 2), (2, 3, 1, 1), (3, 1, 2, 1)]
 
 
+def test_held_hashes_take_little_memory():
+    """What a task counts before it passes it on; two such workers share 3,000 MB with a JVM."""
+    held, rng = C._HashCounts(), np.random.default_rng(1)
+    parts = [np.unique(rng.integers(0, 1 << C.HASH_BITS, 700_000, np.uint64)) for _ in range(6)]
+    passed = 0
+    tracemalloc.start()
+    try:
+        for part in parts:
+            if held.add(part, np.ones(len(part), np.int64)):
+                passed += int(held.fold()[1].sum())
+                held.__init__()
+        passed += int(held.fold()[1].sum())
+        assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    finally:
+        tracemalloc.stop()
+    assert passed == sum(map(len, parts))
+
+
+def test_distinct_hashes_are_folded_a_few_times(monkeypatch):
+    monkeypatch.setattr(C, "HELD", 100)
+    held, folds = C._HashCounts(), []
+    fold = held.fold
+    held.fold = lambda: folds.append(1) or fold()
+    for start in range(0, 10_000, 10):
+        held.add(np.arange(start, start + 10, dtype=np.uint64), np.ones(10, np.int64))
+    assert len(fold()[0]) == 10_000 and len(folds) < 10
+
+
 def test_whole_numbers_of_any_size(spark):
     big = 3 * 10**15
     rows = [("en", ["a", "b"], big, big + 1, None, big + 7, None)]
