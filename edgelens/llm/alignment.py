@@ -2,7 +2,9 @@
 
 Every text is encoded by A (byte-level BPE, with a space in front) and by B (which adds
 the space itself). Where tokens of both end at the same byte, the two before it are a
-link, and the tokens since the link before are a group.
+link, and the tokens since the link before are a group. Where no token of either side can
+lie over a place between two words, texts are encoded and aligned by the parts between
+such places, and a task remembers parts; else whole.
 
 Pairings are counted as an external merge does it. A task sorts the links of some texts
 by pairing, B's side first, and radix-partitions them by B's id into runs compressed
@@ -36,6 +38,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
 from edgelens.llm.common import bound_batches, packed, unpacked
@@ -52,8 +55,9 @@ HELD = 1 << 21
 # Streams of one heap merge, records of a radix that one task takes.
 FAN_IN = 64
 TASK_RECORDS = 1 << 22
-# Parts of texts whose ids a task remembers.
+# Parts of texts that a task remembers, and their characters.
 KNOWN = 400_000
+KNOWN_CHARACTERS = 1 << 24
 _BLOCK = 4096
 
 
@@ -62,48 +66,89 @@ _BLOCK = 4096
 PART = re.compile(r"(?<=[!-~\u00a1-\u024f])(?=[ \n])")
 # Parts that may stand behind one another.
 _JOINS = re.compile(r"(?s)[ \n].*[!-~\u00a1-\u024f]")
+# What no piece of B may hold if texts are cut there.
+_CUT = re.compile(r"[!-~\u00a1-\u024f][ \n\u2581]")
 # Characters of new parts that are encoded in one go.
 _TOGETHER = 1 << 16
 
 
+class _Lists:
+    """A list of numbers per part, on end."""
+
+    def __init__(self):
+        self.flat, self.starts, self.sizes = (np.zeros(0, np.int64) for _ in range(3))
+
+    def enter(self, values: list[np.ndarray], sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, *values])
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[numbers]
+        first = np.repeat(self.starts[numbers] - np.cumsum(sizes) + sizes, sizes)
+        return self.flat[first + np.arange(len(first))]
+
+
 class _Parts(dict):
-    """Parts of texts by number; new ones are entered and wait to be encoded."""
+    """Parts of texts by number; new ones are entered and wait to be encoded.
+
+    Both sides end a token where a part ends, so groups and links of a text are those of its parts.
+    """
 
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
-        self.flat = np.zeros(0, np.int64)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.whole = np.zeros(0, bool)
+        self.characters = 0
+        self.a, self.links = _Lists(), _Lists()
+        self.a_back, self.back = np.zeros(0, bool), np.zeros(0, bool)
+        self.b_sizes = np.zeros(0, np.int64)
+        self.groups: list[str] = []
 
     def __missing__(self, part: str) -> int:
         number = self[part] = len(self)
         self.new.append(part)
+        self.characters += len(part)
         return number
 
-    def enter(self, encoded: list[tuple[list[int], np.ndarray, np.ndarray, bool]]) -> None:
-        """The ids of the parts that waited: places of some of them, their ids on end, the
-        size of each, and whether they give the parts back."""
-        n = len(self.new)
-        starts, sizes, whole = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-        at = len(self.flat)
-        for places, ids, own, back in encoded:
-            starts[places], sizes[places], whole[places] = at + np.cumsum(own) - own, own, back
-            at += len(ids)
-        self.starts, self.sizes, self.whole = (
-            np.concatenate(c) for c in ((self.starts, starts), (self.sizes, sizes), (self.whole, whole))
-        )
-        self.flat = np.concatenate([self.flat, *(ids for _, ids, _, _ in encoded)])
+    def enter(self, encoded: list[_Run]) -> None:
+        """The parts that waited, in their order, as encoded in runs."""
+        a_sizes, b_sizes, n_links = (np.concatenate([x.sizes[k] for x in encoded]) for k in range(3))
+        self.a.enter([x.a for x in encoded], a_sizes)
+        self.links.enter([x.links for x in encoded], n_links)
+        self.b_sizes = np.concatenate([self.b_sizes, b_sizes])
+        n = [len(x.groups) for x in encoded]
+        self.a_back = np.concatenate([self.a_back, np.repeat([x.a_back for x in encoded], n)])
+        self.back = np.concatenate([self.back, np.repeat([x.back for x in encoded], n)])
+        self.groups += [g for x in encoded for g in x.groups]
         self.new = []
 
-    def ids(self, numbers: np.ndarray) -> np.ndarray | None:
-        """Ids of a text; None if they do not give it back."""
-        if not self.whole[numbers].all():
-            return None
-        sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        first = np.repeat(self.starts[numbers] - ends + sizes, sizes)
-        return self.flat[first + np.arange(len(first))]
+
+class _Run:
+    """Parts side by side: tokens of A, of B and links of each part (``sizes``), A's ids,
+    links in side-major order of their texts, groups as text; ``a_back`` and ``back`` tell
+    whether A, or both, give the parts back."""
+
+    def __init__(self, sides: Sides, parts: list[str]):
+        raw = [p.encode() for p in parts]
+        text, ends = b"".join(raw), np.cumsum([len(r) for r in raw])
+        a, b = sides.ids("".join(parts))
+        self.a_back = b"".join(map(sides.a_bytes.__getitem__, a)) == text
+        self.back = self.a_back and b"".join(map(sides.b_bytes.__getitem__, b)) == text
+        self.a, self.links, self.groups = np.array(a, np.int64), np.zeros(0, np.int64), [""] * len(parts)
+        if not self.back:  # stands alone, or is encoded in halves
+            self.sizes = [np.array([n, *[0] * (len(parts) - 1)], np.int64) for n in (len(a), 0, 0)]
+            return
+        b = np.array(b, np.int64)
+        # Both sides end at the last byte.
+        a_ends, b_ends = np.cumsum(sides.a_sizes[self.a]), np.cumsum(sides.b_sizes[b])
+        at = np.searchsorted(b_ends, a_ends)
+        a_last = np.flatnonzero(b_ends[at] == a_ends)
+        b_last, link_ends = at[a_last], a_ends[a_last]
+        last = np.searchsorted(link_ends, ends)
+        self.back = bool((link_ends[last] == ends).all())
+        self.sizes = [np.diff(at + 1, prepend=0) for at in (a_last[last], b_last[last], last)]
+        self.links = _side_major(self.a[a_last], b[b_last])
+        self.groups = sides.groups(self.a, b, a_last, b_last, last)
 
 
 class Sides:
@@ -115,67 +160,100 @@ class Sides:
         self.a = Tokenizer.from_str(a_definition)
         self.a.encode_special_tokens = True  # their strings are plain text here
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
+        self.cuts = _cuts(b_model)
         self.a_bytes = _byte_level(self.a)
         self.b_bytes = [
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))
         ]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.base = max(len(self.a_bytes), len(self.b_bytes))
+        # Ids with what stands behind them: in a group's side, behind A's, behind a group, behind a part.
+        self.written = [f"{i}{separator}" for separator in ",|;\n" for i in range(self.base)]
         self.parts = _Parts()
 
-    def _encoded(self, parts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, bool]]:
-        """Ids of parts; those that can stand side by side are encoded many at a time."""
+    def ids(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of both sides; the text begins with the blank that B would add."""
+        a = self.a.encode(text, add_special_tokens=False).ids
+        if not self.cuts:
+            return a, self.b.encode(text[1:])
+        # B adds a blank to what stands in front and is taken off again, so a line break may come first.
+        b = self.b.encode("x" + text)
+        size = 0
+        for i, token in enumerate(b):
+            size += self.b_sizes[token]
+            if size >= 2:
+                return a, b[i + 1 :]
+        return a, []
+
+    def groups(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, last: np.ndarray) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of each part; ``last`` are the links that end parts."""
+        a_at, b_at = np.arange(len(a)), np.arange(len(b))
+        before = np.concatenate(([0], b_last + 1))
+        order = np.empty(len(a) + len(b), np.int64)
+        a_codes, b_codes = a.copy(), b.copy()
+        a_codes[a_last] += self.base
+        b_codes[b_last] += 2 * self.base
+        b_codes[b_last[last]] += self.base
+        order[a_at + before[np.searchsorted(a_last, a_at)]] = a_codes
+        order[b_at + a_last[np.searchsorted(b_last, b_at)] + 1] = b_codes
+        return "".join(map(self.written.__getitem__, order.tolist()))[:-1].split("\n")
+
+    def _runs(self, parts: list[str]) -> Iterator[_Run]:
+        """Parts in their order; those that can stand side by side are encoded many at a time."""
         run, size = [], 0
-        for i, part in enumerate(parts):
-            if not _JOINS.fullmatch(part):
-                yield self._encode_run(parts, [i])
-                continue
-            run.append(i)
-            size += len(part)
-            if size >= _TOGETHER:
-                yield from self._checked(parts, run)
+        for part in parts:
+            joins = self.cuts and _JOINS.fullmatch(part)
+            if run and (not joins or size >= _TOGETHER):
+                yield from self._checked(run)
                 run, size = [], 0
+            if joins:
+                run.append(part)
+                size += len(part)
+            else:
+                yield _Run(self, [part])
         if run:
-            yield from self._checked(parts, run)
+            yield from self._checked(run)
 
-    def _checked(self, parts: list[str], run: list[int]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, bool]]:
-        """A run; one that does not give its text back, part by part."""
-        found = self._encode_run(parts, run)
-        if found[3]:
+    def _checked(self, run: list[str]) -> Iterator[_Run]:
+        """A run; one that does not give its text back, in halves."""
+        found = _Run(self, run)
+        if found.back or len(run) == 1:
             yield found
         else:
-            yield from (self._encode_run(parts, [i]) for i in run)
-
-    def _encode_run(self, parts: list[str], run: list[int]) -> tuple[list[int], np.ndarray, np.ndarray, bool]:
-        text = "".join(parts[i] for i in run)
-        found = self.a.encode(text, add_special_tokens=False)
-        ids, starts = found.ids, np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-        edges = np.searchsorted(starts, np.cumsum([len(parts[i]) for i in run]))
-        back = b"".join(map(self.a_bytes.__getitem__, ids)) == text.encode()
-        return run, np.array(ids, np.int64), np.diff(edges, prepend=0), back
+            yield from self._checked(run[: len(run) // 2])
+            yield from self._checked(run[len(run) // 2 :])
 
-    def encode_a(self, texts: list[str]) -> list[np.ndarray | None]:
-        if len(self.parts) > KNOWN:
+    def _numbers(self, texts: list[str]) -> list[list[int]]:
+        """Numbers of the parts of texts, which are known then."""
+        if len(self.parts) > KNOWN or self.parts.characters > KNOWN_CHARACTERS:
             self.parts = _Parts()
-        split = map(PART.split, texts)
-        numbers = [np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts)) for parts in split]
+        split = map(PART.split, texts) if self.cuts else ([t] for t in texts)
+        numbers = [list(map(self.parts.__getitem__, parts)) for parts in split]
         if self.parts.new:
-            self.parts.enter(list(self._encoded(self.parts.new)))
-        return list(map(self.parts.ids, numbers))
+            self.parts.enter(list(self._runs(self.parts.new)))
+        return numbers
+
+    def encode_a(self, texts: list[str]) -> list[np.ndarray | None]:
+        """A's ids of texts that begin with a blank; None if they do not give one back."""
+        every = map(np.array, self._numbers(texts))
+        return [self.parts.a.of(numbers) if self.parts.a_back[numbers].all() else None for numbers in every]
 
     def align(self, texts: list[str | None]) -> Iterator[Alignment | None]:
         """One alignment per text; None without tokens."""
-        there = [t for t in texts if t]
-        sides = zip(there, self.encode_a([" " + t for t in there]), self.b.encode(there, num_threads=1))
+        every = iter(self._numbers([" " + t for t in texts if t]))
         for text in texts:
-            if not text:
-                yield None
-                continue
-            _, a, b = next(sides)
-            if a is None or b"".join(map(self.b_bytes.__getitem__, b)) != (" " + text).encode():
-                yield None
-                continue
-            yield Alignment(a, np.array(b, np.int64), self.a_sizes, self.b_sizes)
+            yield Alignment.of(self.parts, next(every)) if text else None
+
+
+def _cuts(b_model: bytes) -> bool:
+    """Whether B's tokens end at every place between parts, and nothing around it matters."""
+    model = sentencepiece_model_pb2.ModelProto.FromString(b_model)
+    rules, trained = model.normalizer_spec, model.trainer_spec
+    plain = rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces
+    if not plain or rules.precompiled_charsmap or trained.treat_whitespace_as_suffix:
+        return False
+    return not any(_CUT.search(p.piece) for p in model.pieces)
 
 
 def _byte_level(tokenizer: Tokenizer) -> list[bytes]:
@@ -192,41 +270,27 @@ def _byte_level(tokenizer: Tokenizer) -> list[bytes]:
 
 
 class Alignment:
-    """Ids of both sides and the tokens of either that end together."""
+    """Tokens of both sides of a text, its links (side-major numbers) and its groups as text."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray):
-        self.a, self.b = a, b
-        # Both sides end at the last byte of the text.
-        a_ends, b_ends = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
-        at = np.searchsorted(b_ends, a_ends)
-        self.a_last = np.flatnonzero(b_ends[at] == a_ends)
-        self.b_last, self.ends = at[self.a_last], a_ends[self.a_last]
+    def __init__(self, n_a: int, n_b: int, links: np.ndarray, text: str):
+        self.n_a, self.n_b, self.links, self.text = n_a, n_b, links, text
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.a[self.a_last], self.b[self.b_last]
+    @staticmethod
+    def of(parts: _Parts, numbers: list[int]) -> Alignment | None:
+        at = np.array(numbers)
+        if not parts.back[at].all():
+            return None
+        text = ";".join(map(parts.groups.__getitem__, numbers))
+        return Alignment(int(parts.a.sizes[at].sum()), int(parts.b_sizes[at].sum()), parts.links.of(at), text)
 
-    def groups(self) -> list[tuple[int, list[int], list[int]]]:
+    def groups(self, a_sizes: np.ndarray) -> list[tuple[int, list[int], list[int]]]:
         """Byte end, A ids and B ids of each group."""
-        a, b = (np.split(ids, last[:-1] + 1) for ids, last in ((self.a, self.a_last), (self.b, self.b_last)))
-        return [(int(end), x.tolist(), y.tolist()) for end, x, y in zip(self.ends, a, b)]
-
-    def text(self, written_ids: list[str], base: int) -> str:
-        """``a1,a2|b1;a3|b2,b3``, from a table of ids with each separator behind them."""
-        a_at, b_at = np.arange(len(self.a)), np.arange(len(self.b))
-        a_group = np.searchsorted(self.a_last, a_at)
-        b_group = np.searchsorted(self.b_last, b_at)
-        before = np.concatenate(([0], self.b_last + 1))
-        order = np.empty(len(self.a) + len(self.b), np.int64)
-        a_codes, b_codes = self.a.copy(), self.b.copy()
-        a_codes[self.a_last] += base
-        b_codes[self.b_last] += 2 * base
-        order[a_at + before[a_group]] = a_codes
-        order[b_at + self.a_last[b_group] + 1] = b_codes
-        return "".join(map(written_ids.__getitem__, order.tolist()))[:-1]
-
-
-def _written_ids(base: int) -> list[str]:
-    return [f"{i}{separator}" for separator in ",|;" for i in range(base)]
+        out, end = [], 0
+        for group in self.text.split(";"):
+            a, b = (list(map(int, side.split(","))) for side in group.split("|"))
+            end += int(a_sizes[a].sum())
+            out.append((end, a, b))
+        return out
 
 
 def _side_major(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -296,15 +360,14 @@ class _Chunk:
         self.run, self.rows, self.links = run, [], []
         self.size = 0
 
-    def add(self, doc_id: object, found: Alignment | None, written_ids: list[str], base: int) -> None:
+    def add(self, doc_id: object, found: Alignment | None) -> None:
         if found is None:
             self.rows.append((doc_id, 0, 0, 0, 0, ""))
             self.links.append(np.empty(0, np.int64))
             return
-        text = found.text(written_ids, base)
-        n = len(found.ends)
-        self.rows.append((doc_id, len(found.a), len(found.b), n, n, hashlib.sha256(text.encode()).hexdigest()))
-        self.links.append(_side_major(*found.links()))
+        n = len(found.links)
+        self.rows.append((doc_id, found.n_a, found.n_b, n, n, hashlib.sha256(found.text.encode()).hexdigest()))
+        self.links.append(found.links)
         self.size += n
 
     def full(self) -> bool:
@@ -371,7 +434,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = Sides(*files.value)
         for batch in batches:
-            found = [[] if x is None else x.groups() for x in sides.align(batch.column(1).to_pylist())]
+            found = [[] if x is None else x.groups(sides.a_sizes) for x in sides.align(batch.column(1).to_pylist())]
             groups = pa.array([[dict(zip(("end", "a", "b"), g)) for g in gs] for gs in found], pa.list_(group))
             yield pa.RecordBatch.from_arrays([batch.column(0), groups], names=["doc_id", "groups"])
 
@@ -384,9 +447,7 @@ def _spilled(docs: DataFrame, a_path: str, b_path: str, doc_id: str, text: str)
     rows, kind = _rows_of(docs, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = Sides(*files.value)
-        base = max(len(sides.a_bytes), len(sides.b_bytes))
-        written_ids, counts = _written_ids(base), _Counts()
+        sides, counts = Sides(*files.value), _Counts()
         task, id_type = TaskContext.get().partitionId() << 32, None
         chunk = _Chunk(task)
 
@@ -399,7 +460,7 @@ def _spilled(docs: DataFrame, a_path: str, b_path: str, doc_id: str, text: str)
             id_type = batch.schema.field(0).type
             ids = batch.column(0).to_pylist()
             for i, found in zip(ids, sides.align(batch.column(1).to_pylist())):
-                chunk.add(i, found, written_ids, base)
+                chunk.add(i, found)
                 if chunk.full():
                     yield from chunk.batches(id_type, counts)
                     chunk = _Chunk(chunk.run + 1)

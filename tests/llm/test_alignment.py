@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
 from edgelens.llm import alignment
@@ -138,6 +139,68 @@ def test_parts_encode_like_the_whole_text():
         assert [ids.tolist() for ids in sides.encode_a(texts)] == want
 
 
+def _sides():
+    with open(A, encoding="utf-8") as a, open(B, "rb") as b:
+        return alignment.Sides(a.read(), b.read())
+
+
+def test_b_encodes_parts_like_the_whole_text():
+    sides = _sides()
+    codes = [*range(1, 0x2100), 0x2581, 0x3000, 0xFEFF, 0xAC00, 0x1F600]
+    marks = [" a", "a ", " ", "  ", "\n", "\n ", " \n", "'s", " 's", "1 2", "!? ", "\t", "x  \n\n  y"]
+    texts = [f"x{chr(c)}{m}{chr(c)} {chr(c)}\n{chr(c)}y{m}" for c in codes for m in marks[c % 4 :: 4]]
+    there = 0
+    for text, found in zip(texts, sides.align(texts), strict=True):
+        want = sides.b.encode(text)
+        if b"".join(map(sides.b_bytes.__getitem__, want)) != (" " + text).encode():
+            assert found is None
+            continue
+        groups = found.groups(sides.a_sizes)
+        assert [i for _, _, b in groups for i in b] == want and found.n_b == len(want)
+        assert groups[-1][0] == len((" " + text).encode())
+        there += 1
+    assert there > 20_000
+
+
+def test_a_part_meets_both_tokenizers_once():
+    sides, seen = _sides(), []
+    b = sides.b
+
+    class Counting:
+        def encode(self, text, **options):
+            seen.append(text if isinstance(text, str) else "".join(text))
+            return b.encode(text, **options)
+
+    sides.b = Counting()
+    assert len(list(sides.align(["the same words again and again"] * 100))) == 100
+    assert sum(map(len, seen)) < 100
+
+
+def test_long_parts_are_not_kept_without_limit(monkeypatch):
+    monkeypatch.setattr(alignment, "KNOWN_CHARACTERS", 1000)
+    sides = _sides()
+    for i in range(20):
+        list(sides.align([f"{i}漢字" * 100]))
+    assert sum(map(len, sides.parts)) < 3000
+
+
+def test_texts_that_cannot_be_cut_are_encoded_whole(documents, texts, monkeypatch):
+    monkeypatch.setattr(alignment, "_cuts", lambda model: False)
+    assert _got(documents(list(enumerate(texts)), parts=4)) == dict(enumerate(_plain(texts)))
+
+
+def test_b_is_cut_only_where_no_piece_lies_over_the_place():
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(B, "rb") as b:
+        model.ParseFromString(b.read())
+    assert alignment._cuts(model.SerializeToString())
+    model.pieces[1000].piece = "of▁the"
+    assert not alignment._cuts(model.SerializeToString())
+    model.pieces[1000].piece = "▁the"
+    model.normalizer_spec.remove_extra_whitespaces = True
+    assert not alignment._cuts(model.SerializeToString())
+
+
 def test_heap_merge_sums_streams():
     streams = [(np.array([1, 5, 9]), np.array([1, 2, 3])), (np.array([5, 10]), np.array([10, 4])), (np.array([0]), np.array([7]))]
     keys, sums = alignment.heap_merged([alignment._packed_counts(k, s) for k, s in streams])
