@@ -19,11 +19,13 @@ def _priority(node: str, turn: int) -> Column:
     return F.struct(F.xxhash64(F.col(node), F.lit(turn)), F.col(node))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, joined: int | None = None) -> DataFrame:
     """Columns ``node`` and ``root`` for the nodes of ``edges`` (columns ``a``, ``b``).
 
     Nodes of one component have one root, which is some node of it. Edges may repeat,
-    run either way or lead back to their node.
+    run either way or lead back to their node. After the moves of ``joined`` rounds the roots
+    found are checkpointed, as a plan over many rounds takes the driver long to make and hold;
+    None follows all of them in one plan.
     """
     left = checkpoint(_undirected(edges.select("a", "b")))
     moves = []
@@ -52,9 +54,11 @@ def components(edges: DataFrame) -> DataFrame:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     *earlier, last = moves
     found = last.select("node", F.col("to").alias("root"))
-    for move in reversed(earlier):
+    for back, move in enumerate(reversed(earlier), 1):
         later = found.select(F.col("node").alias("to"), F.col("root"))
         found = move.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+        if joined and back % joined == 0:
+            found = checkpoint(found)
     return found
 
 

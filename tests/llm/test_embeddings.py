@@ -85,3 +85,40 @@ def test_a_forest_joins_what_links_join():
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     assert (forest.label == label).all()
+
+
+def test_tiles_move_no_block_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 10)
+    plans, write = {}, E.written
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(E, "written", written)
+    rows = list(enumerate(cloud(5, 120, 8, 0.3)))
+    assert found(spark, rows) == brute(rows)
+    assert "InArrow" in plans["links"] and "Exchange" not in plans["links"]
+
+
+def test_common_vectors_in_small_batches_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 9)
+    monkeypatch.setattr(E, "PART_BYTES", 4000)
+    monkeypatch.setattr(E, "REMEMBERED", 5)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        vectors = cloud(6, 150, 12, 0.35)
+        rows = [(i % 140, v) for i, v in enumerate(vectors)] + [(200 + i, vectors[i % 3]) for i in range(100)]
+        rows += [(None, vectors[1]), (400, [-0.0, 1.0]), (401, [0.0, 1.0]), (402, [3.0]), (403, [-3.0]), (404, [5.0])]
+        assert found(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set(batch, before)
+
+
+def test_a_class_without_its_vector_fails(spark):
+    classes = spark.createDataFrame([(2, 1, 1, 0, 1), (2, 5, 5, 1, 1)], "dims int, one bigint, two bigint, key bigint, copies bigint")
+    vectors = spark.createDataFrame([(2, 1, 1, [1.0, 2.0])], "dims int, one bigint, two bigint, vector array<double>")
+    with pytest.raises(Exception, match="not the same when read again"):
+        E.tile_links(classes, vectors, 0.9).count()

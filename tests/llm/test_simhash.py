@@ -109,3 +109,11 @@ def test_components_of_chains_stars_and_loops(spark):
     for members in (range(201), range(1000, 1300), (6000, 6001)):
         assert len({roots[m] for m in members}) == 1 and roots[members[0]] in members
     assert components(df.limit(0)).count() == 0
+
+
+def test_the_plan_of_components_does_not_grow_with_the_rounds(spark):
+    chain = random.Random(2).sample(range(3000), 3000)
+    df = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "a bigint, b bigint")
+    found = components(df, joined=3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
+    assert len({r.root for r in found.collect()}) == 1 and found.count() == 3000
